@@ -52,19 +52,15 @@ def out(df: DataFrame, *columns: str) -> DataFrame:
 
 def lineitem_units(spark: SparkSession, d: str) -> DataFrame:
     """One row per line; decision = shipped line status, outcome = returned."""
-    li = table(spark, d, "lineitem")
-    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
-    return li.select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("bigint"),
-                    cents("l_extendedprice"), cents("l_discount"), cents("l_tax"), "l_returnflag", "l_linestatus",
-                    F.date_format("l_shipdate", "yyyyMMdd")).alias("uid"),
-        (F.col("l_linestatus") == "F").cast("int").alias("t"),
-        (F.col("l_returnflag") == "R").cast("double").alias("y"),
-        F.when(F.col("l_linestatus") == "F", (F.col("l_returnflag") == "R").cast("double")).alias("y_obs"),
-        F.floor(F.col("l_quantity") / 10).alias("c1"), F.floor(cents("l_discount") / 4).alias("c2"),
-        F.floor(cents("l_tax") / 3).alias("c3"), F.col("l_quantity").alias("qty"),
-        F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"),
-        (F.col("l_suppkey") % 5).alias("z"), F.col("l_orderkey").alias("okey"), F.col("l_suppkey").alias("skey"))
+    return table(spark, d, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT),"
+        " CAST(round(l_extendedprice * 100) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT),"
+        " CAST(round(l_tax * 100) AS BIGINT), l_returnflag, l_linestatus, date_format(l_shipdate, 'yyyyMMdd')) AS uid",
+        "CAST(l_linestatus = 'F' AS INT) AS t", "CAST(l_returnflag = 'R' AS DOUBLE) AS y",
+        "IF(l_linestatus = 'F', CAST(l_returnflag = 'R' AS DOUBLE), NULL) AS y_obs",
+        "floor(l_quantity / 10) AS c1", "CAST(round(l_discount * 100) AS BIGINT) DIV 4 AS c2",
+        "CAST(round(l_tax * 100) AS BIGINT) DIV 3 AS c3", "l_quantity AS qty", "l_extendedprice AS price",
+        "l_discount AS disc", "l_tax AS tax", "l_suppkey % 5 AS z", "l_orderkey AS okey", "l_suppkey AS skey")
 
 
 V1 = """u AS (SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT),
@@ -178,7 +174,7 @@ def events(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
                     F.get_json_object("props", "$.k").cast("bigint").alias("k"), "ts")
 
 
-EV = """ev AS (SELECT event_id, user_id AS subject, epoch_us(ts) AS at, event_type, value,
+EV = """ev AS (SELECT event_id, user_id AS subject, epoch_us(ts) AS tat, event_type, value,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts FROM events)"""
 
 DAY = tm.DAY
@@ -192,7 +188,7 @@ def signup_spans(spark: SparkSession, d: str, days: float = 4.0) -> DataFrame:
                     (F.col("at") + F.col("k") * int(days * DAY / 100)).alias("stop"), "k")
 
 
-SPANS = f"""sp AS (SELECT event_id AS stay_id, subject, at AS start, at + k * {int(4.0 * DAY / 100)} AS stop, k
+SPANS = f"""sp AS (SELECT event_id AS stay_id, subject, tat AS start, tat + k * {int(4.0 * DAY / 100)} AS stop, k
   FROM ev WHERE event_type = 'signup')"""
 
 

@@ -198,7 +198,8 @@ SHARP_COLS = f"SELECT {r('lower')}, {r('upper')}, {r('pi_lower')}, {r('pi_upper'
 
 @query("a6_sharp_interval", "WITH " + V1B + ", " + sharp_sql("bx", "qty") + " " + SHARP_COLS)
 def sharp_flagship(spark, d):
-    return out(rk.sharp_interval(packed_boxes(spark, d, "qty"), "qty", weight="w"))
+    scores = lineitem_units(spark, d).select("qty")
+    return out(rk.sharp_interval(packed_boxes(spark, d, "qty"), "qty", weight="w", scores=scores))
 
 
 @query("a6_sharp_interval_many_scores", "WITH " + V1B + ", " + sharp_sql("bx", "price") + f" SELECT {r('lower')}, {r('upper')}, {r('upper-lower', 'width')} FROM shp")
@@ -293,10 +294,10 @@ def _(spark, d):
 
 @query("a15_realised_auroc")
 def _(spark, d):
-    u = lineitem_units(spark, d).select("uid", "y", Z.alias("s"))
-    packed = u.groupBy("s", "y", bucket("uid", "boot-cell", 256).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    reps = ev.resampled(packed.withColumn("id", F.concat_ws("/", "s", "y", "b")), "id", seeds=2, replicates=25)
-    stats = rk.auc(reps.withColumn("w", F.col("n") * F.col("bw")), "s", {"auc": "y"}, weight="w", keys=["seed", "rep"])
+    u = lineitem_units(spark, d).select("y", Z.alias("s"))
+    packed = u.groupBy("s", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.concat_ws("/", "s", "y"))
+    reps = ev.resampled(packed, "id", seeds=2, replicates=25, count="n")
+    stats = rk.auc(reps, "s", {"auc": "y"}, weight="bw", keys=["seed", "rep"])
     return out(ev.bootstrap_summary(stats, "auc"))
 
 

@@ -6,6 +6,8 @@ depends on partitioning, retries or executor loss.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,11 +33,19 @@ def bucket(ident, salt, n: int) -> Column:
 
 def poisson1(ident, salt) -> Column:
     """Poisson(1) weight of a unit in one bootstrap replicate."""
-    u = unit_interval(ident, salt)
     # cumulative Poisson(1) probabilities of 0..9
-    total, term, out = 0.0, 0.36787944117144233, F.lit(0)
+    total, term, steps = 0.0, 0.36787944117144233, []
     for k in range(10):
         total += term
-        out = out + F.when(u >= total, 1).otherwise(0)
+        steps.append(total)
         term /= k + 1
-    return out.cast("int")
+    # the one-element array makes the hash be evaluated once
+    once = F.array(unit_interval(ident, salt))
+    count = lambda u: sum((F.when(u >= c, 1).otherwise(0) for c in steps), F.lit(0))
+    return F.get(F.transform(once, count), F.lit(0)).cast("int")
+
+
+@F.pandas_udf("double")
+def poisson_draw(n: pd.Series, seed: pd.Series) -> pd.Series:
+    """Sum of ``n`` Poisson(1) weights, a pure function of its seed column."""
+    return pd.Series([float(np.random.default_rng(int(k)).poisson(m)) for m, k in zip(n, seed)])

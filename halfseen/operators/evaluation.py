@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halfseen.functions import scalar as s
-from halfseen.functions.hashing import poisson1
+from halfseen.functions.hashing import hash32, poisson1, poisson_draw
 from halfseen.functions.quantiles import t_ppf
 from halfseen.operators import objectives as ob
 from halfseen.operators import ranking as rk
@@ -92,17 +92,21 @@ def seed_interval(runs: DataFrame, value: str, *, keys: Sequence[str] = ()) -> D
     return table.withColumn("ci95", t_quantile(F.col("n")) * F.col("__sd") / F.sqrt("n")).drop("__sd")
 
 
-def resampled(units: DataFrame, ident: str, *, seeds: int, replicates: int) -> DataFrame:
-    """Units repeated per (seed, replicate) with a Poisson(1) weight ``bw`` > 0.
+def resampled(units: DataFrame, ident: str, *, seeds: int, replicates: int, count=None) -> DataFrame:
+    """Units repeated per (seed, replicate) with a bootstrap weight ``bw`` > 0.
 
-    Weights are hashes of the id, so a bootstrap statistic is one keyed weighted
-    aggregate and replays identically after a lost executor.  Pack units first.
+    Weights are functions of a hash of the id, so a bootstrap statistic is one keyed
+    weighted aggregate and replays identically after a lost executor.  Without
+    ``count`` a row is one unit (Poisson(1)).  With it a row stands for that many equal
+    units and gets Poisson(count), which is the sum of their weights: pack units that
+    are equal for the statistic first.
     """
     grid = F.array(*[F.struct(F.lit(a).alias("seed"), F.lit(b).alias("rep"))
                      for a in range(seeds) for b in range(replicates)])
     rows = units.select("*", F.inline(grid))
     salt = F.concat_ws("/", F.lit("boot"), "seed", "rep")
-    return rows.withColumn("bw", poisson1(ident, salt)).filter("bw > 0")
+    weight = poisson1(ident, salt) if count is None else poisson_draw(s.as_col(count), hash32(ident, salt))
+    return rows.withColumn("bw", weight).filter("bw > 0")
 
 
 def bootstrap_summary(stats: DataFrame, value: str) -> DataFrame:
@@ -120,3 +124,17 @@ def loglog_fit(df: DataFrame, x: str, y: str, *, keys: Sequence[str] = ()) -> Da
     lx, ly = F.log(F.col(x)), F.log(F.col(y))
     return df.groupBy(*keys).agg(F.regr_slope(ly, lx).alias("slope"), F.regr_intercept(ly, lx).alias("intercept"),
                                  F.regr_r2(ly, lx).alias("r2"))
+
+
+def method_summary(runs: DataFrame, method: str, value: str, *, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean and deviation per method family (the name without its bracketed parameters)."""
+    family = F.regexp_replace(F.col(method), r"\(.*\)", "")
+    return runs.groupBy(*keys, family.alias("family")).agg(
+        F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(F.lit(1)).alias("n"))
+
+
+def coverage_by(rows: DataFrame, truth: str, keys: Sequence[str], lower: str = "lower", upper: str = "upper") -> DataFrame:
+    """Share of intervals that hold the truth and their mean width."""
+    return rows.groupBy(*keys).agg(
+        F.avg(s.contains(truth, lower, upper).cast("double")).alias("coverage"),
+        F.avg(F.col(upper) - F.col(lower)).alias("width"), F.count(F.lit(1)).alias("n"))

@@ -64,19 +64,18 @@ def dual_point(choices: Column, lam: Column) -> Column:
 
 def budget_at(units: DataFrame, lams: Sequence[float], *, gamma: float, score="s", p1="p1", e="e",
               weight=None, loss="logistic", points: int = 129) -> DataFrame:
-    """For each multiplier: risk and mean |tilt| of the pointwise best responses, one pass."""
+    """For each multiplier: risk and mean |tilt| of the pointwise best responses, one pass.
+
+    Units are packed to distinct (score, p1, e) before they meet the multipliers.
+    """
     w = F.lit(1.0) if weight is None else s.as_col(weight)
-    rows = units.select(w.alias("__w"), tilt_choices(score, p1, e, gamma, points, loss).alias("__c"))
-    best = [dual_point(F.col("__c"), F.lit(float(v))) for v in lams]
-    rows = rows.select("__w", *[b.alias(f"__b{i}") for i, b in enumerate(best)])
-    sums = []
-    for i in range(len(lams)):
-        sums += [(F.sum(F.col("__w") * F.col(f"__b{i}.r")) / F.sum("__w")).alias(f"r{i}"),
-                 (F.sum(F.col("__w") * F.col(f"__b{i}.a")) / F.sum("__w")).alias(f"a{i}")]
-    one = rows.agg(*sums)
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(float(v)).alias("lam"), F.col(f"r{i}").alias("risk"), F.col(f"a{i}").alias("tilt"))
-        for i, v in enumerate(lams)])))
+    packed = units.groupBy(s.as_col(score).alias("s"), s.as_col(p1).alias("p1"), s.as_col(e).alias("e")).agg(
+        F.sum(w).alias("w"))
+    rows = packed.select("w", tilt_choices("s", "p1", "e", gamma, points, loss).alias("__c"))
+    rows = rows.withColumn("lam", F.explode(F.array(*[F.lit(float(v)) for v in lams])))
+    rows = rows.select("lam", "w", dual_point(F.col("__c"), F.col("lam")).alias("__b"))
+    return rows.groupBy("lam").agg((F.sum(F.col("w") * F.col("__b.r")) / F.sum("w")).alias("risk"),
+                                   (F.sum(F.col("w") * F.col("__b.a")) / F.sum("w")).alias("tilt"))
 
 
 def budgeted_risk(units: DataFrame, *, gamma: float, budget: float, score="s", p1="p1", e="e",

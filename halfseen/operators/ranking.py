@@ -119,23 +119,20 @@ def segments(units: DataFrame, score: str, lo="lo", hi="hi", *, metric: Metric =
     lo_c = F.when(lo_c > hi_c + 1e-9, F.raise_error(F.lit("lo must be <= hi"))).otherwise(lo_c)
     scan = rank_table(units, score, {"base": lo_c, "top": hi_c}, weight=weight, keys=keys,
                       phi=metric.phi, scores=scores)
-    scan.df = scan.df.withColumn("cap", F.col("top") - F.col("base"))
-    gain = F.col("cap") * F.col("phi")
-    scan.add(__c=("sum", F.col("cap")), __v=("sum", gain), __ct=("total", F.col("cap")),
-             __vt=("total", gain), pi_min=("total", F.col("base")),
-             __v0=("total", F.col("base") * F.col("phi")),
-             share=("total", F.when(F.col("phi") != 0, F.col("w")).otherwise(0.0)))
-    table = scan.result()
-    a_low = F.col("pi_min") + F.col("__c") - F.col("cap")
-    a_up = F.col("pi_min") + F.col("__ct") - F.col("__c")
-    out = table.withColumns({
-        "pi_max": F.col("pi_min") + F.col("__ct"),
-        "a_low": a_low, "b_low": a_low + F.col("cap"),
-        "alpha_low": F.col("__v0") + F.col("__v") - gain - F.col("phi") * a_low,
-        "a_up": a_up, "b_up": a_up + F.col("cap"),
-        "alpha_up": F.col("__v0") + F.col("__vt") - F.col("__v") - F.col("phi") * a_up,
-    })
-    return out.drop("__c", "__v", "__ct", "__vt", "__v0")
+    scan.df = scan.df.selectExpr("*", "top - base AS cap", "(top - base) * phi AS gain", "base * phi AS floor_gain",
+                                 "IF(phi <> 0, w, 0D) AS counted")
+    scan.add(cap_sum=("sum", F.col("cap")), gain_sum=("sum", F.col("gain")), cap_all=("total", F.col("cap")),
+             gain_all=("total", F.col("gain")), pi_min=("total", F.col("base")),
+             v_min=("total", F.col("floor_gain")), share=("total", F.col("counted")))
+    value = "__phi" if metric.phi is not None else score
+    ends = scan.result().selectExpr(
+        *keys, value, "phi", "cap", "share", "pi_min", "pi_min + cap_all AS pi_max", "gain",
+        "pi_min + cap_sum - cap AS a_low", "pi_min + cap_all - cap_sum AS a_up",
+        "v_min + gain_sum AS v_low", "v_min + gain_all - gain_sum AS v_up")
+    return ends.selectExpr(
+        *keys, value, "phi", "cap", "share", "pi_min", "pi_max", "a_low", "a_up",
+        "a_low + cap AS b_low", "a_up + cap AS b_up",
+        "v_low - gain - phi * a_low AS alpha_low", "v_up - phi * a_up AS alpha_up")
 
 
 def _coefficients(metric: Metric) -> tuple[list[Column], list[Column]]:
@@ -143,53 +140,37 @@ def _coefficients(metric: Metric) -> tuple[list[Column], list[Column]]:
     return fill(metric.c), fill(metric.d)
 
 
-def _extremes(seg: DataFrame, metric: Metric) -> DataFrame:
+def _extremes(seg: DataFrame, metric: Metric, keys: Sequence[str]) -> DataFrame:
     """Best (value, prevalence) on every segment for both sides: ``low``, ``up``.
 
-    Written as a chain of small projections so that no expression is repeated in
-    the generated code.
+    A chain of small projections, so that no expression is repeated in the generated
+    code.  The derivative of a ratio of quadratics vanishes where
+    ``qa pi^2 + qb pi + qc = 0``.
     """
-    c, d = _coefficients(metric)
-    floor = F.greatest(F.col("pi_min"), F.lit(MARGIN))
-    ceil = F.least(F.col("pi_max"), F.lit(1.0 - MARGIN))
-    seg = seg.withColumns({"__floor": floor, "__ceil": ceil})
-    point = clip((F.col("pi_min") + F.col("pi_max")) * 0.5, MARGIN, 1.0 - MARGIN)
-    empty = F.col("__ceil") < F.col("__floor")
-    seg = seg.withColumns({"__floor": F.when(empty, point).otherwise(F.col("__floor")),
-                           "__ceil": F.when(empty, point).otherwise(F.col("__ceil")),
-                           "__n1": F.col("phi") + c[1]})
-    n1, n2 = F.col("__n1"), c[2]
-    for side, best in (("low", F.array_min), ("up", F.array_max)):
-        seg = seg.withColumns({"__s": F.greatest(F.col(f"a_{side}"), F.col("__floor")),
-                               "__t": F.least(F.col(f"b_{side}"), F.col("__ceil")),
-                               "__n0": F.col(f"alpha_{side}") + c[0]})
-        n0 = F.col("__n0")
-        # d/dpi of a ratio of quadratics vanishes where A pi^2 + B pi + C = 0
-        seg = seg.withColumns({"__A": n2 * d[1] - n1 * d[2], "__B": 2.0 * (n2 * d[0] - n0 * d[2]),
-                               "__C": n1 * d[0] - n0 * d[1]})
-        qa, qb = F.col("__A"), F.col("__B")
-        seg = seg.withColumn("__D", qb * qb - 4.0 * qa * F.col("__C"))
-        root = F.sqrt(F.col("__D"))
-        curved = (F.abs(qa) >= 1e-14) & (F.col("__D") >= 0)
-        seg = seg.withColumns({
-            "__r1": F.when(curved, (root - qb) / (2.0 * qa))
-                     .when((F.abs(qa) < 1e-14) & (F.abs(qb) >= 1e-14), -F.col("__C") / qb),
-            "__r2": F.when(curved, -(root + qb) / (2.0 * qa))})
-        inside = [F.when((F.col(r) > F.col("__s")) & (F.col(r) < F.col("__t")), F.col(r))
-                  for r in ("__r1", "__r2")]
-        seg = seg.withColumns({"__p0": F.col("__s"), "__p1": F.col("__t"),
-                               "__p2": inside[0], "__p3": inside[1]})
-
-        dens = {f"__d{i}": d[0] + d[1] * F.col(f"__p{i}") + d[2] * F.col(f"__p{i}") * F.col(f"__p{i}")
-                for i in range(4)}
-        seg = seg.withColumns(dens)
-        points = [F.when(F.abs(F.col(f"__d{i}")) > 1e-14, F.struct(
-            ((n0 + n1 * F.col(f"__p{i}") + n2 * F.col(f"__p{i}") * F.col(f"__p{i}"))
-             / F.col(f"__d{i}")).alias("value"), F.col(f"__p{i}").alias("pi"))) for i in range(4)]
-        # ends that differ by rounding only still carry one point
-        seg = seg.withColumn(side, F.when(F.col("__t") >= F.col("__s") - 1e-15,
-                                          best(F.array(*points))))
-    return seg
+    text = lambda xs: ["share" if x == SHARE else f"{float(x)!r}D" for x in xs]
+    (c0, c1, c2), (d0, d1, d2) = text(metric.c), text(metric.d)
+    base = seg.selectExpr("*", f"greatest(pi_min, {MARGIN!r}D) AS first", f"least(pi_max, {1.0 - MARGIN!r}D) AS last",
+                          f"least(greatest((pi_min + pi_max) * 0.5D, {MARGIN!r}D), {1.0 - MARGIN!r}D) AS point")
+    both = base.selectExpr(
+        *keys, f"phi + {c1} AS n1", f"{c2} AS n2", f"{d0} AS d0", f"{d1} AS d1", f"{d2} AS d2",
+        "IF(last < first, point, first) AS first", "IF(last < first, point, last) AS last",
+        f"inline(array(struct('low' AS side, a_low AS a, b_low AS b, alpha_low + {c0} AS n0),"
+        f" struct('up' AS side, a_up AS a, b_up AS b, alpha_up + {c0} AS n0)))")
+    # ends that differ by rounding only still carry one point
+    both = both.selectExpr(*keys, "side", "n0", "n1", "n2", "d0", "d1", "d2", "greatest(a, first) AS s", "least(b, last) AS t",
+                           "n2 * d1 - n1 * d2 AS qa", "2D * (n2 * d0 - n0 * d2) AS qb", "n1 * d0 - n0 * d1 AS qc"
+                           ).filter("t >= s - 1e-15D")
+    both = both.selectExpr("*", "qb * qb - 4D * qa * qc AS disc")
+    both = both.selectExpr(
+        *keys, "side", "n0", "n1", "n2", "d0", "d1", "d2", "s", "t",
+        "CASE WHEN abs(qa) >= 1e-14D AND disc >= 0 THEN (sqrt(disc) - qb) / (2D * qa)"
+        " WHEN abs(qa) < 1e-14D AND abs(qb) >= 1e-14D THEN -qc / qb END AS r1",
+        "CASE WHEN abs(qa) >= 1e-14D AND disc >= 0 THEN -(sqrt(disc) + qb) / (2D * qa) END AS r2")
+    tries = both.selectExpr(*keys, "side", "n0", "n1", "n2", "d0", "d1", "d2",
+                            "explode(array(s, t, IF(r1 > s AND r1 < t, r1, NULL), IF(r2 > s AND r2 < t, r2, NULL))) AS pi"
+                            ).filter("pi IS NOT NULL")
+    tries = tries.selectExpr(*keys, "side", "pi", "n0 + pi * (n1 + pi * n2) AS num", "d0 + pi * (d1 + pi * d2) AS den")
+    return tries.filter("abs(den) > 1e-14D").selectExpr(*keys, "side", "num / den AS value", "pi")
 
 
 def sharp_interval(units: DataFrame, score: str, lo="lo", hi="hi", *, metric: Metric = AUROC,
@@ -198,11 +179,12 @@ def sharp_interval(units: DataFrame, score: str, lo="lo", hi="hi", *, metric: Me
     """Exact sharp interval of ``metric`` over the box: one row per key."""
     seg = profile if profile is not None else segments(
         units, score, lo, hi, metric=metric, weight=weight, keys=keys, scores=scores)
-    ends = _extremes(seg, metric).select(*keys, "low", "up")
-    best = ends.groupBy(*keys).agg(F.min("low").alias("low"), F.max("up").alias("up"))
-    return best.select(*keys, F.col("low.value").alias("lower"), F.col("up.value").alias("upper"),
-                       F.col("low.pi").alias("pi_lower"), F.col("up.pi").alias("pi_upper"),
-                       (F.col("up.value") - F.col("low.value")).alias("width"))
+    tries = _extremes(seg, metric, keys)
+    one = tries.groupBy(*keys).agg(
+        F.expr("min(value) FILTER (WHERE side = 'low') AS lower"), F.expr("max(value) FILTER (WHERE side = 'up') AS upper"),
+        F.expr("min_by(pi, value) FILTER (WHERE side = 'low') AS pi_lower"),
+        F.expr("max_by(pi, value) FILTER (WHERE side = 'up') AS pi_upper"))
+    return one.selectExpr(*keys, "lower", "upper", "pi_lower", "pi_upper", "upper - lower AS width")
 
 
 def least_favourable(units: DataFrame, score: str, lo="lo", hi="hi", *, metric: Metric = AUROC,
