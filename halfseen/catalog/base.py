@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from halfseen.functions import scalar as s
 from halfseen.operators import nuisance as nu
 from halfseen.operators import temporal as tm
+from halfseen.operators.joins import match
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,7 +115,7 @@ def packed_lineitem(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     u = lineitem_units(spark, d)
     packed = u.groupBy(*CELLS, *extra, "t", "y_obs").agg(F.count(F.lit(1)).cast("double").alias("w"))
     table_ = nu.cell_nuisance(packed, CELLS, "t", "y_obs", weight="w").select(*CELLS, "e", "p1")
-    return packed.join(table_, CELLS)
+    return match(packed, table_, CELLS)
 
 
 def packed_boxes(spark: SparkSession, d: str, *extra: str, gamma: float = 2.0) -> DataFrame:

@@ -142,9 +142,8 @@ def _(spark, d):
     spans = signup_spans(spark, d)
     flags = {"n": F.lit(1), "p": F.col("k") >= 80, "q": F.col("k") < 40}
     views = events(spark, d, "view").select("event_id", "subject", "at").withColumns({"lo": F.col("at") - 2 * DAY, "hi": F.col("at") + 2 * DAY})
-    kw = dict(by="subject", ident="event_id", start="start", end="stop")
-    wide = tm.windowed_counts(views, spans, lower="lo", upper="hi", counts={f"{n}_w": c for n, c in flags.items()}, **kw)
-    both = tm.windowed_counts(wide, spans, lower="at", upper="at", counts={f"{n}_c": c for n, c in flags.items()}, **kw)
+    both = tm.windowed_counts(views, spans, by="subject", ident="event_id", start="start", end="stop", counts=flags,
+                              windows={"w": ("lo", "hi"), "c": ("at", "at")})
     pick = lambda n: F.when(F.col("n_c") > 0, F.col(f"{n}_c")).otherwise(F.col(f"{n}_w"))
     return out(both.select("event_id", pick("n").alias("n_linked"), F.when(pick("p") > 0, 1.0).when(pick("q") > 0, 0.0).alias("y")))
 

@@ -74,6 +74,11 @@ AT_LEAST_MODERATE = ("moderate", "moderate_severe", "severe")
 # -----------------------------------------------------------------------------
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def locate(text: Column, pattern) -> Column:
     """All matches as array of (pos, stop, hit); positions count from 0.
 
@@ -81,15 +86,19 @@ def locate(text: Column, pattern) -> Column:
     sums of both length lists.
     """
     p = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    hits = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.split(text, p, F.lit(-1))
+    both = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("hits"),
+                    F.transform(F.split(text, p, F.lit(-1)), lambda g: F.length(g)).alias("gaps"))
 
-    def span(hit: Column, i: Column) -> Column:
-        size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-        pos = size(F.slice(gaps, F.lit(1), i + 1)) + size(F.slice(hits, F.lit(1), i))
-        return F.struct(pos.alias("pos"), (pos + F.length(hit)).alias("stop"), hit.alias("hit"))
+    def spans(b: Column) -> Column:
+        add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
 
-    return F.transform(hits, span)
+        def span(hit: Column, i: Column) -> Column:
+            done = F.transform(F.slice(b["hits"], F.lit(1), i), lambda h: F.length(h))
+            pos = add(F.slice(b["gaps"], F.lit(1), i + 1)) + add(done)
+            return bind(pos, lambda q: F.struct(q.alias("pos"), (q + F.length(hit)).alias("stop"), hit.alias("hit")))
+        return F.transform(b["hits"], span)
+
+    return bind(both, spans)
 
 
 def before(text: Column, pos: Column, n: int) -> Column:
@@ -107,7 +116,7 @@ def snippet(text: Column, start: Column, stop: Column, pad: int = 60) -> Column:
 
 def negated(text: Column, pos: Column, back: int = 45) -> Column:
     """A negation cue precedes in the same clause: no clause break after the last cue."""
-    return before(text, pos, back).rlike(rf"(?is){NEGATION_CUE}(?:(?!{CLAUSE_BREAK}).)*$")
+    return before(text, pos, back).rlike(rf"(?isU){NEGATION_CUE}(?:(?!{CLAUSE_BREAK}).)*$")
 
 
 def historical(text: Column, pos: Column) -> Column:
@@ -276,9 +285,18 @@ def _severity(word: Column, grade: Column) -> Column:
 def valve_lesions(text) -> Column:
     """Lesion statements with severity and negation; the first pattern to match holds a span."""
     text = as_col(text)
-    patterns = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(c).alias("valve"), F.lit(ab).alias("short"),
-                                  F.lit(p).alias("re"), F.lit(s).alias("sev"), F.lit(g).alias("grade"))
-                         for i, (c, ab, p, s, g) in enumerate(_lesion_patterns())])
+    groups: dict[tuple[str, bool], list[Column]] = {}
+    for i, (code, short, pattern, sev, grade) in enumerate(_lesion_patterns()):
+        groups.setdefault((code, short), []).append(F.struct(
+            F.lit(i).alias("order"), F.lit(code).alias("valve"), F.lit(short).alias("short"), F.lit(pattern).alias("re"),
+            F.lit(sev).alias("sev"), F.lit(grade).alias("grade")))
+    # only the patterns of lesions that are named in the text at all
+    kept = []
+    for (code, short), items in groups.items():
+        name = LESIONS[code][1] if short else LESIONS[code][0]
+        there = text.rlike(rf"(?<![A-Za-z])(?:{name})(?![A-Za-z])" if short else f"(?i)(?:{name})")
+        kept.append(F.when(there, F.array(*items)).otherwise(F.slice(F.array(*items), F.lit(1), F.lit(0))))
+    patterns = F.concat(*kept)
 
     def matches(p: Column) -> Column:
         def read(m: Column) -> Column:
@@ -293,8 +311,8 @@ def valve_lesions(text) -> Column:
                             caps.alias("caps"))
         return F.transform(locate(text, p["re"]), read)
 
-    found = F.flatten(F.transform(patterns, matches))
-    none = F.slice(found, F.lit(1), F.lit(0))
+    # spans are taken in pattern order
+    found = F.array_sort(F.flatten(F.transform(patterns, matches)))
 
     def take(acc: Column, m: Column) -> Column:
         taken = F.exists(acc, lambda a: (a["pos"] < m["stop"]) & (m["pos"] < a["stop"]))
@@ -314,7 +332,10 @@ def valve_lesions(text) -> Column:
                         historical(text, m["pos"]).alias("historical"),
                         snippet(text, m["pos"], m["stop"]).alias("evidence"))
 
-    return F.array_sort(F.transform(F.aggregate(found, none, take), describe))
+    def resolve(all_found: Column) -> Column:
+        return F.transform(F.aggregate(all_found, F.slice(all_found, F.lit(1), F.lit(0)), take), describe)
+
+    return F.array_sort(bind(found, resolve))
 
 
 def ef_component(primary: Column, word: Column, word_negated: Column) -> Column:

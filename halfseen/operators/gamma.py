@@ -145,3 +145,39 @@ def containment(table: DataFrame, *, point, ci_lo, ci_hi) -> DataFrame:
         "point_contained": ((p >= F.col("lower")) & (p <= F.col("upper"))).cast("int"),
         "ci_contained": ((a >= F.col("lower")) & (b <= F.col("upper"))).cast("int"),
         "ci_overlaps": ((b >= F.col("lower")) & (a <= F.col("upper"))).cast("int")})
+
+
+def usable_centres(units: DataFrame, z: str, t: str, y: str, *, folds: int = 5, least: int = 10) -> DataFrame:
+    """Per centre: size and whether decision and outcomes vary enough to estimate nuisances."""
+    tc, yc = F.col(t), F.col(y)
+    table = units.groupBy(z).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(tc == 1).alias("n1"), F.count_if(tc == 0).alias("n0"),
+        F.count_if((tc == 1) & (yc == 1)).alias("pos"), F.count_if((tc == 1) & (yc == 0)).alias("neg"))
+    reason = (F.when(F.col("n") < max(least, 2 * folds), "too few units")
+              .when(F.least("n1", "n0") < folds, "decision does not vary enough")
+              .when(F.least("pos", "neg") < folds, "too few outcomes of each class"))
+    return table.withColumns({"reason": reason, "used": reason.isNull().cast("int")})
+
+
+def compare_populations(row: DataFrame, here: str, there: str, ci_lo: Column, ci_hi: Column) -> DataFrame:
+    """Difference, ratio, whether the interval here holds the value there, same side of 1."""
+    a, b = F.col(here), F.col(there)
+    return row.withColumns({
+        "difference": a - b, "ratio": F.when(b != 0, a / b), "ci_contains": ((b >= ci_lo - 1e-9) & (b <= ci_hi + 1e-9)).cast("int"),
+        "same_direction": ((a < 1) == (b < 1)).cast("int")})
+
+
+def misspecification(rows: DataFrame, gamma: str, true_gamma: float, truth: str, *, lower: str = "lo", upper: str = "hi",
+                     weight=None) -> DataFrame:
+    """Coverage and width by how the assumed gamma relates to the true one."""
+    ratio = F.col(gamma) / true_gamma
+    bucket = F.when(ratio < 0.9, "below").when(ratio <= 1.1, "near").otherwise("above")
+    hit = s.contains(truth, lower, upper, 1e-12).cast("double")
+    return rows.groupBy(bucket.alias("bucket")).agg(
+        ob.mean(hit, weight).alias("coverage"), ob.mean(F.col(upper) - F.col(lower), weight).alias("width"))
+
+
+def infer_direction(units: DataFrame, t: str, y: str) -> str:
+    """The sign of selection where both groups' outcomes are known."""
+    row = units.agg(F.avg(F.when(F.col(t) == 0, F.col(y))).alias("p0"), F.avg(F.when(F.col(t) == 1, F.col(y))).alias("p1")).collect()[0]
+    return "censored-lower" if row["p0"] < row["p1"] else "censored-higher"

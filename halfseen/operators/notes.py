@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halfseen.functions import notes as nt
+from halfseen.operators.lineage import spread
 from halfseen.operators.outcomes import or_known
 
 
 def extract(notes: DataFrame, text: str = "text") -> DataFrame:
     """Adds the record columns: EF, wall, lesions, components, composite, confidence, fields."""
     t = F.coalesce(F.col(text), F.lit(""))
-    out = notes.withColumns({"ef_all": nt.ef_numeric(t), "wall": nt.wall_mentions(t),
+    out = spread(notes).withColumns({"ef_all": nt.ef_numeric(t), "wall": nt.wall_mentions(t),
                              "lvh": nt.hypertrophy(t), "lesions": nt.valve_lesions(t),
                              "echo_context": t.rlike(nt.CONTEXT)})
     out = out.withColumn("ef_words", nt.ef_qualitative(t, "ef_all"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halfseen.functions.scalar import as_col
+from halfseen.operators.joins import match
 from halfseen.operators.lineage import cut
 from halfseen.operators.scan import OrderedScan, block_rows
 
@@ -211,29 +212,36 @@ def first_containing(left: DataFrame, spans: DataFrame, *, by: str, time: str, s
     return out.withColumn("span_id", F.when(hit, F.col(f"span.{ident}"))).drop("span")
 
 
-def windowed_counts(left: DataFrame, events: DataFrame, *, by: str, ident: str, lower: str, upper: str,
+def windowed_counts(left: DataFrame, spans: DataFrame, *, by: str, ident: str, windows: dict[str, tuple[str, str]],
                     start: str, end: str, counts: dict[str, Column]) -> DataFrame:
-    """Per left row: how many event spans overlap [lower, upper], by several conditions.
+    """Per left row and window: how many spans overlap it, by several conditions.
 
-    #overlapping = #(start <= upper) - #(end < lower): two lookups in running sums,
-    so nothing of the size of the pairs is ever built.  Events must have start <= end.
+    ``windows`` names (lower, upper) columns; the result has ``<count>_<window>``.
+    #overlapping = #(start <= upper) - #(end < lower), so one scan over starts, ends and
+    probes yields every count and nothing of the size of the pairs is built.  Spans must
+    have start <= end and ``ident`` must be unique.
     """
-    flag = {f"__c_{n}": F.sum(c.cast("bigint")) for n, c in counts.items()}
-
-    def cumulative(point: str) -> DataFrame:
-        at = events.filter(F.col(by).isNotNull()).groupBy(by, F.col(point).alias("__t")).agg(
-            *[v.alias(k) for k, v in flag.items()])
-        scan = OrderedScan(at, [by], ["__t"])
-        return scan.add(**{f"__r_{n}": ("sum", F.col(f"__c_{n}")) for n in counts}).result()
-
-    cols = [f"__r_{n}" for n in counts]
-    begun = asof_join(left, [Lookup(cumulative(start), "__t", cols, "begun")], by, upper)
-    # strictly before `lower`: as-of at lower - 1 microsecond
-    begun = begun.withColumn("__before", F.col(lower) - 1)
-    both = asof_join(begun, [Lookup(cumulative(end), "__t", cols, "over")], by, "__before")
-    return both.withColumns({
-        n: F.coalesce(F.col(f"begun.__r_{n}"), F.lit(0)) - F.coalesce(F.col(f"over.__r_{n}"), F.lit(0))
-        for n in counts}).drop("begun", "over", "__before")
+    tally = {n: c.cast("boolean").cast("bigint") for n, c in counts.items()}
+    marks = F.array(
+        F.struct(F.col(start).alias("__t"), F.lit(0).alias("__side"), *[c.alias(f"__s_{n}") for n, c in tally.items()],
+                 *[F.lit(None).cast("bigint").alias(f"__e_{n}") for n in tally]),
+        F.struct(F.col(end).alias("__t"), F.lit(2).alias("__side"),
+                 *[F.lit(None).cast("bigint").alias(f"__s_{n}") for n in tally], *[c.alias(f"__e_{n}") for n, c in tally.items()]))
+    events = spans.filter(F.col(by).isNotNull()).select(F.col(by).alias("__by"), F.inline(marks))
+    # at equal times: starts, then probes, then ends
+    probes = F.array(*[F.struct(F.lit(w).alias("__w"), F.lit(i).alias("__end"), F.col(c).alias("__t"))
+                       for w, pair in windows.items() for i, c in enumerate(pair)])
+    asked = left.select(F.col(by).alias("__by"), F.col(ident).alias("__id"), F.inline(probes), F.lit(1).alias("__side"))
+    rows = events.unionByName(asked, allowMissingColumns=True)
+    scan = OrderedScan(rows, ["__by"], ["__t", "__side"])
+    scan.add(**{f"__r{x}_{n}": ("sum", F.col(f"__{x}_{n}")) for n in tally for x in "se"})
+    at = scan.result().filter(F.col("__id").isNotNull())
+    picked = at.groupBy("__id").agg(*[
+        (F.coalesce(F.max(F.when((F.col("__w") == w) & (F.col("__end") == 1), F.col(f"__rs_{n}"))), F.lit(0))
+         - F.coalesce(F.max(F.when((F.col("__w") == w) & (F.col("__end") == 0), F.col(f"__re_{n}"))), F.lit(0))
+         ).alias(f"{n}_{w}") for w in windows for n in tally])
+    found = left.join(picked.withColumnRenamed("__id", ident), ident, "left")
+    return found.na.fill(0, [f"{n}_{w}" for w in windows for n in tally])
 
 
 def overlap_pairs(left: DataFrame, spans: DataFrame, *, by: str, lower: str, upper: str,
@@ -305,4 +313,4 @@ def merge_rare(df: DataFrame, level: str, min_count: int, other: str = "other")
         "z_index": (F.row_number().over(Window.orderBy("__z")) - 1).cast("int"),
         "z_share": F.col("__m") / F.sum("__m").over(Window.partitionBy())})
     table = counts.join(merged, "__z").select(level, F.col("__z").alias("z_merged"), "z_index", "z_share")
-    return df.join(table, level)
+    return match(df, table, [level])

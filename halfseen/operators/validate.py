@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from halfseen.functions.hashing import SPACE, hash32, unit_interval
 from halfseen.functions.scalar import as_col
 from halfseen.operators import ranking as rk
+from halfseen.operators.joins import match
 
 
 class ForbiddenFeature(AssertionError):
@@ -74,7 +75,7 @@ def hash_position(units: DataFrame, strata: Sequence[str], ident: str, salt, nam
     before = Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = F.row_number().over(Window.partitionBy(*strata, "__b").orderBy("__h", ident)) - 1
-    return (rows.withColumn(name, inside).join(sizes, [*strata, "__b"])
+    return (match(rows.withColumn(name, inside), sizes, [*strata, "__b"])
             .withColumn(name, (F.col(name) + F.col("__o")).cast("bigint")).drop("__h", "__b", "__o"))
 
 

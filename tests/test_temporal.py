@@ -105,8 +105,8 @@ def test_first_containing_and_counts_against_loop(spark, form):
     got = {r["id"]: r["span_id"] for r in tm.first_containing(
         ldf, sdf, by="k", time="t", start="a", end="b", ident="sid").collect()}
     wide = ldf.withColumns({"lo": F.col("t") - 9, "hi": F.col("t") + 9})
-    cnt = {r["id"]: (r["n"], r["even"]) for r in tm.windowed_counts(
-        wide, sdf, by="k", ident="id", lower="lo", upper="hi", start="a", end="b",
+    cnt = {r["id"]: (r["n_w"], r["even_w"]) for r in tm.windowed_counts(
+        wide, sdf, by="k", ident="id", windows={"w": ("lo", "hi")}, start="a", end="b",
         counts={"n": F.lit(1), "even": (F.col("sid") % 2 == 0)}).collect()}
     pairs = tm.overlap_pairs(wide, sdf, by="k", lower="lo", upper="hi", start="a", end="b", cell=50)
     assert pairs.count() == pairs.select("id", "sid").distinct().count() == sum(n for n, _ in cnt.values())
