@@ -155,7 +155,7 @@ AUC_SQL = lambda src, score, y: (f"(SELECT (sum(py*phi) - 0.5e0*power(sum(py), 2
   SELECT round((sum(y*phi)-0.5e0*power(sum(y),2))/(sum(y)*(1e0-sum(y))), 6) + 0e0 AS auc_y, round((sum(p*phi)-0.5e0*power(sum(p),2))/(sum(p)*(1e0-sum(p))), 6) + 0e0 AS auc_p FROM x""")
 def _(spark, d):
     n = lineitem_nuisance(spark, d).select("price", "y", "p1")
-    return out(rk.auc(n, "price", {"auc_y": "y", "auc_p": "p1"}))
+    return out(rk.auc(n, "price", {"auc_y": "y", "auc_p": "p1"}, scores=lineitem_units(spark, d).select("price")))
 
 
 @query("a3_metric_value", "WITH " + V1N + """, x AS (SELECT avg(p1) AS pi, avg(p1*CAST(qty > 25 AS INT)) AS num, avg(CAST(qty > 25 AS DOUBLE)) AS share FROM nu)
@@ -204,8 +204,9 @@ def sharp_flagship(spark, d):
 
 @query("a6_sharp_interval_many_scores", "WITH " + V1B + ", " + sharp_sql("bx", "price") + f" SELECT {r('lower')}, {r('upper')}, {r('upper-lower', 'width')} FROM shp")
 def _(spark, d):
-    b = packed_boxes(spark, d, "price")
-    return out(rk.sharp_interval(b, "price", weight="w", scores=lineitem_units(spark, d).select("price")).select("lower", "upper", "width"))
+    # almost every unit has its own score: packing units first would only repeat the large aggregate
+    b = lineitem_boxes(spark, d).select("price", "lo", "hi")
+    return out(rk.sharp_interval(b, "price", scores=lineitem_units(spark, d).select("price")).select("lower", "upper", "width"))
 
 
 @query("a6_sharp_interval_documents", "WITH " + V2N + ", " + box_sql("2e0", "dn") + ", " + sharp_sql("bx", "n_chars") + f" SELECT {r('lower')}, {r('upper')}, {r('upper-lower', 'width')} FROM shp")
@@ -218,8 +219,9 @@ def _(spark, d):
 @query("a7_least_favourable", "WITH " + V1B + ", " + sharp_sql("bx", "qty") + f""" SELECT {r('lower', 'auc_lower')}, {r('upper', 'auc_upper')}, CAST(0 AS BIGINT) AS outside FROM shp""")
 def _(spark, d):
     # attainment: the returned members reproduce the bounds and stay inside the box
-    p = rk.least_favourable(packed_boxes(spark, d, "qty"), "qty", weight="w")
-    got = rk.auc(p, "qty", {"auc_lower": "p_lower", "auc_upper": "p_upper"}, weight="w")
+    scores = lineitem_units(spark, d).select("qty")
+    p = rk.least_favourable(packed_boxes(spark, d, "qty"), "qty", weight="w", scores=scores)
+    got = rk.auc(p, "qty", {"auc_lower": "p_lower", "auc_upper": "p_upper"}, weight="w", scores=scores)
     out_of_box = p.agg(F.count_if(~s.contains("p_lower", "lo", "hi") | ~s.contains("p_upper", "lo", "hi")).alias("outside"), F.lit(1).alias("k"))
     return out(got.withColumn("k", F.lit(1)).join(out_of_box, "k").drop("k"))
 

@@ -149,17 +149,24 @@ def ef_numeric(text) -> Column:
     """Numeric EF mentions: value (midpoint of a range), comparator, context flags."""
     text = as_col(text)
 
+    table = F.create_map(*[F.lit(v) for kv in COMPARATORS.items() for v in kv])
+    percent = lambda v: F.when(v < 1.0, v * 100.0).otherwise(v)
+
     def read(m: Column) -> Column:
-        hit = m["hit"]
-        pct = lambda i: (lambda v: F.when(v < 1.0, v * 100.0).otherwise(v))(_group(hit, EF_NUMERIC, i).cast("double"))
-        a, b = pct(4), pct(5)
-        table = F.create_map(*[F.lit(v) for kv in COMPARATORS.items() for v in kv])
-        return F.struct(
-            F.coalesce((a + b) / 2.0, a).alias("value"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high"),
-            F.try_element_at(table, _squash(_group(hit, EF_NUMERIC, 3))).alias("comparator"),
-            F.coalesce(_group(hit, EF_NUMERIC, 2), F.lit("")).rlike(BAD_GAP).alias("bad"),
-            m["pos"].alias("pos"), historical(text, m["pos"]).alias("historical"),
-            in_context(text, m["pos"]).alias("in_context"), snippet(text, m["pos"], m["stop"]).alias("evidence"))
+        parts = F.struct(*[_group(m["hit"], EF_NUMERIC, i).alias(f"g{i}") for i in (2, 3, 4, 5)])
+        numbers = lambda g: F.struct(g["g2"].alias("gap"), g["g3"].alias("cmp"), g["g4"].cast("double").alias("a"),
+                                     g["g5"].cast("double").alias("b"))
+
+        def record(g: Column) -> Column:
+            a, b = percent(g["a"]), percent(g["b"])
+            return F.struct(
+                F.coalesce((a + b) / 2.0, a).alias("value"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high"),
+                F.try_element_at(table, _squash(g["cmp"])).alias("comparator"),
+                F.coalesce(g["gap"], F.lit("")).rlike(BAD_GAP).alias("bad"),
+                m["pos"].alias("pos"), historical(text, m["pos"]).alias("historical"),
+                in_context(text, m["pos"]).alias("in_context"), snippet(text, m["pos"], m["stop"]).alias("evidence"))
+
+        return bind(parts, lambda g: bind(numbers(g), record))
 
     found = F.transform(locate(text, EF_NUMERIC), read)
     return F.filter(found, lambda f: ~f["bad"] & f["value"].between(5.0, 90.0))
@@ -181,7 +188,7 @@ def ef_qualitative(text, numeric) -> Column:
     def read(pattern: str, group: int):
         def one(m: Column) -> Column:
             return F.struct(
-                m["pos"].alias("pos"), _ef_word(_group(m["hit"], pattern, group)).alias("word"),
+                m["pos"].alias("pos"), bind(_group(m["hit"], pattern, group), _ef_word).alias("word"),
                 negated(text, m["pos"]).alias("negated"), historical(text, m["pos"]).alias("historical"),
                 in_context(text, m["pos"]).alias("in_context"), snippet(text, m["pos"], m["stop"]).alias("evidence"))
         return one
@@ -210,17 +217,20 @@ def wall_mentions(text) -> Column:
     text = as_col(text)
 
     def read(m: Column) -> Column:
-        hit = m["hit"]
-        site = F.lower(_group(hit, WALL, 1))
-        first, unit = _group(hit, WALL, 3), F.coalesce(F.lower(_group(hit, WALL, 5)), F.lit(""))
-        raw = F.greatest(first.cast("double"), _group(hit, WALL, 4).cast("double"))
-        guess = ~site.isin("pw", "pwd", "septum") & first.contains(".")
-        value = (F.when(unit.rlike("^(mm|milli)"), raw / 10.0).when(unit.rlike("^(cm|centi)"), raw)
-                 .when((unit == "") & guess, raw))
-        kind = (F.when(site.contains("post") | site.startswith("lvpw") | site.isin("pw", "pwd"), "posterior")
-                .when(site.contains("sept") | site.startswith("ivs"), "septal").otherwise("wall"))
-        return F.struct(kind.alias("site"), F.round(value, 2).alias("cm"), value.between(0.4, 3.5).alias("ok"),
-                        m["pos"].alias("pos"), snippet(text, m["pos"], m["stop"]).alias("evidence"))
+        parts = F.struct(*[_group(m["hit"], WALL, i).alias(f"g{i}") for i in (1, 3, 4, 5)])
+
+        def record(g: Column) -> Column:
+            site, unit = F.lower(g["g1"]), F.coalesce(F.lower(g["g5"]), F.lit(""))
+            raw = F.greatest(g["g3"].cast("double"), g["g4"].cast("double"))
+            guess = ~site.isin("pw", "pwd", "septum") & g["g3"].contains(".")
+            value = (F.when(unit.rlike("^(mm|milli)"), raw / 10.0).when(unit.rlike("^(cm|centi)"), raw)
+                     .when((unit == "") & guess, raw))
+            kind = (F.when(site.contains("post") | site.startswith("lvpw") | site.isin("pw", "pwd"), "posterior")
+                    .when(site.contains("sept") | site.startswith("ivs"), "septal").otherwise("wall"))
+            return F.struct(kind.alias("site"), F.round(value, 2).alias("cm"), value.between(0.4, 3.5).alias("ok"),
+                            m["pos"].alias("pos"), snippet(text, m["pos"], m["stop"]).alias("evidence"))
+
+        return bind(parts, record)
 
     return F.filter(F.transform(locate(text, WALL), read), lambda w: w["ok"])
 
@@ -234,13 +244,18 @@ def hypertrophy(text) -> Column:
     text = as_col(text)
 
     def read(m: Column) -> Column:
+        def grade(sev: Column) -> Column:
+            return (F.when(sev.isin("severe", "marked"), "severe").when(sev.isin("moderate", "moderate to severe"), "moderate")
+                    .when(sev.isin("mild", "mild to moderate"), "mild").otherwise("unspecified"))
+
+        def record(word: Column) -> Column:
+            rank = F.when(word == "severe", 3.0).when(word == "moderate", 2.0).when(word == "mild", 1.0).otherwise(0.5)
+            return F.struct(word.alias("word"), negated(text, m["pos"]).alias("negated"), rank.alias("rank"),
+                            around(text, m["pos"], m["stop"], 60, 40).rlike(VOLTAGE).alias("voltage"),
+                            snippet(text, m["pos"], m["stop"]).alias("evidence"))
+
         sev = F.regexp_replace(F.lower(F.coalesce(_group(m["hit"], LVH, 1), F.lit(""))), "-", " ")
-        word = (F.when(sev.isin("severe", "marked"), "severe").when(sev.isin("moderate", "moderate to severe"), "moderate")
-                .when(sev.isin("mild", "mild to moderate"), "mild").otherwise("unspecified"))
-        rank = F.when(word == "severe", 3.0).when(word == "moderate", 2.0).when(word == "mild", 1.0).otherwise(0.5)
-        return F.struct(word.alias("word"), negated(text, m["pos"]).alias("negated"), rank.alias("rank"),
-                        around(text, m["pos"], m["stop"], 60, 40).rlike(VOLTAGE).alias("voltage"),
-                        snippet(text, m["pos"], m["stop"]).alias("evidence"))
+        return bind(bind(sev, grade), record)
 
     found = F.filter(F.transform(locate(text, LVH), read), lambda h: ~h["voltage"])
     start = F.get(found, F.lit(0))
@@ -325,12 +340,16 @@ def valve_lesions(text) -> Column:
             # the pattern's own flags come first, so the match is re-read as a whole
             return F.when(i > 0, F.call_function(
                 "regexp_extract", m["hit"], F.concat(F.lit("^(?:"), m["re"], F.lit(")$")), i))
-        sev = _severity(group(m["sev"]), group(m["grade"]))
-        return F.struct(m["pos"].alias("pos"), m["valve"].alias("valve"), sev.alias("severity"),
-                        sev.isin(*AT_LEAST_MODERATE).alias("ge_moderate"),
-                        (negated(text, m["pos"]) | (sev == "none")).alias("negated"),
-                        historical(text, m["pos"]).alias("historical"),
-                        snippet(text, m["pos"], m["stop"]).alias("evidence"))
+
+        def record(sev: Column) -> Column:
+            return F.struct(m["pos"].alias("pos"), m["valve"].alias("valve"), sev.alias("severity"),
+                            sev.isin(*AT_LEAST_MODERATE).alias("ge_moderate"),
+                            (negated(text, m["pos"]) | (sev == "none")).alias("negated"),
+                            historical(text, m["pos"]).alias("historical"),
+                            snippet(text, m["pos"], m["stop"]).alias("evidence"))
+
+        told = F.struct(group(m["sev"]).alias("s"), group(m["grade"]).alias("g"))
+        return bind(bind(told, lambda x: _severity(x["s"], x["g"])), record)
 
     def resolve(all_found: Column) -> Column:
         return F.transform(F.aggregate(all_found, F.slice(all_found, F.lit(1), F.lit(0)), take), describe)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from halfseen.functions import quantiles as qt
 from halfseen.functions import scalar as s
 from halfseen.functions.hashing import unit_interval
-from halfseen.operators.scan import ordered_rank
+from halfseen.operators.scan import block_rows, ordered_rank
 
 
 def dr_terms(t, y, e, p1, gamma, weight=None, floor: float = 0.02) -> tuple[Column, Column]:
@@ -52,7 +52,7 @@ def equal_bins(units: DataFrame, value: str, bins: int, ident: str, name: str =
     """Equal-frequency bins ``floor(rank * bins / n)``; ties are ordered by a hash of the id."""
     n = units.count()
     rows = units.withColumn("__h", unit_interval(ident, "bins"))
-    ranked = ordered_rank(rows, [], [value, "__h", ident], "__k", tie="__h")
+    ranked = ordered_rank(rows, [], [value, "__h", ident], "__k", tie="__h", measured_small=n <= block_rows(units))
     b = F.least(F.floor(F.col("__k") * bins / F.lit(max(n, 1))), F.lit(bins - 1)).cast("int")
     return ranked.withColumn(name, b).drop("__k", "__h")
 

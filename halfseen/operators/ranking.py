@@ -59,7 +59,13 @@ def _weight(weight) -> Column:
 
 
 def _few_values(units: DataFrame, score: str) -> bool:
-    """Is the number of distinct scores far below one block?  One pass, one row."""
+    """Is the number of distinct scores below one block?
+
+    The row count bounds it (and comes from file footers when ``units`` is a bare
+    scan); only a larger table needs a pass over its score column.
+    """
+    if units.select(score).count() <= block_rows(units):
+        return True
     distinct = units.agg(F.approx_count_distinct(score).alias("n")).collect()[0]["n"]
     return distinct * 1.25 < block_rows(units)
 
@@ -98,9 +104,9 @@ def midrank(units: DataFrame, score: str, *, weight=None, keys: Sequence[str] =
 
 
 def auc(units: DataFrame, score: str, probs: Mapping[str, object], *, weight=None,
-        keys: Sequence[str] = ()) -> DataFrame:
+        keys: Sequence[str] = (), scores: DataFrame | None = None) -> DataFrame:
     """AUROC of ``score`` under each probability (or 0/1 label) column, per key."""
-    table = rank_table(units, score, probs, weight=weight, keys=keys).result()
+    table = rank_table(units, score, probs, weight=weight, keys=keys, scores=scores).result()
     out = []
     for name in probs:
         pi, num = F.sum(name), F.sum(F.col(name) * F.col("phi"))
@@ -189,14 +195,14 @@ def sharp_interval(units: DataFrame, score: str, lo="lo", hi="hi", *, metric: Me
 
 
 def least_favourable(units: DataFrame, score: str, lo="lo", hi="hi", *, metric: Metric = AUROC,
-                     weight=None, keys: Sequence[str] = ()) -> DataFrame:
+                     weight=None, keys: Sequence[str] = (), scores: DataFrame | None = None) -> DataFrame:
     """Units with ``p_lower``/``p_upper``: members of the box attaining the bounds.
 
     Within the score group cut by the arg-prevalence every unit gets the same
     share of its gap, which leaves the metric unchanged.
     """
     value = "__phi" if metric.phi is not None else score
-    seg = segments(units, score, lo, hi, metric=metric, weight=weight, keys=keys)
+    seg = segments(units, score, lo, hi, metric=metric, weight=weight, keys=keys, scores=scores)
     bound = sharp_interval(units, score, lo, hi, metric=metric, keys=keys, profile=seg)
     join_on = list(keys)
     if not join_on:

@@ -31,6 +31,8 @@ def block_rows(df: DataFrame) -> int:
 
 def hot_splits(df: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame | None:
     """Split points of every key with more than ``limit`` rows, or None."""
+    if df.count() <= limit:          # no key can be hot; a bare scan counts from file footers
+        return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
     hot = sizes.collect()
     if not hot:
@@ -149,8 +151,8 @@ class OrderedScan:
 
 
 def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", *,
-                 desc: bool = False, tie: str | None = None) -> DataFrame:
+                 desc: bool = False, tie: str | None = None, measured_small: bool = False) -> DataFrame:
     """Zero-based position in the order, as a column."""
-    scan = OrderedScan(df, keys, order, desc=desc, tie=tie)
+    scan = OrderedScan(df, keys, order, desc=desc, tie=tie, measured_small=measured_small)
     return scan.add(**{name: ("sum", F.lit(1).cast("bigint"))}).result().withColumn(
         name, F.col(name) - 1)

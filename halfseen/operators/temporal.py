@@ -159,9 +159,9 @@ def greedy_gap(df: DataFrame, *, by: str, ident: str, time: str, gap: int,
     ids = df.schema[ident].dataType.simpleString()
     keys = df.schema[by].dataType.simpleString()
     points = df.groupBy(F.col(by).alias("__by"), F.col(time).alias("__t")).agg(F.min(ident).alias("__id"))
-    hot = (points.groupBy("__by").agg(F.count(F.lit(1)).alias("n"))
-           .filter(F.col("n") > min(small_group, block_rows(df))).select("__by"))
-    is_hot = bool(hot.limit(1).count())
+    limit = min(small_group, block_rows(df))
+    hot = points.groupBy("__by").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("__by")
+    is_hot = df.select(by).count() > limit and bool(hot.limit(1).count())
     cold_points = points.join(hot, "__by", "left_anti") if is_hot else points
     chosen = cold_points.groupBy("__by").applyInPandas(_walk(gap), f"__by {keys}, __t bigint, __id {ids}")
     if is_hot:

@@ -16,6 +16,7 @@ from halfseen.operators import notes as nt
 from halfseen.operators import outcomes as oc
 from halfseen.operators import temporal as tm
 from halfseen.operators import validate as vd
+from halfseen.operators.lineage import cut
 from halfseen.operators.quantile import exact_quantiles
 
 DAY_SECONDS = 86400.0
@@ -160,10 +161,11 @@ def linked_cohort(records: DataFrame, studies: DataFrame, *, by: str, ident: str
                   study_id: str, window: int, gap: int, units: DataFrame, services: DataFrame | None = None,
                   stays: DataFrame | None = None, pad: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nearest study, coverage, greedy gap, decision maker; returns (units, attrition)."""
-    near = tm.nearest_join(records, studies, by=by, time=time, right_time=study_time, right_id=study_id,
-                           window=window)
+    # each later step reads the linked table more than once: hand it over, do not recompute it
+    near = cut(tm.nearest_join(records, studies, by=by, time=time, right_time=study_time, right_id=study_id,
+                               window=window))
     covered = tm.restrict_to_coverage(near, tm.coverage(studies, study_time), time, window if pad is None else pad)
-    spaced = tm.greedy_gap(covered, by=by, ident=ident, time=time, gap=gap)
+    spaced = cut(tm.greedy_gap(covered, by=by, ident=ident, time=time, gap=gap))
     out = tm.attach_decision_maker(spaced, units, by=by, time=time, services=services, stays=stays)
     out = out.withColumn("study_time", F.when(F.col("t") == 1, F.col(time) + F.col("gap")))
     steps = attrition({"records": near, "coverage": covered, "min_gap": spaced,
