@@ -9,7 +9,7 @@ from halfseen.catalog.base import (
     lineitem_boxes, lineitem_nuisance, lineitem_units, order_units, out, packed_boxes, packed_lineitem, query, r,
     rates_sql, sharp_sql, table,
 )
-from halfseen.catalog.rank_queries import BAYES, ENT, EXPIT, LOGIT, WORST, Z, Z_SQL, cell_boxes, cells
+from halfseen.catalog.rank_queries import BAYES, ENT, EXPIT, LOGIT, WORST, cell_boxes, cells
 from halfseen.catalog.table_queries import Z5
 from halfseen.functions import quantiles as qt
 from halfseen.functions import scalar as s
@@ -252,12 +252,12 @@ def z_cells(spark, d):
     return nu.z_arrays(nu.by_decision_maker(lineitem_units(spark, d), CELLS, "z", "t", "y_obs"), CELLS, "z")
 
 
-@query("g1_gamma_min", GMIN + f" SELECT c1, c2, c3, {r('g', 'gamma_min')} FROM gm")
+@query("g1_gamma_min", GMIN + f" SELECT c1, c2, c3, {r("CASE WHEN g >= 1e4 THEN 'inf'::DOUBLE ELSE g END", 'gamma_min')} FROM gm")
 def _(spark, d):
     return out(z_cells(spark, d).select(*CELLS, gm.gamma_min("zs").alias("gamma_min")))
 
 
-@query("g2_falsification_points", GMIN + f" SELECT {r('max(g)', 'gamma_min')}, {r('quantile_cont(g, 0.95)', 'gamma_min_q95')}, count(*) AS n_units FROM u JOIN gm USING (c1, c2, c3)")
+@query("g2_falsification_points", GMIN + f" SELECT {r('max(g)', 'gamma_min')}, {r('quantile_cont(g, 0.95)', 'gamma_min_q95')}, count(*) AS n_units FROM u JOIN gm USING (c1, c2, c3) WHERE g < 1e4")
 def _(spark, d):
     return out(gm.gamma_summary(z_cells(spark, d).select("n", gm.gamma_min("zs").alias("gamma_min"))))
 

@@ -20,7 +20,10 @@ from halfseen.operators import uncertainty as un
 from halfseen.operators.quantile import exact_quantiles
 
 # score of the objective queries: a linear margin of the quantity
-Z = (F.col("qty") - 25.0) / 10.0
+def margin():
+    return (F.col("qty") - 25.0) / 10.0
+
+
 Z_SQL = "((qty-25e0)/10e0)"
 V1B = V1N + ", " + box_sql("2e0")
 V1Z = V1B + f", z AS (SELECT *, {Z_SQL} AS s FROM bx)"
@@ -28,7 +31,7 @@ V1Z = V1B + f", z AS (SELECT *, {Z_SQL} AS s FROM bx)"
 
 def scored(spark, d, gamma=2.0):
     """Packed units with a margin score ``s``, the box and a weight ``w``."""
-    return packed_boxes(spark, d, "qty", gamma=gamma).withColumn("s", Z)
+    return packed_boxes(spark, d, "qty", gamma=gamma).withColumn("s", margin())
 
 
 def softplus_sql(z):
@@ -119,7 +122,7 @@ def _(spark, d):
     for n, (a, b) in LOSS_SQL.items()))
 def _(spark, d):
     # losses depend on the score only: evaluate once per distinct quantity
-    z = lineitem_units(spark, d).groupBy("qty").agg(F.count(F.lit(1)).alias("n")).withColumn("s", Z)
+    z = lineitem_units(spark, d).groupBy("qty").agg(F.count(F.lit(1)).alias("n")).withColumn("s", margin())
     rows = []
     for n in s.LOSSES:
         one, zero = s.loss_pair("s", n)
@@ -266,12 +269,12 @@ def deploy_sql(where: str, y: str, p: str) -> str:
 
 @query("a11_deployment_metrics", deploy_sql("", "y", ""))
 def _(spark, d):
-    return out(ev.deployment_metrics(lineitem_units(spark, d).select("y", Z.alias("s"))))
+    return out(ev.deployment_metrics(lineitem_units(spark, d).select("y", margin().alias("s"))))
 
 
 @query("a12_observed_metrics", deploy_sql("WHERE t = 1", "y_obs", "obs_"))
 def _(spark, d):
-    return out(ev.observed_metrics(lineitem_units(spark, d).select("t", "y_obs", Z.alias("s")), y="y_obs"))
+    return out(ev.observed_metrics(lineitem_units(spark, d).select("t", "y_obs", margin().alias("s")), y="y_obs"))
 
 
 WORST = f"greatest(hi*{L1}+(1e0-hi)*{L0}, lo*{L1}+(1e0-lo)*{L0})"
@@ -296,7 +299,7 @@ def _(spark, d):
 
 @query("a15_realised_auroc")
 def _(spark, d):
-    u = lineitem_units(spark, d).select("y", Z.alias("s"))
+    u = lineitem_units(spark, d).select("y", margin().alias("s"))
     packed = u.groupBy("s", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.concat_ws("/", "s", "y"))
     reps = ev.resampled(packed, "id", seeds=2, replicates=25, count="n")
     stats = rk.auc(reps, "s", {"auc": "y"}, weight="bw", keys=["seed", "rep"])
@@ -343,7 +346,7 @@ def _(spark, d):
 
 @query("l3_worst_case_risk", "WITH " + V1Z + f" SELECT z, {r(f'avg({WORST})', 'risk')} FROM z GROUP BY z")
 def _(spark, d):
-    b = packed_boxes(spark, d, "qty", "z").withColumn("s", Z)
+    b = packed_boxes(spark, d, "qty", "z").withColumn("s", margin())
     return out(b.groupBy("z").agg(ob.worst_case_risk(weight="w").alias("risk")))
 
 
@@ -373,7 +376,7 @@ def _(spark, d):
 
 @query("l7_minimax_regret", "WITH " + V1Z + f" SELECT z, {r(f'avg({REGRET})', 'regret')} FROM z GROUP BY z")
 def _(spark, d):
-    b = packed_boxes(spark, d, "qty", "z").withColumn("s", Z)
+    b = packed_boxes(spark, d, "qty", "z").withColumn("s", margin())
     return out(b.groupBy("z").agg(ob.minimax_regret(weight="w").alias("regret")))
 
 
@@ -391,14 +394,14 @@ def _(spark, d):
   b AS (SELECT lam, w, arg_max(risk, round(obj, 13)*1e0 - i*1e-18) AS risk, arg_max(abs(tau), round(obj, 13)*1e0 - i*1e-18) AS tilt FROM o GROUP BY lam, qty, e, p1, w)
   SELECT lam, round(sum(w*risk)/sum(w), 4) + 0e0 AS risk FROM b GROUP BY lam""")
 def _(spark, d):
-    u = packed_lineitem(spark, d, "qty").withColumn("s", Z)
+    u = packed_lineitem(spark, d, "qty").withColumn("s", margin())
     got = ob.budget_at(u, [0.05, 0.1, 0.2], gamma=2.0, weight="w")
     return got.select("lam", s.r6("risk", 4).alias("risk"))
 
 
 @query("l9_budgeted_risk")
 def _(spark, d):
-    u = packed_lineitem(spark, d, "qty").withColumn("s", Z)
+    u = packed_lineitem(spark, d, "qty").withColumn("s", margin())
     rows = [(float(b), *ob.budgeted_risk(u, gamma=2.0, budget=b, weight="w", passes=6)) for b in (0.05, 0.3)]
     return out(spark.createDataFrame(rows, "budget double, risk double, lam double, tilt double"))
 
@@ -440,27 +443,27 @@ SWEEP = "WITH " + V1N + ", " + grid_sql(GAMMAS, "nu") + ", " + box_sql("gamma",
 @query("g3_gamma_sweep", SWEEP + f", f AS (SELECT gamma, avg({WORST}) AS wr, avg({REGRET}) AS mr FROM z GROUP BY gamma) "
        f"SELECT gamma, {r('lower')}, {r('upper')}, {r('upper-lower', 'width')}, {r('wr', 'worstcase_risk')}, {r('mr', 'minimax_regret')} FROM shp JOIN f USING (gamma)")
 def _(spark, d):
-    u = packed_lineitem(spark, d, "qty").withColumn("s", Z)
+    u = packed_lineitem(spark, d, "qty").withColumn("s", margin())
     return out(gm.sweep(u, GAMMAS, weight="w").select("gamma", "lower", "upper", "width", "worstcase_risk", "minimax_regret"))
 
 
 @query("g4_break_even", SWEEP + f""" SELECT {r('coalesce(max(CASE WHEN lower >= 0.45e0 THEN gamma END), 1e0)', 'gamma_star')},
   CAST(max(CASE WHEN lower >= 0.45e0 THEN gamma END) IS NULL AS BIGINT) AS never, CAST(coalesce(max(CASE WHEN lower >= 0.45e0 THEN gamma END) >= max(gamma), false) AS BIGINT) AS at_grid_end FROM shp""")
 def _(spark, d):
-    u = packed_lineitem(spark, d, "qty").withColumn("s", Z)
+    u = packed_lineitem(spark, d, "qty").withColumn("s", margin())
     t = gm.break_even(gm.sweep(u, GAMMAS, weight="w"), 0.45)
     return out(t.withColumn("at_grid_end", F.coalesce("at_grid_end", F.lit(0))))
 
 
 @query("g5_smallest_containing", SWEEP + " SELECT min(CASE WHEN 0.55e0 >= lower-1e-9 AND 0.55e0 <= upper+1e-9 THEN gamma END) AS gamma FROM shp")
 def _(spark, d):
-    u = packed_lineitem(spark, d, "qty").withColumn("s", Z)
+    u = packed_lineitem(spark, d, "qty").withColumn("s", margin())
     return out(gm.smallest_containing(gm.sweep(u, GAMMAS, weight="w"), 0.55))
 
 
 @query("g5_search_containing")
 def _(spark, d):
-    u = packed_lineitem(spark, d, "qty").withColumn("s", Z)
+    u = packed_lineitem(spark, d, "qty").withColumn("s", margin())
     packed = u.groupBy("s", "e", "p1").agg(F.sum("w").alias("w"))
     found = gm.search_containing(packed, 0.55, top=20.0, fan=7, passes=3, weight="w")
     return out(spark.createDataFrame([(found,)], "gamma double"))
@@ -469,7 +472,7 @@ def _(spark, d):
 @query("g6_containment", SWEEP + """, p AS (SELECT 0.5e0 AS a, 0.45e0 AS b, 0.55e0 AS c)
   SELECT gamma, CAST(a BETWEEN lower AND upper AS BIGINT) AS point_contained, CAST(b >= lower AND c <= upper AS BIGINT) AS ci_contained, CAST(c >= lower AND b <= upper AS BIGINT) AS ci_overlaps FROM shp, p""")
 def _(spark, d):
-    u = packed_lineitem(spark, d, "qty").withColumn("s", Z)
+    u = packed_lineitem(spark, d, "qty").withColumn("s", margin())
     c = gm.containment(gm.sweep(u, GAMMAS, weight="w"), point=0.5, ci_lo=0.45, ci_hi=0.55)
     return out(c.select("gamma", "point_contained", "ci_contained", "ci_overlaps"))
 

@@ -88,17 +88,16 @@ def _(spark, d):
     return out(n.select("note_id", F.col("f.in_context").alias("in_context"), F.col("f.historical").alias("historical")))
 
 
-@query("n5_primary_pick", "SELECT c_custkey AS ckey, CAST(20 + max(o_orderkey) % 50 AS DOUBLE) AS value FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+@query("n5_primary_pick", "SELECT o_orderkey AS note_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 20 + o_orderkey % 40 WHEN o_orderkey % 3 = 1 THEN 20 + o_custkey % 50 ELSE 25 + o_custkey % 50 END AS DOUBLE) AS value FROM orders")
 def _(spark, d):
-    # one history per customer: dated EF mentions, all but the last marked as prior
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("ckey"), F.col("o_orderkey").alias("k"))
-    last = o.groupBy("ckey").agg(F.max("k").alias("last"))
-    # rendered per order and concatenated per customer: customers have few orders
-    line = F.when(F.col("k") == F.col("last"), F.concat(F.lit("Echo today: EF "), (20 + F.col("k") % 50).cast("string"), F.lit("%."))).otherwise(
-        F.concat(F.lit("Prior echo EF "), (20 + F.col("k") % 50).cast("string"), F.lit("%.")))
-    text = o.join(last, "ckey").groupBy("ckey").agg(F.concat_ws("\n", F.transform(
-        F.reverse(F.array_sort(F.collect_list(F.struct("k", line.alias("x"))))), lambda v: v["x"])).alias("text"))
-    return out(text.select("ckey", nt.pick_primary(nt.ef_numeric("text"))["value"].alias("value")))
+    # a prior value only; a prior and a current one; a current and then a prior one
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    prior = lambda v: F.concat(F.lit("Prior echo EF "), v.cast("string"), F.lit("%.\n"))
+    now = lambda v: F.concat(F.lit("Echo today shows EF "), v.cast("string"), F.lit("%.\n"))
+    text = (F.when(k % 3 == 0, prior(20 + k % 40)).when(k % 3 == 1, F.concat(prior(30 + k % 40), now(20 + c % 50)))
+            .otherwise(F.concat(now(25 + c % 50), prior(30 + k % 40))))
+    n = spread(table(spark, d, "orders")).select(k.alias("note_id"), text.alias("text"))
+    return out(n.select("note_id", nt.pick_primary(nt.ef_numeric("text"))["value"].alias("value")))
 
 
 @query("n6_wall_thickness", W + NOTE + " SELECT note_id, CASE WHEN c % 3 = 0 THEN 'septal' ELSE 'posterior' END AS site, round(wall, 2) + 0e0 AS cm FROM fr WHERE wall IS NOT NULL")

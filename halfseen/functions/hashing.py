@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from halfseen.functions.scalar import as_col
 
@@ -45,7 +46,7 @@ def poisson1(ident, salt) -> Column:
     return F.get(F.transform(once, count), F.lit(0)).cast("int")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def poisson_draw(n: pd.Series, seed: pd.Series) -> pd.Series:
     """Sum of ``n`` Poisson(1) weights, a pure function of its seed column."""
     return pd.Series([float(np.random.default_rng(int(k)).poisson(m)) for m, k in zip(n, seed)])

@@ -41,10 +41,14 @@ def impute(df: DataFrame, medians: Mapping[str, float], flag_prefix: str | None
     return df.withColumns({**flags, **{c: F.coalesce(F.col(c), F.lit(v)) for c, v in medians.items()}})
 
 
-def one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None, drop_first: bool = True) -> DataFrame:
+def one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None, drop_first: bool = True,
+            most: int = 256) -> DataFrame:
     """0/1 columns for the sorted levels (all but the first).  Levels are few by meaning."""
     if levels is None:
-        levels = sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
+        found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{column} has more than {most} levels; merge rare levels first")
+        levels = sorted(r[0] for r in found)
     keep = levels[1:] if drop_first else levels
     name = lambda v: f"{column}_{v}".replace(" ", "_").replace(".", "_")
     return df.withColumns({name(v): (F.col(column) == v).cast("double") for v in keep})

@@ -85,7 +85,9 @@ def rank_table(units: DataFrame, score: str, sums: Mapping[str, object], *, weig
     grouped = units.groupBy(*keys, value).agg(
         F.sum(w).alias("w"), *[F.sum(w * as_col(c)).alias(n) for n, c in sums.items()])
     small = phi is not None or _few_values(scores if scores is not None else units, score)
-    scan = OrderedScan(grouped, keys, [value], measured_small=small)
+    # the raw score column is the cheaper table to take split points from
+    raw = scores is not None and phi is None and set(keys) <= set(scores.columns)
+    scan = OrderedScan(grouped, keys, [value], measured_small=small, measure=scores if raw else None)
     scan.add(__tot=("total", F.col("w")), __cum=("sum", F.col("w")))
     total = F.when(F.col("__tot") > 0, F.col("__tot")).otherwise(
         F.raise_error(F.lit("weights must sum to a positive number")))

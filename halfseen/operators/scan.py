@@ -19,10 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halfseen.operators.lineage import cut
+
 BLOCK_ROWS_CONF = "spark.halfseen.blockRows"
 DEFAULT_BLOCK_ROWS = 20_000_000
-_BLOCK = "__block"
-_KEY = "__all"
+_BLOCK = "__scan_block"
+_KEY = "__scan_all"
 
 
 def block_rows(df: DataFrame) -> int:
@@ -33,37 +35,37 @@ def hot_splits(df: DataFrame, keys: Sequence[str], value: str, limit: int) -> Da
     """Split points of every key with more than ``limit`` rows, or None."""
     if df.count() <= limit:          # no key can be hot; a bare scan counts from file footers
         return None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__cut_n")).filter(F.col("__cut_n") > limit)
     hot = sizes.collect()
     if not hot:
         return None
-    cuts = math.ceil(max(r["__n"] for r in hot) / limit)
+    cuts = math.ceil(max(r["__cut_n"] for r in hot) / limit)
     hot_df = df.sparkSession.createDataFrame(hot, sizes.schema)
     marks = [i / cuts for i in range(1, cuts)]
     per_key = (
         df.join(F.broadcast(hot_df), list(keys))
-        .groupBy(*keys, "__n")
-        .agg(F.percentile_approx(value, F.lit(marks), F.lit(max(10_000, 10 * cuts))).alias("__s"))
+        .groupBy(*keys, "__cut_n")
+        .agg(F.percentile_approx(value, F.lit(marks), F.lit(max(10_000, 10 * cuts))).alias("__cut_points"))
         # a key just above the limit needs few of the common split points
-        .withColumn("__step", F.greatest(F.lit(1), F.floor(F.lit(cuts * limit) / F.col("__n"))))
-        .withColumn("__s", F.expr("filter(__s, (s, i) -> (i + 1) % __step = 0 OR __step = 1)"))
-        .select(*keys, "__s")
-        .filter(F.size("__s") > 0)
+        .withColumn("__cut_step", F.greatest(F.lit(1), F.floor(F.lit(cuts * limit) / F.col("__cut_n"))))
+        .withColumn("__cut_points", F.expr("filter(__cut_points, (s, i) -> (i + 1) % __cut_step = 0 OR __cut_step = 1)"))
+        .select(*keys, "__cut_points")
+        .filter(F.size("__cut_points") > 0)
     )
     rows = per_key.collect()
     if not rows:
         return None
     out = df.sparkSession.createDataFrame(rows, per_key.schema)
     # two-level search: the last element of every chunk, then one chunk
-    return out.withColumn("__c", F.ceil(F.sqrt(F.size("__s"))).cast("int")).withColumn(
-        "__h",
-        F.expr("transform(sequence(1, cast(ceil(size(__s) / __c) as int)),"
-               " i -> element_at(__s, least(i * __c, size(__s))))"))
+    return out.withColumn("__cut_chunk", F.ceil(F.sqrt(F.size("__cut_points"))).cast("int")).withColumn(
+        "__cut_heads",
+        F.expr("transform(sequence(1, cast(ceil(size(__cut_points) / __cut_chunk) as int)),"
+               " i -> element_at(__cut_points, least(i * __cut_chunk, size(__cut_points))))"))
 
 
 def _count_splits(value: str, op: str) -> str:
-    heads = f"size(filter(__h, h -> h {op} {value}))"
-    return f"({heads} * __c + size(filter(slice(__s, {heads} * __c + 1, __c), s -> s {op} {value})))"
+    heads = f"size(filter(__cut_heads, h -> h {op} {value}))"
+    return f"({heads} * __cut_chunk + size(filter(slice(__cut_points, {heads} * __cut_chunk + 1, __cut_chunk), s -> s {op} {value})))"
 
 
 class OrderedScan:
@@ -93,11 +95,12 @@ class OrderedScan:
         if self.hot:
             below, upto = _count_splits(self.order[0], "<"), _count_splits(self.order[0], "<=")
             inside = f"floor({tie} * ({upto} - {below}))" if tie else "0"
-            df = (df.join(F.broadcast(hot), self.keys, "left")
-                  .withColumn(_BLOCK, F.expr(
-                      f"CASE WHEN __s IS NULL THEN NULL WHEN {upto} > {below}"
-                      f" THEN {below} + 1 + {inside} ELSE {below} END").cast("bigint"))
-                  .drop("__s", "__c", "__h"))
+            # several branches read the blocked rows: hand them over once instead of recomputing
+            df = cut(df.join(F.broadcast(hot), self.keys, "left")
+                     .withColumn(_BLOCK, F.expr(
+                         f"CASE WHEN __cut_points IS NULL THEN NULL WHEN {upto} > {below}"
+                         f" THEN {below} + 1 + {inside} ELSE {below} END").cast("bigint"))
+                     .drop("__cut_points", "__cut_chunk", "__cut_heads"))
         self.df = df
 
     def _sort(self, columns: Sequence[str]) -> list[Column]:
@@ -127,23 +130,23 @@ class OrderedScan:
         summary = {"sum": F.sum, "max": F.max, "total": F.sum,
                    "last": lambda c: pick(c, F.when(c.isNotNull(), place))}
         blocks = (base.filter(F.col(_BLOCK).isNotNull()).groupBy(*self.keys, _BLOCK)
-                  .agg(*[summary[k](c).alias(f"__{n}") for n, (k, c) in specs.items()]))
+                  .agg(*[summary[k](c).alias(f"__carry_{n}") for n, (k, c) in specs.items()]))
         key = Window.partitionBy(*self.keys)
         before = key.orderBy(*self._sort([_BLOCK])).rowsBetween(Window.unboundedPreceding, -1)
         over = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before),
                 "last": lambda c: F.last(c, ignorenulls=True).over(before),
                 "total": lambda c: F.sum(c).over(key)}
         carried = blocks.select(*self.keys, _BLOCK,
-                                *[over[k](F.col(f"__{n}")).alias(f"__{n}")
+                                *[over[k](F.col(f"__carry_{n}")).alias(f"__carry_{n}")
                                   for n, (k, _) in specs.items()])
         merge = {"sum": lambda a, b: F.when(b.isNull(), a).otherwise(F.coalesce(a, F.lit(0)) + b),
                  "max": lambda a, b: F.greatest(a, b),
                  "last": lambda a, b: F.coalesce(a, b),
                  "total": lambda a, b: F.coalesce(b, a)}
         out = out.join(F.broadcast(carried), [*self.keys, _BLOCK], "left")
-        out = out.withColumns({n: merge[k](F.col(n), F.col(f"__{n}"))
+        out = out.withColumns({n: merge[k](F.col(n), F.col(f"__carry_{n}"))
                                for n, (k, _) in specs.items()})
-        return out.drop(*[f"__{n}" for n in specs])
+        return out.drop(*[f"__carry_{n}" for n in specs])
 
     def result(self) -> DataFrame:
         out = self.df.drop(_BLOCK) if self.hot else self.df

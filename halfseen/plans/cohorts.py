@@ -178,22 +178,27 @@ def linked_outcomes(units: DataFrame, *, ident: str, by: str, time: str, notes:
                     codes: DataFrame | None = None, study_time: str = "study_time") -> DataFrame:
     """Routes a (measured), b (notes) and c (codes); the primary outcome is a if given, else b.
 
-    ``stays(by, stay_id, start, stop)``, ``notes(note, note_stay, text)``; each linked note
-    is extracted once.  Only selected units keep an outcome.
+    ``stays(by, stay_id, start, stop)``, ``notes(note, note_stay, text)``.  Notes of stays
+    that touch no record are never extracted, the others once; a record's label comes from
+    counts of positive and negative notes, so no record-note pairs are built.  A record
+    whose study lies inside a stay uses the notes of such stays only.
     """
     wide = units.withColumns({"__lo": F.col(time) - window, "__hi": F.col(time) + window})
-    inside = (F.col(study_time) >= F.col("start")) & (F.col(study_time) <= F.col("stop"))
-    pairs = tm.overlap_pairs(wide.select(by, ident, study_time, "__lo", "__hi"), stays, by=by, lower="__lo",
-                             upper="__hi", start="start", end="stop", cell=2 * window)
-    pairs = pairs.select(ident, F.col("stay_id").alias(note_stay),
-                         F.when(F.coalesce(inside, F.lit(False)), "contains").otherwise("window").alias("kind"))
-    links = pairs.join(notes.select(note, note_stay), note_stay)
-    wanted = notes.join(links.select(note).distinct(), note, "left_semi")
-    read = nt.extract(wanted).select(
-        note, F.col("shd_composite").alias("shd"), "confidence", F.col("n_fields_found").alias("fields"), "lvef",
-        F.col("wall_thickness_cm").alias("wall"))
-    labels = oc.label_from_notes(links, read, record=ident, note=note)
-    out = units.join(labels, ident, "left").withColumn("note_n", F.coalesce("note_n", F.lit(0)))
+    spans = notes.join(stays.withColumnRenamed("stay_id", note_stay), note_stay).filter(F.col("start") <= F.col("stop"))
+    asked = tm.windowed_counts(spans, wide.select(by, "__lo", "__hi"), by=by, ident=note, start="__lo", end="__hi",
+                               windows={"record": ("start", "stop")}, counts={"touched": F.lit(1)})
+    read = nt.extract(asked.filter("touched_record > 0")).select(by, note, "start", "stop", "shd_composite")
+    labels = tm.windowed_counts(
+        wide, cut(read), by=by, ident=ident, start="start", end="stop",
+        windows={"window": ("__lo", "__hi"), "contains": (study_time, study_time)},
+        counts={"n": F.lit(1), "pos": F.coalesce(F.col("shd_composite") == 1, F.lit(False)),
+                "neg": F.coalesce(F.col("shd_composite") == 0, F.lit(False))})
+    inside = F.col("n_contains") > 0
+    pick = lambda c: F.when(inside, F.col(f"{c}_contains")).otherwise(F.col(f"{c}_window"))
+    out = labels.withColumns({
+        "note_n": pick("n"), "y_note": F.when(pick("pos") > 0, 1.0).when(pick("neg") > 0, 0.0),
+        "note_link": F.when(inside, "contains").when(F.col("n_window") > 0, "window").otherwise("none")})
+    out = out.drop("__lo", "__hi", *[f"{c}_{w}" for c in ("n", "pos", "neg") for w in ("window", "contains")])
     if codes is not None:
         out = oc.label_from_codes(out, ident=ident, by=by, time=time, direct=codes)
     if measured is not None:
