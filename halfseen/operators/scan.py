@@ -73,15 +73,18 @@ class OrderedScan:
 
     ``order[0]`` must be numeric; it drives the blocks.  If ``tie`` names a
     column uniform in [0, 1) that is ``order[1]``, even a single hot order value
-    is cut.  ``add`` may be called repeatedly: later specs can use earlier results.
+    is cut.  ``then`` adds sort columns of its own direction after ``order``; it is for
+    scans measured small only.  ``add`` may be called repeatedly: later specs can use
+    earlier results.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  desc: bool = False, tie: str | None = None, measure: DataFrame | None = None,
-                 measured_small: bool = False):
+                 measured_small: bool = False, then: Sequence[Column] = ()):
         self.keys = list(keys)
         self.order = list(order)
         self.desc = desc
+        self.then = list(then)
         self._own_key = not self.keys
         if self._own_key:
             self.keys = [_KEY]
@@ -92,6 +95,8 @@ class OrderedScan:
             probe = (measure if measure is not None else df).select(*self.keys, self.order[0])
             hot = hot_splits(probe, self.keys, self.order[0], block_rows(df))
         self.hot = hot is not None
+        if self.hot and self.then:
+            raise ValueError("extra sort columns need a scan measured small")
         if self.hot:
             below, upto = _count_splits(self.order[0], "<"), _count_splits(self.order[0], "<=")
             inside = f"floor({tie} * ({upto} - {below}))" if tie else "0"
@@ -110,7 +115,7 @@ class OrderedScan:
         """Kinds: ``sum``, ``max``, ``last`` (ignoring nulls), ``total``; all inclusive."""
         part = self.keys + ([_BLOCK] if self.hot else [])
         whole = Window.partitionBy(*part)
-        run = whole.orderBy(*self._sort(self.order)).rowsBetween(Window.unboundedPreceding, 0)
+        run = whole.orderBy(*self._sort(self.order), *self.then).rowsBetween(Window.unboundedPreceding, 0)
         local = {
             name: {"sum": lambda c: F.sum(c).over(run), "max": lambda c: F.max(c).over(run),
                    "last": lambda c: F.last(c, ignorenulls=True).over(run),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from halfseen.functions.scalar import as_col
 from halfseen.operators.joins import match
 from halfseen.operators.lineage import cut
-from halfseen.operators.scan import OrderedScan, block_rows
+from halfseen.operators.scan import OrderedScan, block_rows, hot_splits
 
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
@@ -49,32 +49,41 @@ def asof_join(left: DataFrame, lookups: Sequence[Lookup], by: str, time: str,
     columns are ``<name>_backward`` and ``<name>_forward``.
     """
     payload = F.struct(*[F.col(c) for c in left.columns])
-    rows = left.select(F.col(by).alias("__by"), F.col(time).alias("__t"), F.lit(1).alias("__side"),
-                       payload.alias("__left"))
-    spans = [rows.filter(F.col("__by").isNotNull() & F.col("__t").isNotNull())]
-    lost = rows.filter(F.col("__by").isNull() | F.col("__t").isNull())
+    # left rows without key or time match nothing: they travel along under null, salted
+    known = F.col(by).isNotNull() & F.col(time).isNotNull()
+    salt = F.when(known, 0).otherwise(F.pmod(F.xxhash64(payload), F.lit(4096)).cast("int"))
+    spans = [left.select(F.when(known, F.col(by)).alias("__by"), salt.alias("__salt"), F.col(time).alias("__t"),
+                         F.lit(1).alias("__side"), payload.alias("__left"))]
+    probe = left.filter(known).select(F.col(by).alias("__by"), F.col(time).alias("__t"))
+    for look in lookups:
+        probe = probe.union(look.df.select(F.col(by), F.col(look.time)))
+    probe = probe.withColumn("__salt", F.lit(0))
+    small = hot_splits(probe, ["__by", "__salt"], "__t", block_rows(left)) is None
     for look in lookups:
         value = F.struct(F.col(look.time).alias("at"), *[F.col(c) for c in look.cols])
-        pick = F.min_by if look.smallest else F.max_by
-        one = F.max(value) if look.tie is None else pick(value, F.col(look.tie))
-        side = (look.df.filter(F.col(by).isNotNull() & F.col(look.time).isNotNull())
-                .groupBy(F.col(by).alias("__by"), F.col(look.time).alias("__t"))
-                .agg(one.alias(f"__{look.name}")).withColumn("__side", F.lit(0)))
-        spans.append(side)
+        tie = value if look.tie is None else F.col(look.tie)
+        keyed = look.df.filter(F.col(by).isNotNull() & F.col(look.time).isNotNull())
+        if small:            # the scan's own sort puts the winner of an instant last
+            side = keyed.select(F.col(by).alias("__by"), F.col(look.time).alias("__t"), value.alias(f"__{look.name}"),
+                                tie.alias(f"__tie_{look.name}"))
+        else:
+            pick = F.min_by if look.smallest else F.max_by
+            side = keyed.groupBy(F.col(by).alias("__by"), F.col(look.time).alias("__t")).agg(
+                pick(value, tie).alias(f"__{look.name}"))
+        spans.append(side.withColumns({"__side": F.lit(0), "__salt": F.lit(0)}))
     both = spans[0]
     for other in spans[1:]:
         both = both.unionByName(other, allowMissingColumns=True)
     # at equal times a looked-up row must come first in the scan direction
     both = both.withColumn("__edis", 1 - F.col("__side"))
-    probe = left.select(F.col(by).alias("__by"), F.col(time).alias("__t"))
-    for look in lookups:
-        probe = probe.union(look.df.select(F.col(by), F.col(look.time)))
     names = {(look.name, d): look.name if len(directions) == 1 else f"{look.name}_{d}"
              for look in lookups for d in directions}
+    ties = [F.col(f"__tie_{look.name}").desc_nulls_first() if look.smallest else F.col(f"__tie_{look.name}").asc()
+            for look in lookups] if small else []
     for d in directions:
         desc = d == "forward"
-        scan = OrderedScan(both, ["__by"], ["__t", "__edis" if desc else "__side"], desc=desc,
-                           measure=probe)
+        scan = OrderedScan(both, ["__by", "__salt"], ["__t", "__edis" if desc else "__side"], desc=desc,
+                           measure=probe, measured_small=small, then=ties)
         scan.add(**{f"__m_{names[look.name, d]}": ("last", F.col(f"__{look.name}"))
                     for look in lookups})
         both = scan.result()
@@ -86,9 +95,7 @@ def asof_join(left: DataFrame, lookups: Sequence[Lookup], by: str, time: str,
             if look.tolerance is not None:
                 m = F.when(F.abs(F.col("__t") - m["at"]) <= look.tolerance, m)
             matched[names[look.name, d]] = m
-    out = out.select("__left.*", *[m.alias(n) for n, m in matched.items()])
-    none = lost.select("__left.*", *[F.lit(None).cast(out.schema[n].dataType).alias(n) for n in matched])
-    return out.unionByName(none)
+    return out.select("__left.*", *[m.alias(n) for n, m in matched.items()])
 
 
 def nearest_join(left: DataFrame, right: DataFrame, *, by: str, time: str, right_time: str,

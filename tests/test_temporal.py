@@ -133,3 +133,11 @@ def test_decision_maker_chain(spark, form):
     assert z() == ["MICU", "unknown", "Cardiac Surgery", "unknown"]
     assert z(stays=stays)[1] == "EMERGENCY ROOM"
     assert z(stays=stays, services=serv) == ["MICU", "CMED", "Cardiac Surgery", "unknown"]
+
+
+def test_rows_without_key_or_time_stay_and_match_nothing(spark, form):
+    left = spark.createDataFrame([(1, None, 5), (2, 7, None), (3, 7, 5), (4, None, None), (5, 7, 9)], "id int, k int, lt bigint")
+    right = spark.createDataFrame([(1, 7, 4), (2, None, 4), (3, 7, None), (4, 7, 6)], "rid int, k int, rt bigint")
+    got = tm.asof_join(left, [tm.Lookup(right, "rt", ["rid"], "m", tie="rid")], "k", "lt", ("backward", "forward"))
+    rows = {r["id"]: (r["m_backward"] and r["m_backward"]["rid"], r["m_forward"] and r["m_forward"]["rid"]) for r in got.collect()}
+    assert rows == {1: (None, None), 2: (None, None), 3: (1, 4), 4: (None, None), 5: (4, None)}
