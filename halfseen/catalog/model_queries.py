@@ -275,6 +275,11 @@ def _(spark, d):
     return out(gm.odds_ratio(order_units(spark, d), keys=["segment"]))
 
 
+@query("g7_odds_ratio_interval")
+def _(spark, d):
+    return out(ev.odds_ratio_interval(order_units(spark, d), "t", "y"))
+
+
 @query("g8_gamma_min_by_centre", W + V2 + ", us AS (SELECT z FROM dv GROUP BY z HAVING count(*) >= 20 AND sum(t) >= 5 AND sum(1-t) >= 5 AND sum(CASE WHEN t=1 AND y_obs=1 THEN 1 ELSE 0 END) >= 5 AND sum(CASE WHEN t=1 AND y_obs=0 THEN 1 ELSE 0 END) >= 5) SELECT z, count(*) AS n, CAST(z IN (SELECT z FROM us) AS BIGINT) AS used FROM dv GROUP BY z")
 def _(spark, d):
     c = gm.usable_centres(document_units(spark, d), "z", "t", "y_obs", folds=5, least=10)

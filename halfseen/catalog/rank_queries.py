@@ -306,6 +306,13 @@ def _(spark, d):
     return out(ev.bootstrap_summary(stats, "auc"))
 
 
+@query("a15_realised_auroc_point", "WITH " + V1 + f""", g AS (SELECT qty, count(*) AS w, sum(y_obs) AS sy FROM u WHERE y_obs IS NOT NULL GROUP BY qty), c AS (SELECT w, sy, sy/sum(w) OVER () AS y, (sum(w) OVER (ORDER BY qty)-0.5e0*w)/sum(w) OVER () AS phi FROM g)
+  SELECT CAST(1 AS BIGINT) AS available, {r('(sum(y*phi)-0.5e0*power(sum(y),2))/(sum(y)*(1e0-sum(y)))', 'point')}, CAST(sum(w) AS BIGINT) AS n_units, CAST(sum(sy) AS BIGINT) AS n_events, CAST(1 AS BIGINT) AS ci_holds_point FROM c""")
+def _(spark, d):
+    x = ev.realised_auroc(lineitem_units(spark, d), "qty", "y_obs", replicates=50)
+    return out(x.select("available", "point", "n_units", "n_events", F.col("point").between(F.col("ci_lo"), F.col("ci_hi")).alias("ci_holds_point")))
+
+
 @query("a16_worst_case_auc", "WITH " + V1B + ", " + sharp_sql("bx", "qty", "z") + f" SELECT z, {r('lower', 'worst_auc')} FROM shp")
 def _(spark, d):
     sh = rk.sharp_interval(packed_boxes(spark, d, "qty", "z"), "qty", weight="w", keys=["z"])

@@ -138,3 +138,37 @@ def coverage_by(rows: DataFrame, truth: str, keys: Sequence[str], lower: str = "
     return rows.groupBy(*keys).agg(
         F.avg(s.contains(truth, lower, upper).cast("double")).alias("coverage"),
         F.avg(F.col(upper) - F.col(lower)).alias("width"), F.count(F.lit(1)).alias("n"))
+
+
+def realised_auroc(units: DataFrame, score: str, y: str, *, seeds: int = 2, replicates: int = 100, least: int = 10
+                   ) -> DataFrame:
+    """One row: AUROC of scored units with a known outcome, its bootstrap interval and published counts.
+
+    Withheld (``available`` = 0) for fewer than ``least`` units or a single outcome class;
+    small counts are suppressed.
+    """
+    known = units.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).select(
+        F.col(score).cast("double").alias("s"), F.col(y).cast("double").alias("y"))
+    packed = known.groupBy("s", "y").agg(F.count(F.lit(1)).alias("n"))
+    point = rk.auc(packed, "s", {"point": "y"}, weight="n").withColumn("k", F.lit(1))
+    reps = resampled(packed.withColumn("id", F.concat_ws("/", "s", "y")), "id", seeds=seeds, replicates=replicates, count="n")
+    pooled = bootstrap_summary(rk.auc(reps, "s", {"auc": "y"}, weight="bw", keys=["seed", "rep"], scores=known), "auc")
+    pooled = pooled.filter("seed IS NULL").select(F.lit(1).alias("k"), F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi"), "n_boot")
+    counts = packed.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).cast("bigint").alias("events"), F.lit(1).alias("k"))
+    row = counts.join(point, "k").join(pooled, "k", "left")
+    ok = (F.col("n") >= least) & (F.col("events") > 0) & (F.col("events") < F.col("n"))
+    hide = lambda c: F.when((c == 0) | (c >= least), c)
+    return row.select(
+        ok.cast("int").alias("available"), *[F.when(ok, F.col(c)).alias(c) for c in ("point", "ci_lo", "ci_hi")],
+        hide(F.col("n")).alias("n_units"), hide(F.col("events")).alias("n_events"), hide(F.col("n") - F.col("events")).alias("n_others"))
+
+
+def odds_ratio_interval(units: DataFrame, t: str, y: str, *, seeds: int = 3, replicates: int = 100) -> DataFrame:
+    """Percentile intervals of the odds ratio, resampling its four counts."""
+    cells = units.filter(F.col(y).isNotNull()).groupBy(F.col(t).alias("t"), F.col(y).cast("double").alias("y")).agg(
+        F.count(F.lit(1)).alias("n"))
+    reps = resampled(cells.withColumn("id", F.concat_ws("/", "t", "y")), "id", seeds=seeds, replicates=replicates, count="n")
+    cell = lambda a, b: F.sum(F.when((F.col("t") == a) & (F.col("y") == b), F.col("bw")))
+    stats = reps.groupBy("seed", "rep").agg(
+        ((cell(0, 1) / cell(0, 0)) / (cell(1, 1) / cell(1, 0))).alias("odds_ratio"))
+    return bootstrap_summary(stats, "odds_ratio")
