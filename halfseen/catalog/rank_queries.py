@@ -291,7 +291,7 @@ def _(spark, d):
 
 
 @query("a14_contraction", "WITH " + V1 + """, q AS (SELECT z, avg(t) AS rt, count(*) AS n FROM u GROUP BY z ORDER BY rt DESC, z LIMIT 1),
-  k AS (SELECT y_obs, row_number() OVER (ORDER BY qty, uid) - 1 AS rn, n FROM u JOIN q USING (z) WHERE t = 1)
+  k AS (SELECT y_obs, row_number() OVER (ORDER BY qty, """ + hu("uid", "contraction") + """, uid) - 1 AS rn, n FROM u JOIN q USING (z) WHERE t = 1)
   SELECT round(avg(y_obs), 6) + 0e0 AS failure_rate, count(*) AS n_kept FROM k WHERE rn < round_even(0.3e0*n, 0)""")
 def _(spark, d):
     return out(ev.contraction_failure_rate(lineitem_units(spark, d), score="qty", t="t", y="y_obs", z="z", tie="uid", rate=0.3))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halfseen.functions import scalar as s
-from halfseen.functions.hashing import hash32, poisson1, poisson_draw
+from halfseen.functions.hashing import hash32, poisson1, poisson_draw, unit_interval
 from halfseen.functions.quantiles import t_ppf
 from halfseen.operators import objectives as ob
 from halfseen.operators import ranking as rk
@@ -61,7 +61,9 @@ def contraction_failure_rate(units: DataFrame, *, score: str, t: str, y: str, z:
     # most lenient; the smallest level on ties
     best = groups.orderBy(F.col("__r").desc(), F.col(z)).limit(1)
     mine = units.join(best.select(z, "__n"), z).filter(F.col(t) == 1)
-    ranked = ordered_rank(mine, [], [score, tie], "__k")
+    # equal scores are ordered by a hash, so that a frequent score can be cut into blocks too
+    mine = mine.withColumn("__h", unit_interval(tie, "contraction"))
+    ranked = ordered_rank(mine, [], [score, "__h", tie], "__k", tie="__h")
     kept = ranked.filter(F.col("__k") < F.bround(F.lit(float(rate)) * F.col("__n"), 0))
     return kept.agg(F.avg(y).alias("failure_rate"), F.count(F.lit(1)).alias("n_kept"))
 

@@ -74,15 +74,22 @@ def asof_join(left: DataFrame, lookups: Sequence[Lookup], by: str, time: str,
     both = spans[0]
     for other in spans[1:]:
         both = both.unionByName(other, allowMissingColumns=True)
-    # at equal times a looked-up row must come first in the scan direction
-    both = both.withColumn("__edis", 1 - F.col("__side"))
+    # at equal times a looked-up row must come first in the scan direction; with hot keys the
+    # left rows of one instant are spread between 0 and 1, so that even an instant can be cut
+    if small:
+        both = both.withColumns({"__up": F.col("__side").cast("double"), "__down": 1.0 - F.col("__side")})
+    else:
+        spot = 0.01 + 0.98 * F.pmod(F.xxhash64("__left"), F.lit(1 << 20)) / float(1 << 20)
+        is_left = F.col("__side") == 1
+        both = both.withColumns({"__up": F.when(is_left, spot).otherwise(0.0), "__down": F.when(is_left, spot).otherwise(0.999999)})
     names = {(look.name, d): look.name if len(directions) == 1 else f"{look.name}_{d}"
              for look in lookups for d in directions}
     ties = [F.col(f"__tie_{look.name}").desc_nulls_first() if look.smallest else F.col(f"__tie_{look.name}").asc()
             for look in lookups] if small else []
     for d in directions:
         desc = d == "forward"
-        scan = OrderedScan(both, ["__by", "__salt"], ["__t", "__edis" if desc else "__side"], desc=desc,
+        place = "__down" if desc else "__up"
+        scan = OrderedScan(both, ["__by", "__salt"], ["__t", place], desc=desc, tie=place,
                            measure=probe, measured_small=small, then=ties)
         scan.add(**{f"__m_{names[look.name, d]}": ("last", F.col(f"__{look.name}"))
                     for look in lookups})

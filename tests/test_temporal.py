@@ -141,3 +141,11 @@ def test_rows_without_key_or_time_stay_and_match_nothing(spark, form):
     got = tm.asof_join(left, [tm.Lookup(right, "rt", ["rid"], "m", tie="rid")], "k", "lt", ("backward", "forward"))
     rows = {r["id"]: (r["m_backward"] and r["m_backward"]["rid"], r["m_forward"] and r["m_forward"]["rid"]) for r in got.collect()}
     assert rows == {1: (None, None), 2: (None, None), 3: (1, 4), 4: (None, None), 5: (4, None)}
+
+
+def test_many_rows_at_one_instant(spark, form):
+    left = spark.createDataFrame([(i, 1, 5 if i < 40 else 4) for i in range(60)], "id int, k int, lt bigint")
+    right = spark.createDataFrame([(1, 1, 3), (2, 1, 5), (3, 1, 5), (4, 1, 9)], "rid int, k int, rt bigint")
+    got = tm.asof_join(left, [tm.Lookup(right, "rt", ["rid"], "m", tie="rid")], "k", "lt", ("backward", "forward"))
+    for r in got.collect():
+        assert (r["m_backward"]["rid"], r["m_forward"]["rid"]) == ((3, 3) if r["id"] < 40 else (1, 3))
