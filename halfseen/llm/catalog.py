@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halfseen.llm import exact_dedup, near_dedup  # noqa: F401
+from halfseen.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity  # noqa: F401
 from halfseen.llm.common import ORACLES, QUERIES
 
 
