@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from halfseen.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity  # noqa: F401
+from halfseen.llm import (  # noqa: F401
+    decontaminate, exact_dedup, near_dedup, packing, secrets, sharding, toxicity, url_filter, warc,
+)
 from halfseen.llm.common import ORACLES, QUERIES
 
 

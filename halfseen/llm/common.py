@@ -44,33 +44,34 @@ def handover(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def gapless_rank(df: DataFrame, by: list[str], order: list[Column], out: str, rows_per_part: int = 100_000,
-                 spread: Column | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, by: list[str], order: list[Column], out: str) -> DataFrame:
     """Number the rows of each key 0, 1, 2, … without bringing a key into one task.
 
-    A key is cut into parts by a hash of `spread` (default: all columns), as many as keep
-    a part near `rows_per_part`; rows are numbered in their part and shifted by the parts
-    before. The numbering is gapless per key; it follows `order` inside a part only.
-    Null keys count as a key. Rows equal in `spread` and `order` may swap numbers.
+    A key of n rows is cut into about sqrt(n) parts by a hash of the row; rows are numbered
+    in their part and shifted by the parts before, so no task sees more than about sqrt(n)
+    rows of a key. The numbering is gapless per key; it follows `order` inside a part only.
+    Null keys count as a key. Equal rows may swap numbers.
     """
-    spread = F.xxhash64(*df.columns) if spread is None else spread
     names = [f"__k{i}" for i in range(len(by))]
-    sizes = df.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)]).agg(F.count(F.lit(1)).alias("__n"))
-    same = F.lit(True)
-    for b, n in zip(by, names):
-        same &= F.col(b).eqNullSafe(F.col(n))
-    rows = (df.join(sizes, same) if by else df.crossJoin(F.broadcast(sizes)))
-    rows = rows.withColumn("__part", F.pmod(spread, F.ceil(F.col("__n") / F.lit(rows_per_part)))).drop("__n")
-    parts = rows.groupBy(*names, "__part").agg(F.count(F.lit(1)).alias("__m"))
-    ahead = Window.partitionBy(*(names or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("__before", F.coalesce(F.sum("__m").over(ahead), F.lit(0)))
-    parts = parts.select(*[F.col(n).alias(f"{n}p") for n in names], F.col("__part").alias("__pp"), "__before")
-    here = Window.partitionBy(*names, "__part").orderBy(*order)
-    rows = rows.withColumn("__r", F.row_number().over(here) - 1)
-    match = F.col("__part") == F.col("__pp")
-    for n in names:
-        match &= F.col(n).eqNullSafe(F.col(f"{n}p"))
-    return rows.join(parts, match).select(*df.columns, (F.col("__r") + F.col("__before")).cast("long").alias(out))
+
+    def same(suffix: str = "") -> Column:
+        on = F.lit(True)
+        for b, n in zip(by, names):
+            on &= F.col(b).eqNullSafe(F.col(n + suffix))
+        return on
+
+    if by:
+        sizes = df.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)]).agg(F.count(F.lit(1)).alias("__n"))
+        rows = df.join(sizes, same()).drop(*names)
+    else:
+        rows = df.withColumn("__n", F.lit(df.count()))
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(*df.columns), F.ceil(F.sqrt("__n")))).drop("__n")
+    parts = rows.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col("__part").alias("__pp")).agg(F.count(F.lit(1)).alias("__m"))
+    ahead = Window.partitionBy(*(names or [F.lit(0)])).orderBy("__pp").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__m").over(ahead), F.lit(0))).drop("__m")
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)) - 1)
+    return rows.join(parts, same() & (F.col("__part") == F.col("__pp"))).select(
+        *df.columns, (F.col("__r") + F.col("__before")).cast("long").alias(out))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -31,25 +31,30 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, bytes]], samples: int):
         self.ids = [i for i, _ in items]
         self.sets = [np.frombuffer(g, np.uint64) for _, g in items]
-        self.a = multipliers(samples)
+        self.a = self.fold(multipliers(samples)) | np.uint32(1)
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         per_class: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, x in enumerate(self.sets):
             if len(x):
                 s = 1 if len(x) <= SMALL else 1 << int(len(x) - 1).bit_length()
-                keys = x if s == 1 else (self.a[:, None] * x[None, :]).min(axis=1)
+                keys = self.fold(x) if s == 1 else (self.a[:, None] * self.fold(x)[None, :]).min(axis=1)
                 per_class.setdefault(s, []).append((keys, k))
         for s, found in sorted(per_class.items()):
             key = np.concatenate([k for k, _ in found])
             item = np.repeat([k for _, k in found], [len(k) for k, _ in found])
             order = np.argsort(key, kind="stable")
-            sieve = np.zeros(1 << min(26, max(16, int(64 * len(key)).bit_length())), bool)
+            sieve = np.zeros(1 << min(25, max(16, int(64 * len(key)).bit_length())), bool)
             sieve[(key >> self.shift(sieve)).astype(np.int64)] = True
             self.classes[s] = key[order], item[order], sieve
 
     @staticmethod
-    def shift(sieve: np.ndarray) -> np.uint64:
-        return np.uint64(64 - len(sieve).bit_length() + 1)
+    def fold(x: np.ndarray) -> np.ndarray:
+        """Leading 32 bits: sampling in 32-bit words is twice as fast, and candidates are decided on all 64."""
+        return (x >> np.uint64(32)).astype(np.uint32)
+
+    @staticmethod
+    def shift(sieve: np.ndarray) -> np.uint32:
+        return np.uint32(32 - len(sieve).bit_length() + 1)
 
     def look_up(self, s: int, values: np.ndarray) -> set[int]:
         key, item, sieve = self.classes[s]
@@ -59,6 +64,7 @@ class ItemIndex:
 
     def candidates(self, x: np.ndarray) -> set[int]:
         """Items that may be contained in the document with the shingles x, in their order."""
+        x = self.fold(x)
         found = self.look_up(1, x) if 1 in self.classes else set()
         sizes = [s for s in self.classes if s > 1]
         if not sizes:
