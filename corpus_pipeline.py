@@ -5,27 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from halfseen.llm.common import handover, table
+from halfseen.llm.decontaminate import contained_items
 from halfseen.llm.exact_dedup import exact_dedup
+from halfseen.llm.near_dedup import near_dedup
+from halfseen.llm.packing import pack
+from halfseen.llm.toxicity import toxicity
 
 ORACLE_SQL = None
 
 
+def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents with (left_semi) or without (left_anti) an id in `ids`; documents without id share one fate."""
+    return docs.join(ids.select(F.col("doc_id").alias("chosen")).distinct(), F.col("doc_id").eqNullSafe(F.col("chosen")), how)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the sentence model calls toxic go; it learns from all labels."""
+    scored = toxicity(docs, table(spark, sf_dir, "labels"))
+    return only(docs, scored.where("predicted = 1"), "left_anti")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return only(docs, exact_dedup(docs).where("kept"), "left_semi")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return only(docs, near_dedup(docs).where("not kept"), "left_anti")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return only(docs, contained_items(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left as pieces of training sequences."""
+    return pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("packing", pack_documents),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each handed over as Parquet to the next."""
+    """All stages over documents, each handed over as Parquet to the next.
+
+    Nulls, empty texts, repeated rows and empty tables have the results that the operators
+    state. Documents are dropped by id: rows that share an id, or have none, go together.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = handover(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
