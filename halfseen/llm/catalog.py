@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from halfseen.llm import (  # noqa: F401
-    decontaminate, exact_dedup, near_dedup, packing, secrets, sharding, toxicity, url_filter, warc,
+    decontaminate, exact_dedup, near_dedup, packing, repeats, secrets, sharding, toxicity, url_filter, warc,
 )
 from halfseen.llm.common import ORACLES, QUERIES
 
