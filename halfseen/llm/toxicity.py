@@ -74,11 +74,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars
     return [(r["body"].encode(), ids[r["id"]]) for r in sorted(rows, key=lambda r: (r["id"], r["body"]))]
 
 
-def telling(split, y: np.ndarray, min_docs: int, min_z: float) -> dict[bytes, int]:
+def telling(sample, y: np.ndarray, min_docs: int, min_z: float) -> dict[bytes, int]:
     """Features whose share of texts differs between the labels by min_z standard errors."""
     seen, toxic = Counter(), Counter()
-    for s, label in zip(split, y):
-        found = {f for w in {w for _, _, words in s for w in words} for f in features(w)}
+    for text, label in zip(sample, y):
+        found = {f for w in {w for _, _, words in sentences(text) for w in words} for f in features(w)}
         seen.update(found)
         if label:
             toxic.update(found)
@@ -107,11 +107,10 @@ def fit(sample: list[tuple[bytes, int]], min_docs: int = MIN_DOCS, min_z: float
     y = np.array(list(once.values()), float)
     if not len(y) or y.min() == y.max():
         return {}, (30.0 if len(y) and y[0] else -30.0)
-    split = [sentences(t) for t in once]
-    vocab = telling(split, y, min_docs, min_z)
+    vocab = telling(once, y, min_docs, min_z)
     word, sent, doc_of = [], [], []
-    for d, s in enumerate(split):
-        for _, _, words in s:
+    for d, text in enumerate(once):
+        for _, _, words in sentences(text):
             found = [vocab[f] for w in set(words) for f in features(w) if f in vocab]
             word += found
             sent += [len(doc_of)] * len(found)
