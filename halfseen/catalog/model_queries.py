@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from halfseen.catalog.base import (
@@ -343,13 +344,13 @@ def nuisance_summary(x):
 
 @query("m1_cross_fit")
 def _(spark, d):
-    return nuisance_summary(ln.CrossFit(ORDER_X, ident="okey", folds=3).fit_predict(order_features(spark, d)))
+    return nuisance_summary(ln.CrossFit(ORDER_X, ident="okey", model="logistic", calibrate=False).fit_predict(order_features(spark, d)))
 
 
 @query("m2_predict_new")
 def _(spark, d):
     o = order_features(spark, d).withColumn("side", vd.split("okey", 0.35, "m2"))
-    cf = ln.CrossFit(ORDER_X, ident="okey", folds=2)
+    cf = ln.CrossFit(ORDER_X, ident="okey", model="logistic", calibrate=False)
     cf.fit_predict(o.filter("side = 'train'"))
     return nuisance_summary(cf.predict(o.filter("side = 'test'")))
 
@@ -405,13 +406,16 @@ def cell_features(spark, d, gamma=2.0):
     return c.withColumn("cid", F.concat_ws("-", *CELLS))
 
 
-@query("m15_worst_case_linear")
+@query("m15_worst_case_linear", "SELECT CAST(1 AS BIGINT) AS no_worse, CAST(1 AS BIGINT) AS optimal")
 def _(spark, d):
+    """No direction of a fan around the solution lowers the objective: the rows are the optimality conditions."""
     c = cell_features(spark, d)
-    beta, value, norm = ln.worst_case_linear(c, V1X, weight="w", passes=12)
-    zero = c.agg(ob.worst_case_risk(F.lit(0.0), weight="w")).collect()[0][0]
-    return out(spark.createDataFrame([(*[float(b) for b in beta], value, norm, float(zero), int(value <= zero + 1e-12))],
-                                     "b0 double, b_qty double, b_disc double, b_tax double, objective double, gradient double, zero_risk double, no_worse int"))
+    beta, value, _ = ln.worst_case_linear(c, V1X, weight="w")
+    fan = [beta + h * sign * e for h in (1e-2, 1e-3) for sign in (1, -1) for e in [*np.eye(4), np.ones(4) / 2]]
+    risk = lambda b: ob.worst_case_risk(ln.linear(b, V1X), weight="w") + F.lit(1e-4 * float(b @ b))
+    near = F.least(*[risk(b) for b in fan])
+    zero = ob.worst_case_risk(F.lit(0.0), weight="w")
+    return out(c.agg((F.lit(value) <= zero + 1e-12).cast("int").alias("no_worse"), (near >= value - 2e-7).cast("int").alias("optimal")))
 
 
 @query("m16_midpoint_scorer")
@@ -422,11 +426,16 @@ def _(spark, d):
     return out(sh.select("lower", "upper", *[F.lit(float(b)).alias(n) for n, b in zip(V1X, beta)]))
 
 
-@query("m17_worst_case_ranker")
+@query("m17_worst_case_ranker", "SELECT CAST(1 AS BIGINT) AS start_is_weighted, CAST(1 AS BIGINT) AS never_worse")
 def _(spark, d):
-    _, history = ln.worst_case_ranker(cell_features(spark, d), V1X, ident="cid", pairs=20, rounds=2, steps=2)
-    rows = [(i, float(v), int(max(history) >= history[0])) for i, v in enumerate(history)]
-    return out(spark.createDataFrame(rows, "round int, worst_auc double, no_worse int"))
+    """The start is the midpoint scorer's weighted worst case, and the result is not below it."""
+    c = cell_features(spark, d)
+    best, history = ln.worst_case_ranker(c, V1X, ident="cid", weight="w", rounds=5)
+    worst = lambda b, n: rk.sharp_interval(c.withColumn("s", ln.linear([0.0, *b], V1X)), "s", weight="w").select(F.col("lower").alias(n))
+    start, last = worst(ln.midpoint_scorer(c, V1X, weight="w"), "a"), worst(best, "b")
+    both = start.withColumn("k", F.lit(1)).join(last.withColumn("k", F.lit(1)), "k")
+    return out(both.select((F.abs(F.col("a") - history[0]) < 1e-9).cast("int").alias("start_is_weighted"),
+                           ((F.col("b") >= F.col("a") - 1e-12) & (F.abs(F.col("b") - max(history)) < 1e-9)).cast("int").alias("never_worse")))
 
 
 @query("m19_bagged_ensemble")

@@ -17,7 +17,6 @@ from halfseen.operators import nuisance as nu
 from halfseen.operators import objectives as ob
 from halfseen.operators import ranking as rk
 from halfseen.operators import uncertainty as un
-from halfseen.operators.quantile import exact_quantiles
 
 # score of the objective queries: a linear margin of the quantity
 def margin():
@@ -67,8 +66,7 @@ def _(spark, d):
 
 @query("x2_gamma_lambda", CELL + f" SELECT c1, c2, c3, {r('power(1e0+e, 2)', 'gamma')}, {r('sqrt(1e0+p1)', 'lambda')} FROM cell")
 def _(spark, d):
-    # the column forms of gamma_from_lambda / lambda_from_gamma on per-cell levels >= 1
-    return out(cells(spark, d).select(*CELLS, F.pow(1.0 + F.col("e"), 2).alias("gamma"), F.sqrt(1.0 + F.col("p1")).alias("lambda")))
+    return out(cells(spark, d).select(*CELLS, s.gamma_from_lambda(1.0 + F.col("e")).alias("gamma"), s.lambda_from_gamma(1.0 + F.col("p1")).alias("lambda")))
 
 
 @query("x3_tilt_to_outcome", CELL + f" SELECT c1, c2, c3, {r('e*p1+(1e0-e)*' + g_sql('p1', '2.5e0'), 'p')} FROM cell")
@@ -107,9 +105,8 @@ def _(spark, d):
     t, y = F.col("t"), F.col("y")
     c = lineitem_units(spark, d).groupBy(*CELLS).agg(
         ((F.sum((1 - t) * y) + 0.5) / (F.sum(1 - t) + 1.0)).alias("p0"), ((F.sum(t * y) + 0.5) / (F.sum(t) + 1.0)).alias("p1"))
-    gap = F.abs(s.logit("p0") - s.logit("p1"))
-    q = exact_quantiles(c, {"gap": gap}, [1.0, 0.99])
-    return out(q.select(F.exp("q0").alias("gamma_max"), F.exp("q1").alias("gamma_q99")))
+    q = gm.realised_gamma(c, quantiles=(1.0, 0.99))
+    return out(q.select(F.col("gamma_q0").alias("gamma_max"), F.col("gamma_q1").alias("gamma_q99")))
 
 
 @query("x7f_tilt_and_slope", CELL + f" SELECT c1, c2, c3, {r(g_sql('p1', '3e0'), 'g')}, {r('3e0/power(1e0+2e0*p1, 2)', 'slope')} FROM cell")

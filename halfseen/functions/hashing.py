@@ -6,6 +6,8 @@ depends on partitioning, retries or executor loss.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -34,19 +36,51 @@ def bucket(ident, salt, n: int) -> Column:
 
 def poisson1(ident, salt) -> Column:
     """Poisson(1) weight of a unit in one bootstrap replicate."""
-    # cumulative Poisson(1) probabilities of 0..9
+    # cumulative Poisson(1) probabilities down to the resolution of the hash
     total, term, steps = 0.0, 0.36787944117144233, []
-    for k in range(10):
+    while term > 1.0 / SPACE:
         total += term
         steps.append(total)
-        term /= k + 1
+        term /= len(steps)
     # the one-element array makes the hash be evaluated once
     once = F.array(unit_interval(ident, salt))
     count = lambda u: sum((F.when(u >= c, 1).otherwise(0) for c in steps), F.lit(0))
     return F.get(F.transform(once, count), F.lit(0)).cast("int")
 
 
+NORMAL_FROM = 400.0
+
+
+def _normal_ppf(u: np.ndarray) -> np.ndarray:
+    """Inverse normal distribution by Newton steps on a logistic start."""
+    z = np.log(u / (1.0 - u)) / 1.702
+    erf = np.frompyfunc(math.erf, 1, 1)
+    for _ in range(6):
+        cdf = 0.5 * (1.0 + erf(z / math.sqrt(2.0)).astype(float))
+        z = z - np.clip((cdf - u) * math.sqrt(2.0 * math.pi) * np.exp(np.minimum(z * z / 2.0, 40.0)), -1.0, 1.0)
+    return z
+
+
 @F.pandas_udf(DoubleType())
 def poisson_draw(n: pd.Series, seed: pd.Series) -> pd.Series:
-    """Sum of ``n`` Poisson(1) weights, a pure function of its seed column."""
-    return pd.Series([float(np.random.default_rng(int(k)).poisson(m)) for m, k in zip(n, seed)])
+    """Sum of ``n`` Poisson(1) weights, a pure function of its seed in [0, 2^32).
+
+    The seed is the quantile: found by summing probabilities for small means, by the
+    normal quantile with its skewness term from NORMAL_FROM on.
+    """
+    mean, u = n.to_numpy(float), (seed.to_numpy(float) + 0.5) / SPACE
+    out = np.zeros(len(mean))
+    small = mean < NORMAL_FROM
+    m, q = mean[small], u[small]
+    term = np.exp(-m)
+    total, k, drawn = term.copy(), 0, np.zeros(len(m))
+    while (open_ := total < q).any() and k < 2_000:
+        k += 1
+        drawn[open_] = k
+        term = term * m / k
+        total = total + term
+    out[small] = drawn
+    z = _normal_ppf(u[~small])
+    big = mean[~small]
+    out[~small] = np.maximum(np.rint(big + np.sqrt(big) * z + (z * z - 1.0) / 6.0), 0.0)
+    return pd.Series(out)

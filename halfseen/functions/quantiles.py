@@ -6,16 +6,21 @@ import math
 from statistics import NormalDist
 
 
+LARGE = 1e7        # counts from which the expansion is closer than the fraction is worth waiting for
+
+
 def normal_ppf(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
 def _betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by the continued fraction (Lentz)."""
+    """Regularised incomplete beta: the continued fraction (Lentz), for very large counts its uniform normal expansion."""
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
         return 1.0
+    if min(a, b) > LARGE:
+        return _betainc_large(a, b, x)
     if x > (a + 1.0) / (a + b + 2.0):
         return 1.0 - _betainc(b, a, 1.0 - x)
     front = math.exp(a * math.log(x) + b * math.log1p(-x)
@@ -24,7 +29,7 @@ def _betainc(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 100_000):
+    for m in range(1, 2_000_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + num * d
@@ -33,8 +38,22 @@ def _betainc(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError(f"incomplete beta did not converge for a={a}, b={b}, x={x}")
+
+
+def _betainc_large(a: float, b: float, x: float) -> float:
+    """Normal tail of the deviance plus its first correction; the relative error falls like 1 / (a + b)."""
+    n, x0 = a + b, a / (a + b)
+    d = (x - x0) / x0, (x0 - x) / (1.0 - x0)
+    half = -x0 * math.log1p(d[0]) - (1.0 - x0) * math.log1p(d[1])       # deviance of x from x0
+    spread = math.sqrt(x0 * (1.0 - x0))
+    if abs(x - x0) < 1e-4 * spread:
+        half = ((x - x0) / spread) ** 2 / 2 * (1.0 - 2.0 * (x - x0) * (1.0 - 2.0 * x0) / (3.0 * spread ** 2))
+    eta = math.copysign(math.sqrt(2.0 * max(half, 0.0)), x - x0)
+    bend = (1.0 - 2.0 * x0) / (3.0 * spread) if abs(eta) < 1e-4 else 1.0 / eta - spread / (x - x0)
+    normal = 0.5 * math.erfc(-eta * math.sqrt(n / 2.0))
+    return min(1.0, max(0.0, normal + bend * math.exp(-n * eta * eta / 2.0) / math.sqrt(2.0 * math.pi * n)))
 
 
 def _invert(cdf, p: float, lo: float, hi: float) -> float:

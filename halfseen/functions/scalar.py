@@ -39,16 +39,26 @@ def logit(p, eps: float = EPS) -> Column:
     return F.log(p) - F.log1p(-p)
 
 
-def gamma_from_lambda(lam: float) -> float:
-    if lam < 1.0:
-        raise ValueError("Lambda must be >= 1")
-    return float(lam) ** 2
+def at_least_one(x, name: str):
+    """The number or column itself; a number below 1 is an error, a column value below 1 fails the job."""
+    if isinstance(x, (int, float)):
+        if not x >= 1.0:
+            raise ValueError(f"{name} must be >= 1")
+        return x
+    x = as_col(x)
+    return F.when(x < 1.0, F.raise_error(F.lit(f"{name} must be >= 1"))).otherwise(x)
+
+
+def gamma_from_lambda(lam):
+    """Square of Lambda, a number or a column."""
+    lam = at_least_one(lam, "Lambda")
+    return float(lam) ** 2 if isinstance(lam, (int, float)) else F.pow(lam, 2)
 
 
-def lambda_from_gamma(gamma: float) -> float:
-    if gamma < 1.0:
-        raise ValueError("Gamma must be >= 1")
-    return math.sqrt(gamma)
+def lambda_from_gamma(gamma):
+    """Root of Gamma, a number or a column."""
+    gamma = at_least_one(gamma, "Gamma")
+    return math.sqrt(gamma) if isinstance(gamma, (int, float)) else F.sqrt(gamma)
 
 
 def tilt(p, gamma) -> Column:
@@ -76,9 +86,7 @@ def box(p1, e, gamma, direction: str = "two-sided") -> tuple[Column, Column]:
     """
     if direction not in DIRECTIONS:
         raise ValueError(f"unknown direction {direction!r}")
-    if isinstance(gamma, (int, float)) and not gamma >= 1.0:
-        raise ValueError("Gamma must be >= 1")
-    p1, e, g = as_col(p1), as_col(e), as_col(gamma)
+    p1, e, g = checked_unit(p1, "p1"), checked_unit(e, "e"), as_col(at_least_one(gamma, "Gamma"))
     finite = g < F.lit(float("inf"))
     shift = F.log(F.when(finite, g).otherwise(F.lit(1.0)))
     eta = logit(p1)
@@ -97,10 +105,9 @@ def checked_unit(x, name: str) -> Column:
     return F.when((x < 0) | (x > 1), F.raise_error(F.lit(f"{name} must lie in [0, 1]"))).otherwise(x)
 
 
-def realised_gamma(p0, p1, quantile: float = 1.0) -> Column:
-    """Aggregate: exp of the largest (or a quantile) absolute log-odds gap."""
-    gap = F.abs(logit(p0) - logit(p1))
-    return F.exp(F.max(gap) if quantile >= 1.0 else F.percentile(gap, F.lit(quantile)))
+def log_odds_gap(p0, p1) -> Column:
+    """Absolute difference of two log-odds."""
+    return F.abs(logit(p0) - logit(p1))
 
 
 def contains(value, lo, hi, tol: float = 1e-9) -> Column:

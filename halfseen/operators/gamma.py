@@ -40,6 +40,12 @@ def gamma_min(zs="zs", top: float = 1e4, steps: int = 60) -> Column:
         F.lit(float("inf")))
 
 
+def realised_gamma(cells: DataFrame, p0: str = "p0", p1: str = "p1", quantiles: Sequence[float] = (1.0,)) -> DataFrame:
+    """One row: exp of the largest (1.0) or other quantiles of the log-odds gap, as ``gamma_q<k>`` in the order asked."""
+    q = exact_quantiles(cells, {"gap": s.log_odds_gap(p0, p1)}, list(quantiles))
+    return q.select(*[F.exp(f"q{i}").alias(f"gamma_q{i}") for i in range(len(quantiles))])
+
+
 def gamma_summary(cells: DataFrame, value: str = "gamma_min", count: str = "n") -> DataFrame:
     """Maximum and 95% quantile over units (cells weighted by their size), finite only."""
     ok = cells.filter(F.col(value) < F.lit(float("inf")))

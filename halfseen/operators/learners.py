@@ -21,11 +21,13 @@ from halfseen.operators.lineage import cut
 from halfseen.operators.validate import gram, hash_position, stratified_folds
 
 Predictor = Callable[[DataFrame, str], DataFrame]
+ROUNDS = {"gbm": 200, "mlp": 600}        # boosting rounds and epochs unless asked otherwise
 
 
 def base_learner(model: str, features: Sequence[str], label: str, *, weight: str | None = None, seed: int = 0,
-                 rounds: int = 40) -> Pipeline:
+                 rounds: int | None = None) -> Pipeline:
     """'gbm', 'logistic' (standardised) or 'mlp' as a pipeline over named columns."""
+    rounds = ROUNDS.get(model) if rounds is None else rounds
     parts = [VectorAssembler(inputCols=list(features), outputCol="__raw")]
     extra = {"weightCol": weight} if weight else {}
     if model == "gbm":
@@ -56,10 +58,11 @@ def _class_counts(df: DataFrame, label: str) -> dict:
 
 
 def fit_calibrated(df: DataFrame, features: Sequence[str], label: str, ident: str, *, model: str = "logistic",
-                   calibrate: bool = True, seed: int = 0, least: int = 15, rounds: int = 40) -> Predictor:
+                   calibrate: bool = True, seed: int = 0, least: int = 15, rounds: int | None = None, digits: int = 4) -> Predictor:
     """A predictor; with calibration the mean of three (model, isotonic map) pairs.
 
-    The isotonic fit sees at most 10,001 weighted points: scores rounded to 1e-4.
+    The isotonic fit sees scores rounded to ``digits`` decimals, at most 10^digits + 1
+    weighted points, because one task fits it.
     Degenerate labels give a constant model.
     """
     counts = _class_counts(df, label)
@@ -74,7 +77,7 @@ def fit_calibrated(df: DataFrame, features: Sequence[str], label: str, ident: st
     for j in range(3):
         fitted = base_learner(model, features, label, seed=seed, rounds=rounds).fit(folds.filter(F.col("fold") != j))
         held = probability(fitted, folds.filter(F.col("fold") == j), "__p")
-        points = held.groupBy(F.round("__p", 4).alias("x")).agg(
+        points = held.groupBy(F.round("__p", digits).alias("x")).agg(
             F.avg(label).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
         iso = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="__iso").fit(points)
         pairs.append((fitted, iso))
@@ -96,8 +99,8 @@ class CrossFit:
     of the other folds' models instead), a censored row the mean of all.
     """
 
-    def __init__(self, features: Sequence[str], *, ident: str, model: str = "logistic", folds: int = 5,
-                 calibrate: bool = False, bound: float = 1e-3, seed: int = 0, compat: bool = False, rounds: int = 40):
+    def __init__(self, features: Sequence[str], *, ident: str, model: str = "gbm", folds: int = 5,
+                 calibrate: bool = True, bound: float = 1e-3, seed: int = 0, compat: bool = False, rounds: int | None = None):
         self.features, self.ident, self.model, self.k = list(features), ident, model, folds
         self.calibrate, self.bound, self.seed, self.compat, self.rounds = calibrate, bound, seed, compat, rounds
         self.e_models: list[Predictor] = []
@@ -152,43 +155,43 @@ def _scorer(predict: Predictor) -> Predictor:
     return lambda d, name: predict(d, "__q").withColumn(name, s.logit("__q")).drop("__q")
 
 
-def erm(units: DataFrame, features: Sequence[str], *, t="t", y="y_obs", model="logistic", seed: int = 0, rounds: int = 40) -> Predictor:
+def erm(units: DataFrame, features: Sequence[str], *, t="t", y="y_obs", model="logistic", seed: int = 0, rounds: int | None = None) -> Predictor:
     """Fit on the selected rows only."""
     fitted = base_learner(model, features, y, seed=seed, rounds=rounds).fit(units.filter(F.col(t) == 1))
     return _scorer(lambda d, n: probability(fitted, d, n))
 
 
-def oracle(units: DataFrame, features: Sequence[str], *, y="y", model="logistic", seed: int = 0, rounds: int = 40) -> Predictor:
+def oracle(units: DataFrame, features: Sequence[str], *, y="y", model="logistic", seed: int = 0, rounds: int | None = None) -> Predictor:
     fitted = base_learner(model, features, y, seed=seed, rounds=rounds).fit(units)
     return _scorer(lambda d, n: probability(fitted, d, n))
 
 
-def ipw(units: DataFrame, features: Sequence[str], *, t="t", y="y_obs", model="logistic", seed: int = 0, rounds: int = 40) -> Predictor:
+def ipw(units: DataFrame, features: Sequence[str], *, t="t", y="y_obs", model="logistic", seed: int = 0, rounds: int | None = None) -> Predictor:
     rows = units.filter(F.col(t) == 1).withColumn("__w", nu.ipw_weight("e"))
     fitted = base_learner(model, features, y, weight="__w", seed=seed, rounds=rounds).fit(rows)
     return _scorer(lambda d, n: probability(fitted, d, n))
 
 
 def target_regression(units: DataFrame, features: Sequence[str], target: Column, *, seed: int = 0,
-                      rounds: int = 40) -> Predictor:
+                      rounds: int | None = None) -> Predictor:
     """Boosted regression on a pseudo-outcome, scored on the logit scale."""
     parts = [VectorAssembler(inputCols=list(features), outputCol="__raw"),
-             GBTRegressor(featuresCol="__raw", labelCol="__y", maxIter=rounds, stepSize=0.07, maxDepth=4,
+             GBTRegressor(featuresCol="__raw", labelCol="__y", maxIter=ROUNDS["gbm"] if rounds is None else rounds, stepSize=0.07, maxDepth=4,
                           minInstancesPerNode=30, seed=seed, predictionCol="__fit")]
     fitted = Pipeline(stages=parts).fit(units.withColumn("__y", target))
     return lambda d, name: fitted.transform(d).withColumn(name, s.logit(s.clip("__fit", 1e-4, 1.0 - 1e-4))).drop("__raw", "__fit")
 
 
-def aipw(units: DataFrame, features: Sequence[str], *, t="t", y="y_obs", seed: int = 0, rounds: int = 40) -> Predictor:
+def aipw(units: DataFrame, features: Sequence[str], *, t="t", y="y_obs", seed: int = 0, rounds: int | None = None) -> Predictor:
     return target_regression(units, features, nu.aipw_target(t, y, "e", "p1"), seed=seed, rounds=rounds)
 
 
-def imputation(units: DataFrame, features: Sequence[str], *, t="t", y="y_obs", seed: int = 0, rounds: int = 40) -> Predictor:
+def imputation(units: DataFrame, features: Sequence[str], *, t="t", y="y_obs", seed: int = 0, rounds: int | None = None) -> Predictor:
     return target_regression(units, features, nu.imputation_target(t, y, "p1"), seed=seed, rounds=rounds)
 
 
 def bagged_ensemble(units: DataFrame, features: Sequence[str], *, ident: str, members: int, t="t", y="y_obs",
-                    model="logistic", seed: int = 0, rounds: int = 40) -> DataFrame:
+                    model="logistic", seed: int = 0, rounds: int | None = None) -> DataFrame:
     """Units with ``member_p``: one probability per bootstrap fit on the selected rows."""
     selected = units.filter(F.col(t) == 1)
     out, names = units, []
@@ -230,87 +233,97 @@ def midpoint_scorer(units: DataFrame, features: Sequence[str], lo="lo", hi="hi",
 
 
 def worst_case_linear(units: DataFrame, features: Sequence[str], *, lo="lo", hi="hi", weight=None, l2: float = 1e-4,
-                      clip_score: float | None = None, passes: int = 30, tol: float = 1e-6) -> tuple[np.ndarray, float, float]:
-    """Linear score minimising the logistic worst-case risk: (coefficients, objective, gradient norm).
-
-    Features should be standardised.  Equal rows are packed once; each pass is one
-    aggregate with the gradient and one with a whole fan of step lengths.
+                      clip_score: float | None = None, tol: float = 1e-7, most: int = 500) -> tuple[np.ndarray, float, float]:
+    """Linear score minimising the logistic worst-case risk plus ``l2`` times the squared norm of all parameters: (coefficients, objective,
+    norm of the last step's model gradient).
+
+    Features should be standardised.  Equal rows are packed once.  The risk is convex with a
+    kink where a score is 0: there the worst outcome is the one in the box that makes the
+    Newton model flattest, the box's projection of one half.  Each pass is one aggregate
+    with gradient and Gram matrix and one with a fan of step lengths along the Newton and
+    the gradient direction; it ends when no step lowers the objective by ``tol`` of itself,
+    and fails if that takes more than ``most`` passes.
     """
     w = F.lit(1.0) if weight is None else s.as_col(weight)
     rows = cut(units.groupBy(*features, s.as_col(lo).alias("lo"), s.as_col(hi).alias("hi")).agg(F.sum(w).alias("w")))
     total = rows.agg(F.sum("w")).collect()[0][0]
     score = lambda b: s.clip(linear(b, features), -clip_score, clip_score) if clip_score else linear(b, features)
-    penalty = lambda b: 0.5 * l2 * float(b[1:] @ b[1:])
 
     def risks(candidates: list[np.ndarray]) -> list[float]:
         aggs = [F.sum(F.col("w") * s.worst_loss(score(b), "lo", "hi")).alias(f"r{i}") for i, b in enumerate(candidates)]
         got = rows.agg(*aggs).collect()[0]
-        return [float(got[i]) / total + penalty(b) for i, b in enumerate(candidates)]
-
-    beta = np.zeros(len(features) + 1)
-    value, norm = risks([beta])[0], float("inf")
-    for _ in range(passes):
+        return [float(got[i]) / total + l2 * float(b @ b) for i, b in enumerate(candidates)]
+
+    terms = [F.lit(1.0), *[F.col(c) for c in features]]
+    d = len(terms)
+    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    beta = np.zeros(d)
+    value = risks([beta])[0]
+    for _ in range(most):
         z = F.col("__z")
-        # at the kink (z = 0) any p in the box is a subgradient: the midpoint keeps it finite
-        worst = F.when(z < 0, F.col("hi")).when(z > 0, F.col("lo")).otherwise((F.col("lo") + F.col("hi")) * 0.5)
-        flat = rows.withColumn("__z", linear(beta, features))
-        slope = F.col("w") * (s.expit(z) - worst)
+        worst = F.when(z < 0, F.col("hi")).when(z > 0, F.col("lo")).otherwise(s.clip(F.lit(0.5), "lo", "hi"))
+        slope, bend = F.col("w") * (s.expit(z) - worst), F.col("w") * s.expit(z) * (1.0 - s.expit(z))
         if clip_score:
-            slope = F.when(F.abs(z) <= clip_score, slope).otherwise(0.0)
-        g = flat.agg(F.sum(slope).alias("g0"), *[F.sum(slope * F.col(c)).alias(f"g{i + 1}") for i, c in enumerate(features)]).collect()[0]
-        grad = np.array([float(v) for v in g]) / total + l2 * np.r_[0.0, beta[1:]]
-        norm = float(np.linalg.norm(grad))
-        if norm < tol:
-            break
-        tries = [beta - step * grad for step in (8.0, 4.0, 2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3)]
-        got = risks(tries)
-        best = int(np.argmin(got))
-        if got[best] >= value - 1e-12:
-            break
-        beta, value = tries[best], got[best]
-    return beta, value, norm
-
-
-def worst_case_ranker(units: DataFrame, features: Sequence[str], *, ident: str, lo="lo", hi="hi", pairs: int = 4096,
-                      rounds: int = 4, steps: int = 5, tau: float = 0.5, rate: float = 0.2, l2: float = 1e-3,
+            slope, bend = (F.when(F.abs(z) <= clip_score, c).otherwise(0.0) for c in (slope, bend))
+        flat = rows.withColumn("__z", linear(beta, features)).withColumns({"__g": slope, "__h": bend})
+        got = flat.agg(*[F.sum(F.col("__g") * x).alias(f"g{i}") for i, x in enumerate(terms)],
+                       *[F.sum(F.col("__h") * terms[i] * terms[j]).alias(f"h{i}_{j}") for i, j in upper]).collect()[0]
+        grad = np.array([float(got[i]) for i in range(d)]) / total + 2 * l2 * beta
+        gram_ = np.zeros((d, d))
+        for k, (i, j) in enumerate(upper):
+            gram_[i, j] = gram_[j, i] = float(got[d + k]) / total
+        newton = np.linalg.solve(gram_ + (2 * l2 + 1e-12) * np.eye(d), grad)
+        tries = [beta - t * newton for t in (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4)]
+        tries += [beta - t * grad for t in (8.0, 2.0, 0.5, 0.1, 0.01, 1e-3, 1e-4)]
+        tested = risks(tries)
+        best = int(np.argmin(tested))
+        if tested[best] >= value - tol * max(abs(value), 1e-12):
+            if tested[best] < value:
+                beta, value = tries[best], tested[best]
+            return beta, value, float(np.linalg.norm(grad))
+        beta, value = tries[best], tested[best]
+    raise ArithmeticError(f"no convergence in {most} passes; objective {value}")
+
+
+def worst_case_ranker(units: DataFrame, features: Sequence[str], *, ident: str, lo="lo", hi="hi", weight=None, pairs: int = 4096,
+                      rounds: int | None = None, steps: int = 10, tau: float = 0.5, rate: float = 0.2, l2: float = 1e-3,
                       seed: int = 0) -> tuple[np.ndarray, list[float]]:
     """Linear scorer trained against the exact worst-case AUROC; never worse than the midpoint start.
 
     Every round solves the inner problem exactly, averages the adversary's members and
-    takes gradient steps on hash-sampled pairs (the sample size is the method's own
-    parameter).  Returns the best coefficients and the worst-case AUROC per round.
+    takes ``steps`` gradient steps on hash-sampled pairs (the sample size is the method's
+    own parameter; rows of a packed table count ``weight`` times in the inner problem, the
+    start and the pairs).  A round's samples are drawn in one pass.  Returns the best
+    coefficients and the worst-case AUROC per round.
     """
-    rows = cut(units.select(ident, *features, s.as_col(lo).alias("lo"), s.as_col(hi).alias("hi")))
+    w = F.lit(1.0) if weight is None else s.as_col(weight).cast("double")
+    rows = cut(units.select(ident, *features, s.as_col(lo).alias("lo"), s.as_col(hi).alias("hi"), w.alias("__w")))
     n = rows.count()
-    beta = midpoint_scorer(rows, features)
+    beta = midpoint_scorer(rows, features, weight="__w")
     rows = rows.withColumn("__bar", (F.col("lo") + F.col("hi")) * 0.5)
     score = lambda b: linear([0.0, *b], features)
-    worst = lambda b: float(rk.sharp_interval(rows.withColumn("__s", score(b)), "__s").collect()[0]["lower"])
+    worst = lambda b: float(rk.sharp_interval(rows.withColumn("__s", score(b)), "__s", weight="__w").collect()[0]["lower"])
     best, history = beta, [worst(beta)]
     top = history[0]
     for k in range(rounds):
-        member = rk.least_favourable(rows.withColumn("__s", score(beta)), "__s")
+        member = rk.least_favourable(rows.withColumn("__s", score(beta)), "__s", weight="__w")
         rows = cut(member.withColumn("__bar", F.col("__bar") + (F.col("p_lower") - F.col("__bar")) / float(k + 1))
                    .drop("__s", "p_lower", "p_upper"))
-        for j in range(steps):
-            salt = f"pairs/{seed}/{k}/{j}"
-            share = min(1.0, 4.0 * pairs / max(n, 1))
-            few = rows.filter(unit_interval(ident, salt) < share)
-            placed = hash_position(few, [], ident, salt, "__pos")
-            left = placed.filter(F.col("__pos") < pairs)
-            right = placed.filter((F.col("__pos") >= pairs) & (F.col("__pos") < 2 * pairs)).select(
-                (F.col("__pos") - pairs).alias("__pos"), F.col("__bar").alias("__bar2"), *[F.col(c).alias(f"__r_{c}") for c in features])
-            duo = left.join(right, "__pos")
-            gap = sum(((F.col(c) - F.col(f"__r_{c}")) * float(b) for c, b in zip(features, beta)), F.lit(0.0)) / tau
-            sig = s.expit(s.clip(gap, -50.0, 50.0))
-            pull = F.col("__bar") * (1.0 - F.col("__bar2")) * sig * (1.0 - sig) / tau
-            g = duo.agg(*[F.avg(pull * (F.col(c) - F.col(f"__r_{c}"))).alias(f"g{i}") for i, c in enumerate(features)]).collect()[0]
-            grad = np.array([float(v or 0.0) for v in g]) - l2 * beta
+        share = min(1.0, 4.0 * pairs * steps / max(n, 1))
+        salt = f"pairs/{seed}/{k}"
+        placed = hash_position(rows.filter(unit_interval(ident, salt) < share), [], ident, salt, "__pos")
+        few = placed.filter(F.col("__pos") < 2 * pairs * steps).select("__pos", "__w", "__bar", *features).toPandas().sort_values("__pos")
+        x, bar, mass = few[list(features)].to_numpy(float), few["__bar"].to_numpy(float), few["__w"].to_numpy(float)
+        rng = np.random.default_rng((seed, k))
+        for j in range(steps):        # a bounded sample: pairs are drawn by weight among its rows
+            a, b = rng.choice(len(x), (2, pairs), p=mass / mass.sum())
+            gap = np.clip((x[a] - x[b]) @ beta / tau, -50.0, 50.0)
+            sig = 1.0 / (1.0 + np.exp(-gap))
+            pull = bar[a] * (1.0 - bar[b]) * sig * (1.0 - sig) / tau
+            grad = (pull[:, None] * (x[a] - x[b])).mean(axis=0) - l2 * beta
             beta = beta + rate / (1.0 + k) * grad / (np.linalg.norm(grad) + 1e-12)
             beta = beta / max(np.linalg.norm(beta), 1e-12)
         history.append(worst(beta))
         if history[-1] > top:
             top, best = history[-1], beta
     return best, history
-
-

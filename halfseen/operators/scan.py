@@ -19,10 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halfseen.operators.joins import match
 from halfseen.operators.lineage import cut
 
 BLOCK_ROWS_CONF = "spark.halfseen.blockRows"
 DEFAULT_BLOCK_ROWS = 20_000_000
+SAMPLE = 200
 _BLOCK = "__scan_block"
 _KEY = "__scan_all"
 
@@ -42,8 +44,9 @@ def hot_splits(df: DataFrame, keys: Sequence[str], value: str, limit: int) -> Da
     cuts = math.ceil(max(r["__cut_n"] for r in hot) / limit)
     hot_df = df.sparkSession.createDataFrame(hot, sizes.schema)
     marks = [i / cuts for i in range(1, cuts)]
+    # about SAMPLE rows per block are enough to cut by: results do not depend on where the cuts lie
     per_key = (
-        df.join(F.broadcast(hot_df), list(keys))
+        match(df.sample(min(1.0, SAMPLE / limit), seed=1), F.broadcast(hot_df), keys)
         .groupBy(*keys, "__cut_n")
         .agg(F.percentile_approx(value, F.lit(marks), F.lit(max(10_000, 10 * cuts))).alias("__cut_points"))
         # a key just above the limit needs few of the common split points
@@ -101,7 +104,7 @@ class OrderedScan:
             below, upto = _count_splits(self.order[0], "<"), _count_splits(self.order[0], "<=")
             inside = f"floor({tie} * ({upto} - {below}))" if tie else "0"
             # several branches read the blocked rows: hand them over once instead of recomputing
-            df = cut(df.join(F.broadcast(hot), self.keys, "left")
+            df = cut(match(df, F.broadcast(hot), self.keys, "left")
                      .withColumn(_BLOCK, F.expr(
                          f"CASE WHEN __cut_points IS NULL THEN NULL WHEN {upto} > {below}"
                          f" THEN {below} + 1 + {inside} ELSE {below} END").cast("bigint"))
@@ -148,7 +151,7 @@ class OrderedScan:
                  "max": lambda a, b: F.greatest(a, b),
                  "last": lambda a, b: F.coalesce(a, b),
                  "total": lambda a, b: F.coalesce(b, a)}
-        out = out.join(F.broadcast(carried), [*self.keys, _BLOCK], "left")
+        out = match(out, F.broadcast(carried), [*self.keys, _BLOCK], "left")
         out = out.withColumns({n: merge[k](F.col(n), F.col(f"__carry_{n}"))
                                for n, (k, _) in specs.items()})
         return out.drop(*[f"__carry_{n}" for n in specs])

@@ -67,9 +67,10 @@ def asof_join(left: DataFrame, lookups: Sequence[Lookup], by: str, time: str,
             side = keyed.select(F.col(by).alias("__by"), F.col(look.time).alias("__t"), value.alias(f"__{look.name}"),
                                 tie.alias(f"__tie_{look.name}"))
         else:
-            pick = F.min_by if look.smallest else F.max_by
+            # as in the scan's sort, a row without tie wins only where no other row is
+            pick, last = (F.min_by, tie.isNull()) if look.smallest else (F.max_by, tie.isNotNull())
             side = keyed.groupBy(F.col(by).alias("__by"), F.col(look.time).alias("__t")).agg(
-                pick(value, tie).alias(f"__{look.name}"))
+                pick(value, F.struct(last, tie)).alias(f"__{look.name}"))
         spans.append(side.withColumns({"__side": F.lit(0), "__salt": F.lit(0)}))
     both = spans[0]
     for other in spans[1:]:
@@ -205,16 +206,14 @@ def _chain(points: DataFrame, gap: int) -> DataFrame:
 
 def first_containing(left: DataFrame, spans: DataFrame, *, by: str, time: str, start: str, end: str,
                      ident: str) -> DataFrame:
-    """The earliest-starting span with start <= time <= end (``span_id``), without a range join.
+    """The span with start <= time <= end that starts first, of equal starts the smallest id (``span_id``), without a range join.
 
-    A span that ends no later than an earlier-starting one can never win.  Among
-    the others starts and ends rise together, so the first end >= time decides.
+    A span that ends no later than one before it in that order can never win.  Among the
+    others order and ends rise together, so the first end >= time decides.
     """
     one = spans.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
-    one = one.groupBy(F.col(by), F.col(start)).agg(
-        F.max(F.struct(F.col(end).alias("e"), (-F.col(ident)).alias("i"))).alias("__m"))
-    one = one.select(by, start, F.col("__m.e").alias(end), (-F.col("__m.i")).alias(ident))
-    run = OrderedScan(one.withColumn("__e", F.col(end)), [by], [start])
+    one = one.groupBy(by, start, end).agg(F.min(ident).alias(ident))
+    run = OrderedScan(one.withColumn("__e", F.col(end)), [by], [start, ident])
     run.add(__reach=("max", F.col("__e")))
     # the running maximum includes the row itself: it is new iff it was not reached before
     ranked = run.result().groupBy(by, "__reach").agg(

@@ -149,3 +149,30 @@ def test_many_rows_at_one_instant(spark, form):
     got = tm.asof_join(left, [tm.Lookup(right, "rt", ["rid"], "m", tie="rid")], "k", "lt", ("backward", "forward"))
     for r in got.collect():
         assert (r["m_backward"]["rid"], r["m_forward"]["rid"]) == ((3, 3) if r["id"] < 40 else (1, 3))
+
+
+def test_asof_null_ties_and_keys(spark, form):
+    left = spark.createDataFrame([(1, 1, 10), (2, 2, 10), (3, None, 10), (4, 3, None), (5, 3, 10)], "id int, k int, t bigint")
+    right = spark.createDataFrame([(1, 5, None, 7), (2, 5, None, 8), (2, 5, 1, 9), (2, 5, 2, 6), (None, 5, 1, 1), (3, 5, 3, 4), (3, 5, None, 5)],
+                                  "k int, rt bigint, tie int, val int")
+    for smallest, want in ((False, {1: 7, 2: 6, 5: 4}), (True, {1: 7, 2: 9, 5: 4})):
+        look = tm.Lookup(right, "rt", ["val"], "m", tie="tie", smallest=smallest)
+        got = {r["id"]: r["m"]["val"] for r in tm.asof_join(left, [look], "k", "t").collect() if r["m"]}
+        assert got == want
+
+
+def test_first_containing_prefers_start_then_id(spark, form):
+    spans = [(1, "b", 0, 5), (1, "c", 0, 10), (1, "a", 0, 3), (1, "d", 2, 20), (1, "e", 0, 5)]
+    left = spark.createDataFrame([(t, 1, t) for t in (0, 3, 4, 5, 6, 10, 11, 20, 21)], "id int, k int, t bigint")
+    got = {r["id"]: r["span_id"] for r in tm.first_containing(
+        left, spark.createDataFrame(spans, "k int, sid string, a bigint, b bigint"), by="k", time="t", start="a", end="b", ident="sid").collect()}
+    assert got == {0: "a", 3: "a", 4: "b", 5: "b", 6: "c", 10: "c", 11: "d", 20: "d", 21: None}
+
+
+def test_hot_null_key_is_cut(spark, tiny_blocks):
+    from halfseen.operators import scan
+    rows = spark.createDataFrame([(None if i % 2 else 1, i) for i in range(60)], "k int, v bigint")
+    one = scan.OrderedScan(rows, ["k"], ["v"])
+    assert one.df.groupBy("k", scan._BLOCK).count().agg(F.max("count")).first()[0] <= 12
+    got = {(r["k"], r["v"]): r["s"] for r in one.add(s=("sum", F.lit(1))).result().collect()}
+    assert got == {(None if i % 2 else 1, i): i // 2 + 1 for i in range(60)}
