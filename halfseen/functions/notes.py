@@ -1,13 +1,14 @@
-"""Clinical-note extraction as Spark column expressions over whole texts.
-
-No Python runs per note: matches, positions, contexts and the overlap rule are
-array expressions evaluated in the JVM next to the scan.
-"""
+"""Clinical-note extraction over whole texts: column expressions evaluated next to the scan, and one Arrow-batched function for valve lesions."""
 
 from __future__ import annotations
 
+import functools
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halfseen.functions.scalar import as_col
 
@@ -82,23 +83,26 @@ def bind(value: Column, body) -> Column:
 def locate(text: Column, pattern) -> Column:
     """All matches as array of (pos, stop, hit); positions count from 0.
 
-    The text between matches and the matches alternate, so positions are prefix
-    sums of both length lists.
+    The text between matches and the matches alternate, so a match starts where the one
+    before stopped plus the gap between them: one running pass.
     """
     p = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    both = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("hits"),
-                    F.transform(F.split(text, p, F.lit(-1)), lambda g: F.length(g)).alias("gaps"))
+    hits = F.regexp_extract_all(text, p, F.lit(0))
+    none = F.array().cast("array<struct<pos:int,stop:int,hit:string>>")
 
-    def spans(b: Column) -> Column:
-        add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    def step(acc: Column, x: Column) -> Column:
+        pos = acc["at"] + F.length(x["gap"])
+        found = F.struct(pos.alias("pos"), (pos + F.length(x["hit"])).alias("stop"), x["hit"].alias("hit"))
+        return F.struct((pos + F.length(x["hit"])).alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
 
-        def span(hit: Column, i: Column) -> Column:
-            done = F.transform(F.slice(b["hits"], F.lit(1), i), lambda h: F.length(h))
-            pos = add(F.slice(b["gaps"], F.lit(1), i + 1)) + add(done)
-            return bind(pos, lambda q: F.struct(q.alias("pos"), (q + F.length(hit)).alias("stop"), hit.alias("hit")))
-        return F.transform(b["hits"], span)
+    def spans(h: Column) -> Column:
+        # split only where something matched; the text behind the last match is no gap
+        gaps = F.slice(F.split(text, p, F.lit(-1)), F.lit(1), F.size(h))
+        zipped = F.zip_with(h, gaps, lambda a, b: F.struct(a.alias("hit"), b.alias("gap")))
+        start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+        return F.when(F.size(h) > 0, F.aggregate(zipped, start, step)["found"]).when(h.isNotNull(), none)
 
-    return bind(both, spans)
+    return bind(hits, spans)
 
 
 def before(text: Column, pos: Column, n: int) -> Column:
@@ -285,76 +289,67 @@ def _lesion_patterns() -> list[tuple[str, bool, str, int, int]]:
     return rows + late
 
 
-def _severity(word: Column, grade: Column) -> Column:
-    w = F.regexp_replace(F.regexp_replace(F.lower(word), "[-/]", " "), r"\s+", " ")
-    return (F.when(grade == "1", "mild").when(grade == "2", "moderate").when(grade == "3", "moderate_severe")
-            .when(grade == "4", "severe")
-            .when(w.isin("severe", "critical"), "severe")
-            .when(w.isin("moderate to severe", "mod severe", "moderate severe", "moderately severe"), "moderate_severe")
-            .when(w.isin("moderate", "significant"), "moderate")
-            .when(w.isin("mild to moderate", "mild mod", "mild moderate"), "mild_moderate")
-            .when(w == "mild", "mild")
-            .when(w.isin("trivial", "trace", "minimal", "physiologic", "physiological"), "trace").otherwise("none"))
+SEVERITIES = {
+    "severe": "severe", "critical": "severe", "moderate to severe": "moderate_severe", "mod severe": "moderate_severe",
+    "moderate severe": "moderate_severe", "moderately severe": "moderate_severe", "moderate": "moderate", "significant": "moderate",
+    "mild to moderate": "mild_moderate", "mild mod": "mild_moderate", "mild moderate": "mild_moderate", "mild": "mild", "trivial": "trace",
+    "trace": "trace", "minimal": "trace", "physiologic": "trace", "physiological": "trace",
+}
+GRADES = {"1": "mild", "2": "moderate", "3": "moderate_severe", "4": "severe"}
 
 
-def valve_lesions(text) -> Column:
-    """Lesion statements with severity and negation; the first pattern to match holds a span."""
-    text = as_col(text)
-    groups: dict[tuple[str, bool], list[Column]] = {}
+@functools.cache
+def _lesion_matchers():
+    """Compiled once per worker: (code, short, test for the lesion's name, its (order, pattern, severity group, grade group))."""
+    by_name: dict[tuple[str, bool], list] = {}
     for i, (code, short, pattern, sev, grade) in enumerate(_lesion_patterns()):
-        groups.setdefault((code, short), []).append(F.struct(
-            F.lit(i).alias("order"), F.lit(code).alias("valve"), F.lit(short).alias("short"), F.lit(pattern).alias("re"),
-            F.lit(sev).alias("sev"), F.lit(grade).alias("grade")))
-    # only the patterns of lesions that are named in the text at all
-    kept = []
-    for (code, short), items in groups.items():
-        name = LESIONS[code][1] if short else LESIONS[code][0]
-        there = text.rlike(rf"(?<![A-Za-z])(?:{name})(?![A-Za-z])" if short else f"(?i)(?:{name})")
-        kept.append(F.when(there, F.array(*items)).otherwise(F.slice(F.array(*items), F.lit(1), F.lit(0))))
-    patterns = F.concat(*kept)
-
-    def matches(p: Column) -> Column:
-        def read(m: Column) -> Column:
-            near = around(text, m["pos"], m["stop"], 40, 40)
-            letters = F.regexp_replace(near, "[^A-Za-z]", "")
-            upper = F.regexp_replace(letters, "[^A-Z]", "")
-            caps = (F.length(letters) >= 12) & (F.length(upper) / F.length(letters) > 0.8)
-            return F.struct(p["order"].alias("order"), m["pos"].alias("pos"), m["stop"].alias("stop"),
-                            m["hit"].alias("hit"), p["valve"].alias("valve"), p["short"].alias("short"),
-                            p["re"].alias("re"), p["sev"].alias("sev"), p["grade"].alias("grade"),
-                            around(text, m["pos"], m["stop"], 250, 100).rlike(VALVE_CONTEXT).alias("ctx"),
-                            caps.alias("caps"))
-        return F.transform(locate(text, p["re"]), read)
-
-    # spans are taken in pattern order
-    found = F.array_sort(F.flatten(F.transform(patterns, matches)))
-
-    def take(acc: Column, m: Column) -> Column:
-        taken = F.exists(acc, lambda a: (a["pos"] < m["stop"]) & (m["pos"] < a["stop"]))
-        vouched = m["ctx"] | F.exists(acc, lambda a: F.abs(a["pos"] - m["pos"]) < 300)
-        unclear = m["short"] & ~vouched & (m["valve"].isin(*NEEDS_CONTEXT) | m["caps"])
-        return F.when(taken | unclear, acc).otherwise(F.concat(acc, F.array(m)))
-
-    def describe(m: Column) -> Column:
-        def group(i: Column) -> Column:
-            # the pattern's own flags come first, so the match is re-read as a whole
-            return F.when(i > 0, F.call_function(
-                "regexp_extract", m["hit"], F.concat(F.lit("^(?:"), m["re"], F.lit(")$")), i))
-
-        def record(sev: Column) -> Column:
-            return F.struct(m["pos"].alias("pos"), m["valve"].alias("valve"), sev.alias("severity"),
-                            sev.isin(*AT_LEAST_MODERATE).alias("ge_moderate"),
-                            (negated(text, m["pos"]) | (sev == "none")).alias("negated"),
-                            historical(text, m["pos"]).alias("historical"),
-                            snippet(text, m["pos"], m["stop"]).alias("evidence"))
+        by_name.setdefault((code, short), []).append((i, re.compile(pattern, re.A), sev, grade))
+    tests = {k: re.compile(rf"(?<![A-Za-z])(?:{LESIONS[k[0]][1]})(?![A-Za-z])" if k[1] else f"(?i:{LESIONS[k[0]][0]})", re.A) for k in by_name}
+    cues = re.compile(rf"{NEGATION_CUE}(?:(?!{CLAUSE_BREAK}).)*$", re.I | re.S), re.compile(HISTORY, re.A), re.compile(VALVE_CONTEXT, re.A)
+    return [(code, short, tests[code, short], rows) for (code, short), rows in by_name.items()], cues
+
+
+def _lesions_of(text: str) -> list[dict]:
+    matchers, (negation, history, vicinity) = _lesion_matchers()
+    found = sorted((order, m.start(), m.end(), code, short, m, sev, grade) for code, short, named, rows in matchers if named.search(text)
+                   for order, pattern, sev, grade in rows for m in pattern.finditer(text))
+    taken, out = [], []
+    for _, pos, stop, code, short, m, sev, grade in found:       # spans are taken in pattern order
+        if any(a < stop and pos < b for a, b in taken):
+            continue
+        if short and not vicinity.search(text[max(pos - 250, 0):stop + 100]) and not any(abs(a - pos) < 300 for a, _ in taken):
+            letters = [c for c in text[max(pos - 40, 0):stop + 40] if c.isascii() and c.isalpha()]
+            if code in NEEDS_CONTEXT or len(letters) >= 12 and sum(c.isupper() for c in letters) / len(letters) > 0.8:
+                continue
+        taken.append((pos, stop))
+        word = " ".join(re.sub("[-/]", " ", m[sev].lower()).split()) if sev and m[sev] else ""
+        severity = GRADES.get(m[grade] if grade else "") or SEVERITIES.get(word, "none")
+        around_ = re.sub(r"\s+", " ", text[max(pos - 60, 0):stop + 60], flags=re.A).strip(" ")
+        out.append({"pos": pos, "valve": code, "severity": severity, "ge_moderate": severity in AT_LEAST_MODERATE,
+                    "negated": severity == "none" or bool(negation.search(text[max(pos - 45, 0):pos])),
+                    "historical": bool(history.search(text[max(pos - 60, 0):pos])), "evidence": around_})
+    return sorted(out, key=lambda x: (x["pos"], x["valve"], x["severity"]))
+
+
+LESION = T.ArrayType(T.StructType([
+    T.StructField("pos", T.IntegerType()), T.StructField("valve", T.StringType()), T.StructField("severity", T.StringType()),
+    T.StructField("ge_moderate", T.BooleanType()), T.StructField("negated", T.BooleanType()), T.StructField("historical", T.BooleanType()),
+    T.StructField("evidence", T.StringType())]))
+
+
+@F.pandas_udf(LESION)
+def _lesions_udf(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _lesions_of(t) for t in text], dtype=object)
 
-        told = F.struct(group(m["sev"]).alias("s"), group(m["grade"]).alias("g"))
-        return bind(bind(told, lambda x: _severity(x["s"], x["g"])), record)
 
-    def resolve(all_found: Column) -> Column:
-        return F.transform(F.aggregate(all_found, F.slice(all_found, F.lit(1), F.lit(0)), take), describe)
+def valve_lesions(text) -> Column:
+    """Lesion statements with severity and negation; the first pattern to match holds a span.
 
-    return F.array_sort(bind(found, resolve))
+    Sixty patterns depend on each other's matches, which the JVM can only do by compiling
+    each of them again for every row; here they are compiled once per worker and texts come
+    in Arrow batches.  A text in which no lesion is named costs its twelve name tests.
+    """
+    return _lesions_udf(as_col(text))
 
 
 def ef_component(primary: Column, word: Column, word_negated: Column) -> Column:
