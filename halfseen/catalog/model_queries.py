@@ -67,6 +67,13 @@ def _(spark, d):
                         get(F.array_max, "p1").alias("pmax"), get(F.array_min, "p1").alias("pmin")))
 
 
+@query("m7_full_grid", W + V1 + ", " + Z5 + ", " + cell_sql() + f""" SELECT c1, c2, c3, z, coalesce(z5.n, 0) + 0e0 AS n, {r('coalesce(z5.e, k.ke)', 'e')}, {r('coalesce(z5.p1, k.kp)', 'p1')}
+  FROM (SELECT c1, c2, c3, e AS ke, p1 AS kp FROM cell) k CROSS JOIN (SELECT DISTINCT z FROM u) LEFT JOIN z5 USING (c1, c2, c3, z)""")
+def _(spark, d):
+    g = nu.full_grid(lineitem_units(spark, d), CELLS, "z", "t", "y_obs")
+    return out(g.select(*CELLS, "z", F.col("n").cast("double").alias("n"), "e", "p1"))
+
+
 @query("m8_marginalise_z", W + V1 + ", " + ZMARG + f", g AS (SELECT c1, c2, c3, sum(pi) AS w, sum(pi*e) AS se, sum(pi*e*p1) AS sp FROM z5 JOIN sh USING (z) GROUP BY ALL) SELECT c1, c2, c3, {r('se/w', 'e')}, {r('sp/se', 'p1')} FROM g")
 def _(spark, d):
     u = lineitem_units(spark, d)

@@ -779,7 +779,8 @@ def _(spark, d):
 def _(spark, d):
     aliases = {**contracts.MEASUREMENT_ALIASES, "ivsd": ("septum", "l_quantity"), "lvef": ("ef", "l_extendedprice")}
     path = f"{d}/lineitem.parquet"
-    hit = reader.match_columns(reader.raw_table(spark, path).columns, aliases)
+    found = reader.measurement_tables(spark, [f"{d}/absent.csv", path], aliases=aliases, telling=contracts.TELLING_MEASUREMENTS)
+    hit = found[path]
     x = spark.read.parquet(path).select(*[F.col(c).alias(m) for m, c in hit.items()])
     return out(x.agg(F.count(F.lit(1)).alias("n"), F.avg("ivsd").alias("ivsd"), F.avg("lvef").alias("lvef")))
 

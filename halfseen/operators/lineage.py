@@ -31,11 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition only when the input has fewer files than the cluster has cores.
+    """Repartition only when the input has fewer splits than the cluster has cores.
 
-    For row-wise work that costs far more than moving the row (text extraction); a
-    table of many files is left as it is.
+    For row-wise work that costs far more than moving the row (text extraction); an
+    input of many splits is left as it is, however few files it comes from.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores) if 0 < files < cores else df
+    splits = df.rdd.getNumPartitions()       # planned, not run
+    return df.repartition(cores) if 0 < splits < cores else df

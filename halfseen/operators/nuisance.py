@@ -73,6 +73,29 @@ def by_decision_maker(df: DataFrame, cells: Sequence[str], z: str, t="t", y="y",
     return cell_nuisance(df, [*cells, z], t, y, smooth=smooth, bound=bound)
 
 
+def full_grid(df: DataFrame, cells: Sequence[str], z: str, t="t", y="y", *, smooth: float = 1.0, bound: float = CLIP,
+              most_levels: int = 10_000) -> DataFrame:
+    """Long grid with every cell under every level of ``z``.
+
+    A pair that does not occur gets ``n`` = 0 and the cell's own rates over all levels: its
+    best prediction without that decision maker.  Levels come to the driver to be spread
+    over the cells, so their number is checked.
+    """
+    levels = [r[0] for r in df.select(z).distinct().limit(most_levels + 1).collect()]
+    if len(levels) > most_levels:
+        raise ValueError(f"more than {most_levels} levels of {z}: merge rare ones first")
+    if not levels:
+        return by_decision_maker(df, cells, z, t, y, smooth=smooth, bound=bound)
+    kind = df.schema[z].dataType
+    whole = cell_nuisance(df, cells, t, y, smooth=smooth, bound=bound)
+    every = whole.select(*cells, F.col("e").alias("__e"), F.col("p1").alias("__p1"),
+                         F.explode(F.array(*[F.lit(v).cast(kind) for v in levels])).alias(z))
+    seen = by_decision_maker(df, cells, z, t, y, smooth=smooth, bound=bound)
+    out = match(every, seen, [*cells, z], "left")
+    return out.select(*cells, z, F.coalesce("n", F.lit(0).cast(seen.schema["n"].dataType)).alias("n"),
+                      F.coalesce("e", "__e").alias("e"), F.coalesce("p1", "__p1").alias("p1"))
+
+
 def z_arrays(grid: DataFrame, cells: Sequence[str], z: str) -> DataFrame:
     """One row per cell: ``zs`` = array of (z, e, p1), ``n``.  Levels of z must be few."""
     return grid.groupBy(*cells).agg(F.sort_array(F.collect_list(F.struct(z, "e", "p1"))).alias("zs"),

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halfseen.functions.hashing import SPACE, hash32, unit_interval
 from halfseen.functions.scalar import as_col
@@ -57,6 +58,14 @@ def split(ident, test_share: float, salt) -> Column:
     return F.when(unit_interval(ident, salt) < test_share, "test").otherwise("train")
 
 
+def split_exact(units: DataFrame, ident: str, test_share: float, salt, name: str = "side") -> DataFrame:
+    """Units with 'test' for exactly round(share * n) of them, those first in hash order."""
+    n = units.count()
+    placed = hash_position(units, [], ident, salt, "__pos")
+    side = F.when(F.col("__pos") < int(n * test_share + 0.5), "test").otherwise("train")
+    return placed.withColumn(name, side).drop("__pos")
+
+
 def three_way(ident, salt) -> Column:
     u = unit_interval(ident, salt)
     return F.when(u < 0.5, "train").when(u < 0.75, "calibration").otherwise("test")
@@ -211,9 +220,20 @@ def refuse_unit_level(out: DataFrame, id_columns: Sequence[str], most: int = 64)
     ids = [c for c in out.columns if c.lower() in {i.lower() for i in id_columns}]
     if ids:
         raise AssertionError(f"unit identifiers in an aggregate: {ids}")
-    arrays = [f.name for f in out.schema.fields if f.dataType.typeName() == "array"]
-    if arrays:
-        longest = out.agg(F.max(F.greatest(*[F.size(a) for a in arrays], F.lit(0)))).collect()[0][0] or 0
+    def sizes(col: Column, kind: T.DataType) -> list[Column]:
+        """Lengths of the arrays and maps of a column, also inside structs and arrays."""
+        if isinstance(kind, T.StructType):
+            return [s for f in kind.fields for s in sizes(col[f.name], f.dataType)]
+        if isinstance(kind, T.MapType):
+            return [F.size(col)]
+        if not isinstance(kind, T.ArrayType):
+            return []
+        longest = lambda i: F.array_max(F.transform(col, lambda x: sizes(x, kind.elementType)[i]))
+        return [F.size(col), *map(longest, range(len(sizes(F.col("x"), kind.elementType))))]
+
+    found = [F.coalesce(s, F.lit(0)) for f in out.schema.fields for s in sizes(F.col(f"`{f.name}`"), f.dataType)]
+    if found:
+        longest = out.agg(F.max(F.greatest(*found, F.lit(0), F.lit(0)))).collect()[0][0] or 0
         if longest > most:
             raise AssertionError(f"arrays longer than {most} in an aggregate")
     if out.limit(most + 1).count() > most:

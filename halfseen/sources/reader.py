@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halfseen.functions.scalar import as_col
-from halfseen.sources.contracts import MEASUREMENT_ALIASES
+from halfseen.sources.contracts import (
+    CLINICAL, DATETIMES, LAYOUTS, MEASUREMENT_ALIASES, MEASUREMENT_FILES, MULTILINE, TELLING_MEASUREMENTS,
+)
 
 SOURCES = ("real", "fixture", "synthetic")
 
@@ -50,14 +53,19 @@ def find_any(spark: SparkSession, groups: Mapping[str, Sequence[str]]) -> dict[s
     return got
 
 
-def raw_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, JSON or CSV (also compressed) by file name; CSV stays untyped text."""
-    lower = path.lower()
-    if ".parquet" in lower:
-        return spark.read.parquet(path)
-    if ".json" in lower:
-        return spark.read.json(path)
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def raw_table(spark: SparkSession, path: str, *, multiline: bool = False, schema: str | None = None) -> DataFrame:
+    """Parquet, JSON or CSV (also compressed) by the name's ending; CSV stays untyped text.
+
+    With ``multiline`` a CSV cell may hold line breaks, which keeps a file in one task.
+    ``schema`` spares JSON the pass that infers one.
+    """
+    name = path.rstrip("/").rpartition("/")[2].lower()
+    read = spark.read if schema is None else spark.read.schema(schema)
+    if name.endswith(".parquet"):
+        return read.parquet(path)
+    if re.search(r"\.json[l]?(\.\w+)?$", name):
+        return read.json(path)
+    return read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
 
 
 def checked(df: DataFrame, required: Iterable[str], name: str) -> DataFrame:
@@ -68,9 +76,9 @@ def checked(df: DataFrame, required: Iterable[str], name: str) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, name: str, required: Sequence[str], *, columns: Sequence[str] | None = None,
-         datetimes: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+         datetimes: Sequence[str] = (), rows: int | None = None, multiline: bool = False) -> DataFrame:
     """Contract-checked read: column subset, optional row cap, datetimes with bad values as null."""
-    df = checked(raw_table(spark, path), required, name)
+    df = checked(raw_table(spark, path, multiline=multiline), required, name)
     if columns is not None:
         df = df.select(*columns)
     parse = {c: F.try_to_timestamp(c) for c in datetimes
@@ -80,6 +88,44 @@ def load(spark: SparkSession, path: str, name: str, required: Sequence[str], *,
     return df if rows is None else df.limit(rows)
 
 
+def load_table(spark: SparkSession, root: str, name: str, *, columns: Sequence[str] | None = None, rows: int | None = None,
+               layouts: Mapping[str, Sequence[str]] = LAYOUTS) -> DataFrame:
+    """A named table below ``root`` in either layout, against its full contract, with its timestamps read."""
+    if name not in layouts:
+        raise KeyError(f"unknown table {name!r}; known: {sorted(layouts)}")
+    path = find(spark, [f"{root.rstrip('/')}/{p}" for p in layouts[name]], name)
+    return load(spark, path, name, CLINICAL[name], columns=columns, datetimes=DATETIMES, rows=rows, multiline=name in MULTILINE)
+
+
+def discover(spark: SparkSession, root: str, *, patterns: Sequence[str] = MEASUREMENT_FILES,
+             aliases: Mapping[str, Sequence[str]] = MEASUREMENT_ALIASES,
+             telling: Sequence[str] = TELLING_MEASUREMENTS) -> tuple[str | None, dict[str, str], list[str]]:
+    """(path, measurement -> column, what was searched) of the first file below ``root`` that holds a telling measurement.
+
+    File names come from a listing (no content is read), then headers are tried in the
+    order of the patterns; a file that cannot be read is noted and passed over.
+    """
+    searched: list[str] = []
+    for pattern in patterns:
+        try:
+            listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+            paths = sorted(r["path"] for r in listing.select("path").collect())     # a folder of candidate tables
+        except AnalysisException:
+            return None, {}, [f"{root} (not found)"]
+        for path in paths:
+            if not re.search(r"\.csv(\.gz)?$", path.lower()) or path in searched:
+                continue
+            searched.append(path)
+            try:
+                hit = match_columns(raw_table(spark, path).columns, aliases)
+            except Exception as exc:  # noqa: BLE001  any reader's error: the file is of no use here
+                searched.append(f"{path} (unreadable: {type(exc).__name__})")
+                continue
+            if any(m in hit for m in telling):
+                return path, hit, searched
+    return None, {}, searched
+
+
 def load_filtered(df: DataFrame, cohort: DataFrame, key: str, *, column: str | None = None,
                   values: Sequence | None = None) -> DataFrame:
     """Rows of a huge table for cohort keys and wanted values.
@@ -98,7 +144,7 @@ def provenance(df: DataFrame, name: str, source: str) -> DataFrame:
         raise ValueError(f"source must be one of {SOURCES}")
     return df.agg(F.lit(name).alias("name"), F.lit(source).alias("source"), F.count(F.lit(1)).alias("n_rows"),
                   F.lit(len(df.columns)).alias("n_columns"),
-                  F.hex(F.bit_xor(F.xxhash64(*df.columns))).alias("fingerprint"))
+                  content_rows(df).alias("fingerprint"))
 
 
 def file_provenance(spark: SparkSession, path: str) -> DataFrame:
@@ -125,10 +171,11 @@ def match_columns(columns: Iterable[str], aliases: Mapping[str, Sequence[str]] =
     return {m: have[hit] for m, names in aliases.items() if (hit := next((a for a in names if a in have), None))}
 
 
-def measurement_tables(spark: SparkSession, paths: Sequence[str], least: int = 1) -> dict[str, dict[str, str]]:
-    """Candidate files with recognised measurement columns (headers only are read)."""
-    found = {p: match_columns(raw_table(spark, p).columns) for p in paths if exists(spark, p)}
-    return {p: m for p, m in found.items() if len(m) >= least}
+def measurement_tables(spark: SparkSession, paths: Sequence[str], *, aliases: Mapping[str, Sequence[str]] = MEASUREMENT_ALIASES,
+                       telling: Sequence[str] = TELLING_MEASUREMENTS) -> dict[str, dict[str, str]]:
+    """Candidate files with a telling measurement (headers only are read)."""
+    found = {p: match_columns(raw_table(spark, p).columns, aliases) for p in paths if exists(spark, p)}
+    return {p: m for p, m in found.items() if any(t in m for t in telling)}
 
 
 def read_review(spark: SparkSession, path: str) -> DataFrame:
@@ -185,5 +232,6 @@ def read_interval_units(spark: SparkSession, path: str) -> DataFrame:
 
 
 def content_rows(df: DataFrame, *columns) -> Column:
-    """Order-free fingerprint of selected columns, for comparing two reads."""
-    return F.bit_xor(F.xxhash64(*[as_col(c) for c in columns or df.columns]))
+    """Order-free fingerprint of selected columns: the XOR of row hashes and, since pairs of equal rows cancel in it, their sum."""
+    row = F.xxhash64(*[as_col(c) for c in columns or df.columns])
+    return F.concat_ws("-", F.hex(F.bit_xor(row)), F.sum(row.cast("decimal(20,0)")).cast("string"))

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from halfseen.sources.reader import SOURCES, MissingInput, exists
 
@@ -22,7 +23,7 @@ def write_prepared(units: DataFrame, path: str, record: dict, *, fmt: str = "par
     else:
         writer.option("header", True).csv(f"{path}/units")
     spark = units.sparkSession
-    line = spark.createDataFrame([(json.dumps({**record, "format": fmt}, sort_keys=True),)], "value string")
+    line = spark.createDataFrame([(json.dumps({**record, "format": fmt, "schema": units.schema.jsonValue()}, sort_keys=True),)], "value string")
     line.coalesce(1).write.mode(mode).text(f"{path}/record")
 
 
@@ -33,7 +34,7 @@ def read_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     reader = spark.read
     if record["format"] == "parquet":
         return reader.parquet(f"{path}/units"), record
-    return reader.option("header", True).csv(f"{path}/units"), record
+    return reader.schema(StructType.fromJson(record["schema"])).option("header", True).csv(f"{path}/units"), record
 
 
 def write_result(table: DataFrame, path: str, data_source: str, *, fmt: str = "json", mode: str = "error") -> None:

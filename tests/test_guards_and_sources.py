@@ -128,3 +128,63 @@ def test_null_strata_are_kept(spark):
     assert folds.count() == 50
     assert {(r["s"], r["fold"]): r["count"] for r in folds.groupBy("s", "fold").count().collect()} == {
         (s, f): 5 for s in (None, 1) for f in range(5)}
+
+
+def test_layouts_full_contract_and_note_breaks(spark, tmp_path):
+    from halfseen.sources import contracts
+    root = tmp_path / "data"
+    (root / "hosp").mkdir(parents=True)
+    (root / "mimic-iv-note/2.2/note").mkdir(parents=True)
+    import gzip
+    with gzip.open(root / "hosp/patients.csv.gz", "wt") as f:
+        f.write("subject_id,gender,anchor_age,anchor_year,anchor_year_group,dod,more\n1,F,60,2150,2008 - 2010,2151-02-03,x\n2,M,61,2150,g,not a date,y\n")
+    with gzip.open(root / "mimic-iv-note/2.2/note/discharge.csv.gz", "wt") as f:
+        f.write(",".join(contracts.CLINICAL["discharge"]) + '\nn1,1,2,DS,1,2150-01-01 00:00:00,2150-01-02 00:00:00,"line one\nline ""two"""\n')
+    p = reader.load_table(spark, str(root), "patients").orderBy("subject_id").collect()
+    assert p[0]["dod"] is not None and p[1]["dod"] is None and p[0]["more"] == "x"
+    assert reader.load_table(spark, str(root), "discharge").collect()[0]["text"] == 'line one\nline "two"'
+    with gzip.open(root / "hosp/transfers.csv.gz", "wt") as f:
+        f.write("subject_id,careunit,intime,outtime\n1,a,b,c\n")
+    with pytest.raises(reader.ContractViolation, match="transfer_id"):
+        reader.load_table(spark, str(root), "transfers")
+    with pytest.raises(reader.MissingInput):
+        reader.load_table(spark, str(root), "triage")
+    with pytest.raises(KeyError):
+        reader.load_table(spark, str(root), "nonsense")
+
+
+def test_discovery_of_measurements(spark, tmp_path):
+    assert reader.discover(spark, str(tmp_path / "none"))[0] is None
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "study-list.csv").write_text("subject_id,study_id\n1,2\n")
+    (tmp_path / "a_report.csv").write_text("study_id,mr_grade\n1,mild\n")
+    assert reader.discover(spark, str(tmp_path))[0] is None          # a grade alone does not count
+    (tmp_path / "sub" / "measurements.csv").write_text("study_id,EF,IVS\n1,55,1.0\n")
+    path, hit, searched = reader.discover(spark, str(tmp_path))
+    assert path.endswith("measurements.csv") and hit == {"lvef": "EF", "ivsd": "IVS"} and searched[-1] == path
+
+
+def test_format_follows_the_ending(spark, tmp_path):
+    folder = tmp_path / "x.parquet_old"
+    folder.mkdir()
+    (folder / "y.csv").write_text("a\n1\n")
+    assert reader.raw_table(spark, str(folder / "y.csv")).columns == ["a"]
+
+
+def test_typed_csv_fingerprint_exact_split_nested_arrays(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5, None), (2, None, "x")], "id long, x double, s string")
+    sinks.write_prepared(df, str(tmp_path / "p"), {"data_source": "fixture"}, fmt="csv")
+    units, _ = sinks.read_prepared(spark, str(tmp_path / "p"))
+    assert units.dtypes == df.dtypes and sorted(map(tuple, units.collect())) == sorted(map(tuple, df.collect()))
+    one, thrice = df.filter("id = 1"), df.filter("id = 1").union(df.filter("id = 1")).union(df.filter("id = 1"))
+    prints = {reader.provenance(d, "a", "real").collect()[0]["fingerprint"] for d in (one, thrice)}
+    assert len(prints) == 2
+    sides = vd.split_exact(spark.range(101), "id", 0.3, "s").groupBy("side").count().collect()
+    assert {r["side"]: r["count"] for r in sides} == {"test": 30, "train": 71}
+    nested = spark.range(1).select(F.struct(F.sequence(F.lit(1), F.lit(99)).alias("a")).alias("s"))
+    with pytest.raises(AssertionError, match="arrays"):
+        vd.refuse_unit_level(nested, ["id"])
+    deep = spark.range(1).select(F.array(F.struct(F.sequence(F.lit(1), F.lit(99)).alias("a"))).alias("s"))
+    with pytest.raises(AssertionError, match="arrays"):
+        vd.refuse_unit_level(deep, ["id"])
+    vd.refuse_unit_level(spark.range(3).select(F.array(F.lit(1)).alias("k")), ["id"])
