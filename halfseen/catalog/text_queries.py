@@ -286,6 +286,36 @@ def _(spark, d):
     return out(x.select("event_id", "y_obs", "note_n", "route"))
 
 
+def study_measurements(spark, d):
+    """Two measurement rows per second study, of which the first by ``seq`` counts."""
+    studies = events(spark, d, "purchase").select(F.col("event_id").alias("study_id"))
+    v = F.when(F.col("study_id") % 3 == 0, 1.0).when(F.col("study_id") % 3 == 1, 0.0)
+    first = studies.filter("study_id % 2 = 0").select("study_id", v.alias("composite"), F.lit(1).alias("seq"))
+    return first.unionByName(first.select("study_id", (1.0 - F.col("composite")).alias("composite"), F.lit(2).alias("seq")))
+
+
+def measured_units(spark, d):
+    units, _ = linked(spark, d)
+    spans, notes = note_pieces(spark, d)
+    return co.linked_outcomes(units, ident="event_id", by="subject", time="at", notes=notes, note="note", note_stay="stay_id", stays=spans, window=DAY,
+                              measured=study_measurements(spark, d), measured_order=["seq"])
+
+
+@query("c7_measured_route", C7_SQL + " SELECT event_id, CASE WHEN t = 1 AND nearest_id % 2 = 0 THEN CASE nearest_id % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 0e0 END END AS y_obs, 'a_measured' AS route FROM vw")
+def _(spark, d):
+    return out(measured_units(spark, d).select("event_id", "y_obs", "route"))
+
+
+@query("c7_recovery", C7_SQL + f""", j AS (SELECT vw.t, CASE WHEN vw.t = 1 THEN y_note END AS y_obs, y_note, coalesce(note_n, 0) AS k FROM vw LEFT JOIN yn USING (event_id))
+  SELECT count(*) FILTER (WHERE t = 1) AS n_selected, count(y_obs) AS n_labelled, {r('count(y_obs) / greatest(count(*) FILTER (WHERE t = 1), 1)', 'recovery_rate')}, {r('avg(y_obs)', 'prevalence')},
+  count(*) FILTER (WHERE k > 0) AS n_with_notes, count(*) FILTER (WHERE t = 1 AND k > 0 AND y_note IS NULL) AS n_undocumented, count(*) FILTER (WHERE t = 1 AND k = 0) AS n_without_note FROM j""")
+def _(spark, d):
+    units, _ = linked(spark, d)
+    spans, notes = note_pieces(spark, d)
+    x = co.linked_outcomes(units, ident="event_id", by="subject", time="at", notes=notes, note="note", note_stay="stay_id", stays=spans, window=DAY)
+    return out(co.outcome_recovery(x).select("n_selected", "n_labelled", "recovery_rate", "prevalence", "n_with_notes", "n_undocumented", "n_without_note"))
+
+
 # --- review -------------------------------------------------------------------------------------
 
 POOL = """pl AS (SELECT o_orderkey AS note_id, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' WHEN o_orderkey % 3 = 0 THEN 'positive' ELSE 'negative' END AS st FROM orders)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from halfseen.functions import quantiles as qt
 from halfseen.functions import scalar as s
 from halfseen.functions.hashing import unit_interval
-from halfseen.operators.scan import block_rows, ordered_rank
+from halfseen.operators.scan import OrderedScan, ordered_rank
 
 
 def dr_terms(t, y, e, p1, gamma, weight=None, floor: float = 0.02) -> tuple[Column, Column]:
@@ -49,12 +49,43 @@ def prevalence_bounds(units: DataFrame, gamma: float, *, alpha: float = 0.05, t=
 
 
 def equal_bins(units: DataFrame, value: str, bins: int, ident: str, name: str = "bin") -> DataFrame:
-    """Equal-frequency bins ``floor(rank * bins / n)``; ties are ordered by a hash of the id."""
-    n = units.count()
-    rows = units.withColumn("__h", unit_interval(ident, "bins"))
-    ranked = ordered_rank(rows, [], [value, "__h", ident], "__k", tie="__h", measured_small=n <= block_rows(units))
-    b = F.least(F.floor(F.col("__k") * bins / F.lit(max(n, 1))), F.lit(bins - 1)).cast("int")
-    return ranked.withColumn(name, b).drop("__k", "__h")
+    """Equal-frequency bins ``floor(rank * bins / n)``; ties are ordered by a hash of the id.
+
+    Values are counted and only their counts are put in order.  At most ``bins`` values lie
+    across an edge; they come to the driver with the smallest value of each bin.  Every
+    other unit is told its bin by comparison with these, and only the units that share
+    a value across an edge are ranked.
+    """
+    scan = OrderedScan(units.groupBy(value).agg(F.count(F.lit(1)).alias("__n")), [], [value])
+    table = scan.add(__cum=("sum", F.col("__n")), __all=("total", F.col("__n"))).result()
+    at = lambda rank: F.least(F.floor(rank * bins / F.col("__all")), F.lit(bins - 1)).cast("int")
+    table = table.select(value, (F.col("__cum") - F.col("__n")).alias("__before"), "__all", "__cum").withColumns(
+        {"__low": at(F.col("__before")), "__high": at(F.col("__cum") - 1)})
+    marks = (table.withColumn("__torn", F.col(value).isNull() | (F.col("__low") < F.col("__high"))).groupBy("__high", "__torn")
+             .agg(F.min(value).alias("__min"), F.collect_list(F.when(F.col("__torn"), F.struct("__before", F.col(value).alias("v")))).alias("__at"),
+                  F.max("__all").alias("__all")).collect())       # two rows a bin; values across an edge end in bins of their own
+    if not marks:
+        return units.withColumn(name, F.lit(None).cast("int"))
+    total = marks[0]["__all"]
+    ends: dict = {}
+    for r in marks:
+        if r["__min"] is not None:
+            ends[r["__high"]] = min(r["__min"], ends.get(r["__high"], r["__min"]))
+    order = sorted(ends)
+    apart = {x["v"]: x["__before"] for r in marks for x in r["__at"]}
+    found = F.size(F.filter(F.array(*[F.lit(ends[b]) for b in order]), lambda m: m <= F.col(value))) if order else F.lit(0)
+    plain = F.element_at(F.array(*[F.lit(b) for b in order]), found) if order else F.lit(None).cast("int")
+    real = [v for v in apart if v is not None]
+    across = F.col(value).isNull() | (F.col(value).isin(*real) if real else F.lit(False))
+    if not apart:
+        return units.withColumn(name, plain)
+    tied = units.filter(across).withColumn("__h", unit_interval(ident, "bins"))
+    ranked = ordered_rank(tied, [value], ["__h", ident], "__k", tie="__h")
+    before = F.when(F.col(value).isNull(), F.lit(apart.get(None, 0)))
+    for v in real:
+        before = before.when(F.col(value) == F.lit(v), F.lit(apart[v]))
+    placed = F.least(F.floor((F.col("__k") + before) * bins / F.lit(total)), F.lit(bins - 1)).cast("int")
+    return units.filter(~across).withColumn(name, plain).unionByName(ranked.withColumn(name, placed).drop("__k", "__h"))
 
 
 def exact_binomial(table: DataFrame, k: str, n: str, alpha: float, lo: str = "cp_lo",

@@ -23,7 +23,7 @@ from halfseen.operators.joins import match
 from halfseen.operators.lineage import cut
 
 BLOCK_ROWS_CONF = "spark.halfseen.blockRows"
-DEFAULT_BLOCK_ROWS = 20_000_000
+DEFAULT_BLOCK_ROWS = 2_000_000
 SAMPLE = 200
 _BLOCK = "__scan_block"
 _KEY = "__scan_all"

@@ -175,13 +175,18 @@ def linked_cohort(records: DataFrame, studies: DataFrame, *, by: str, ident: str
 
 def linked_outcomes(units: DataFrame, *, ident: str, by: str, time: str, notes: DataFrame, note: str,
                     note_stay: str, stays: DataFrame, window: int, measured: DataFrame | None = None,
-                    codes: DataFrame | None = None, study_time: str = "study_time") -> DataFrame:
+                    measured_order: Sequence[str] = (), study: str = "nearest_id", codes: DataFrame | None = None,
+                    diagnoses: DataFrame | None = None, study_time: str = "study_time") -> DataFrame:
     """Routes a (measured), b (notes) and c (codes); the primary outcome is a if given, else b.
 
     ``stays(by, stay_id, start, stop)``, ``notes(note, note_stay, text)``.  Notes of stays
     that touch no record are never extracted, the others once; a record's label comes from
     counts of positive and negative notes, so no record-note pairs are built.  A record
     whose study lies inside a stay uses the notes of such stays only.
+
+    ``measured(study_id, composite)`` is joined on the linked study: the first row of a study
+    in ``measured_order`` counts, and only selected records get a value.  Route c reads a
+    per-record table ``codes``, then ``diagnoses`` of the containing stay.
     """
     wide = units.withColumns({"__lo": F.col(time) - window, "__hi": F.col(time) + window})
     spans = notes.join(stays.withColumnRenamed("stay_id", note_stay), note_stay).filter(F.col("start") <= F.col("stop"))
@@ -199,15 +204,32 @@ def linked_outcomes(units: DataFrame, *, ident: str, by: str, time: str, notes:
         "note_n": pick("n"), "y_note": F.when(pick("pos") > 0, 1.0).when(pick("neg") > 0, 0.0),
         "note_link": F.when(inside, "contains").when(F.col("n_window") > 0, "window").otherwise("none")})
     out = out.drop("__lo", "__hi", *[f"{c}_{w}" for c in ("n", "pos", "neg") for w in ("window", "contains")])
-    if codes is not None:
-        out = oc.label_from_codes(out, ident=ident, by=by, time=time, direct=codes)
+    if codes is not None or diagnoses is not None:
+        out = oc.label_from_codes(out, ident=ident, by=by, time=time, direct=codes,
+                                  stays=stays if diagnoses is not None else None, diagnoses=diagnoses)
     if measured is not None:
-        out = out.join(measured.select(ident, F.col("composite").alias("y_struct")), ident, "left")
+        one = tm.keep_first(measured.filter("study_id IS NOT NULL"), ["study_id"], list(measured_order) or ["composite"])
+        one = one.select(F.col("study_id").alias("__study"), F.col("composite").cast("double").alias("__measured"))
+        out = out.join(one, F.col(study) == F.col("__study"), "left")
+        out = out.withColumn("y_struct", F.when(F.col("t") == 1, F.col("__measured"))).drop("__study", "__measured")
     primary = F.col("y_struct") if measured is not None else F.col("y_note")
     return out.withColumns({"y_obs": F.when(F.col("t") == 1, primary),
                             "route": F.lit("a_measured" if measured is not None else "b_notes")})
 
 
+def outcome_recovery(units: DataFrame) -> DataFrame:
+    """One row: how many selected records got a primary outcome and why the others did not."""
+    chosen, known, noted = F.col("t") == 1, F.col("y_obs").isNotNull(), F.coalesce(F.col("note_n"), F.lit(0)) > 0
+    return units.agg(
+        F.count_if(chosen).alias("n_selected"), F.count_if(chosen & known).alias("n_labelled"),
+        (F.count_if(chosen & known) / F.greatest(F.count_if(chosen), F.lit(1))).alias("recovery_rate"),
+        F.avg(F.when(chosen, F.col("y_obs"))).alias("prevalence"), F.count_if(noted).alias("n_with_notes"),
+        F.count_if(chosen & F.col("y_note").isNotNull()).alias("n_note_label"),
+        F.count_if(chosen & noted & F.col("y_note").isNull()).alias("n_undocumented"),
+        F.count_if(chosen & ~noted).alias("n_without_note"),
+        *[F.count_if(chosen & (F.col("note_link") == k)).alias(f"link_{k}") for k in ("contains", "window", "none")])
+
+
 # --- screening ------------------------------------------------------------------------
 
 def first_per_year(exams: DataFrame, subject: str, date: str, tie: str) -> DataFrame:
