@@ -100,6 +100,28 @@ def _(spark, d):
     return out(n.select("note_id", nt.pick_primary(nt.ef_numeric("text"))["value"].alias("value")))
 
 
+@query("n2_negated_mentions", "SELECT o_orderkey AS note_id, (['normal', 'reduced', 'severely_reduced'])[o_custkey % 3 + 1] AS word, CAST(o_orderkey % 2 AS BIGINT) AS negated FROM orders")
+def _(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    word = F.element_at(F.array(*[F.lit(w) for w in ("normal", "reduced", "severely reduced")]), (c % 3 + 1).cast("int"))
+    text = F.concat(F.lit("Echo shows "), F.when(k % 2 == 1, F.lit("no ")).otherwise(F.lit("")), word, F.lit(" EF."))
+    n = spread(table(spark, d, "orders")).select(k.alias("note_id"), text.alias("text")).withColumn("num", nt.ef_numeric("text"))
+    n = n.select("note_id", F.explode(nt.ef_qualitative("text", "num")).alias("f"))
+    return out(n.select("note_id", F.col("f.word").alias("word"), F.col("f.negated").alias("negated")))
+
+
+@query("n4_history_windows", """WITH o AS (SELECT o_orderkey AS k FROM orders)
+  SELECT k AS note_id, CAST(i AS BIGINT) AS place, CAST(h AS BIGINT) AS historical, CAST(c AS BIGINT) AS in_context FROM (SELECT k, 0 AS i, 1 AS h, 1 AS c FROM o WHERE k % 3 = 0 UNION ALL SELECT k, 0, 1, 1 FROM o WHERE k % 3 = 1 UNION ALL SELECT k, 1, 0, 1 FROM o WHERE k % 3 = 1
+  UNION ALL SELECT k, 0, 0, 0 FROM o WHERE k % 3 = 2) q""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    text = (F.when(k % 3 == 0, "Prior echo EF 60%.").when(k % 3 == 1, "Previous TTE: EF 55%.\nEcho today shows EF 35%.")
+            .otherwise("Cell volume fine. EF 50%."))
+    n = spread(table(spark, d, "orders")).select(k.alias("note_id"), text.alias("text"))
+    n = n.select("note_id", F.posexplode(nt.ef_numeric("text")).alias("place", "f"))
+    return out(n.select("note_id", "place", F.col("f.historical").alias("historical"), F.col("f.in_context").alias("in_context")))
+
+
 @query("n6_wall_thickness", W + NOTE + " SELECT note_id, CASE WHEN c % 3 = 0 THEN 'septal' ELSE 'posterior' END AS site, round(wall, 2) + 0e0 AS cm FROM fr WHERE wall IS NOT NULL")
 def _(spark, d):
     n = rendered_notes(spark, d).select("note_id", F.explode(nt.wall_mentions("text")).alias("w"))
