@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halfseen.operators.lineage import shared_folder
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -33,6 +35,17 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that end inside go when they end; use it for plans that run once."""
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before)
+
+
 def handover(df: DataFrame) -> DataFrame:
     """Write a stage's rows as Parquet in the shared folder and go on from there.
 
@@ -40,7 +53,8 @@ def handover(df: DataFrame) -> DataFrame:
     what is upstream.
     """
     path = shared_path(df.sparkSession, "handover")
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,19 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halfseen.llm.common import handover, query, table
+from halfseen.llm.common import handover, query, table, tidy
 from halfseen.llm.shingles import mix, texts
 
 LENGTH = 100                   # a string of so many bytes that also starts earlier is removed
 BLOCK = 50                     # bytes of a block; a triple is the block before a sampled position, at it and behind it
 REACH = LENGTH - BLOCK         # a string's sample lies 0..REACH bytes behind its start
-BATCH = 1 << 19                # bytes worked on at a time, unless one document is longer
+BATCH = 1 << 16                # bytes worked on at a time, unless one document is longer
 LOW = np.uint64((1 << 24) - 1)
 SEGMENT = (1 << 24) - 4 * LENGTH
 SIEVE = 1 << 26                # bits of the map of repeated block names
+DOC_SIEVE = 1 << 24            # bits of a map of documents
 HOT = 20_000                   # names with more contexts than this are merged by aggregation instead of in a task
 
 BASE = 0x9E3779B97F4A7C15
@@ -62,10 +63,10 @@ def samples(x: np.ndarray, start: np.ndarray, end: np.ndarray):
     first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])])
     last = np.r_[first[1:], len(p)] - 1
     a, doc = own[first], doc[first]
-    name = h[a]
+    name = mix(h[a])           # the smallest of many are small numbers: mixed again they spread over ranges and maps
     inside = (a - start[doc] >= BLOCK) & (a + LENGTH <= end[doc])
     left, right = h[np.maximum(a - BLOCK, 0)], h[np.minimum(a + BLOCK, len(h) - 1)]
-    triple = mix(mix(left + name) + right)
+    triple = mix(mix(left + h[a]) + right)
     raw = x.tobytes()
     for k in np.flatnonzero(~inside).tolist():
         lo, hi = max(int(start[doc[k]]), int(a[k]) - BLOCK), min(int(end[doc[k]]), int(a[k]) + LENGTH)
@@ -114,100 +115,134 @@ def sampled(bodies: list[bytes]) -> Iterator[tuple]:
 def repeated_names(docs: DataFrame, total_bytes: int) -> bytes:
     """Bitmap (by the leading bits) of block names that occur at two samples or more.
 
-    Names are dealt out by range in packed arrays, at most two of a kind from a batch; each
-    range is sorted once and reports its slice of the map, so the driver gets SIEVE bits.
+    Names are dealt out by range in packed arrays of the 32 bits behind their range's, at
+    most two of a kind from a batch; each range is sorted once and reports its slice of the
+    map, so the driver gets SIEVE bits. Names that agree in these bits count as repeated,
+    which only leaves more to decide later.
     """
-    ranges = 1 << max(4, (total_bytes // 26 // 2_000_000).bit_length())
-    ranges = min(ranges, SIEVE // 8)
-    shift, bit = np.uint64(64 - ranges.bit_length() + 1), np.uint64(64 - SIEVE.bit_length() + 1)
+    ranges = min(1 << max(4, (total_bytes // 26 // 2_000_000).bit_length()), SIEVE // 8)
+    bits = ranges.bit_length() - 1
+    shift, rest, spot = np.uint64(64 - bits), np.uint64(32 - bits), np.uint64(SIEVE.bit_length() - 1 - bits)
 
     def names(batches):
         for batch in batches:
-            for found in sampled(texts(batch, "body")):
-                x = np.sort(found[4])
-                x = x[np.r_[True, True, x[2:] != x[:-2]][:len(x)]]
-                cut = np.flatnonzero(np.r_[True, (x[1:] >> shift) != (x[:-1] >> shift)]) if len(x) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((x[cut] >> shift).astype(np.int64)), pa.array([g.tobytes() for g in np.split(x, cut[1:])] if len(x) else [], pa.binary())],
-                    ["k", "names"])
+            found = [f[4] for f in sampled(texts(batch, "body"))]
+            x = np.sort(np.concatenate(found)) if found else np.empty(0, np.uint64)
+            x = x[np.r_[True, True, x[2:] != x[:-2]][:len(x)]]
+            k = (x >> shift).astype(np.int64)
+            cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
+            tail = (x >> rest).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array([g.tobytes() for g in np.split(tail, cut[1:])] if len(k) else [], pa.binary())],
+                                             ["k", "names"])
 
     def slices(batches):
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             for k, b in zip(batch.column("k").to_pylist(), batch.column("names").to_pylist()):
                 held.setdefault(k, []).append(b)
-        width = SIEVE // ranges
-        for k, parts in held.items():
-            x = np.sort(np.frombuffer(b"".join(parts), np.uint64))
-            twice = x[1:][x[1:] == x[:-1]]
-            bits = np.zeros(width, np.uint8)
-            bits[(twice >> bit).astype(np.int64) - k * width] = 1
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["k", "bits"])
+        for k in list(held):
+            x = np.sort(np.frombuffer(b"".join(held.pop(k)), np.uint32))
+            on = np.zeros(SIEVE // ranges, np.uint8)
+            on[(x[1:][x[1:] == x[:-1]] >> np.uint32(32 - int(spot))).astype(np.int64)] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(on).tobytes()], pa.binary())], ["k", "bits"])
 
     dealt = docs.select("body").mapInArrow(names, "k long, names binary").repartition(ranges, "k")
     full = bytearray(SIEVE // 8)
     step = SIEVE // ranges // 8
-    for r in dealt.mapInArrow(slices, "k long, bits binary").collect():
-        full[r["k"] * step:(r["k"] + 1) * step] = r["bits"]
+    with tidy(docs.sparkSession):
+        for r in dealt.mapInArrow(slices, "k long, bits binary").collect():
+            full[r["k"] * step:(r["k"] + 1) * step] = r["bits"]
     return bytes(full)
 
 
 def named(docs: DataFrame, sieve) -> DataFrame:
-    """Samples whose name may be repeated: doc, tie, pos, near, far, name, triple, later (the document holds the triple before)."""
-    kinds = {"doc": "long", "tie": "long", "pos": "int", "near": "int", "far": "int", "name": "long", "triple": "long", "later": "boolean"}
+    """Samples whose name may be repeated: doc, spot (packed place), name (32 bits), triple, later.
+
+    later: the batch holds the triple in an earlier document, or earlier in the same one. That
+    settles the sample, so it gets a triple of its own and a triple of very many documents
+    leaves a batch once.
+    """
     bit = np.uint64(64 - SIEVE.bit_length() + 1)
 
     def run(batches):
-        bits = np.frombuffer(sieve.value, np.uint8)
+        on = np.frombuffer(sieve.value, np.uint8)
         for batch in batches:
-            ids, ties = (batch.column(c).to_numpy() for c in ("doc", "tie"))
+            ids, parts = batch.column("doc").to_numpy(), []
             for doc, pos, near, far, name, triple in sampled(texts(batch, "body")):
                 at = (name >> bit).astype(np.int64)
-                ok = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-                doc, pos, near, far, name, triple = (c[ok] for c in (doc, pos, near, far, name, triple))
-                order = np.lexsort((pos, triple, name, doc))
-                same = np.r_[False, np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in (doc, name, triple)])] if len(order) else np.empty(0, bool)
-                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else np.empty(0, np.int64)
-                later = np.empty(len(order), bool)
-                later[order] = same & (pos[order] != pos[order][lead]) if len(order) else False
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[doc]), pa.array(ties[doc]), *(pa.array(c.astype(np.int32)) for c in (pos, near, far)),
-                     pa.array(name.view(np.int64)), pa.array(triple.view(np.int64)), pa.array(later)], list(kinds))
+                ok = (on[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+                parts.append((ids[doc[ok]], pos[ok] << 12 | near[ok] << 6 | far[ok], name[ok], triple[ok]))
+            if not parts:
+                continue
+            doc, spot, name, triple = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((spot, doc, triple))
+            d, s, t = doc[order], spot[order], triple[order]
+            again = np.r_[False, t[1:] == t[:-1]][:len(t)]
+            lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(t)))) if len(t) else np.empty(0, np.int64)
+            later = np.empty(len(t), bool)
+            later[order] = again & ~((d == d[lead]) & (s >> 12 == s[lead] >> 12))
+            triple = np.where(later, mix(doc.astype(np.uint64) * np.uint64(BASE) + spot.astype(np.uint64)), triple)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(spot), pa.array((name >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                                              pa.array(triple.view(np.int64)), pa.array(later)], ["doc", "spot", "name", "triple", "later"])
 
-    return docs.select("doc", "tie", "body").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    return docs.select("doc", "body").mapInArrow(run, "doc long, spot long, name int, triple long, later boolean")
 
 
 def ruled(found: DataFrame, hot: int) -> DataFrame:
-    """What names say of each sample: state 2, its triple also occurs in an earlier document (or earlier in its own), so all its strings do;
-    0 or 3 (a name with many contexts): it is the first of its triple, but its name has other triples. Samples whose strings are certainly
-    first are left out."""
-    first = found.where("not later").groupBy("name", "triple").agg(F.min("doc").alias("first"))
-    kinds = first.groupBy("name").agg(F.count(F.lit(1)).alias("contexts"))
-    told = first.join(kinds, "name")
-    state = F.when(F.col("first") < F.col("doc"), 2).when(F.col("contexts") > hot, 3).when(F.col("contexts") > 1, 0)
-    keep = ["doc", "tie", "pos", "near", "far", "name", "state"]
-    marked = found.where("not later").join(told, ["name", "triple"]).withColumn("state", state).where("state is not null").select(*keep)
-    return marked.unionByName(found.where("later").withColumn("state", F.lit(2)).select(*keep))
-
-
-def open_suffixes(docs: DataFrame) -> DataFrame:
+    """(doc, at) with at = structs of spot, state and name.
+
+    State 2: the sample's triple also occurs in an earlier document (or earlier in its own),
+    so all its strings do. 0, or 3 for a name with many contexts: it is the first of its
+    triple, but its name has other triples. Samples whose strings are certainly first are
+    left out.
+    """
+    front = F.min("doc").over(Window.partitionBy("triple"))
+    told = handover(found.withColumn("front", front).select("doc", "spot", F.when(~F.col("later") & (F.col("doc") == F.col("front")), F.col("name")).alias("name")))
+    firsts = told.where("name is not null")
+    kinds = firsts.groupBy(F.col("name").alias("k")).agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
+    undecided = firsts.join(kinds, F.col("name") == F.col("k")).select(
+        "doc", "spot", F.when(F.col("contexts") > hot, 3).otherwise(0).alias("state"), "name")
+    settled = told.where("name is null").select("doc", "spot", F.lit(2).alias("state"), "name")
+    each = settled.unionByName(undecided)
+    return handover(each.groupBy("doc").agg(F.collect_list(F.struct("spot", "state", "name")).alias("at")))     # bounded by the document's length
+
+
+def only_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc, body) of docs that may be in ids (doc): a broadcast bitmap of fixed size spares most others the shuffle of a join."""
+    spot = F.pmod(F.xxhash64("doc"), F.lit(DOC_SIEVE))
+    bits = np.zeros((DOC_SIEVE // 32768, 4096), np.uint8)
+    with tidy(docs.sparkSession):
+        for r in (ids.select(spot.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("k"))
+                  .agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect()):
+            bits[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    sieve = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches):
+        on = np.unpackbits(np.frombuffer(sieve.value, np.uint8), bitorder="little")
+        for batch in batches:
+            yield batch.select(["doc", "body"]).filter(pa.array(on[batch.column("spot").to_numpy()] > 0))
+
+    return docs.select("doc", "body", spot.alias("spot")).mapInArrow(run, "doc long, body string")
+
+
+def open_suffixes(docs: DataFrame, at: DataFrame) -> DataFrame:
     """The contexts of samples in state 0 or 3: the bytes BLOCK before to LENGTH behind, padded with zeros where the document ends."""
-    names = ["name", "doc", "tie", "pos", "near", "far", "state", "context"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["name", "doc", "spot", "state", "context"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    todo = at.select("doc", F.filter("at", lambda s: s["state"] != 2).alias("at")).where("size(at) > 0")
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, tie, at, body in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "at")), texts(batch, "body")):
-                for s in at:
-                    if s["state"] != 2:
-                        p = s["pos"]
-                        context = body[max(0, p - BLOCK):p].rjust(BLOCK, b"\0") + body[p:p + LENGTH].ljust(LENGTH, b"\0")
-                        out.append((s["name"], doc, tie, p, s["near"], s["far"], s["state"], context))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names)
+            for doc, found, body in zip(batch.column("doc").to_pylist(), batch.column("at").to_pylist(), texts(batch, "body")):
+                for s in found:
+                    p = s["spot"] >> 12
+                    out.append((s["name"], doc, s["spot"], s["state"],
+                                body[max(0, p - BLOCK):p].rjust(BLOCK, b"\0") + body[p:p + LENGTH].ljust(LENGTH, b"\0")))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names)
 
-    return docs.select("doc", "tie", "at", "body").mapInArrow(
-        run, "name long, doc long, tie long, pos int, near int, far int, state int, context binary")
+    rows = only_in(docs, todo.select("doc")).join(todo, "doc")
+    return rows.select("doc", "at", "body").mapInArrow(run, "name int, doc long, spot long, state int, context binary")
 
 
 def words_of(b: np.ndarray) -> list[np.ndarray]:
@@ -226,18 +261,19 @@ def adjacent(name: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merged(t: pa.Table) -> pa.RecordBatch:
-    """(doc, tie, pos, mask): for samples of whole names, a bit for every distance whose string also starts earlier.
+    """(doc, spot, mask): for samples of whole names, a bit for every distance whose string also starts earlier.
 
     Suffixes from the samples are sorted, and so are the reversed bytes before them. A
     string that starts d bytes before a sample is the d bytes before it and the LENGTH - d
     bytes from it: equal strings are runs of shared prefixes in both orders.
     """
-    name, doc, tie, pos, near, far = (t.column(c).to_numpy() for c in ("name", "doc", "tie", "pos", "near", "far"))
+    name, doc, spot = (t.column(c).to_numpy() for c in ("name", "doc", "spot"))
+    pos, near, far = spot >> 12, spot >> 6 & 63, spot & 63
     context = np.frombuffer(b"".join(t.column("context").to_pylist()), np.uint8).reshape(-1, BLOCK + LENGTH)
     right, rprefix = adjacent(name, context[:, BLOCK:])
     left, lprefix = adjacent(name, context[:, BLOCK - 1::-1])
     age = np.empty(len(name), np.int64)
-    age[np.lexsort((pos, tie, doc))] = np.arange(len(name))
+    age[np.lexsort((pos, doc))] = np.arange(len(name))
     mask = np.zeros(len(name), np.int64)
     r, q = np.empty(len(name), np.int64), np.empty(len(name), np.int64)
     for d in range(REACH + 1):
@@ -250,10 +286,10 @@ def merged(t: pa.Table) -> pa.RecordBatch:
         again = np.r_[False, key[order][1:] == key[order][:-1]]
         lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
         at, front = take[order], take[order][lead]
-        later = again & ~((doc[at] == doc[front]) & (tie[at] == tie[front]) & (pos[at] == pos[front]))
+        later = again & ~((doc[at] == doc[front]) & (pos[at] == pos[front]))
         mask[at[later]] |= np.int64(1) << np.int64(d)
     hit = np.flatnonzero(mask)
-    return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(tie[hit]), pa.array(pos[hit]), pa.array(mask[hit])], ["doc", "tie", "pos", "mask"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(spot[hit]), pa.array(mask[hit])], ["doc", "spot", "mask"])
 
 
 def merge_names(rows: DataFrame) -> DataFrame:
@@ -273,34 +309,36 @@ def merge_names(rows: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield merged(held)
 
-    return rows.repartition("name").sortWithinPartitions("name").mapInArrow(run, "doc long, tie long, pos int, mask long")
+    return rows.repartition("name").sortWithinPartitions("name").mapInArrow(run, "doc long, spot long, mask long")
 
 
 def merge_hot(rows: DataFrame) -> DataFrame:
     """The same for names with many contexts: one row per string, the first found by an aggregation with map-side combining."""
-    each = rows.select("doc", "tie", "pos", "name", F.explode(F.sequence("near", "far")).alias("d"), "context")
+    pos, near, far = F.shiftright("spot", 12), F.shiftright("spot", 6).bitwiseAND(63), F.col("spot").bitwiseAND(63)
+    each = rows.select("doc", "spot", pos.alias("pos"), F.explode(F.sequence(near.cast("int"), far.cast("int"))).alias("d"), "context")
     each = each.withColumn("string", F.unhex(F.sha2(F.expr(f"substring(context, {BLOCK} - d + 1, {LENGTH})"), 256))).drop("context")
-    front = each.groupBy("d", "string").agg(F.min(F.struct("doc", "tie", "pos")).alias("front"))
-    later = each.join(front, ["d", "string"]).where(
-        "not (doc = front.doc and tie = front.tie and pos = front.pos)")
-    return later.groupBy("doc", "tie", "pos").agg(F.expr("bit_or(shiftleft(1L, d))").alias("mask"))
+    front = each.groupBy("d", "string").agg(F.min(F.struct("doc", "pos")).alias("front"))
+    later = each.join(front, ["d", "string"]).where("not (doc = front.doc and pos = front.pos)")
+    return later.groupBy("doc", "spot").agg(F.expr("bit_or(shiftleft(1L, d))").alias("mask"))
 
 
 def cut_out(docs: DataFrame) -> DataFrame:
-    """(doc, tie, n_removed, n_spans, kept_sha256) of documents with ruled samples (at) and masks."""
-    names = ["doc", "tie", "n_removed", "n_spans", "kept_sha256"]
+    """(doc, n_removed, n_spans, kept_sha256) of documents with ruled samples (at) and masks."""
+    names = ["doc", "n_removed", "n_spans", "kept_sha256"]
 
     def one(body: bytes, at, masks):
         edge = np.zeros(len(body) + 1, np.int32)
         for s in at:
             if s["state"] == 2:
-                edge[s["pos"] - s["far"]] += 1
-                edge[s["pos"] - s["near"] + LENGTH] -= 1
+                p = s["spot"] >> 12
+                edge[p - (s["spot"] & 63)] += 1
+                edge[p - (s["spot"] >> 6 & 63) + LENGTH] -= 1
         for m in masks or ():
+            p = m["spot"] >> 12
             for d in range(REACH + 1):
                 if m["mask"] >> d & 1:
-                    edge[m["pos"] - d] += 1
-                    edge[m["pos"] - d + LENGTH] -= 1
+                    edge[p - d] += 1
+                    edge[p - d + LENGTH] -= 1
         gone = np.cumsum(edge[:-1]) > 0
         kept = np.frombuffer(body, np.uint8)[~gone]
         return int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(kept.tobytes()).hexdigest()
@@ -308,10 +346,22 @@ def cut_out(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = [one(b, at, m) for b, at, m in zip(texts(batch, "body"), batch.column("at").to_pylist(), batch.column("masks").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), *(
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(
                 pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.string())))], names)
 
-    return docs.select("doc", "tie", "body", "at", "masks").mapInArrow(run, "doc long, tie long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.select("doc", "body", "at", "masks").mapInArrow(run, "doc long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, body and doc: a number of its own for every text of an id, in the order that counts."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    behind = F.shiftright(F.xxhash64("body"), 2) + F.lit((1 << 62) + (1 << 61))
+    tie = rows.where("id is not null").select("id", F.xxhash64("body").alias("tie"))
+    clash = handover(tie.groupBy(F.col("id").alias("c")).agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a < b").select("c"))
+    if clash.isEmpty():
+        return rows.withColumn("doc", F.coalesce("id", behind))
+    return rows.join(clash, F.col("id") == F.col("c"), "left").withColumn("doc", F.when(F.col("c").isNull(), F.col("id"))).withColumn(
+        "doc", F.coalesce("doc", behind)).drop("c")
 
 
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -326,27 +376,23 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
        sorted, the strings between samples are merged in by their distance, and adjacent
        prefixes say which are equal. Bytes are compared here; names are 64-bit hashes.
 
-    Rows of one id and text are one document. A row without id counts as behind all others,
-    in the order of a hash of its text. Rows that share an id but not a text are one
-    document to each other: what only they share stays. Null and empty texts have no
-    bytes. Other columns are not read; an empty table gives no rows.
+    Rows of one id and text are one document. Rows without id, and rows that share an id
+    but not a text, count as behind all others, in the order of a hash of their text. Null
+    and empty texts have no bytes. Other columns are not read; an empty table gives no rows.
     """
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body")).withColumn("tie", F.xxhash64("body"))
-    rows = rows.withColumn("doc", F.coalesce("id", F.shiftright("tie", 2) + (F.lit(1 << 62) + (1 << 61))))
-    long = rows.where(F.octet_length("body") >= LENGTH).select("doc", "tie", "body")
+    rows = keyed(docs, id_col, text_col)
+    long = rows.where(F.octet_length("body") >= LENGTH).select("doc", "body")
     total = long.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     sieve = docs.sparkSession.sparkContext.broadcast(repeated_names(long, total))
-    rules = ruled(handover(named(long, sieve)), hot)
-    at = rules.groupBy("doc", "tie").agg(F.collect_list(F.struct("pos", "near", "far", "name", "state")).alias("at"))   # at most the document's length
-    touched = handover(long.join(at, ["doc", "tie"]))
-    suffixes = handover(open_suffixes(touched))
+    at = ruled(named(long, sieve), hot)
+    suffixes = handover(open_suffixes(long, at))
     masks = merge_names(suffixes.where("state = 0")).unionByName(merge_hot(suffixes.where("state = 3")))
-    masks = masks.groupBy("doc", "tie").agg(F.collect_list(F.struct("pos", "mask")).alias("masks"))
-    cut = cut_out(touched.join(masks, ["doc", "tie"], "left")).dropDuplicates(["doc", "tie"])
-    out = rows.select("id", "doc", "tie", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("whole"))
+    masks = handover(masks.distinct().groupBy("doc").agg(F.collect_list(F.struct("spot", "mask")).alias("masks")))
+    touched = only_in(long, at.select("doc")).join(at, "doc").join(masks, "doc", "left")
+    cut = handover(cut_out(touched)).dropDuplicates(["doc"])
+    out = rows.select("id", "doc", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("whole"))
     zero = F.lit(0).cast("long")
-    return out.join(cut, ["doc", "tie"], "left").select(
+    return out.join(cut, "doc", "left").select(
         F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
