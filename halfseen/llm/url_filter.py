@@ -17,35 +17,27 @@ FEATURES = 1 << 16             # hash range
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"),
          ("block", "net", "/fr/")]
 
-#: The small labelled table of the default model: hosts and paths people block, and ordinary ones.
+#: The small labelled table of the default model: names people block and ordinary ones, each in some of the places below.
 BLOCKED = """
-http://casino-royal.example.org/en/1 http://online-casino.example.net/play http://win-casino.example.com/bonus http://casinowin.example.org/slots
-http://poker-win.example.net/en/3 http://best-slots.example.org/en/20 http://free-bets.example.net/en/7 http://bets-online.example.com/odds
-http://sport-bets.example.org/tips http://betting-free.example.net/en http://jackpot-win.example.com/en http://adult-x.example.org/en/5
-http://adult-video.example.net/watch http://x-adult.example.com/en http://xxx-video.example.org/free http://sexcam-x.example.net/live
-http://porn-tube.example.com/xxx http://cheap-pills.example.org/en/9 http://pills-online.example.net/buy http://cheap-viagra.example.com/pills
-http://pharma-pills.example.org/order http://cheap-meds.example.net/en http://spam-farm.example.org/en/2 http://farm-links.example.net/spam
-http://link-farm.example.com/seo http://spam-mail.example.org/bulk http://seo-spam.example.net/links http://ads-track.example.org/pixel
-http://track-ads.example.net/click http://ads-server.example.com/banner http://click-track.example.org/ads http://ad-tracker.example.net/en
-http://pixel-track.example.com/en/4 http://payday-loans.example.org/fast http://cheap-loans.example.net/en http://free-money.example.com/win
-http://warez-crack.example.org/free http://torrent-free.example.net/crack http://keygen-crack.example.com/en http://malware-free.example.org/win
+casino casino-royal online-casino casino-win poker poker-win best-slots jackpot roulette free-bets bets-online sport-bets betting adult adult-x
+adult-video x-adult xxx-video sexcam porn-tube escort cheap-pills pills-online cheap-meds cheap-viagra pharma-pills spam-farm spam-mail link-farm
+farm-links seo-spam ads-track ad-tracker ads-server track-ads click-track banner-ads pixel-track payday-loans cheap-loans free-money free-warez
+crack-keygen free-torrent malware-free
 """
 ALLOWED = """
-http://library.example.org/en/1 http://www.university.example.net/courses http://news.example.com/en/20 http://weather.example.org/de/3
-https://blog.traveler.example.net/fr/8 https://m.recipes.example.com/es/12 http://garden.example.org/plants/roses http://museum.example.net/en/7
-https://www.city-council.example.org/notices http://hospital.example.com/visit http://school.example.net/en/101 https://forum.linux.example.org/t/55
-http://therapist.example.org/en/4 http://thermal.example.net/en/9 http://m.there.example.org/fr/2 http://then.example.com/de/77
-https://blog.nation.example.org/en/81 https://station.example.net/es/6 http://m.edition.example.com/en/313 http://www.ration.example.net/en/4444
-http://another.example.org/de/5 http://mother.example.net/fr/66.html http://weather-th.example.com/en/7000 https://things.example.org/en/808
-https://www.theory.example.net/en/9921 http://ethics.example.org/es/17 http://blog.earth.example.com/en/5003 http://tables.example.net/en/2
-https://maths.example.org/papers/2020 http://code.example.net/src/main https://docs.example.com/guide/intro http://radio.example.org/live
-http://thunder.example.net/en/31 http://m.threads.example.org/en/1000 https://whale.example.com/fr/45 http://stable.example.org/en/62
-http://orchestra.example.net/concerts http://english.example.org/grammar http://m.teams.example.net/de/9 https://www.notes.example.org/en/12
+library university news weather traveler recipes garden museum council hospital school forum therapist thermal there then nation station edition
+ration another mother things theory ethics earth tables maths code docs radio thunder threads whale stable orchestra english teams notes healthy
+thorn thousand throne thesis theatre title action attention mention motion option portion thistle heath breath north south writing morning
 """
+PREFIXES, ENDS = ("", "www.", "m.", "blog."), ("com", "org", "net")
+PATHS = ("/en/12", "/de/7310.html", "/fr/31/", "/es/900?page=2", "/en/4821#top", "/")
 
 
 def default_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(u, 1) for u in BLOCKED.split()] + [(u, 0) for u in ALLOWED.split()], "url string, label int")
+    """Every name under three prefixes; ends and paths take turns, so that they tell nothing about the label."""
+    rows = [(f"http://{PREFIXES[(k + j) % 4]}{name}.example.{ENDS[(k + j) % 3]}{PATHS[(2 * k + j) % 6]}", label)
+            for label, names in ((1, BLOCKED), (0, ALLOWED)) for k, name in enumerate(names.split()) for j in range(3)]
+    return spark.createDataFrame(rows, "url string, label int")
 
 
 def host_of(url: Column) -> Column:
