@@ -19,10 +19,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word -> xxHash64; forgotten when it holds a million words."""
+    """word -> xxHash64; forgotten when it holds 200,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

@@ -27,8 +27,8 @@ STEMS = (4, 5, 6, 7)                       # bytes of a word's beginning that ar
 
 
 def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
-    """(start, end, words) in bytes."""
-    return [(m.start(), m.end(), m[0].translate(TABLE).split()) for m in SENTENCE.finditer(text)]
+    """(start, end, words) in bytes, of sentences that have words."""
+    return [(m.start(), m.end(), words) for m in SENTENCE.finditer(text) if (words := m[0].translate(TABLE).split())]
 
 
 def features(word: bytes) -> list[bytes]:
@@ -37,14 +37,14 @@ def features(word: bytes) -> list[bytes]:
 
 
 class WordWeights(dict):
-    """word -> summed weight of its features; forgotten when it holds a million words."""
+    """word -> summed weight of its features; forgotten when it holds 200,000 words."""
 
     def __init__(self, weights: dict[bytes, float]):
         super().__init__()
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         get = self.weights.get
         total = self[word] = sum(get(f, 0.0) for f in features(word))
@@ -143,9 +143,10 @@ def score(docs: DataFrame, model: tuple[dict[bytes, float], float], threshold: f
         flat = text.translate(TABLE)
         for m in SENTENCE.finditer(text):
             a, b = m.span()
-            z = bias
-            for w in set(flat[a:b].split()):
-                z += weight(w)
+            words = set(flat[a:b].split())
+            if not words:
+                continue
+            z = bias + sum(map(weight, words))
             log_none -= z if z > 30 else math.log1p(math.exp(z))
             if top is None or z > top:
                 top, where = z, (a, b)
