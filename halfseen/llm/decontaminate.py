@@ -44,7 +44,7 @@ class ItemIndex:
             item = np.repeat([k for _, k in found], [len(k) for k, _ in found])
             order = np.argsort(key, kind="stable")
             sieve = np.zeros(1 << min(25, max(16, int(64 * len(key)).bit_length())), bool)
-            sieve[(key >> self.shift(sieve)).astype(np.int64)] = True
+            sieve[self.spot(key, sieve)] = True
             self.classes[s] = key[order], item[order], sieve
 
     @staticmethod
@@ -53,12 +53,13 @@ class ItemIndex:
         return (x >> np.uint64(32)).astype(np.uint32)
 
     @staticmethod
-    def shift(sieve: np.ndarray) -> np.uint32:
-        return np.uint32(32 - len(sieve).bit_length() + 1)
+    def spot(values: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+        """Place in the sieve; minima are small numbers, multiplied they spread over it."""
+        return values * np.uint32(0x9E3779B1) >> np.uint32(32 - len(sieve).bit_length() + 1)
 
     def look_up(self, s: int, values: np.ndarray) -> set[int]:
         key, item, sieve = self.classes[s]
-        values = values[sieve[(values >> self.shift(sieve)).astype(np.int64)]]
+        values = values[sieve[self.spot(values, sieve)]]
         lo, hi = np.searchsorted(key, values, "left"), np.searchsorted(key, values, "right")
         return {int(item[k]) for a, b in zip(lo[hi > lo], hi[hi > lo]) for k in range(a, b)}
 
