@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,11 +24,26 @@ LENGTH, END = 4096, 1
 #: The tokenizer lower-cases and always parts letters (here: of the Latin-1 range) from ASCII marks other than the apostrophe,
 #: so texts may be lower-cased and such places opened by a blank without another result, and far fewer chunks differ.
 LETTER, MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")      # lower-case letters of that range in UTF-8
 BEHIND, BEFORE = (f"({LETTER})({MARK})", r"\1 \2"), (f"({MARK})({LETTER})", r"\1 \2")
 OPEN_BINS = 1024                # bins a task holds open
 TOKENS_PER_TASK = 64_000_000    # at least 15 bins are filled for each that may stay open at the end
 
 
+@functools.cache
+def tokenizer_of(path: str):
+    """(tokenizer, whether an id ends a word) once per worker process; one thread, as Spark gives a task one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    tokenizer, ends = Tokenizer.from_file(path), None
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if suffix:
+        vocab = tokenizer.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
+    return tokenizer, ends
+
+
 class Chunks:
     """Token ids of white-space separated chunks, encoded once while remembered.
 
@@ -34,9 +52,8 @@ class Chunks:
     when it holds `most` chunks.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
-        from tokenizers import Tokenizer
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+    def __init__(self, path: str, most: int = 250_000):
+        (self.tokenizer, self.ends), self.most = tokenizer_of(path), most
         self.clear()
 
     def clear(self):
@@ -45,19 +62,33 @@ class Chunks:
         self.count = self.used = 0
 
     def add(self, new: list[bytes]) -> None:
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            used, count = self.used + int(size.sum()), self.count + len(part)
-            while used > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            while count + 1 > len(self.start):
-                self.start = np.resize(self.start, 2 * len(self.start))
-            self.ids[self.used:used] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, used - self.used)
-            self.start[self.count + 1:count + 1] = self.used + np.cumsum(size)
-            self.place.update(zip(part, range(self.count, count)))
-            self.used, self.count = used, count
+        """Chunks of letters are one word each to the tokenizer, so many go in one call and the tokens that end a word part them again."""
+        letters: list[bytes] = []
+        rest: list[bytes] = []
+        for c in new:
+            (letters if self.ends is not None and WORD.fullmatch(c) else rest).append(c)
+        texts = [b" ".join(letters[lo:lo + 128]).decode() for lo in range(0, len(letters), 128)]
+        for lo, e in zip(range(0, len(letters), 128), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            part, ids = letters[lo:lo + 128], np.array(e.ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(part):
+                self.keep(part, ids, np.diff(last, prepend=-1))
+            else:
+                rest += part
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.keep(rest, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+
+    def keep(self, chunks: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        used, count = self.used + len(ids), self.count + len(chunks)
+        while used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        while count + 1 > len(self.start):
+            self.start = np.resize(self.start, 2 * len(self.start))
+        self.ids[self.used:used] = ids
+        self.start[self.count + 1:count + 1] = self.used + np.cumsum(size)
+        self.place.update(zip(chunks, range(self.count, count)))
+        self.used, self.count = used, count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the number of ids of each text."""
@@ -69,14 +100,13 @@ class Chunks:
         words = parts.flatten().cast(pa.large_binary()).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         self.add([c for c in distinct if c not in self.place])
-        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
-        at = place[words.indices.to_numpy()] if len(distinct) else np.empty(0, np.int64)
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
         size = self.start[at + 1] - self.start[at]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        texts_end = np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy())]
-        per_text = np.diff(np.r_[0, ends][texts_end])
-        return ids, per_text
+        offset = np.r_[0, np.cumsum(size)]
+        own = self.ids[np.repeat(self.start[at] - offset[:-1], size) + np.arange(offset[-1])]
+        ids = pa.LargeListArray.from_arrays(pa.array(offset), pa.array(own)).take(words.indices).flatten().to_numpy()
+        ends = np.r_[0, np.cumsum(size[words.indices.to_numpy()])]
+        return ids, np.diff(ends[np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy())]])
 
 
 def pieces(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
@@ -87,7 +117,8 @@ def pieces(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
         chunks = Chunks(path)
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                ids, counts = chunks.encode(pc.fill_null(batch.column("body"), "").cast(pa.large_string()))
+                bodies = pc.fill_null(batch.column("body").take(pa.array(range(batch.num_rows))), "")    # a copy: slices upset some kernels
+                ids, counts = chunks.encode(bodies.cast(pa.large_string()))
                 rows, at = [], 0
                 for ident, count in zip(batch.column("id").to_pylist(), counts.tolist()):
                     own = np.append(ids[at:at + count], np.uint32(end)).astype("<u4")
