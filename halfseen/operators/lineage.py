@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage: hand the table over as Parquet in the shared folder, read back by column.
+
+    A column without a type (a bare null) has no Parquet form; such a table is checkpointed.
+    """
+    spark = df.sparkSession
+    if "void" not in df.schema.simpleString():
+        path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
