@@ -6,11 +6,13 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halfseen.operators.lineage import shared_folder
 
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +32,31 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table itself; texts go to Python in batches of at most BATCH_ROWS rows, so that a worker holds few of them at a time.
+
+    The session's own setting stays if it is smaller. It counts when a plan runs, so it is
+    left in place for the caller.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get(ARROW_ROWS)) > BATCH_ROWS or int(spark.conf.get(ARROW_ROWS)) <= 0:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    return df
+
+
+def gathered(batches: Iterator[pa.RecordBatch], least: int = 8192) -> Iterator[pa.Table]:
+    """Batches put together to tables of at least `least` rows."""
+    parts, rows = [], 0
+    for batch in batches:
+        parts.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            yield pa.Table.from_batches(parts)
+            parts, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(parts)
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A fresh path in the folder all executors share."""
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halfseen.llm.common import handover, query, table
+from halfseen.llm.common import handover, query, small_batches, table
 from halfseen.llm.near_dedup import multipliers
 from halfseen.llm.shingles import WORDS, WordHashes, shingle_sequence, texts
 
@@ -113,7 +113,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     documents hold nothing. Repeated rows and rows without id are reported as they come,
     repeated item ids each. Other columns are not read; empty tables give no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     items = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("body"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halfseen.llm.common import components, handover, query, table
+from halfseen.llm.common import components, gathered, handover, query, small_batches, table
 from halfseen.llm.shingles import S32, WORDS, WordHashes, mix, shingle_set, texts
 
 BANDS, ROWS = 40, 4        # a pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**40 = 3e-7
@@ -147,11 +147,8 @@ def by_cell(rows: DataFrame, compare, schema: str) -> DataFrame:
 
     def run(batches):
         held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
+        for t in gathered(batches):
             t = t if held is None else pa.concat_tables([held, t])
-            if not t.num_rows:
-                continue
             last = [t.column(c)[t.num_rows - 1].as_py() for c in ("key", "i", "j")]
             open_ = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "i", "j"), last)])
             cut = int(np.argmax(open_))
@@ -304,7 +301,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none. Repeated rows share a component. Ids stand for one text each. Other columns are
     not read; an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     sig = handover(signatures(docs, bands, rows, words))
     classes = handover(sig.where("n > 0").groupBy("fp").agg(F.min("id").alias("node")))
     nodes = classes.where("node is not null").select(F.col("node").alias("id"))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halfseen.llm.common import handover, query, table
+from halfseen.llm.common import handover, query, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 LENGTH, END = 4096, 1
@@ -202,7 +202,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     that of arrival. Other columns are not read; an empty table gives no rows.
     `tokenizer`: path of the vocabulary (default: the installed word_bpe_49k).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     parts = handover(pieces(rows, tokenizer or public_tokenizers.path(TOKENIZER), length, end))
     return best_fit(parts, length, open_bins, tokens_per_task).withColumnRenamed("id", id_col)
 

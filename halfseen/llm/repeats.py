@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halfseen.llm.common import handover, query, table, tidy
+from halfseen.llm.common import gathered, handover, query, small_batches, table, tidy
 from halfseen.llm.shingles import mix, texts
 
 LENGTH = 100                   # a string of so many bytes that also starts earlier is removed
@@ -296,11 +296,8 @@ def merge_names(rows: DataFrame) -> DataFrame:
     """merged() over whole names, each in one task; names have at most HOT contexts."""
     def run(batches):
         held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
+        for t in gathered(batches):
             t = t if held is None else pa.concat_tables([held, t])
-            if not t.num_rows:
-                continue
             name = t.column("name").to_numpy()
             cut = int(np.argmax(name == name[-1]))
             held = t.slice(cut)
@@ -380,7 +377,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     but not a text, count as behind all others, in the order of a hash of their text. Null
     and empty texts have no bytes. Other columns are not read; an empty table gives no rows.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(small_batches(docs), id_col, text_col)
     long = rows.where(F.octet_length("body") >= LENGTH).select("doc", "body")
     total = long.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
     sieve = docs.sparkSession.sparkContext.broadcast(repeated_names(long, total))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halfseen.llm.common import query, table
+from halfseen.llm.common import query, small_batches, table
 from halfseen.llm.shingles import texts
 
 #: Base kinds in their order; patterns on bytes fold ASCII letters only.
@@ -143,7 +143,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out = list(zip(*[scan(t) for t in texts(batch, "body")])) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("id")] + [pa.array(c, k) for c, k in zip(out, kinds[1:])], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     found = rows.mapInArrow(run, "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     return found.withColumnRenamed("id", id_col)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halfseen.llm.common import query, table
+from halfseen.llm.common import query, small_batches, table
 from halfseen.llm.shingles import texts
 
 SENTENCE = re.compile(rb"[^.!?\n]+")
@@ -184,7 +184,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     are). Rows without id are scored, never learnt from; repeated rows are scored alike.
     Other columns are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"))
     if train is not None:
         known = known.where(train(F.col("id")))
