@@ -17,30 +17,56 @@ from halfseen.llm.toxicity import toxicity
 ORACLE_SQL = None
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents with (left_semi) or without (left_anti) an id in `ids`; documents without id share one fate."""
-    return docs.join(ids.select(F.col("doc_id").alias("chosen")).distinct(), F.col("doc_id").eqNullSafe(F.col("chosen")), how)
+ROW = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with a long that names one row: the id where no row lacks one and none has it twice, else a number.
+
+    Numbers are drawn while the rows are handed over, so they stay the same afterwards.
+    """
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+    if shared.isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    return handover(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def only(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    """Rows that are (left_semi) or are not (left_anti) among the chosen ones."""
+    return rows.join(chosen.select(ROW).distinct(), ROW, how).drop(ROW)
+
+
+def firsts(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each group (row, grp) the row with the smallest id; one without id only where the group has none."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    return groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("grp").agg(F.min(order)[ROW].alias(ROW))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the sentence model calls toxic go; it learns from all labels."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"))
-    return only(docs, scored.where("predicted = 1"), "left_anti")
+    rows = keyed(docs)
+    scored = toxicity(rows, table(spark, sf_dir, "labels"), row_col=ROW)
+    return only(rows, scored.where("predicted = 1"), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
-    return only(docs, exact_dedup(docs).where("kept"), "left_semi")
+    """Of equal texts (null is empty) one row stays, with the smallest id."""
+    rows = keyed(docs)
+    groups = exact_dedup(rows, ROW).select(ROW, F.col("keep_id").alias("grp"))
+    return only(rows, firsts(rows, groups), "left_semi")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return only(docs, near_dedup(docs).where("not kept"), "left_anti")
+    """Of each group of near copies one row stays, with the smallest id."""
+    rows = keyed(docs)
+    groups = near_dedup(rows, ROW).select(ROW, F.col("component_id").alias("grp"))
+    return only(rows, firsts(rows, groups), "left_semi")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    return only(docs, contained_items(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+    rows = keyed(docs)
+    return only(rows, contained_items(rows, table(spark, sf_dir, "benchmark"), ROW), "left_anti")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +87,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each handed over as Parquet to the next.
 
     Nulls, empty texts, repeated rows and empty tables have the results that the operators
-    state. Documents are dropped by id: rows that share an id, or have none, go together.
+    state. Stages decide by row: rows that share an id, or have none, stay or go each for
+    itself, and of equal texts one row is left.
     """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:

@@ -172,7 +172,8 @@ def held_out(ident):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-             train=None, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, threshold: float = 0.5) -> DataFrame:
+             train=None, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, threshold: float = 0.5,
+             row_col: str | None = None) -> DataFrame:
     """One row per document: id, score in 0..1, predicted, and place and score of its likeliest offending sentence.
 
     Only labels enter the fit for which `train` (a function of the id column) holds; the
@@ -182,14 +183,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Empty, blank and null texts have no sentence and score 0. Without usable labels of
     both kinds every sentence gets the same extreme score (clean, or toxic if all labels
     are). Rows without id are scored, never learnt from; repeated rows are scored alike.
-    Other columns are not read; an empty table gives no rows.
+    With `row_col`, a long that names a row, results carry it in place of the id, which
+    then only finds the labels. Other columns are not read; an empty table gives no rows.
     """
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    docs, name = small_batches(docs), row_col or id_col
+    rows, named = (docs.select(F.col(c).cast("long").alias("id"), F.col(text_col).alias("body")) for c in (id_col, name))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"))
     if train is not None:
         known = known.where(train(F.col("id")))
     model = fit(labelled_sample(rows, known, max_rows, max_chars))
-    return score(rows, model, threshold).withColumnRenamed("id", id_col)
+    return score(named, model, threshold).withColumnRenamed("id", name)
 
 
 @query("op7_toxicity")
