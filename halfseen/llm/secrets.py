@@ -20,13 +20,13 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: Weak parts: nothing by themselves. An identifier or a short password by its name, a key by its shape, an endpoint by its scheme.
+#: Weak parts: nothing by themselves. An identifier or a password (of any length from 4, so also what the base rule drops) by its name, a key by its shape, an endpoint by its scheme.
 IDENT = re.compile(rb"""\b(user(?:name|_id)?|login|account|client_id|key_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I)
-SHORT = re.compile(rb"""\b(pwd|pass|passphrase|auth)["']?\x20*[:=]\x20*["']?([^\s"']{4,})""", re.I)
+SHORT = re.compile(rb"""(?:\b(?:pwd|pass|passphrase|auth)["']?\x20*[:=]\x20*["']?[^\s"']{4,}|(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[^\s"'&,;]{4,})""", re.I)
 KEY = re.compile(rb"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(rb"""(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}""", re.I)
 IDENT_WORDS = (b"user", b"login", b"account", b"client_id", b"key_id")
-SHORT_WORDS = (b"pwd", b"pass", b"auth")
+SHORT_WORDS = (b"pwd", b"pass", b"auth", *KEYWORDS)
 ENDPOINT_WORDS = (b"://", b"host", b"endpoint", b"server")
 
 ORDER = {"assign": 0, "access": 1, "hex": 2, "ident": 3, "secret": 4, "endpoint": 5}
@@ -53,7 +53,7 @@ def base_spans(text: bytes, low: bytes) -> list[Span]:
     return found
 
 
-def weak_spans(text: bytes, low: bytes) -> list[Span]:
+def weak_spans(text: bytes, low: bytes, base: list[Span]) -> list[Span]:
     """Candidates for parts of a credential, none of them worth a report alone."""
     found: list[Span] = []
     if any(w in low for w in IDENT_WORDS):
@@ -65,7 +65,7 @@ def weak_spans(text: bytes, low: bytes) -> list[Span]:
             word = text[a:b]
             if re.search(rb"[a-z]", word) and re.search(rb"[A-Z]", word) and re.search(rb"[0-9]", word):
                 found.append((a, b, kind))
-    if found and any(w in low for w in ENDPOINT_WORDS):
+    if (found or base) and any(w in low for w in ENDPOINT_WORDS):
         found += spans(ENDPOINT, text, "endpoint")
     return found
 
@@ -118,7 +118,7 @@ def code_points(text: bytes, offsets: set[int]) -> dict[int, int]:
 def scan(text: bytes) -> tuple[int, int, int, str, str]:
     low = text.lower()
     base = base_spans(text, low)
-    weak = weak_spans(text, low)
+    weak = weak_spans(text, low, base)
     extra = linked(text, base, weak) if weak else []
     at = code_points(text, {o for s in base + extra for o in s[:2]}) if base or extra else {}
     kinds = [kind for _, _, kind in base]
