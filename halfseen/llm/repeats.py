@@ -101,6 +101,10 @@ def sampled(bodies: list[bytes]) -> Iterator[tuple]:
                 yield doc + i, pos, near, far, name, triple
             held, size, base = [], 0, i + 1
             continue
+        if held and size + len(body) > SEGMENT:     # positions in a batch stay below 2^24
+            doc, *rest = emit(held)
+            yield doc + base, *rest
+            held, size, base = [], 0, i
         held.append(body)
         size += len(body)
         if size >= BATCH:
