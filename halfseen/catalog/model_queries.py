@@ -298,13 +298,9 @@ def _(spark, d):
 def _(spark, d):
     u = document_units(spark, d)
     ok = gm.usable_centres(u, "z", "t", "y_obs", folds=5, least=10).filter("used = 1")
-    rows = []
-    for seed in range(2):
-        part = u.join(ok.select("z"), "z", "left_semi").filter(bucket("doc_id", f"centre/{seed}", 5) != 0)
-        grid = nu.by_decision_maker(part, ["lang"], "z", "t", "y_obs")
-        arr = nu.z_arrays(grid, ["lang"], "z")
-        rows.append(gm.gamma_summary(arr.select("n", gm.gamma_min("zs").alias("gamma_min"))).withColumn("seed", F.lit(seed)))
-    return out(rows[0].unionByName(rows[1]))
+    grid = nu.by_decision_maker(u.join(ok.select("z"), "z", "left_semi"), ["lang"], "z", "t", "y_obs")
+    arr = nu.z_arrays(grid, ["lang"], "z")
+    return out(gm.gamma_summary(arr.select("n", gm.gamma_min("zs").alias("gamma_min"))))
 
 
 @query("g9_population_comparison", W + V3 + f""", c AS (SELECT CASE WHEN z < 12 THEN 'a' ELSE 'b' END AS pop, count(*) FILTER (WHERE t=0 AND y=0) AS n00, count(*) FILTER (WHERE t=0 AND y=1) AS n01, count(*) FILTER (WHERE t=1 AND y=0) AS n10, count(*) FILTER (WHERE t=1 AND y=1) AS n11 FROM ov GROUP BY 1),
