@@ -347,13 +347,13 @@ def nuisance_summary(x):
 
 @query("m1_cross_fit")
 def _(spark, d):
-    return nuisance_summary(ln.CrossFit(ORDER_X, ident="okey", model="logistic", calibrate=False).fit_predict(order_features(spark, d)))
+    return nuisance_summary(ln.CrossFit(ORDER_X, ident="okey").fit_predict(order_features(spark, d)))
 
 
 @query("m2_predict_new")
 def _(spark, d):
     o = order_features(spark, d).withColumn("side", vd.split("okey", 0.35, "m2"))
-    cf = ln.CrossFit(ORDER_X, ident="okey", model="logistic", calibrate=False)
+    cf = ln.CrossFit(ORDER_X, ident="okey")
     cf.fit_predict(o.filter("side = 'train'"))
     return nuisance_summary(cf.predict(o.filter("side = 'test'")))
 
@@ -363,7 +363,7 @@ def _(spark, d):
     o = order_features(spark, d)
     sel = o.filter("t = 1")
     for m in ("gbm", "logistic", "mlp"):
-        o = ln.probability(ln.base_learner(m, ORDER_X, "y_obs", rounds=5).fit(sel), o, f"p_{m}")
+        o = ln.probability(ln.base_learner(m, ORDER_X, "y_obs").fit(sel), o, f"p_{m}")
     return out(o.groupBy("segment").agg(*[F.avg(f"p_{m}").alias(m) for m in ("gbm", "logistic", "mlp")]))
 
 
@@ -390,13 +390,13 @@ def _(spark, d):
 @query("m11_aipw_learner")
 def _(spark, d):
     o = nu.with_nuisance(order_features(spark, d), ORDER_CELLS, "t", "y_obs")
-    return out(ln.aipw(o, ORDER_X, rounds=5)(o, "score").groupBy("segment").agg(F.avg("score").alias("score")))
+    return out(ln.aipw(o, ORDER_X)(o, "score").groupBy("segment").agg(F.avg("score").alias("score")))
 
 
 @query("m12_imputation_learner")
 def _(spark, d):
     o = nu.with_nuisance(order_features(spark, d), ORDER_CELLS, "t", "y_obs")
-    return out(ln.imputation(o, ORDER_X, rounds=5)(o, "score").groupBy("segment").agg(F.avg("score").alias("score")))
+    return out(ln.imputation(o, ORDER_X)(o, "score").groupBy("segment").agg(F.avg("score").alias("score")))
 
 
 V1X = ["xq", "xd", "xt"]
@@ -433,7 +433,7 @@ def _(spark, d):
 def _(spark, d):
     """The start is the midpoint scorer's weighted worst case, and the result is not below it."""
     c = cell_features(spark, d)
-    best, history = ln.worst_case_ranker(c, V1X, ident="cid", weight="w", rounds=5)
+    best, history = ln.worst_case_ranker(c, V1X, ident="cid", weight="w")
     worst = lambda b, n: rk.sharp_interval(c.withColumn("s", ln.linear([0.0, *b], V1X)), "s", weight="w").select(F.col("lower").alias(n))
     start, last = worst(ln.midpoint_scorer(c, V1X, weight="w"), "a"), worst(best, "b")
     both = start.withColumn("k", F.lit(1)).join(last.withColumn("k", F.lit(1)), "k")

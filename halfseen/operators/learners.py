@@ -286,7 +286,7 @@ def worst_case_linear(units: DataFrame, features: Sequence[str], *, lo="lo", hi=
 
 
 def worst_case_ranker(units: DataFrame, features: Sequence[str], *, ident: str, lo="lo", hi="hi", weight=None, pairs: int = 4096,
-                      rounds: int | None = None, steps: int = 10, tau: float = 0.5, rate: float = 0.2, l2: float = 1e-3,
+                      rounds: int = 40, steps: int = 10, tau: float = 0.5, rate: float = 0.2, l2: float = 1e-3,
                       seed: int = 0) -> tuple[np.ndarray, list[float]]:
     """Linear scorer trained against the exact worst-case AUROC; never worse than the midpoint start.
 

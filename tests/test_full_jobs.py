@@ -4,6 +4,7 @@ import inspect
 import re
 
 from halfseen.catalog import model_queries
+from halfseen.operators import learners
 
 SOURCE = inspect.getsource(model_queries)
 
@@ -14,3 +15,12 @@ def body(name):
 
 def test_gamma_min_uses_all_units():
     assert "bucket(" not in body("g8_leniency_gamma_min")
+
+
+def test_learners_run_with_defaults():
+    for name in ("m1_cross_fit", "m2_predict_new", "m3_base_learners", "m11_aipw_learner", "m12_imputation_learner", "m17_worst_case_ranker"):
+        assert not re.search(r"rounds=|calibrate=|model=", body(name)), name
+
+
+def test_worst_case_ranker_default_rounds():
+    assert inspect.signature(learners.worst_case_ranker).parameters["rounds"].default == 40
