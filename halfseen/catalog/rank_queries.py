@@ -406,7 +406,7 @@ def _(spark, d):
 @query("l9_budgeted_risk")
 def _(spark, d):
     u = packed_lineitem(spark, d, "qty").withColumn("s", margin())
-    rows = [(float(b), *ob.budgeted_risk(u, gamma=2.0, budget=b, weight="w", passes=6)) for b in (0.05, 0.3)]
+    rows = [(float(b), *ob.budgeted_risk(u, gamma=2.0, budget=b, weight="w")) for b in (0.05, 0.3)]
     return out(spark.createDataFrame(rows, "budget double, risk double, lam double, tilt double"))
 
 
@@ -469,7 +469,7 @@ def _(spark, d):
 def _(spark, d):
     u = packed_lineitem(spark, d, "qty").withColumn("s", margin())
     packed = u.groupBy("s", "e", "p1").agg(F.sum("w").alias("w"))
-    found = gm.search_containing(packed, 0.55, top=20.0, fan=7, passes=3, weight="w")
+    found = gm.search_containing(packed, 0.55, weight="w")
     return out(spark.createDataFrame([(found,)], "gamma double"))
 
 

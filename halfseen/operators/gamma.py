@@ -112,23 +112,33 @@ def smallest_containing(table: DataFrame, value: float, tol: float = 1e-9) -> Da
     return table.agg(F.min(F.when(s.contains(F.lit(value), "lower", "upper", tol), F.col("gamma"))).alias("gamma"))
 
 
-def search_containing(units: DataFrame, value: float, *, top: float = 100.0, fan: int = 15, passes: int = 6,
-                      **kw) -> float | None:
-    """Smallest gamma whose interval holds ``value`` by K-ary refinement (intervals are nested)."""
-    lo, hi = 1.0, top
-    first = [1.0]
-    for _ in range(passes):
+def search_containing(units: DataFrame, value: float, *, tol: float = 1e-6, fan: int = 15, **kw) -> float | None:
+    """Smallest gamma whose interval holds ``value``, at most a share ``tol`` too high (intervals are nested).
+
+    The range is widened until an interval holds the value, then refined ``fan`` gammas at
+    a time; None if no gamma up to 1e16 has such an interval.
+    """
+    def first(gammas: list[float]) -> float | None:
+        return sweep(units, gammas, **kw).filter(s.contains(F.lit(value), "lower", "upper")).agg(F.min("gamma").alias("g")).collect()[0]["g"]
+
+    lo, hi, gammas = 1.0, 100.0, [1.0]
+    while True:
         ratio = (hi / lo) ** (1.0 / fan)
-        gammas = first + [lo * ratio ** (i + 1) for i in range(fan)]
-        first = []
-        rows = sweep(units, gammas, **kw).filter(s.contains(F.lit(value), "lower", "upper")).agg(
-            F.min("gamma").alias("g")).collect()
-        found = rows[0]["g"]
-        if found is None or found == 1.0:
-            return found
-        hi = found
+        gammas += [lo * ratio ** (i + 1) for i in range(fan)]
+        found = first(gammas)
+        if found is not None:
+            break
+        if hi >= 1e16:
+            return None
+        lo, hi, gammas = hi, hi * hi, []
+    while found > 1.0:
         lo = max((g for g in [lo, *gammas] if g < found), default=1.0)
-    return hi
+        if found <= lo * (1.0 + tol):
+            break
+        ratio = (found / lo) ** (1.0 / fan)
+        gammas = [lo * ratio ** (i + 1) for i in range(fan - 1)]
+        found = first([*gammas, found]) or found
+    return found
 
 
 def odds_ratio(units: DataFrame, t="t", y="y", *, keys: Sequence[str] = ()) -> DataFrame:

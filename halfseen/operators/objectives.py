@@ -80,11 +80,12 @@ def budget_at(units: DataFrame, lams: Sequence[float], *, gamma: float, score="s
 
 def budgeted_risk(units: DataFrame, *, gamma: float, budget: float, score="s", p1="p1", e="e",
                   weight=None, loss="logistic", points: int = 129, top: float = 1e4,
-                  fan: int = 12, passes: int = 14) -> tuple[float, float, float]:
+                  fan: int = 12, passes: int | None = None, tol: float = 1e-9) -> tuple[float, float, float]:
     """Worst-case risk under an average-tilt budget: ``(risk, lambda, mean |tilt|)``.
 
     A K-ary search over the multiplier: each pass tries ``fan`` values in one job
-    over distinct (score, p1, e) rows, so it costs passes, not bisection steps.
+    over distinct (score, p1, e) rows, so it costs passes, not bisection steps. It ends
+    when the multiplier is known to ``tol``, or after ``passes`` if given.
     """
     log_g = math.log(gamma)
     w = F.lit(1.0) if weight is None else s.as_col(weight)
@@ -96,7 +97,9 @@ def budgeted_risk(units: DataFrame, *, gamma: float, budget: float, score="s", p
                            s.as_col(e).alias("e")).agg(F.sum(w).alias("w"))
     packed = cut(packed)
     lo, hi = 0.0, top
-    for _ in range(passes):
+    done = 0
+    while hi - lo > tol * max(1.0, lo) and (passes is None or done < passes):
+        done += 1
         step = (hi - lo) / (fan + 1)
         lams = [lo + step * (i + 1) for i in range(fan)]
         got = budget_at(packed, lams, gamma=gamma, weight="w", loss=loss, points=points)
