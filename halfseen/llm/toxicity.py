@@ -52,25 +52,25 @@ class WordWeights(dict):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) -> list[tuple[bytes, int]]:
-    """Up to max_rows labelled texts of up to max_chars characters together, in the order of a hash of the id.
+    """Up to max_rows labelled texts of up to max_chars characters together, in the order of a hash of the id; one (the longest) of an id, without those that do not fit.
 
     Labels: rows with an id and a 0/1 label; of several labels of a document the largest.
     """
     want = labels.where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     rank = F.xxhash64("id", F.lit(11))
-    sized = docs.where("body is not null").groupBy("id").agg(F.max(F.length("body")).alias("chars"))
+    sized = docs.where("body is not null").groupBy("id").agg(F.max(F.length("body")).alias("chars")).where(F.col("chars") <= max_chars)
     chosen = sized.join(want, "id").orderBy(rank, "id").limit(max_rows).select("id", "label", "chars").collect()
     room, ids = max_chars, {}
     for r in chosen:
-        room -= r["chars"]
-        if room < 0:
-            break
-        ids[r["id"]] = int(r["label"])
+        if r["chars"] <= room:
+            room -= r["chars"]
+            ids[r["id"]] = int(r["label"])
     if not ids:
         return []
     spark = docs.sparkSession
     few = F.broadcast(spark.createDataFrame([(i,) for i in ids], "id long"))    # at most max_rows ids
-    rows = docs.where("body is not null").join(few, "id", "left_semi").select("id", "body").collect()
+    longest = F.max(F.struct(F.length("body").alias("chars"), "body"))["body"].alias("body")
+    rows = docs.where("body is not null").join(few, "id", "left_semi").groupBy("id").agg(longest).collect()
     return [(r["body"].encode(), ids[r["id"]]) for r in sorted(rows, key=lambda r: (r["id"], r["body"]))]
 
 
