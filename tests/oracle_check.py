@@ -39,7 +39,7 @@ def compare(spark, con, name, fn, sql, d):
         return f"columns {cols} vs {sorted(names)}", False
     if len(rows) != len(want):
         return f"rows {len(rows)} vs {len(want)}", False
-    spark_types = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+    spark_types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
     odd = [(c, t, types[c]) for c, t in df.dtypes if spark_types.get(t, t.upper()) != types[c]]
     a, b = sorted(rows, key=key), sorted(want, key=key)
     bad = [(x, y) for x, y in zip(a, b) if x != y]
