@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from halfseen.llm import (  # noqa: F401
-    decontaminate, exact_dedup, near_dedup, packing, repeats, secrets, sharding, simplex_clusters, toxicity, url_filter, warc, whitening,
+    decontaminate, exact_dedup, near_dedup, packing, pieces, repeats, secrets, sharding, simplex_clusters, toxicity, url_filter, warc, whitening,
 )
 from halfseen.llm.common import ORACLES, QUERIES
 
