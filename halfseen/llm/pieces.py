@@ -176,7 +176,8 @@ class PieceEncoder:
 
     def forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []      # of a code: its ids above their byte lengths
+        self.pieces = np.empty((2, 1 << 16), np.int32)      # ids above their byte lengths, word by word
+        self.start = np.zeros(1 << 14, np.int64)            # where the pieces of a code start; the next one's start ends them
         self.held = 0
 
     def words(self, norm: str) -> list[str]:
@@ -197,17 +198,41 @@ class PieceEncoder:
                 start = i
         yield word[start:]
 
+    def remember(self, words: list[str], counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, at = len(self.code), int(self.start[len(self.code)])
+        while at + len(ids) > self.pieces.shape[1]:
+            self.pieces = np.hstack([self.pieces, np.empty_like(self.pieces)])
+        while first + len(words) >= len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.pieces[0, at:at + len(ids)], self.pieces[1, at:at + len(ids)] = ids, sizes
+        self.start[first + 1:first + 1 + len(words)] = at + np.cumsum(counts)
+        self.code.update(zip(words, range(first, first + len(words))))
+        self.held += sum(map(len, words))
+
     def learn(self, words: list[str]) -> None:
-        """Remember the pieces of the words not seen so far."""
-        new = list(dict.fromkeys(w for w in words if w not in self.code))
-        for w, ids in zip(new, self.merger.encode(new, num_threads=1)):
-            ids = np.array(ids, np.int32)
-            size = self.bytes_of[ids]
+        """Remember the pieces of the words not seen so far.
+
+        Words that open with a mark and do not end with one are merged in one string: no merge
+        crosses from one to the next, and byte lengths tell them apart again.
+        """
+        mark, alone, together = MARK.decode(), [], []
+        for w in dict.fromkeys(words):
+            if w not in self.code:
+                (together if self.by_word and w[0] == mark != w[-1] else alone).append(w)
+        if together:
+            ids = np.array(self.merger.encode("".join(together), num_threads=1), np.int32)
+            if (ids == self.unknown).any():
+                alone += together
+            else:
+                sizes = self.bytes_of[ids]
+                ends = np.searchsorted(np.cumsum(sizes), np.cumsum([len(w.encode()) for w in together]))
+                self.remember(together, np.diff(ends + 1, prepend=0), ids, sizes)
+        for w in alone:
+            ids = np.array(self.merger.encode(w), np.int32)
+            sizes = self.bytes_of[ids]
             if (ids == self.unknown).any():       # the length of an unknown piece is that of its surface
-                size = np.array([len(p.surface.encode()) for p in self.merger.encode(w, return_type="proto").pieces], np.int32)
-            self.code[w] = len(self.parts)
-            self.held += len(w)
-            self.parts.append(np.vstack([ids, size]))
+                sizes = np.array([len(p.surface.encode()) for p in self.merger.encode(w, return_type="proto").pieces], np.int32)
+            self.remember([w], np.array([len(ids)]), ids, sizes)
 
     def encode(self, batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, begin, end) of each text: its pieces and the spans of UTF-8 bytes of the text that they stand for."""
@@ -220,7 +245,10 @@ class PieceEncoder:
             if not words:
                 yield np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
                 continue
-            ids, size = np.hstack([self.parts[self.code[w]] for w in words])
+            codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+            counts = self.start[codes + 1] - self.start[codes]
+            place = np.repeat(self.start[codes] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            ids, size = self.pieces[:, place]
             upto = np.cumsum(size)
             if upto[-1] != len(norm):
                 raise ArithmeticError("pieces do not cover the normalised text")
