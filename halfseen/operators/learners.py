@@ -1,4 +1,4 @@
-"""Models on MLlib: cross-fitted nuisances, comparison learners, robust linear scorers."""
+"""Models: cross-fitted nuisances, comparison learners, robust linear scorers; boosting is our own, the rest MLlib."""
 
 from __future__ import annotations
 
@@ -6,47 +6,71 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halfseen.functions import scalar as s
 from halfseen.functions.hashing import poisson1, unit_interval
+from halfseen.operators import boosting as bo
 from halfseen.operators import nuisance as nu
 from halfseen.operators import ranking as rk
-from halfseen.operators.lineage import cut
+from halfseen.operators.lineage import cut, spread
 from halfseen.operators.validate import gram, hash_position, stratified_folds
 
 Predictor = Callable[[DataFrame, str], DataFrame]
 ROUNDS = {"gbm": 200, "mlp": 600}        # boosting rounds and epochs unless asked otherwise
 
 
+class BoostedModel:
+    """One boosted model; ``column`` is its probability, or its value under squared loss."""
+
+    def __init__(self, fitted: bo.Boosted):
+        self.fitted = fitted
+
+    def column(self) -> Column:
+        return self.fitted.column()[0]
+
+
+class BoostedLearner:
+    """Histogram boosting over named columns, to be fitted like a pipeline."""
+
+    def __init__(self, features: Sequence[str], label: str, weight: str | None, settings: bo.Settings):
+        self.features, self.label, self.weight, self.settings = list(features), label, weight, settings
+
+    def fit(self, df: DataFrame) -> BoostedModel:
+        w = F.lit(1.0) if self.weight is None else F.col(self.weight)
+        rows = df.select(*self.features, F.lit(0).alias("target"), F.lit(0).alias("fold"), F.lit(0).alias("inner"), F.col(self.label).alias("y"), w.alias("w"))
+        return BoostedModel(bo.boost(rows, self.features, [(0, -1, -1)], settings=self.settings)[0])
+
+
 def base_learner(model: str, features: Sequence[str], label: str, *, weight: str | None = None, seed: int = 0,
-                 rounds: int | None = None) -> Pipeline:
-    """'gbm', 'logistic' (standardised) or 'mlp' as a pipeline over named columns."""
+                 rounds: int | None = None) -> Pipeline | BoostedLearner:
+    """'gbm' (histogram boosting), 'logistic' (standardised) or 'mlp' over named columns, with ``fit``."""
     rounds = ROUNDS.get(model) if rounds is None else rounds
     parts = [VectorAssembler(inputCols=list(features), outputCol="__raw")]
     extra = {"weightCol": weight} if weight else {}
     if model == "gbm":
-        parts.append(GBTClassifier(featuresCol="__raw", labelCol=label, maxIter=rounds, stepSize=0.07, maxDepth=4,
-                                   minInstancesPerNode=30, seed=seed, **extra))
-    elif model == "logistic":
+        return BoostedLearner(features, label, weight, bo.Settings(rounds=rounds))
+    if model == "logistic":
         parts += [StandardScaler(inputCol="__raw", outputCol="__std", withMean=True, withStd=True),
                   LogisticRegression(featuresCol="__std", labelCol=label, maxIter=100, regParam=1e-6, standardization=False, **extra)]
     elif model == "mlp":
         parts += [StandardScaler(inputCol="__raw", outputCol="__std", withMean=True, withStd=True),
                   MultilayerPerceptronClassifier(featuresCol="__std", labelCol=label, layers=[len(features), 64, 32, 2],
-                                                 maxIter=rounds, seed=seed)]
+                                                 maxIter=rounds, tol=1e-4, seed=seed)]
     else:
         raise KeyError(f"unknown nuisance model {model!r}")
     return Pipeline(stages=parts)
 
 
-def probability(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+def probability(model: PipelineModel | BoostedModel, df: DataFrame, name: str) -> DataFrame:
     """``df`` plus the probability of class 1."""
+    if isinstance(model, BoostedModel):
+        return df.withColumn(name, model.column())
     made = [c for st in model.stages for c in (
         [st.getOutputCol()] if hasattr(st, "getOutputCol") else ["rawPrediction", "probability", "prediction"])]
     out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
@@ -63,8 +87,13 @@ def fit_calibrated(df: DataFrame, features: Sequence[str], label: str, ident: st
 
     The isotonic fit sees scores rounded to ``digits`` decimals, at most 10^digits + 1
     weighted points, because one task fits it.
-    Degenerate labels give a constant model.
+    Degenerate labels give a constant model.  Boosted models are fitted side by side.
     """
+    if model == "gbm":
+        rows = stratified_folds(df.drop("fold"), [label], ident, 3, f"calibrate/{seed}")
+        long = rows.select(*features, F.lit(0).alias("target"), F.lit(0).alias("fold"), F.col("fold").alias("inner"), F.col(label).alias("y"), F.lit(1.0).alias("w"))
+        fitted = boosted_set(cut(long), features, [(0, -1)], calibrate=calibrate, least=least, rounds=rounds, digits=digits)
+        return lambda d, name: d.withColumn(name, fitted[0])
     counts = _class_counts(df, label)
     if len(counts) < 2:
         value = float(next(iter(counts), 0))
@@ -92,6 +121,40 @@ def fit_calibrated(df: DataFrame, features: Sequence[str], label: str, ident: st
     return predict
 
 
+def boosted_set(rows: DataFrame, features: Sequence[str], wanted: Sequence[tuple[int, int]], *, calibrate: bool = True, least: int = 15,
+                rounds: int | None = None, digits: int = 4) -> Column:
+    """An array column with one probability per wanted (target, fold to leave out), all models fitted together.
+
+    rows: features, target, fold, inner (three inner folds), y in {0, 1}, w.  With
+    calibration an entry is the mean of three (model, isotonic map) pairs, one per inner
+    fold; without it, or with a class below ``least`` rows, one model; with one class its
+    value.
+    """
+    counts = {(r["target"], r["fold"], int(r["y"])): r["n"] for r in rows.where("y is not null").groupBy("target", "fold", "y").agg(F.sum("w").alias("n")).collect()}
+    models, entries = [], []
+    for target, fold in wanted:
+        n = [sum(v for (t, f, y), v in counts.items() if t == target and f != fold and y == c) for c in (0, 1)]
+        if min(n) == 0:
+            entries.append(float(n[1] > 0))
+            continue
+        inner = (0, 1, 2) if calibrate and min(n) >= least else (-1,)
+        entries.append(list(range(len(models), len(models) + len(inner))))
+        models += [(target, fold, j) for j in inner]
+    if not models:
+        return F.array(*[F.lit(e) for e in entries])
+    fitted, packed = bo.boost(rows, features, models, settings=bo.Settings(rounds=ROUNDS["gbm"] if rounds is None else rounds))
+    inner = [m for m in models if m[2] >= 0]
+    maps = bo.calibrate(fitted, packed, models, digits) if inner else {}
+
+    def finish(scores: np.ndarray) -> np.ndarray:
+        out = np.empty((len(scores), len(entries)))
+        for k, e in enumerate(entries):
+            out[:, k] = e if isinstance(e, float) else np.mean(
+                [np.interp(scores[:, m], *maps[m]) if m in maps else scores[:, m] for m in e], axis=0)
+        return out
+    return fitted.column(finish)
+
+
 class CrossFit:
     """K-fold nuisances: ``e`` out of fold on all rows, ``p1`` from folds of the selected rows.
 
@@ -105,6 +168,7 @@ class CrossFit:
         self.calibrate, self.bound, self.seed, self.compat, self.rounds = calibrate, bound, seed, compat, rounds
         self.e_models: list[Predictor] = []
         self.p_models: list[Predictor] = []
+        self.together: Column | None = None
 
     def _fit(self, df: DataFrame, label: str, seed: int) -> Predictor:
         return fit_calibrated(df, self.features, label, self.ident, model=self.model, calibrate=self.calibrate,
@@ -113,6 +177,8 @@ class CrossFit:
     def fit_predict(self, units: DataFrame, t: str = "t", y: str = "y_obs") -> DataFrame:
         rows = stratified_folds(units, [t], self.ident, self.k, f"e/{self.seed}").withColumnRenamed("fold", "__ef")
         rows = stratified_folds(rows, [t, y], self.ident, self.k, f"p/{self.seed}").withColumnRenamed("fold", "__pf")
+        if self.model == "gbm":
+            return self._chosen(self._all(self._fit_together(rows, t, y)), t)
         rows = cut(rows)
         selected = rows.filter(F.col(t) == 1)
         for i in range(self.k):
@@ -123,7 +189,21 @@ class CrossFit:
         else:
             for i in range(self.k):
                 self.p_models.append(self._fit(selected.filter(F.col("__pf") != i), y, self.seed + i))
-        out = self._all(rows)
+        return self._chosen(self._all(rows), t)
+
+    def _fit_together(self, rows: DataFrame, t: str, y: str) -> DataFrame:
+        """Folds of both targets and inner folds as keys of one table; all models of the cross-fit in one go."""
+        for name, strata in (("__ei", [t, "__ef"]), ("__pi", [t, y, "__pf"])):
+            rows = stratified_folds(rows, strata, self.ident, 3, f"calibrate/{name}/{self.seed}").withColumnRenamed("fold", name)
+        rows = cut(rows)
+        as_rows = lambda target, f, i, label: F.struct(F.lit(target).alias("target"), F.col(f).alias("fold"), F.col(i).alias("inner"),
+                                                       F.col(label).cast("double").alias("y"))
+        long = rows.withColumn("__r", F.explode(F.array(as_rows(0, "__ef", "__ei", t), as_rows(1, "__pf", "__pi", y))))
+        long = long.where((F.col("__r.target") == 0) | (F.col(t) == 1)).select(*self.features, "__r.*", F.lit(1.0).alias("w"))
+        self.together = boosted_set(long, self.features, [(c, i) for c in (0, 1) for i in range(self.k)], calibrate=self.calibrate, rounds=self.rounds)
+        return spread(rows.drop("__ei", "__pi"))
+
+    def _chosen(self, out: DataFrame, t: str) -> DataFrame:
         pick = lambda stem, fold: F.element_at(F.array(*[F.col(f"{stem}{i}") for i in range(self.k)]), F.col(fold) + 1)
         every = sum((F.col(f"__p{i}") for i in range(self.k)), F.lit(0.0))
         own = pick("__p", "__pf")
@@ -134,6 +214,9 @@ class CrossFit:
         return out.drop("__ef", "__pf", *[f"__{c}{i}" for c in "ep" for i in range(self.k)])
 
     def _all(self, df: DataFrame) -> DataFrame:
+        if self.together is not None:
+            df = df.withColumn("__s", self.together)
+            return df.withColumns({f"__{c}{i}": F.col("__s")[j * self.k + i] for j, c in enumerate("ep") for i in range(self.k)}).drop("__s")
         for i, m in enumerate(self.e_models):
             df = m(df, f"__e{i}")
         for i, m in enumerate(self.p_models):
@@ -175,11 +258,9 @@ def ipw(units: DataFrame, features: Sequence[str], *, t="t", y="y_obs", model="l
 def target_regression(units: DataFrame, features: Sequence[str], target: Column, *, seed: int = 0,
                       rounds: int | None = None) -> Predictor:
     """Boosted regression on a pseudo-outcome, scored on the logit scale."""
-    parts = [VectorAssembler(inputCols=list(features), outputCol="__raw"),
-             GBTRegressor(featuresCol="__raw", labelCol="__y", maxIter=ROUNDS["gbm"] if rounds is None else rounds, stepSize=0.07, maxDepth=4,
-                          minInstancesPerNode=30, seed=seed, predictionCol="__fit")]
-    fitted = Pipeline(stages=parts).fit(units.withColumn("__y", target))
-    return lambda d, name: fitted.transform(d).withColumn(name, s.logit(s.clip("__fit", 1e-4, 1.0 - 1e-4))).drop("__raw", "__fit")
+    settings = bo.Settings(loss="squared", rounds=ROUNDS["gbm"] if rounds is None else rounds)
+    fitted = BoostedLearner(features, "__y", None, settings).fit(units.withColumn("__y", target))
+    return lambda d, name: d.withColumn(name, s.logit(s.clip(fitted.column(), 1e-4, 1.0 - 1e-4)))
 
 
 def aipw(units: DataFrame, features: Sequence[str], *, t="t", y="y_obs", seed: int = 0, rounds: int | None = None) -> Predictor:
