@@ -85,13 +85,32 @@ def handover(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """The table handed over with a number of its own for every row; it is drawn while writing and stays."""
+    return handover(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def join_back(rows: DataFrame, groups: DataFrame, key: str, size: str, limit: int = 100_000) -> DataFrame:
+    """Inner join of rows with one line per key that holds the key's number of rows.
+
+    Keys above `limit` rows are broadcast, so that no task gets all rows of a key; there are
+    at most (rows / limit) of them. The others go through the plain join.
+    """
+    hot = groups.where(F.col(size) > limit)
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) <= limit), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def gapless_rank(df: DataFrame, by: list[str], order: list[Column], out: str) -> DataFrame:
     """Number the rows of each key 0, 1, 2, … without bringing a key into one task.
 
     A key of n rows is cut into about sqrt(n) parts by a hash of the row; rows are numbered
     in their part and shifted by the parts before, so no task sees more than about sqrt(n)
-    rows of a key. The numbering is gapless per key; it follows `order` inside a part only.
-    Null keys count as a key. Equal rows may swap numbers.
+    rows of a key, if the table has a column that tells equal rows apart (`numbered`). The
+    numbering is gapless per key; it follows `order` inside a part only. Null keys count as
+    a key. Equal rows may swap numbers.
     """
     names = [f"__k{i}" for i in range(len(by))]
 

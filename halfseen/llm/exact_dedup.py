@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halfseen.llm.common import handover, query, table
+from halfseen.llm.common import handover, join_back, query, table
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
-                hash_bits: int = 128) -> DataFrame:
+                hash_bits: int = 128, limit: int = 100_000) -> DataFrame:
     """One row per document: its id, keep_id, group_size, kept and text_sha256.
 
     Texts are grouped by the leading `hash_bits` of their SHA-256 together with the text
     itself, so a group's members are compared byte by byte by the aggregation (after
     map-side combining, so one text that fills a third of the table costs one row per
-    map task). Members find their group by the hash alone; only hashes that several
-    different texts share are matched on the text as well.
+    map task). Members find their group by the hash alone, those of groups above `limit`
+    rows without a shuffle; only hashes that several different texts share are matched on
+    the text as well.
 
     A null text counts as empty, empty texts form one group. A row without id is counted
     but is kept only where no row of its group has an id (keep_id is then null). Repeated
@@ -31,7 +32,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = handover(rows.groupBy("key", "body").agg(*size).select("key", "keep_id", "group_size"))
     clashing = groups.groupBy("key").count().where("count > 1").select("key")
     if clashing.isEmpty():
-        found = rows.select("id", "sha", "key").join(groups, "key")
+        found = join_back(rows.select("id", "sha", "key"), groups, "key", "group_size", limit)
     else:
         plain = rows.select("id", "sha", "key").join(groups.join(clashing, "key", "left_anti"), "key")
         mixed = rows.join(clashing, "key")

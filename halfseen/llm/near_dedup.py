@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halfseen.llm.common import components, gathered, handover, query, small_batches, table
+from halfseen.llm.common import components, gathered, handover, join_back, numbered, query, small_batches, table
 from halfseen.llm.shingles import S32, WORDS, WordHashes, mix, shingle_set, texts
 
 BANDS, ROWS = 40, 4        # a pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**40 = 3e-7
@@ -297,14 +297,31 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     decided exactly; no group of copies is expanded into its pairs.
 
     Empty or null texts have an empty set, are linked with nothing and kept. Texts under
-    `words` words are one shingle. A row without id takes the component of equal sets, or
-    none. Repeated rows share a component. Ids stand for one text each. Other columns are
-    not read; an empty table gives no rows.
+    `words` words are one shingle. Where rows share an id or have none, the whole table is
+    handed over with a number per row and solved by it, so repeated rows cost no more than
+    others, an id may stand for several texts, and each row takes the smallest id of its own
+    component (null where no row of it has one). Other columns are not read; an empty table
+    gives no rows.
     """
-    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    solve = lambda d: by_unique_id(small_batches(d), percent, bands, rows, words, cell)
+    if docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id is null or n > 1").isEmpty():
+        found = solve(docs)
+    else:
+        own = numbered(docs)
+        by_row = handover(solve(own.select(F.col("row_no").alias("id"), "body")))
+        of_row = own.select(F.col("row_no").alias("id"), F.col("id").alias("doc")).join(by_row, "id")
+        names = of_row.groupBy("component").agg(F.min("doc").alias("name"), F.count(F.lit(1)).alias("c"))
+        found = join_back(of_row, names, "component", "c").select(F.col("doc").alias("id"), "n", F.col("name").alias("component"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+                        F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def by_unique_id(docs: DataFrame, percent: int, bands: int, rows: int, words: int, cell: int) -> DataFrame:
+    """(id, n, component) of documents (id, body) whose ids are there and unique."""
     sig = handover(signatures(docs, bands, rows, words))
-    classes = handover(sig.where("n > 0").groupBy("fp").agg(F.min("id").alias("node")))
-    nodes = classes.where("node is not null").select(F.col("node").alias("id"))
+    classes = handover(sig.where("n > 0").groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("c")))
+    nodes = classes.select(F.col("node").alias("id"))
     sketches = sig.select("id", "n", "s", "sketch").where("n > 0")
     entries = sig.where("n > 0").select("id", "n", "keys").join(nodes, "id", "left_semi").select("id", "n", F.explode("keys").alias("key"))
     heads = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("head")).where("m > 1")
@@ -321,11 +338,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = sets.unionByName(handover(shingle_sets(docs, more, words)))
     labels = components(links.unionByName(decide(rest, sets, percent)))
     node_comp = classes.join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select(
-        "fp", "node", F.coalesce("component", "node").alias("component"))
-    full = sig.where("n > 0").select("id", "n", "fp").join(node_comp, "fp").select("id", "n", "component")
+        "fp", "c", F.coalesce("component", "node").alias("component"))
+    full = join_back(sig.where("n > 0").select("id", "n", "fp"), handover(node_comp), "fp", "c").select("id", "n", "component")
     empty = sig.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
-                                          F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    return full.unionByName(empty)
 
 
 @query("op2_near_dedup", r"""

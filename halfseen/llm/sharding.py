@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halfseen.llm.common import gapless_rank, handover, query, table
+from halfseen.llm.common import gapless_rank, handover, join_back, numbered, query, table
 
 SHARDS, ROUNDS = 40, 30
 PER_LEVEL = 50_000             # requests for one shard that a task orders at a time
@@ -75,13 +75,13 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     where. Other columns are not read; an empty table gives no rows.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = handover(docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + 16).cast("long").alias("size"),
+    rows = numbered(docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + 16).cast("long").alias("size"),
                                 F.crc32(body).alias("text_crc32"), F.unhex(F.substring(F.sha2(body, 256), 1, 32)).alias("key")))
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     groups = handover(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    linked = rows.join(groups.select("key"), "key", "left_semi").select("id", "key")
-    blocks = handover(gapless_rank(linked, [], [F.col("id")], "r").groupBy("key", (F.col("r") % shards).cast("int").alias("shard"))
+    linked = join_back(rows.select("row_no", "key"), groups, "key", "c").select("row_no", "key")
+    blocks = handover(gapless_rank(linked, [], [F.col("row_no")], "r").groupBy("key", (F.col("r") % shards).cast("int").alias("shard"))
                       .agg(F.count(F.lit(1)).alias("n")))
     for _ in range(rounds):
         free = [q - n for q, n in zip(quota, loads(blocks, shards))]
@@ -92,22 +92,25 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         changes = (blocks.unionByName(moved.select("key", "shard", (-F.col("m")).alias("n")))
                    .unionByName(moved.select("key", F.col("target").alias("shard"), F.col("m").alias("n"))))
         blocks = handover(changes.groupBy("key", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
-    places = blocks.groupBy(F.col("key").alias("k")).agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("at"))  # one per shard at most
-    placed = handover(rows.join(places, F.col("key") == F.col("k"), "left").drop("k"))
-    lone = gapless_rank(placed.where("at is null").drop("at"), [], [F.col("id")], "r")
+    places = blocks.groupBy(F.col("key").alias("k")).agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("at"),
+                                                          F.sum("n").alias("c")).withColumnRenamed("k", "key")  # one per shard at most
+    hot = places.where("c > 100000")                # groups of so many rows are broadcast; there are at most total / 100,000
+    cold = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(places.where("c <= 100000"), "key", "left")
+    placed = handover(cold.unionByName(rows.join(F.broadcast(hot), "key")).drop("c"))
+    lone = gapless_rank(placed.where("at is null").drop("at"), [], [F.col("row_no")], "r")
     need, ends = [q - n for q, n in zip(quota, loads(blocks, shards))], []
     for n in need:
         ends.append((ends[-1] if ends else 0) + n)
     lone = lone.withColumn("shard", F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("r"))))
     whole = placed.where("size(at) = 1").withColumn("shard", F.col("at")[0]["shard"])
-    torn = gapless_rank(placed.where("size(at) > 1").drop("at"), ["key"], [F.col("id")], "r").join(places, F.col("key") == F.col("k"))
+    torn = gapless_rank(placed.where("size(at) > 1"), ["key"], [F.col("row_no")], "r")
     step = F.aggregate("at", F.struct(F.lit(0).cast("long").alias("end"), F.lit(-1).alias("shard")), lambda acc, x: F.when(
         (acc["shard"] < 0) & (F.col("r") < acc["end"] + x["n"]), F.struct(acc["end"].alias("end"), x["shard"].alias("shard"))).otherwise(
         F.struct((acc["end"] + x["n"]).alias("end"), acc["shard"].alias("shard"))))
     torn = torn.withColumn("shard", step["shard"])
-    cols = ["id", "size", "text_crc32", "shard"]
+    cols = ["id", "size", "text_crc32", "shard", "row_no"]
     done = handover(lone.select(*cols).unionByName(whole.select(*cols)).unionByName(torn.select(*cols)))
-    return gapless_rank(done, ["shard"], [F.col("id")], "slot").select(
+    return gapless_rank(done, ["shard"], [F.col("row_no")], "slot").select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
