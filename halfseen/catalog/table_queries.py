@@ -12,7 +12,7 @@ from halfseen.catalog.base import (
     signup_spans, table,
 )
 from halfseen.functions import scalar as s
-from halfseen.functions.hashing import unit_interval
+from halfseen.functions.hashing import poisson1, poisson_steps, unit_interval
 from halfseen.operators import disclosure as dc
 from halfseen.operators import evaluation as ev
 from halfseen.operators import features as ft
@@ -649,13 +649,16 @@ def _(spark, d):
 # --- summaries over runs ---------------------------------------------------------------------------
 
 SEEDS = ", ".join(f"({i})" for i in range(5))
-RUNS = W + V3 + f", rn AS (SELECT seed, segment, avg(y) AS v, avg(price) AS pr FROM ov, (VALUES {SEEDS}) t(seed) WHERE (CAST('0x' || substr(md5(CAST(okey AS VARCHAR) || '|' || 'seed/' || seed), 1, 8) AS BIGINT) / 4294967296e0) < 0.5e0 GROUP BY ALL)"
+DRAW = "(CAST('0x' || substr(md5(CAST(okey AS VARCHAR) || '|' || 'seed/' || seed), 1, 8) AS BIGINT) / 4294967296e0)"
+RUNS = W + V3 + f", dr AS (SELECT ov.*, seed, len(list_filter([{', '.join(f'{c!r}e0' for c in poisson_steps())}], lambda c: c <= {DRAW})) AS bw FROM ov, (VALUES {SEEDS}) t(seed)), rn AS (SELECT seed, segment, sum(bw*y)/sum(bw) AS v, sum(bw*price)/sum(bw) AS pr FROM dr GROUP BY ALL)"
 
 
 def runs(spark, d):
+    """Five bootstrap runs over all orders: every order has a Poisson(1) weight of its own in each."""
     o = order_units(spark, d).withColumn("seed", F.explode(F.array(*[F.lit(i) for i in range(5)])))
-    o = o.filter(unit_interval("okey", F.concat(F.lit("seed/"), F.col("seed").cast("string"))) < 0.5)
-    return o.groupBy("seed", "segment").agg(F.avg("y").alias("v"), F.avg("price").alias("pr"))
+    o = o.withColumn("bw", poisson1("okey", F.concat(F.lit("seed/"), F.col("seed").cast("string"))))
+    mean = lambda c: F.sum(F.col("bw") * F.col(c)) / F.sum("bw")
+    return o.groupBy("seed", "segment").agg(mean("y").alias("v"), mean("price").alias("pr"))
 
 
 @query("e1_seed_interval", RUNS + f" SELECT segment, {r('avg(v)', 'mean')}, count(*) AS n, {r('2.7764451051977987e0*stddev_samp(v)/sqrt(count(*))', 'ci95')} FROM rn GROUP BY segment")

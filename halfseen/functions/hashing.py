@@ -34,14 +34,19 @@ def bucket(ident, salt, n: int) -> Column:
     return F.pmod(hash32(ident, salt), F.lit(n)).cast("int")
 
 
-def poisson1(ident, salt) -> Column:
-    """Poisson(1) weight of a unit in one bootstrap replicate."""
-    # cumulative Poisson(1) probabilities down to the resolution of the hash
+def poisson_steps() -> list[float]:
+    """Cumulative Poisson(1) probabilities down to the resolution of the hash."""
     total, term, steps = 0.0, 0.36787944117144233, []
     while term > 1.0 / SPACE:
         total += term
         steps.append(total)
         term /= len(steps)
+    return steps
+
+
+def poisson1(ident, salt) -> Column:
+    """Poisson(1) weight of a unit in one bootstrap replicate."""
+    steps = poisson_steps()
     # the one-element array makes the hash be evaluated once
     once = F.array(unit_interval(ident, salt))
     count = lambda u: sum((F.when(u >= c, 1).otherwise(0) for c in steps), F.lit(0))

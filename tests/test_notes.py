@@ -1,7 +1,9 @@
 """Golden sentences of the note extraction."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from halfseen.functions import notes as patterns
 from halfseen.operators import notes
 
 # text, lvef, composite, valve component
@@ -63,3 +65,20 @@ def test_parse_and_merge(spark):
     assert (m[3]["lvef"], m[3]["lvef_qualitative"], m[3]["shd_composite"]) == (30.0, "hyperdynamic", 1)
     back = {x["id"]: x["lvef"] for x in notes.merge(first, got, "id", "first_overrides").collect()}
     assert back == {1: 60.0, 2: 60.0, 3: 30.0}
+
+
+def test_locate_many_matches(spark):
+    """Positions of every match, also over several chunks, and time that grows far slower than the square of their number."""
+    import re
+    import time
+    rows = ["", "none", "ent", "x" * 7 + "ent ent" + "é" * 3, "ab ent " * 500, "entent" * 700]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string")
+    for r in df.select("k", patterns.locate(F.col("t"), "ent").alias("m")).collect():
+        assert [(m["pos"], m["stop"], m["hit"]) for m in r["m"]] == [(m.start(), m.end(), m[0]) for m in re.finditer("ent", rows[r["k"]])]
+    took = []
+    for n in (10_000, 40_000):
+        one = spark.createDataFrame([("ab ent " * n,)], "t string")
+        start = time.time()
+        assert one.select(F.size(patterns.locate(F.col("t"), "ent"))).first()[0] == n
+        took.append(time.time() - start)
+    assert took[1] < 12 * took[0] + 2
