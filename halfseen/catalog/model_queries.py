@@ -294,7 +294,35 @@ def _(spark, d):
     return out(c.select("z", "n", "used"))
 
 
-@query("g8_leniency_gamma_min")
+LENIENT = W + V3 + f""", us AS (SELECT z FROM ov GROUP BY z HAVING count(*) >= 10 AND sum(t) >= 5 AND sum(1-t) >= 5 AND sum(CASE WHEN y_obs=1 THEN 1 ELSE 0 END) >= 5 AND sum(CASE WHEN y_obs=0 THEN 1 ELSE 0 END) >= 5),
+  sd AS (SELECT ov.*, s AS seed, okey || '/' || s AS i FROM ov JOIN us USING (z), (VALUES {", ".join(f"({k})" for k in range(5))}) v(s)),
+  fo AS (SELECT *, (row_number() OVER (PARTITION BY seed, z, t ORDER BY {h32('i', 'leniency/e')}, i) - 1) % 5 AS ef, (row_number() OVER (PARTITION BY seed, z, t, y_obs ORDER BY {h32('i', 'leniency/p')}, i) - 1) % 5 AS pf FROM sd),
+  lo AS (SELECT seed, z, segment, f, avg(t) FILTER (WHERE ef <> f) AS e, avg(y_obs) FILTER (WHERE t = 1 AND pf <> f) AS p FROM fo, range(5) q(f) GROUP BY ALL),
+  nz AS (SELECT seed, z, segment, greatest(least(avg(e), 0.999e0), 0.001e0) AS e, greatest(least(avg(p), 0.999e0), 0.001e0) AS p FROM lo GROUP BY ALL),
+  za AS (SELECT seed, segment, list({{'e': e, 'p': p}}) AS zs, count(*) AS groups FROM nz GROUP BY ALL),""" + GMIN[GMIN.index("\n  gm AS"):].replace("SELECT c1, c2, c3, n,", "SELECT seed, segment, groups,") + """,
+  gu AS (SELECT seed, groups, g FROM gm JOIN ov USING (segment) WHERE g < 1e4),
+  gs AS (SELECT seed, max(g) AS gamma_min, quantile_cont(g, 0.95) AS gamma_min_q95, count(*) AS n_units, any_value(groups) AS n_groups FROM gu GROUP BY seed)"""
+
+
+def lenient(spark, d):
+    """Orders with indicator columns of their segment: a saturated model, so its fits are the cell means of the SQL."""
+    o = order_units(spark, d)
+    levels = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    o = o.withColumns({f"s{i}": (F.col("segment") == v).cast("double") for i, v in enumerate(levels)})
+    return gm.leniency(o, [f"s{i}" for i in range(4)], z="z", t="t", y="y_obs", ident="okey", boot=False)[0]
+
+
+@query("g8_leniency_gamma_min", LENIENT + f" SELECT CAST(seed AS BIGINT) AS seed, {r('gamma_min')}, {r('gamma_min_q95')}, n_units, n_groups FROM gs")
+def _(spark, d):
+    return out(lenient(spark, d).select("seed", "gamma_min", "gamma_min_q95", "n_units", "n_groups"))
+
+
+@query("g8_leniency_interval", LENIENT + f" SELECT {r('avg(gamma_min)', 'mean')}, count(*) AS n, {r('2.7764451051977987e0*stddev_samp(gamma_min)/sqrt(count(*))', 'ci95')} FROM gs")
+def _(spark, d):
+    return out(ev.seed_interval(lenient(spark, d), "gamma_min").select("mean", "n", "ci95"))
+
+
+@query("g8_leniency_cells")
 def _(spark, d):
     u = document_units(spark, d)
     ok = gm.usable_centres(u, "z", "t", "y_obs", folds=5, least=10).filter("used = 1")

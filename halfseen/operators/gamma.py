@@ -12,7 +12,10 @@ from halfseen.functions import quantiles as qt
 from halfseen.functions import scalar as s
 from halfseen.operators import objectives as ob
 from halfseen.operators import ranking as rk
+from halfseen.operators.keyed_logistic import fit_keyed, scores
+from halfseen.operators.lineage import cut
 from halfseen.operators.quantile import exact_quantiles
+from halfseen.operators.validate import stratified_folds
 
 
 def gamma_min(zs="zs", top: float = 1e4, steps: int = 60) -> Column:
@@ -175,6 +178,67 @@ def usable_centres(units: DataFrame, z: str, t: str, y: str, *, folds: int = 5,
     return table.withColumns({"reason": reason, "used": reason.isNull().cast("int")})
 
 
+def leniency(units: DataFrame, features: Sequence[str], *, z: str, t: str, y: str, ident: str, seeds: int = 5, folds: int = 5,
+             least: int = 10, bound: float = 1e-3, boot: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Gamma_min from the leniency of centres: (one row per seed, failures).
+
+    Per seed, usable centre and fold a logistic model of the decision on all its units and
+    one of the outcome on its selected ones, all fitted together; a centre's nuisances at a
+    point are the means over its folds. The grid is all units, packed by their features. A
+    row: seed, gamma_min, gamma_min_q95, gamma_min_boot_lo (null without ``boot``),
+    n_units, n_groups. A fold without both classes fails its centre for that seed; failures
+    are rows (seed, centre, error), and a seed with fewer than two centres has only those.
+    Models are keys: seeds * centres * folds * 2 coefficient vectors are all that the driver
+    holds.
+    """
+    spark = units.sparkSession
+    centres = sorted(r[z] for r in usable_centres(units, z, t, y, folds=folds, least=least).filter("used = 1").select(z).collect())
+    many, models = len(centres), 2 * folds
+    index = spark.createDataFrame([(c, i) for i, c in enumerate(centres)], f"__c {dict(units.dtypes)[z]}, __zi int")
+    rows = units.select(*features, F.col(z).alias("__z"), F.col(t).cast("int").alias("__t"), F.col(y).cast("double").alias("__y"), F.col(ident).alias("__i"))
+    rows = rows.join(F.broadcast(index), F.col("__z") == F.col("__c")).drop("__c")          # one row per usable centre
+    rows = rows.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("__i", F.concat_ws("/", "__i", "__s"))
+    rows = stratified_folds(rows, ["__s", "__z", "__t"], "__i", folds, "leniency/e").withColumnRenamed("fold", "__ef")
+    rows = stratified_folds(rows, ["__s", "__z", "__t", "__y"], "__i", folds, "leniency/p").withColumnRenamed("fold", "__pf")
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("__ef").alias("fold"), F.col("__t").cast("double").alias("y")),
+                    F.struct(F.lit(1).alias("kind"), F.col("__pf").alias("fold"), F.col("__y").alias("y")))
+    long = rows.select(*features, "__s", "__zi", "__t", F.inline(kinds)).where("kind = 0 or __t = 1")
+    long = cut(long.groupBy(*features, "__s", "__zi", "kind", "fold", "y").agg(F.count(F.lit(1)).alias("w")))
+    out_of = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold")))
+    key = (F.col("__s") * many + F.col("__zi")) * models + F.col("kind") * folds + F.col("left_out")
+    beta, problem = fit_keyed(long.withColumn("left_out", out_of).withColumn("k", key), features, max(seeds * many * models, 1))
+
+    failures = [(k // models // many, str(centres[k // models % many]), e) for k, e in enumerate(problem) if e and many]
+    lost = {(seed, c) for seed, c, _ in failures}
+    used = [[i for i, c in enumerate(centres) if (seed, str(c)) not in lost] for seed in range(seeds)]
+    failures += [(seed, None, "fewer than two centres fitted") for seed in range(seeds) if len(used[seed]) < 2]
+    fitted = spark.createDataFrame(failures, "seed int, centre string, error string")
+    grid = cut(units.groupBy(*features).agg(F.count(F.lit(1)).alias("n")).withColumn("__q", scores(beta, features)))
+    parts = []
+    for seed in [k for k in range(seeds) if len(used[k]) > 1]:
+        def nuisance(i: int, kind: int, seed=seed) -> Column:
+            at = (seed * many + i) * models + kind * folds
+            return s.clip(sum((F.col("__q")[at + f] for f in range(folds)), F.lit(0.0)) / folds, bound, 1.0 - bound)
+        zs = F.array(*[F.struct(nuisance(i, 0).alias("e"), nuisance(i, 1).alias("p1")) for i in used[seed]])
+        parts.append(grid.select(F.lit(seed).alias("seed"), F.lit(len(used[seed])).alias("n_groups"), "n", zs.alias("zs")))
+    none = "seed int, gamma_min double, gamma_min_q95 double, gamma_min_boot_lo double, n_units long, n_groups int"
+    if not parts:
+        return spark.createDataFrame([], none), fitted
+    cells = parts[0]
+    for p in parts[1:]:
+        cells = cells.unionByName(p)
+    cells = cut(cells.select("seed", "n_groups", "n", gamma_min("zs").alias("gamma_min")))
+    ok = cells.filter(F.col("gamma_min") < F.lit(float("inf")))
+    q = exact_quantiles(ok, {"gamma_min": "gamma_min"}, [0.95], keys=["seed"], count=F.col("n").cast("bigint")).select(
+        "seed", F.col("q0").alias("gamma_min_q95"), F.col("n").cast("long").alias("n_units"))
+    table = ok.groupBy("seed", "n_groups").agg(F.max("gamma_min").alias("gamma_min")).join(q, "seed")
+    low = F.lit(None).cast("double")
+    if boot:
+        limits = {r["seed"]: falsification(ok.where(F.col("seed") == r["seed"])).first()["gamma_min_boot_lo"] for r in ok.select("seed").distinct().collect()}
+        low = F.create_map(*[F.lit(v) for kv in limits.items() for v in kv])[F.col("seed")] if limits else low
+    return table.withColumn("gamma_min_boot_lo", low).select("seed", "gamma_min", "gamma_min_q95", "gamma_min_boot_lo", "n_units", "n_groups"), fitted
+
+
 def compare_populations(row: DataFrame, here: str, there: str, ci_lo: Column, ci_hi: Column) -> DataFrame:
     """Difference, ratio, whether the interval here holds the value there, same side of 1."""
     a, b = F.col(here), F.col(there)
