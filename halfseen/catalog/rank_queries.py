@@ -297,10 +297,17 @@ def _(spark, d):
 @query("a15_realised_auroc")
 def _(spark, d):
     u = lineitem_units(spark, d).select("y", margin().alias("s"))
-    packed = u.groupBy("s", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.concat_ws("/", "s", "y"))
-    reps = ev.resampled(packed, "id", seeds=2, replicates=25, count="n")
-    stats = rk.auc(reps, "s", {"auc": "y"}, weight="bw", keys=["seed", "rep"])
-    return out(ev.bootstrap_summary(stats, "auc"))
+    return out(ev.bootstrap_summary(ev.auc_replicates(u, "s", "y", seeds=2, replicates=25), "auc"))
+
+
+@query("a15_influence_interval", "WITH " + V1 + f""", k AS (SELECT z, price AS s, y_obs AS y FROM u WHERE y_obs IS NOT NULL AND price IS NOT NULL),
+  v AS (SELECT z, y, count(*) FILTER (WHERE y = 0) OVER (PARTITION BY z ORDER BY s) AS d_upto, count(*) FILTER (WHERE y = 0) OVER (PARTITION BY z, s) AS d_at, count(*) FILTER (WHERE y = 1) OVER (PARTITION BY z ORDER BY s) AS u_upto, count(*) FILTER (WHERE y = 1) OVER (PARTITION BY z, s) AS u_at,
+    count(*) FILTER (WHERE y = 1) OVER (PARTITION BY z) AS m, count(*) FILTER (WHERE y = 0) OVER (PARTITION BY z) AS k FROM k),
+  i AS (SELECT z, y, m, k, CASE WHEN y = 1 THEN (d_upto - 0.5e0*d_at)/k ELSE (m - u_upto + 0.5e0*u_at)/m END AS x FROM v),
+  g AS (SELECT z, any_value(m) AS n_pos, any_value(k) AS n_neg, avg(x) FILTER (WHERE y = 1) AS auc, sqrt(var_samp(x) FILTER (WHERE y = 1)/any_value(m) + var_samp(x) FILTER (WHERE y = 0)/any_value(k)) AS se FROM i GROUP BY z)
+  SELECT z, {r('auc')}, {r('se')}, {r('auc - 1.959963984540054e0*se', 'lo')}, {r('auc + 1.959963984540054e0*se', 'hi')}, n_pos, n_neg FROM g""")
+def _(spark, d):
+    return out(ev.influence_interval(lineitem_units(spark, d), "price", "y_obs", keys=["z"]))
 
 
 @query("a15_realised_auroc_point", "WITH " + V1 + f""", g AS (SELECT qty, count(*) AS w, sum(y_obs) AS sy FROM u WHERE y_obs IS NOT NULL GROUP BY qty), c AS (SELECT w, sy, sy/sum(w) OVER () AS y, (sum(w) OVER (ORDER BY qty)-0.5e0*w)/sum(w) OVER () AS phi FROM g)

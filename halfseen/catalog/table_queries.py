@@ -679,12 +679,16 @@ def _(spark, d):
     return out(ev.expected_calibration_error(ev.calibration(lineitem_nuisance(spark, d), "p1", "y")))
 
 
-@query("e3_bootstrap")
+MIX = ("h0", "(h + 2654435769*(p + 1)) % 4294967296"), ("h1", "CAST(CAST(xor(h0, h0 >> 16) AS HUGEINT)*2246822507 % 4294967296 AS BIGINT)"), ("h2", "CAST(CAST(xor(h1, h1 >> 13) AS HUGEINT)*3266489909 % 4294967296 AS BIGINT)"), ("u", "xor(h2, h2 >> 16)/4294967296e0")
+BOOT = (W + V3 + f", pw AS (SELECT y, CAST('0x' || substr(md5(CAST(okey AS VARCHAR) || '|replicates'), 1, 8) AS BIGINT) AS h, p, {', '.join(f'{e} AS {n}' for n, e in MIX)} FROM ov, range(120) t(p)), "
+        f"wt AS (SELECT p, y, len(list_filter([{', '.join(f'{c!r}e0' for c in poisson_steps())}], lambda c: c <= u)) AS bw FROM pw), "
+        "rp AS (SELECT CAST(p // 40 AS BIGINT) AS seed, sum(bw*y)/sum(bw) AS v FROM wt GROUP BY p), bo AS (SELECT seed, v FROM rp UNION ALL SELECT NULL, v FROM rp)")
+
+
+@query("e3_bootstrap", BOOT + f" SELECT seed, {r('avg(v)', 'mean')}, {r('quantile_cont(v, 0.025)', 'lo')}, {r('quantile_cont(v, 0.975)', 'hi')}, count(*) AS n_boot FROM bo GROUP BY seed")
 def _(spark, d):
-    o = order_units(spark, d).groupBy("y", "t").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.concat_ws("/", "y", "t"))
-    reps = ev.resampled(o, "id", seeds=3, replicates=40, count="n")
-    stat = reps.groupBy("seed", "rep").agg((F.sum(F.col("bw") * F.col("y")) / F.sum("bw")).alias("rate"))
-    return out(ev.bootstrap_summary(stat, "rate"))
+    sums = ev.replicate_sums(order_units(spark, d), "okey", {"y": "y"}, seeds=3, replicates=40)
+    return out(ev.bootstrap_summary(sums.withColumn("rate", F.col("y") / F.col("bw")), "rate"))
 
 
 @query("e4_loglog_fit", W + V3 + ", c AS (SELECT segment, ckey, count(*) AS n, sum(price) AS total FROM ov GROUP BY ALL) SELECT segment, " + ", ".join([r("regr_slope(ln(total), ln(n))", "slope"), r("regr_intercept(ln(total), ln(n))", "intercept"), r("regr_r2(ln(total), ln(n))", "r2")]) + " FROM c GROUP BY segment")

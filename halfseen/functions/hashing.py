@@ -6,8 +6,6 @@ depends on partitioning, retries or executor loss.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -53,27 +51,44 @@ def poisson1(ident, salt) -> Column:
     return F.get(F.transform(once, count), F.lit(0)).cast("int")
 
 
+def mix32(h: np.ndarray, step: np.ndarray | int) -> np.ndarray:
+    """Further 32-bit numbers of a hash: one per step, by adding a golden-ratio multiple and mixing twice."""
+    x = (h.astype(np.uint64) + np.uint64(0x9E3779B9) * np.asarray(step, np.uint64)) & np.uint64(SPACE - 1)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(SPACE - 1)
+    return x ^ (x >> np.uint64(16))
+
+
 NORMAL_FROM = 400.0
 
+# Coefficients of the published rational approximation of the normal quantile
+# (algorithm AS 241), numerator and denominator from the constant term upwards.
+CENTRE = ((3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125,
+           45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+          (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077,
+           21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610))
+TAIL = ((1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504,
+         1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640),
+        (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550,
+         0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 0.00000000105075007164441684324))
+
 
 def _normal_ppf(u: np.ndarray) -> np.ndarray:
-    """Inverse normal distribution by Newton steps on a logistic start."""
-    z = np.log(u / (1.0 - u)) / 1.702
-    erf = np.frompyfunc(math.erf, 1, 1)
-    for _ in range(6):
-        cdf = 0.5 * (1.0 + erf(z / math.sqrt(2.0)).astype(float))
-        z = z - np.clip((cdf - u) * math.sqrt(2.0 * math.pi) * np.exp(np.minimum(z * z / 2.0, 40.0)), -1.0, 1.0)
-    return z
+    """Inverse normal distribution for probabilities between 1e-10 and 1 - 1e-10."""
+    ratio = lambda c, r: np.polyval(c[0][::-1], r) / np.polyval(c[1][::-1], r)
+    q = u - 0.5
+    near = q * ratio(CENTRE, np.maximum(0.180625 - q * q, 0.0))
+    far = ratio(TAIL, np.sqrt(-np.log(np.minimum(u, 1.0 - u))) - 1.6)
+    return np.where(np.abs(q) <= 0.425, near, np.copysign(far, q))
 
 
-@F.pandas_udf(DoubleType())
-def poisson_draw(n: pd.Series, seed: pd.Series) -> pd.Series:
-    """Sum of ``n`` Poisson(1) weights, a pure function of its seed in [0, 2^32).
+def poisson_quantile(mean: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Sum of ``mean`` Poisson(1) weights, a pure function of a draw in [0, 2^32).
 
-    The seed is the quantile: found by summing probabilities for small means, by the
+    The draw is the quantile: found by summing probabilities for small means, by the
     normal quantile with its skewness term from NORMAL_FROM on.
     """
-    mean, u = n.to_numpy(float), (seed.to_numpy(float) + 0.5) / SPACE
+    u = (draw.astype(float) + 0.5) / SPACE
     out = np.zeros(len(mean))
     small = mean < NORMAL_FROM
     m, q = mean[small], u[small]
@@ -88,4 +103,17 @@ def poisson_draw(n: pd.Series, seed: pd.Series) -> pd.Series:
     z = _normal_ppf(u[~small])
     big = mean[~small]
     out[~small] = np.maximum(np.rint(big + np.sqrt(big) * z + (z * z - 1.0) / 6.0), 0.0)
-    return pd.Series(out)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def poisson_draw(n: pd.Series, seed: pd.Series) -> pd.Series:
+    return pd.Series(poisson_quantile(n.to_numpy(float), seed.to_numpy(np.int64)))
+
+
+def replicate_weights(count: np.ndarray | None, h: np.ndarray, replicates: int) -> np.ndarray:
+    """Bootstrap weights, one row per unit and one column per replicate; ``count`` packs equal units."""
+    draws = mix32(h[:, None], np.arange(1, replicates + 1)[None, :])
+    if count is None:
+        return np.searchsorted(np.array(poisson_steps()), draws / SPACE, side="right").astype(float)
+    return poisson_quantile(np.repeat(count.astype(float), replicates), draws.ravel()).reshape(draws.shape)

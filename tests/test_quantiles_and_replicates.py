@@ -73,3 +73,83 @@ def test_median_of_a_large_group_moves_few_rows(spark):
         assert seen[-1].count() <= 2000          # only this is grouped by value and sorted
     finally:
         spark.conf.unset("spark.halfseen.blockRows")
+
+
+def weights(ids, total):
+    import hashlib
+
+    from halfseen.functions.hashing import replicate_weights
+    h = np.array([int(hashlib.md5(f"{i}|replicates".encode()).hexdigest()[:8], 16) for i in ids], dtype=np.int64)
+    return replicate_weights(None, h, total)
+
+
+def test_replicate_sums_against_loop(spark):
+    rows = [(i, None if i % 5 == 0 else i % 3, None if i % 7 == 0 else i / 4.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, k int, v double").repartition(5)
+    got = {(r["k"], r["seed"], r["rep"]): (r["bw"], r["v"]) for r in
+           ev.replicate_sums(df, "id", {"v": "v"}, keys=["k"], seeds=2, replicates=6).collect()}
+    w = weights(range(60), 12)
+    for k in (None, 0, 1, 2):
+        mine = [i for i, kk, _ in rows if kk == k]
+        for p in range(12):
+            want = sum(w[i, p] for i in mine), sum(w[i, p] * (rows[i][2] or 0.0) for i in mine)
+            assert got[(k, p // 6, p % 6)] == pytest.approx(want)
+    assert len(got) == 48
+    assert ev.replicate_sums(df.limit(0), "id", {"v": "v"}, seeds=1, replicates=3).count() == 0
+
+
+def test_weights_have_mean_and_variance_one():
+    w = weights(range(4000), 50)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    pairs = np.corrcoef(w.T)
+    assert np.abs(pairs - np.eye(50)).max() < 0.08          # replicates are unrelated
+
+
+def auc(score, y, w):
+    up, down = [(s, x) for s, t, x in zip(score, y, w) if t == 1], [(s, x) for s, t, x in zip(score, y, w) if t == 0]
+    total = sum(a * b for _, a in up for _, b in down)
+    won = sum(a * b * (1.0 if s > t else 0.5 if s == t else 0.0) for s, a in up for t, b in down)
+    return won / total if total else None
+
+
+@pytest.mark.parametrize("distinct", [3, 1000])
+def test_auc_replicates_against_pairs(spark, distinct, monkeypatch):
+    import hashlib
+
+    from halfseen.functions.hashing import replicate_weights
+    monkeypatch.setattr(ev, "CELLS", 40)          # ties go over several pieces of a batch
+    rnd = random.Random(2)
+    rows = [(float(rnd.randrange(distinct)), rnd.randrange(2)) for _ in range(90)] + [(None, 1), (1.0, None)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    got = {r["rep"]: r["auc"] for r in ev.auc_replicates(df, "s", "y", seeds=1, replicates=8, blocks=4).collect()}
+    packed = {}
+    for s, y in rows[:-2]:
+        packed[(s, float(y))] = packed.get((s, float(y)), 0) + 1
+    keys = list(packed)
+    h = np.array([int(hashlib.md5(f"{s}/{y}|replicates".encode()).hexdigest()[:8], 16) for s, y in keys], dtype=np.int64)
+    w = replicate_weights(np.array([packed[k] for k in keys]), h, 8)
+    for p in range(8):
+        assert got[p] == pytest.approx(auc([k[0] for k in keys], [k[1] for k in keys], w[:, p]))
+
+
+def test_influence_interval_against_definition(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(12) / 2.0, rnd.randrange(2)) for _ in range(80)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    up, down = [s for s, y in rows if y == 1], [s for s, y in rows if y == 0]
+    wins = np.array([[1.0 if a > b else 0.5 if a == b else 0.0 for b in down] for a in up])
+    se = math.sqrt(wins.mean(1).var(ddof=1) / len(up) + wins.mean(0).var(ddof=1) / len(down))
+    r = ev.influence_interval(df, "s", "y").collect()[0]
+    assert (r["auc"], r["se"], r["n_pos"], r["n_neg"]) == pytest.approx((wins.mean(), se, len(up), len(down)))
+    packed = df.groupBy("s", "y").count()
+    assert ev.influence_interval(packed, "s", "y", count="count").collect()[0]["se"] == pytest.approx(se)
+    assert ev.influence_interval(df.filter("y = 1"), "s", "y").collect()[0]["se"] is None
+    assert ev.influence_interval(df.filter("false"), "s", "y", keys=["y"]).count() == 0
+
+
+def test_normal_quantile_against_library():
+    from statistics import NormalDist
+
+    from halfseen.functions.hashing import _normal_ppf
+    u = np.array([1.2e-10, 1e-6, 0.01, 0.0749, 0.0751, 0.3, 0.5, 0.9, 0.9251, 1 - 1e-9])
+    assert _normal_ppf(u) == pytest.approx([NormalDist().inv_cdf(float(x)) for x in u], rel=1e-12, abs=1e-14)
