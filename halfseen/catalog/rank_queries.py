@@ -410,11 +410,17 @@ def _(spark, d):
     return got.select("lam", s.r6("risk", 4).alias("risk"))
 
 
-@query("l9_budgeted_risk")
+@query("l9_budgeted_risk", "WITH " + V1N + f""", pk AS (SELECT row_number() OVER () AS u, * FROM (SELECT {Z_SQL} AS s, e, p1, count(*) AS w FROM nu GROUP BY ALL)),
+  gr AS (SELECT u, s, e, p1, w, i, abs(-ln(2e0)+i*(2e0*ln(2e0)/128e0)) AS a, -ln(2e0)+i*(2e0*ln(2e0)/128e0) AS tau FROM pk, range(129) t(i)),
+  rr AS (SELECT *, (e*p1+(1e0-e)*{g_sql('p1', 'exp(tau)')}) AS p FROM gr), lv AS (SELECT u, abs(i - 64) AS k, any_value(w) AS w, max(a) AS a, max(p*{L1}+(1e0-p)*{L0}) AS r FROM rr GROUP BY u, abs(i - 64)),
+  sl AS (SELECT x.u, x.k, any_value(x.w) AS w, any_value(x.a) AS a, any_value(x.r) AS r, min((x.r-y.r)/(x.a-y.a)) FILTER (WHERE y.k < x.k) AS lft, max((y.r-x.r)/(y.a-x.a)) FILTER (WHERE y.k > x.k) AS rgt FROM lv x JOIN lv y ON x.u = y.u AND x.k <> y.k GROUP BY x.u, x.k),
+  vx AS (SELECT *, a - lag(a) OVER o AS da, r - lag(r) OVER o AS dr FROM sl WHERE lft IS NULL OR rgt IS NULL OR lft > rgt WINDOW o AS (PARTITION BY u ORDER BY k)),
+  st AS (SELECT lft AS slope, w*da AS da, w*dr AS dr FROM vx WHERE lft > 0), cu AS (SELECT *, sum(da) OVER o AS ca, sum(dr) OVER o AS cr FROM st WINDOW o AS (ORDER BY slope DESC ROWS UNBOUNDED PRECEDING)),
+  b0 AS (SELECT sum(w) AS tw, sum(w*r) AS r0 FROM lv WHERE k = 0)
+  SELECT budget, {r('(r0 + cr - dr + slope*(budget*tw - (ca - da)))/tw', 'risk')}, {r('slope', 'lam')}, budget AS tilt FROM cu, b0, (VALUES (0.05e0), (0.3e0)) v(budget) WHERE ca > budget*tw AND ca - da <= budget*tw""")
 def _(spark, d):
     u = packed_lineitem(spark, d, "qty").withColumn("s", margin())
-    rows = [(float(b), *ob.budgeted_risk(u, gamma=2.0, budget=b, weight="w")) for b in (0.05, 0.3)]
-    return out(spark.createDataFrame(rows, "budget double, risk double, lam double, tilt double"))
+    return out(ob.budgeted_risks(u, [0.05, 0.3], gamma=2.0, weight="w"))
 
 
 METHODS_SQL = ("WITH " + V1N + ", " + grid_sql([1.5, 2.0], "nu", "gx") + ", " + box_sql("gamma", "gx", "bm")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,40 +150,74 @@ def restrict_to_coverage(df: DataFrame, cover: DataFrame, time: str, pad: int) -
 
 
 def _walk(gap: int):
-    def kept(rows: pd.DataFrame) -> pd.DataFrame:
-        t = rows["__t"].to_numpy()
-        order = np.argsort(t, kind="stable")
-        t = t[order]
-        take, i = [], 0
-        while i < len(t):
-            take.append(i)
-            i = int(np.searchsorted(t, t[i] + gap, side="left"))
-        return rows.iloc[order[take]]
+    """Keep rows of (subject, time) order batch by batch; what is carried on is one subject and its last kept time."""
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_by = open_t = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            by, t = batch.column(0), batch.column(1).to_numpy()
+            changed = pc.not_equal(by.slice(1), by.slice(0, len(by) - 1)).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.r_[True, changed])
+            end = np.r_[first[1:], len(t)]                    # of each subject in this batch
+            i = first.copy()
+            if open_by is not None and by[0] == open_by:
+                i[0] = np.searchsorted(t[:end[0]], open_t + gap)
+            take, last = [], open_t
+            while True:                                       # one step of all subjects at a time
+                i, end, first = (x[i < end] for x in (i, end, first))
+                if not len(i):
+                    break
+                take.append(i)
+                if end[-1] == len(t):
+                    last = t[i[-1]]
+                i = _next_from(t, i, end, t[i] + gap)
+            at = np.sort(np.concatenate(take)) if take else np.zeros(0, np.int64)
+            open_by, open_t = by[len(by) - 1], last
+            yield batch.take(pa.array(at))
     return kept
 
 
+def _next_from(t: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """First place in [lo, hi) of each stretch whose time is at least ``least``, by bisection of all at once."""
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        short = (lo < hi) & (t[np.minimum(mid, len(t) - 1)] < least)
+        lo, hi = np.where(short, mid + 1, lo), np.where(short | (lo >= hi), hi, mid)
+    return lo
+
+
 def greedy_gap(df: DataFrame, *, by: str, ident: str, time: str, gap: int,
                small_group: int = 200_000) -> DataFrame:
     """Rows kept by: the first per subject, then each at least ``gap`` after the last kept.
 
-    Only the smallest id at an instant can be kept, so instants are reduced first.
-    Groups up to ``small_group`` instants are walked inside a task; larger ones are
-    solved by pointer doubling over (subject, instant), which has no hot group.
+    At one instant the row with the smallest id counts, of equal ids any one. Rows without
+    subject or time are left out. Whole rows are sorted by subject, time and id and walked
+    in Arrow batches, all subjects of a batch at once, with no join back; subjects above
+    ``small_group`` rows are solved by pointer doubling over (subject, instant), which has
+    no hot group.
     """
     if gap <= 0:
         raise ValueError("gap must be positive")
-    ids = df.schema[ident].dataType.simpleString()
-    keys = df.schema[by].dataType.simpleString()
-    points = df.groupBy(F.col(by).alias("__by"), F.col(time).alias("__t")).agg(F.min(ident).alias("__id"))
+    rows = df.filter(F.col(by).isNotNull() & F.col(time).isNotNull())
     limit = min(small_group, block_rows(df))
-    hot = points.groupBy("__by").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("__by")
-    is_hot = df.select(by).count() > limit and bool(hot.limit(1).count())
-    cold_points = points.join(hot, "__by", "left_anti") if is_hot else points
-    chosen = cold_points.groupBy("__by").applyInPandas(_walk(gap), f"__by {keys}, __t bigint, __id {ids}")
-    if is_hot:
-        chosen = chosen.unionByName(_chain(points.join(hot, "__by", "left_semi"), gap))
-    return df.join(chosen.select(F.col("__by").alias(by), F.col("__id").alias(ident)),
-                   [by, ident], "left_semi")
+    hot = None
+    if df.select(by).count() > limit:
+        hot = rows.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("__by")
+        hot = cut(hot)                                        # at most rows / limit subjects
+        hot = None if hot.isEmpty() else hot
+    cold = rows if hot is None else rows.join(F.broadcast(hot), rows[by] == hot["__by"], "left_anti")
+    fields = ["__by", "__t", "__row"]
+    lined = cold.select(F.col(by).alias("__by"), F.col(time).cast("bigint").alias("__t"), F.struct(*df.columns).alias("__row"))
+    lined = lined.repartition("__by").sortWithinPartitions("__by", "__t", f"__row.{ident}")
+    chosen = lined.mapInArrow(_walk(gap), lined.select(*fields).schema).select("__row.*")
+    if hot is None:
+        return chosen
+    points = rows.join(F.broadcast(hot), rows[by] == hot["__by"], "left_semi").groupBy(
+        F.col(by).alias("__by"), F.col(time).alias("__t")).agg(F.min_by(F.struct(*df.columns), F.struct(ident)).alias("__row"))
+    points = cut(points)
+    reached = _chain(points.select("__by", "__t"), gap)
+    return chosen.unionByName(points.join(reached, ["__by", "__t"], "left_semi").select("__row.*"))
 
 
 def _chain(points: DataFrame, gap: int) -> DataFrame:

@@ -176,3 +176,18 @@ def test_hot_null_key_is_cut(spark, tiny_blocks):
     assert one.df.groupBy("k", scan._BLOCK).count().agg(F.max("count")).first()[0] <= 12
     got = {(r["k"], r["v"]): r["s"] for r in one.add(s=("sum", F.lit(1))).result().collect()}
     assert got == {(None if i % 2 else 1, i): i // 2 + 1 for i in range(60)}
+
+
+def test_greedy_gap_over_batches_with_whole_rows(spark, form):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", "b", None]), i, rnd.choice([None, *range(200)]), [f"n{i}"], rnd.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "subject string, id int, time bigint, notes array<string>, __t double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = tm.greedy_gap(df, by="subject", ident="id", time="time", gap=11).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sum((greedy([(t, i) for s, i, t, *_ in rows if s == k and t is not None], 11) for k in "ab"), [])
+    assert sorted(r["id"] for r in got) == sorted(want)
+    assert all(tuple(r) == (rows[r["id"]][0], r["id"], rows[r["id"]][2], [f"n{r['id']}"], rows[r["id"]][4]) for r in got)
+    assert tm.greedy_gap(df.limit(0), by="subject", ident="id", time="time", gap=11).count() == 0
