@@ -23,7 +23,7 @@ from halfseen.operators import temporal as tm
 from halfseen.operators import validate as vd
 from halfseen.operators.lineage import shared_folder
 from halfseen.plans import cohorts as co
-from halfseen.sources import contracts, reader, sinks
+from halfseen.sources import contracts, reader, sinks, typed
 
 W = "WITH "
 LV = "l AS (SELECT * FROM ev WHERE event_type = 'view')"
@@ -587,6 +587,51 @@ def _(spark, d):
     return out(vd.violations(e, rules, "okey").withColumn("first_ids", F.array_join(F.col("first_ids").cast("array<string>"), ",")))
 
 
+def raw_exam_columns():
+    """Orders as a raw screening table of text columns, faults included: column -> expression that both engines read."""
+    cols = {"subject_id": "CASE WHEN okey % 211 = 0 THEN ' ' ELSE CAST(ckey AS STRING) END",
+            "exam_date": "CASE WHEN okey % 97 = 0 THEN '2019/01/01' WHEN okey % 89 = 0 THEN '2019-02-30' ELSE '2019-03-04' END",
+            "centre_id": "segment", "age": "CASE WHEN okey % 83 = 0 THEN '41.5' ELSE CAST(okey % 100 + 15 AS STRING) END",
+            "sex": "CASE WHEN okey % 79 = 0 THEN 'X' WHEN okey % 2 = 0 THEN 'F' ELSE 'M' END",
+            "followup_test_ordered": "CASE WHEN okey % 3 = 0 THEN '1' ELSE '0' END",
+            "outcome": "CASE WHEN okey % 59 = 0 THEN '' WHEN okey % 5 = 0 THEN '1' ELSE '0' END",
+            "followup_days": "CAST(okey % 400 AS STRING)"}
+    cols |= {n: f"CAST({int(lo)} + okey % {int((hi - lo) * 1.02) + 2} AS STRING)" for n, (_, lo, hi) in typed.SCREENING_NUMBERS.items()}
+    cols["bmi"] = f"CASE WHEN okey % 73 = 0 THEN 'n/a' WHEN okey % 71 = 0 THEN '' ELSE {cols['bmi']} END"
+    cols |= {n: f"CAST(okey % {k + (n == 'exercise_freq')} AS STRING)" for n, k in typed.SCREENING_LEVELS.items()}
+    cols |= {n: "CAST(okey % 2 AS STRING)" for n in typed.SCREENING_FLAGS}
+    return cols | {"fh_cvd": "CASE WHEN okey % 61 = 0 THEN 'yes' ELSE '1' END"}
+
+
+def contract_sql():
+    """Rule -> condition over the raw text, stated rule by rule."""
+    num = lambda c: f"TRY_CAST({c} AS DOUBLE)"
+    bad = {"subject_id must be a non-empty string": "trim(subject_id) = ''", "centre_id must be a non-empty string": "trim(centre_id) = ''",
+           "exam_date must be formatted YYYY-MM-DD": "NOT regexp_full_match(exam_date, '\\d{4}-\\d{2}-\\d{2}')",
+           "exam_date is not a valid calendar date": "regexp_full_match(exam_date, '\\d{4}-\\d{2}-\\d{2}') AND TRY_CAST(exam_date AS DATE) IS NULL",
+           "age must be an integer in [19, 110] (no missing)": f"{num('age')} IS NULL OR {num('age')} <> floor({num('age')}) OR {num('age')} NOT BETWEEN 19 AND 110",
+           "sex must be one of ['F', 'M'] (no missing)": "sex NOT IN ('F', 'M')",
+           "followup_days must be an integer in [0, None] (no missing)": f"{num('followup_days')} < 0",
+           "outcome must be recorded wherever followup_test_ordered == 1": "followup_test_ordered = '1' AND outcome = ''",
+           "outcome == 1 requires followup_days <= 365": f"outcome = '1' AND {num('followup_days')} > 365"}
+    for n, (u, lo, hi) in typed.SCREENING_NUMBERS.items():
+        bad[f"{n} must be numeric"] = f"{n} <> '' AND {num(n)} IS NULL"
+        bad[f"{n} outside [{lo}, {hi}] {u}"] = f"{num(n)} < {lo} OR {num(n)} > {hi}"
+    for n, k in typed.SCREENING_LEVELS.items():
+        bad[f"{n} must be one of {list(range(k))}"] = f"{num(n)} >= {k}"
+    for n in typed.SCREENING_FLAGS:
+        bad[f"{n} must be one of [0, 1]"] = f"{n} NOT IN ('0', '1')"
+    return bad
+
+
+@query("p6_screening_contract", W + V3 + ", raw AS (SELECT okey, " + ", ".join(f"{e} AS {n}" for n, e in raw_exam_columns().items()) + " FROM ov) " + " UNION ALL ".join(
+    "SELECT '" + n.replace("'", "''") + f"' AS rule, count(*) AS n, array_to_string(list_sort(list(okey))[1:5], ',') AS first_ids FROM raw WHERE {c} HAVING count(*) > 0" for n, c in contract_sql().items()))
+def _(spark, d):
+    raw = order_units(spark, d).select("okey", *[F.expr(e).alias(n) for n, e in raw_exam_columns().items()])
+    found = typed.check(raw, typed.screening(), "okey")
+    return out(found.withColumn("first_ids", F.array_join(F.col("first_ids").cast("array<string>"), ",")))
+
+
 @query("p7_forbidden_columns", W + V1 + " SELECT z, round(avg(qty), 6) + 0e0 AS qty, round(avg(tax), 6) + 0e0 AS tax FROM u GROUP BY z")
 def _(spark, d):
     u = lineitem_units(spark, d)

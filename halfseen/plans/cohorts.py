@@ -18,6 +18,7 @@ from halfseen.operators import temporal as tm
 from halfseen.operators import validate as vd
 from halfseen.operators.lineage import cut
 from halfseen.operators.quantile import exact_quantiles
+from halfseen.sources.typed import Contract, refuse, require
 
 DAY_SECONDS = 86400.0
 
@@ -284,13 +285,17 @@ def screening_counts(raw_n: int, deduped: DataFrame, units: DataFrame, *, centre
     return reduce(DataFrame.unionByName, parts)
 
 
-def screening_prepare(exams: DataFrame, rules: Mapping[str, Column], *, ident: str, subject: str, date: str, centre: str,
+def screening_prepare(exams: DataFrame, rules: Mapping[str, Column] | Contract, *, ident: str, subject: str, date: str, centre: str,
                       decision: str, outcome: str, followup: str, window: int, covariates: Mapping[str, Column],
                       least: int = dc.MIN_CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Validate, one exam per year, window rule, derive; returns (units, record, published counts)."""
-    broken = vd.violations(exams, rules, ident).collect()       # one row per violated rule
-    if broken:
-        raise ValueError("schema violation: " + "; ".join(f"{r['rule']}: {r['n']} row(s), e.g. {r['first_ids']}" for r in broken))
+    """Validate, one exam per year, window rule, derive; returns (units, record, published counts).
+
+    Rules are named conditions, or a typed contract whose types the table then takes on.
+    """
+    if isinstance(rules, Contract):
+        exams = require(exams, rules, ident)
+    else:
+        refuse(vd.violations(exams, rules, ident))
     deduped = first_per_year(exams, subject, date, ident)
     kept = classifiable(deduped, outcome, followup, window)
     units, record = derive_units(kept, centre=centre, decision=decision, outcome=outcome, covariates=covariates)
