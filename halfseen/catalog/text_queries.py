@@ -181,6 +181,29 @@ def _(spark, d):
     return out(m.join(known, "note_id").select("note_id", "lvef", "wall_thickness_cm", "known"))
 
 
+def caller_extractor():
+    """An extractor as a caller would write it: reads the first figure, gives up on some notes, stammers on others."""
+    import re
+    figure = re.compile(r"EF (?:of )?(\d+)")
+
+    def read(text):
+        if "not assessed" in text:
+            raise ValueError("nothing to read")
+        if "EF >" in text:
+            return "no figure"
+        found = figure.search(text)
+        return {"lvef": int(found.group(1)) if found else None}
+    return read
+
+
+@query("n8_caller_extractor", W + NOTE + f" SELECT note_id, {r('CASE WHEN m IN (0, 1, 3) THEN 20e0 + k % 50 END', 'lvef')}, {r('wall', 'wall_thickness_cm')}, CASE m WHEN 4 THEN 'caller:error' WHEN 3 THEN 'caller:parse_error' ELSE 'caller' END AS extractor FROM fr")
+def _(spark, d):
+    notes = rendered_notes(spark, d)
+    second = no.extract_with(notes, "text", caller_extractor, name="caller")
+    m = no.merge(no.extract(notes), second, "note_id")
+    return out(m.join(second.select("note_id", "extractor"), "note_id").select("note_id", "lvef", "wall_thickness_cm", "extractor"))
+
+
 # --- outcomes ---------------------------------------------------------------------------------
 
 @query("o1_grade_rank",

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halfseen.functions import notes as nt
-from halfseen.operators.lineage import spread
+from halfseen.operators.lineage import cut, spread
 from halfseen.operators.outcomes import or_known
 
 
@@ -123,6 +128,60 @@ def components(records: DataFrame) -> DataFrame:
         "shd_composite": or_known("lvef_le_45", "wall_ge_1p3", "valve_moderate_or_severe"), "n_fields_found": fields})
 
 
+_READY: dict[str, Callable[[str], object]] = {}          # extractors set up in this worker
+
+
+def answer_each(notes: DataFrame, text: str, setup: Callable[[], Callable[[str], object]], *, name: str = "extractor",
+                template: str = "{text}") -> DataFrame:
+    """The notes with an extractor's ``answer`` (JSON text), its ``failure`` and ``extractor``.
+
+    ``setup`` makes the caller's function ``text -> JSON text or dict`` once per Python
+    worker (a model is loaded there, not per note); it may run anywhere, so it must not
+    lean on the driver. It sees whole texts, put into ``template``, each distinct text
+    once: the answers are handed over before they are joined back, so later steps never
+    ask again. An exception becomes the ``failure`` of its own text and the others go on;
+    blank and null texts are not asked. A lost executor's unfinished texts are asked again.
+    """
+    token = uuid.uuid4().hex
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if token not in _READY:
+            _READY.clear()
+            _READY[token] = setup()
+        extract_one = _READY[token]
+        for batch in batches:
+            rows = []
+            for body in batch["__text"]:
+                try:
+                    said = extract_one(template.replace("{text}", body))
+                    rows.append((said if said is None or isinstance(said, str) else json.dumps(said), None))
+                except Exception as exc:  # noqa: BLE001  the caller's code may raise anything
+                    rows.append((None, f"{type(exc).__name__}: {exc}"))
+            yield pd.DataFrame({"__key": batch["__key"], "answer": [r[0] for r in rows], "failure": [r[1] for r in rows]})
+
+    asked = F.when(F.trim(F.col(text)) != "", F.col(text))
+    keyed = notes.withColumn("__key", F.sha2(asked, 256))
+    texts = keyed.filter("__key IS NOT NULL").select("__key", F.col(text).alias("__text")).groupBy("__key").agg(
+        F.first("__text").alias("__text"))
+    told = cut(spread(texts).mapInPandas(ask, "__key string, answer string, failure string"))
+    out = keyed.join(told, "__key", "left").drop("__key")
+    return out.withColumn("extractor", F.concat(F.lit(name), F.when(F.col("failure").isNotNull(), F.lit(":error")).otherwise(F.lit(""))))
+
+
+def extract_with(notes: DataFrame, text: str, setup: Callable[[], Callable[[str], object]], *, name: str = "extractor",
+                 template: str = "{text}") -> DataFrame:
+    """Records of a caller's extractor, in the form of :func:`parse_answer`, ready for :func:`merge`.
+
+    A failed or unreadable answer sets ``parse_error`` and shows in ``extractor``
+    (``name:error``, ``name:parse_error``); a blank note is an empty record.
+    """
+    out = parse_answer(answer_each(notes, text, setup, name=name, template=template), "answer")
+    blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    out = out.withColumn("parse_error", F.when(blank, F.lit(0)).otherwise(F.col("parse_error")))
+    bad = (F.col("parse_error") == 1) & F.col("failure").isNull()
+    return out.withColumn("extractor", F.when(bad, F.lit(f"{name}:parse_error")).otherwise(F.col("extractor")))
+
+
 RECORD_FIELDS = ("lvef", "lvef_qualitative", "wall_thickness_cm", "lvh_qualitative", "lvh_negated",
                  "lvef_evidence", "wall_evidence")
 
