@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from halfseen.functions import quantiles as qt
 from halfseen.functions import scalar as s
 from halfseen.functions.hashing import unit_interval
+from halfseen.operators.lineage import cut
 from halfseen.operators.scan import OrderedScan, ordered_rank
 
 
@@ -103,8 +104,9 @@ def binned_nuisance(units: DataFrame, *, ident: str, alpha: float = 0.10, bins:
     """Per unit ``e_lo, e_hi, eta_lo, eta_hi`` from exact intervals of equal-frequency bins."""
     fit = F.lit(True) if calibration is None else calibration
     t, y = s.as_col(t), s.as_col(y)
-    rows = equal_bins(units, e, bins, ident, "e_bin")
-    rows = equal_bins(rows, p1, bins, ident, "p_bin")
+    # bins read their rows several times, and so do the counts and the join after them
+    rows = equal_bins(cut(units), e, bins, ident, "e_bin")
+    rows = cut(equal_bins(rows, p1, bins, ident, "p_bin"))
     half = alpha / 2.0
     et = rows.groupBy("e_bin").agg(
         F.count(F.when(fit & (t == 1), 1)).alias("k"), F.count(F.when(fit, 1)).alias("n"),
@@ -147,9 +149,11 @@ def inflate_box(e_lo, eta_lo, eta_hi, gamma: float, direction: str = "two-sided"
 def bin_coverage(units: DataFrame, *, ident: str, lo="lo", hi="hi", y="y", bins: int,
                  least: int = 150) -> DataFrame:
     """Bins by box midpoint: does realised rate +- 1.96 se overlap the mean box?"""
-    rows = units.withColumn("__mid", (s.as_col(lo) + s.as_col(hi)) * 0.5)
+    low, high = s.as_col(lo), s.as_col(hi)
+    # the bins read their rows several times: what they need is handed over once
+    rows = cut(units.select(ident, ((low + high) * 0.5).alias("__mid"), low.alias("__lo"), high.alias("__hi"), s.as_col(y).alias("__y")))
     table = equal_bins(rows, "__mid", bins, ident).groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(y).alias("rate"), F.avg(lo).alias("mean_lo"), F.avg(hi).alias("mean_hi"))
+        F.count(F.lit(1)).alias("n"), F.avg("__y").alias("rate"), F.avg("__lo").alias("mean_lo"), F.avg("__hi").alias("mean_hi"))
     half = 1.96 * F.sqrt(F.col("rate") * (1.0 - F.col("rate")) / F.col("n"))
     overlap = (F.col("rate") + half >= F.col("mean_lo")) & (F.col("rate") - half <= F.col("mean_hi"))
     return table.filter(F.col("n") >= least).withColumn("covered", overlap.cast("int"))
