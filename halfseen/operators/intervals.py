@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halfseen.functions import quantiles as qt
 from halfseen.functions import scalar as s
 from halfseen.functions.hashing import unit_interval
+from halfseen.operators.joins import match
 from halfseen.operators.lineage import cut
 from halfseen.operators.scan import OrderedScan, ordered_rank
 
@@ -49,13 +50,17 @@ def prevalence_bounds(units: DataFrame, gamma: float, *, alpha: float = 0.05, t=
         "outer_hi": s.clip(F.col("hi_estimate") + z * F.col("hi_se"), 0.0, 1.0)})
 
 
+STRETCHES = 256       # of the hash, per value across an edge
+
+
 def equal_bins(units: DataFrame, value: str, bins: int, ident: str, name: str = "bin") -> DataFrame:
     """Equal-frequency bins ``floor(rank * bins / n)``; ties are ordered by a hash of the id.
 
     Values are counted and only their counts are put in order.  At most ``bins`` values lie
     across an edge; they come to the driver with the smallest value of each bin.  Every
-    other unit is told its bin by comparison with these, and only the units that share
-    a value across an edge are ranked.
+    other unit is told its bin by comparison with these.  Units that share a value across
+    an edge are counted by stretches of their hash, and only those of a stretch that holds
+    an edge are ranked, about one in STRETCHES.
     """
     scan = OrderedScan(units.groupBy(value).agg(F.count(F.lit(1)).alias("__n")), [], [value])
     table = scan.add(__cum=("sum", F.col("__n")), __all=("total", F.col("__n"))).result()
@@ -80,13 +85,23 @@ def equal_bins(units: DataFrame, value: str, bins: int, ident: str, name: str =
     across = F.col(value).isNull() | (F.col(value).isin(*real) if real else F.lit(False))
     if not apart:
         return units.withColumn(name, plain)
-    tied = units.filter(across).withColumn("__h", unit_interval(ident, "bins"))
-    ranked = ordered_rank(tied, [value], ["__h", ident], "__k", tie="__h")
+    # units of a torn value are counted by stretches of their hash; only stretches that hold an edge are ranked
     before = F.when(F.col(value).isNull(), F.lit(apart.get(None, 0)))
     for v in real:
         before = before.when(F.col(value) == F.lit(v), F.lit(apart[v]))
-    placed = F.least(F.floor((F.col("__k") + before) * bins / F.lit(total)), F.lit(bins - 1)).cast("int")
-    return units.filter(~across).withColumn(name, plain).unionByName(ranked.withColumn(name, placed).drop("__k", "__h"))
+    spot = lambda rank: F.least(F.floor(rank * bins / F.lit(total)), F.lit(bins - 1)).cast("int")
+    hashed = units.withColumn("__h", F.when(across, unit_interval(ident, "bins")))
+    hashed = hashed.withColumn("__c", F.floor(F.col("__h") * STRETCHES))
+    counts = hashed.filter(across).groupBy(value, "__c").agg(F.count(F.lit(1)).alias("__n"))
+    first = before + F.sum("__n").over(Window.partitionBy(value).orderBy("__c")) - F.col("__n")
+    cells = cut(counts.withColumn("__first", first).select(
+        value, "__c", "__first", spot(F.col("__first")).alias("__low"), spot(F.col("__first") + F.col("__n") - 1).alias("__high")))
+    placed = match(hashed, F.broadcast(cells), [value, "__c"], "left")        # at most bins * STRETCHES rows
+    torn = F.coalesce(F.col("__low") < F.col("__high"), F.lit(False))
+    sure = placed.filter(~torn).withColumn(name, F.when(across, F.col("__low")).otherwise(plain))
+    ranked = ordered_rank(placed.filter(torn), [value, "__c"], ["__h", ident], "__k", tie="__h")
+    ranked = ranked.withColumn(name, spot(F.col("__k") + F.col("__first"))).drop("__k")
+    return sure.unionByName(ranked).drop("__h", "__c", "__first", "__low", "__high")
 
 
 def exact_binomial(table: DataFrame, k: str, n: str, alpha: float, lo: str = "cp_lo",
