@@ -153,3 +153,15 @@ def test_normal_quantile_against_library():
     from halfseen.functions.hashing import _normal_ppf
     u = np.array([1.2e-10, 1e-6, 0.01, 0.0749, 0.0751, 0.3, 0.5, 0.9, 0.9251, 1 - 1e-9])
     assert _normal_ppf(u) == pytest.approx([NormalDist().inv_cdf(float(x)) for x in u], rel=1e-12, abs=1e-14)
+
+
+def test_equal_bins_against_ranks(spark, limit):
+    import hashlib
+
+    from halfseen.operators import intervals as iv
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice([None, 0.25, 0.5, 0.5, 0.5, rnd.random()])) for i in range(400)]
+    got = {r["id"]: r["bin"] for r in iv.equal_bins(spark.createDataFrame(rows, "id int, v double"), "v", 7, "id").collect()}
+    h = {i: int(hashlib.md5(f"{i}|bins".encode()).hexdigest()[:8], 16) for i, _ in rows}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, h[r[0]], r[0]))       # nulls first
+    assert got == {i: min(k * 7 // 400, 6) for k, (i, _) in enumerate(order)}
