@@ -15,6 +15,7 @@ from halfseen.catalog.table_queries import Z5
 from halfseen.functions import quantiles as qt
 from halfseen.functions import scalar as s
 from halfseen.functions.hashing import bucket, unit_interval
+from halfseen.operators import comparison as cm
 from halfseen.operators import evaluation as ev
 from halfseen.operators import features as ft
 from halfseen.operators import gamma as gm
@@ -469,6 +470,14 @@ def _(spark, d):
                            ((F.col("b") >= F.col("a") - 1e-12) & (F.abs(F.col("b") - max(history)) < 1e-9)).cast("int").alias("never_worse")))
 
 
+@query("l10_learner_table")
+def _(spark, d):
+    """Every learner, linear score and act on the held-out orders, with full defaults."""
+    o = order_features(spark, d).withColumn("side", vd.split("okey", 0.35, "l10"))
+    x = cm.compare(o, ORDER_X, ident="okey", side="side", y="y")
+    return out(x.withColumn("gamma", F.when(F.col("gamma") < float("inf"), F.col("gamma"))))
+
+
 @query("m19_bagged_ensemble")
 def _(spark, d):
     o = ln.bagged_ensemble(order_features(spark, d), ORDER_X, ident="okey", members=3)

@@ -20,17 +20,23 @@ from halfseen.operators.scan import OrderedScan, ordered_rank
 
 
 def deployment_metrics(units: DataFrame, score="s", y="y", *, keys: Sequence[str] = (),
-                       loss: str = "logistic", prefix: str = "") -> DataFrame:
+                       loss: str = "logistic", prefix: str = "", weight=None) -> DataFrame:
     """Risk, AUROC, accuracy, balanced accuracy and Brier score against full labels."""
     z, label = s.as_col(score), s.as_col(y)
     positive = (z > 0).cast("double")
+
+    def mean(value: Column, among: Column | None = None) -> Column:
+        if weight is None:
+            return F.avg(value if among is None else F.when(among, value))
+        w = s.as_col(weight) if among is None else F.when(among, s.as_col(weight))
+        return F.sum(w * value) / F.sum(w)
+
     flat = units.groupBy(*keys).agg(
-        F.avg(s.loss_at(z, label, loss)).alias(f"{prefix}risk"),
-        F.avg((positive == label).cast("double")).alias(f"{prefix}accuracy"),
-        (0.5 * (F.avg(F.when(label == 1, positive)) + F.avg(F.when(label == 0, 1.0 - positive)))
-         ).alias(f"{prefix}balanced_accuracy"),
-        F.avg(F.pow(s.expit(z) - label, 2)).alias(f"{prefix}brier"))
-    curve = rk.auc(units, score, {f"{prefix}auroc": label}, keys=keys)
+        mean(s.loss_at(z, label, loss)).alias(f"{prefix}risk"),
+        mean((positive == label).cast("double")).alias(f"{prefix}accuracy"),
+        (0.5 * (mean(positive, label == 1) + mean(1.0 - positive, label == 0))).alias(f"{prefix}balanced_accuracy"),
+        mean(F.pow(s.expit(z) - label, 2)).alias(f"{prefix}brier"))
+    curve = rk.auc(units, score, {f"{prefix}auroc": label}, keys=keys, weight=weight)
     if not keys:
         one = F.lit(1).alias("__one")
         return flat.select("*", one).join(curve.select("*", one), "__one").drop("__one")
@@ -38,8 +44,8 @@ def deployment_metrics(units: DataFrame, score="s", y="y", *, keys: Sequence[str
 
 
 def observed_metrics(units: DataFrame, score="s", t="t", y="y", *, keys: Sequence[str] = (),
-                     loss: str = "logistic") -> DataFrame:
-    return deployment_metrics(units.filter(s.as_col(t) == 1), score, y, keys=keys, loss=loss, prefix="obs_")
+                     loss: str = "logistic", weight=None) -> DataFrame:
+    return deployment_metrics(units.filter(s.as_col(t) == 1), score, y, keys=keys, loss=loss, prefix="obs_", weight=weight)
 
 
 def bounds_report(units: DataFrame, score="s", lo="lo", hi="hi", *, keys: Sequence[str] = (),
