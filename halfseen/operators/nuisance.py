@@ -1,7 +1,7 @@
 """Selection rate e(x) and selected outcome rate p1(x) from cells of x.
 
-The only per-row work is one join with a table of cells; counts are combined
-map-side.  Leave-fold-out estimates subtract the fold's own counts.
+The only per-row work is one join with a table of cells (broadcast behind a measured
+size); counts are combined map-side.  Leave-fold-out estimates subtract the fold's own counts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halfseen.functions.scalar import as_col, clip
+from halfseen.operators.cell_join import match_cells
 from halfseen.operators.joins import match
+from halfseen.operators.lineage import cut
 
 CLIP = 1e-3
 
@@ -48,11 +50,12 @@ def with_nuisance(df: DataFrame, cells: Sequence[str], t="t", y="y", *, fit: Dat
     """
     table = cell_nuisance(fit if fit is not None else df, cells, t, y, smooth=smooth, bound=bound)
     if fit is None:
-        return match(df, table.select(*cells, "e", "p1"), list(cells))
+        return match_cells(df, table.select(*cells, "e", "p1"), list(cells))
+    table = cut(table)
     whole = table.agg(F.sum("n").alias("n"), F.sum("nt").alias("nt"), F.sum("ny").alias("ny"))
     e, p1 = _rates(F.col("n"), F.col("nt"), F.col("ny"), smooth, bound)
     base = whole.select(F.struct(e.alias("e"), p1.alias("p1")).alias("b")).scalar()
-    out = match(df, table.select(*cells, F.col("e").alias("__e"), F.col("p1").alias("__p")), list(cells), "left")
+    out = match_cells(df, table.select(*cells, F.col("e").alias("__e"), F.col("p1").alias("__p")), list(cells), "left", handed=True)
     return out.withColumns({"e": F.coalesce("__e", base["e"]), "p1": F.coalesce("__p", base["p1"])}).drop("__e", "__p")
 
 
@@ -64,7 +67,7 @@ def out_of_fold(df: DataFrame, cells: Sequence[str], fold: str, t="t", y="y", *,
     rest = {c: F.sum(c).over(cell) - F.col(c) for c in ("n", "nt", "ny")}
     e, p1 = _rates(rest["n"], rest["nt"], rest["ny"], smooth, bound)
     table = table.select(*cells, fold, e.alias("e"), p1.alias("p1"))
-    return match(df, table, [*cells, fold])
+    return match_cells(df, table, [*cells, fold])
 
 
 def by_decision_maker(df: DataFrame, cells: Sequence[str], z: str, t="t", y="y", *,

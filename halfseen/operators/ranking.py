@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halfseen.functions.scalar import EPS, as_col, clip
-from halfseen.operators.joins import match
+from halfseen.operators.cell_join import match_cells
 from halfseen.operators.scan import OrderedScan, block_rows
 
 MARGIN = 1e-6
@@ -102,7 +102,7 @@ def midrank(units: DataFrame, score: str, *, weight=None, keys: Sequence[str] =
             name: str = "midrank") -> DataFrame:
     """Every unit with its weighted mid-rank; ties share it."""
     table = rank_table(units, score, {}, weight=weight, keys=keys).result()
-    return match(units, table.select(*keys, score, F.col("phi").alias(name)), [*keys, score])
+    return match_cells(units, table.select(*keys, score, F.col("phi").alias(name)), [*keys, score])
 
 
 def auc(units: DataFrame, score: str, probs: Mapping[str, object], *, weight=None,
@@ -220,7 +220,7 @@ def least_favourable(units: DataFrame, score: str, lo="lo", hi="hi", *, metric:
     if metric.phi is not None:
         units = units.withColumn("__phi", metric.phi(F.col(score)))
     gap = as_col(hi) - as_col(lo)
-    return (match(units, filled, [*keys, value])
+    return (match_cells(units, filled, [*keys, value])
             .withColumns({"p_lower": as_col(lo) + F.col("__fl") * gap,
                           "p_upper": as_col(lo) + F.col("__fu") * gap})
             .drop("__fl", "__fu", "__phi"))
