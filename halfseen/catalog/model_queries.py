@@ -149,7 +149,15 @@ def rank_bin(v, n, src, ident="uid", name="bin", key="bins"):
     return f"CAST(least(floor((row_number() OVER (ORDER BY {v}, {hu(ident, key)}, {ident}) - 1) * {n} / (SELECT count(*) FROM {src})), {n - 1}) AS BIGINT) AS {name}"
 
 
-@query("i3_clopper_pearson")
+CP_TAIL = lambda a, b, p: f"list_sum(list_transform(range({a}, {b}), lambda i: exp(lgamma(n+1)-lgamma(i+1)-lgamma(n-i+1)+i*ln({p})+(n-i)*ln(1e0-{p}))))"
+CP_SQL = ("WITH RECURSIVE " + V1 + ", " + cell_sql() + f""", it AS (SELECT c1, c2, c3, CAST(nt AS BIGINT) AS k, CAST(n AS BIGINT) AS n, 0 AS i_, 0e0 AS l0, 1e0 AS l1, 0e0 AS h0, 1e0 AS h1 FROM cell
+  UNION ALL SELECT c1, c2, c3, k, n, i_+1, CASE WHEN up < 0.025e0 THEN (l0+l1)/2 ELSE l0 END, CASE WHEN up < 0.025e0 THEN l1 ELSE (l0+l1)/2 END, CASE WHEN down > 0.025e0 THEN (h0+h1)/2 ELSE h0 END, CASE WHEN down > 0.025e0 THEN h1 ELSE (h0+h1)/2 END
+  FROM (SELECT *, {CP_TAIL('k', 'n+1', '((l0+l1)/2)')} AS up, {CP_TAIL('0', 'k+1', '((h0+h1)/2)')} AS down FROM it WHERE i_ < 40)),
+  cp AS (SELECT c1, c2, c3, k, n, CASE WHEN k = 0 THEN 0e0 ELSE l0 END AS lo, CASE WHEN k = n THEN 1e0 ELSE h1 END AS hi FROM it WHERE i_ = 40)
+  SELECT c1, c2, c3, k, n, {r('lo', 'cp_lo')}, {r('hi', 'cp_hi')}, CAST(k/n BETWEEN lo AND hi AS BIGINT) AS covers_rate FROM cp""")
+
+
+@query("i3_clopper_pearson", CP_SQL)
 def _(spark, d):
     c = cells(spark, d).select(*CELLS, F.col("nt").cast("bigint").alias("k"), F.col("n").cast("bigint").alias("n"))
     x = iv.exact_binomial(c, "k", "n", 0.05)
@@ -484,6 +492,20 @@ def _(spark, d):
     return out(o.groupBy("segment").agg(F.avg(F.array_max("member_p") - F.array_min("member_p")).alias("spread"), F.avg(F.element_at("member_p", 1)).alias("first")))
 
 
+F13_SQL = ("WITH " + V1 + """, m AS (SELECT avg(qty) AS mq, avg(disc) AS md, avg(tax) AS mt, avg(price) AS my, count(*)*var_pop(qty)+1e-3 AS a, count(*)*covar_pop(qty, disc) AS b, count(*)*covar_pop(qty, tax) AS c,
+  count(*)*var_pop(disc)+1e-3 AS e, count(*)*covar_pop(disc, tax) AS f, count(*)*var_pop(tax)+1e-3 AS i, count(*)*covar_pop(qty, price) AS p, count(*)*covar_pop(disc, price) AS q, count(*)*covar_pop(tax, price) AS w FROM u),
+  sv AS (SELECT *, a*(e*i-f*f)-b*(b*i-f*c)+c*(b*f-e*c) AS det FROM m), be AS (SELECT mq, md, mt, my, (p*(e*i-f*f)-b*(q*i-f*w)+c*(q*f-e*w))/det AS b1, (a*(q*i-f*w)-p*(b*i-f*c)+c*(b*w-q*c))/det AS b2, (a*(e*w-q*f)-b*(b*w-q*c)+p*(b*f-e*c))/det AS b3 FROM sv),
+  rs AS (SELECT z, price-my-b1*(qty-mq)-b2*(disc-md)-b3*(tax-mt) AS x FROM u, be), zs AS (SELECT z, (x-avg(x) OVER ())/stddev_pop(x) OVER () AS x FROM rs) """
+           f"SELECT z, {r('avg(x)', 'mean')}, {r('min(x)', 'low')}, {r('max(x)', 'high')} FROM zs GROUP BY z")
+
+
+@query("f13_residual_by_level", F13_SQL)
+def _(spark, d):
+    u = lineitem_units(spark, d).select("z", "qty", "disc", "tax", "price")
+    x = ln.residualise(u, ["qty", "disc", "tax"], "price")
+    return out(x.groupBy("z").agg(F.avg("s_res").alias("mean"), F.min("s_res").alias("low"), F.max("s_res").alias("high")))
+
+
 @query("f13_residualise")
 def _(spark, d):
     u = lineitem_units(spark, d).select("z", "qty", "disc", "tax", "price")

@@ -691,6 +691,18 @@ def _(spark, d):
     return out(c.filter(F.col("table").isin("centre", "year", "decision")).select("table", "level", "n"))
 
 
+K5_PART = lambda name, level: f"SELECT '{name}' AS \"table\", CAST({level} AS VARCHAR) AS level, count(*) AS n FROM ex GROUP BY 2"
+
+
+@query("k5_suppressed_counts", W + EXAM + ", al AS (" + " UNION ALL ".join(K5_PART(*p) for p in (("centre", "segment"), ("year", "year(odate)"), ("decision", "t"))) + """),
+  hd AS (SELECT *, n < (SELECT count(*) // 8 FROM ex) AS hid FROM al), hk AS (SELECT *, count(*) FILTER (WHERE hid) OVER (PARTITION BY "table") AS k, row_number() OVER (PARTITION BY "table", hid ORDER BY n, level) AS rn FROM hd)
+  SELECT "table", level, CASE WHEN NOT hid AND NOT (k = 1 AND rn = 1) THEN n END AS n, CAST(hid OR (k = 1 AND rn = 1) AS BIGINT) AS suppressed FROM hk""")
+def _(spark, d):
+    e = exams(spark, d).withColumn("exam_year", F.year("odate"))
+    c = co.screening_counts(0, e, e, centre="segment", least=e.count() // 8)
+    return out(c.filter(F.col("table").isin("centre", "year", "decision")).select("table", "level", "n", "suppressed"))
+
+
 # --- summaries over runs ---------------------------------------------------------------------------
 
 SEEDS = ", ".join(f"({i})" for i in range(5))

@@ -361,6 +361,37 @@ def _(spark, d):
     return out(co.outcome_recovery(x).select("n_selected", "n_labelled", "recovery_rate", "prevalence", "n_with_notes", "n_undocumented", "n_without_note"))
 
 
+C7_CODE = C7_SQL + """, cp AS (SELECT vw.event_id, vw.t, ev.k, sp.stay_id, sp.k AS sk, row_number() OVER (PARTITION BY vw.event_id ORDER BY sp.start, sp.stay_id) AS rn FROM vw JOIN ev ON ev.event_id = vw.event_id LEFT JOIN sp ON vw.subject = sp.subject AND vw.tat BETWEEN sp.start AND sp.stop),
+  cq AS (SELECT *, k % 3 = 0 AS dir, stay_id IS NOT NULL AS st, sk % 5 <> 0 AS hasdx FROM cp WHERE rn = 1),
+  cy AS (SELECT event_id, t, CASE WHEN dir THEN CASE WHEN k % 2 = 0 THEN 1e0 ELSE 0e0 END WHEN st AND hasdx AND sk % 4 = 1 THEN NULL WHEN st THEN CASE WHEN hasdx AND sk % 4 = 0 THEN 1e0 ELSE 0e0 END END AS y_code,
+  CASE WHEN dir THEN 'record_table' WHEN st AND hasdx AND sk % 4 = 1 THEN 'stay_old_codes_only' WHEN st THEN 'stay' ELSE 'none' END AS code_source FROM cq)"""
+
+
+def coded_units(spark, d):
+    units, _ = linked(spark, d)
+    spans, notes = note_pieces(spark, d)
+    _, direct, _, dx = code_inputs(spark, d)
+    return co.linked_outcomes(units, ident="event_id", by="subject", time="at", notes=notes, note="note", note_stay="stay_id", stays=spans, window=DAY,
+                              codes=direct, diagnoses=dx)
+
+
+@query("c7_code_route", C7_CODE + " SELECT event_id, CASE WHEN cy.t = 1 THEN y_note END AS y_obs, y_code, code_source FROM cy LEFT JOIN yn USING (event_id)")
+def _(spark, d):
+    return out(coded_units(spark, d).select("event_id", "y_obs", "y_code", "code_source"))
+
+
+@query("c7_code_sources", C7_CODE + " SELECT CAST(t AS BIGINT) AS t, code_source, count(*) AS n, count(y_code) AS n_assessable FROM cy GROUP BY t, code_source")
+def _(spark, d):
+    return out(co.code_route(coded_units(spark, d))[1])
+
+
+@query("c7_code_circularity", C7_CODE + f""", ch AS (SELECT count(*) AS n, count(y_code) AS na, count(y_code) FILTER (WHERE t=0) AS n0, count(y_code) FILTER (WHERE t=1) AS n1, CAST(coalesce(sum(y_code) FILTER (WHERE t=0), 0) AS BIGINT) AS k0, CAST(coalesce(sum(y_code) FILTER (WHERE t=1), 0) AS BIGINT) AS k1 FROM cy)
+  SELECT n, na AS n_assessable, n0, n1, k0, k1, {r('k0/n0', 'rate0')}, {r('k1/n1', 'rate1')}, {r('(k1/n1)/(k0/n0)', 'risk_ratio')}, {r('k1/n1-k0/n0', 'risk_difference')} FROM ch""")
+def _(spark, d):
+    x = co.code_route(coded_units(spark, d))[0].filter("split = 'selected'")
+    return out(x.select("n", "n_assessable", "n0", "n1", "k0", "k1", "rate0", "rate1", "risk_ratio", "risk_difference"))
+
+
 # --- review -------------------------------------------------------------------------------------
 
 POOL = """pl AS (SELECT o_orderkey AS note_id, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' WHEN o_orderkey % 3 = 0 THEN 'positive' ELSE 'negative' END AS st FROM orders)"""
@@ -390,6 +421,17 @@ def _(spark, d):
     return out(rv.stratified_sample(pool(spark, d), "st", STRATA, R2N, "note_id", "review").select("note_id", "st"))
 
 
+SHEET = 150
+
+
+@query("r2_review_sheet", W + POOL + f""", pn AS (SELECT *, row_number() OVER (ORDER BY {h32('note_id', 'pool')}, note_id) AS pr, count(*) OVER () // 2 AS most FROM pl), q AS (SELECT note_id, st, row_number() OVER (PARTITION BY st ORDER BY {h32('note_id', 'sheet')}, note_id) AS rn FROM pn WHERE pr <= most)
+  SELECT note_id, st, row_number() OVER (ORDER BY {h32('note_id', 'sheet/order')}, note_id) - 1 AS position, '' AS truth_shd, '' AS reviewer_comment FROM q WHERE rn <= {SHEET // 3}""")
+def _(spark, d):
+    p = pool(spark, d)
+    drawn = rv.pool_sample(p, p.count() // 2, "note_id", "pool")
+    return out(rv.review_sheet(drawn, "st", STRATA, SHEET, "note_id", "sheet").select("note_id", "st", "position", "truth_shd", "reviewer_comment"))
+
+
 @query("r3_parse_review_cells", "SELECT cell, CASE WHEN cell = '' THEN NULL WHEN upper(cell) IN ('NA', 'ND') THEN -1e0 ELSE TRY_CAST(cell AS DOUBLE) END AS value, count(*) AS n FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'na' WHEN 2 THEN 'ND' WHEN 3 THEN CAST(o_orderkey % 60 AS VARCHAR) ELSE 'abc' END AS cell FROM orders) GROUP BY ALL")
 def _(spark, d):
     k = F.col("o_orderkey")

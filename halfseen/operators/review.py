@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halfseen.functions.hashing import unit_interval
 from halfseen.functions.scalar import as_col, wilson
 from halfseen.operators.validate import hash_position
 
 NA_WORDS = ("NA", "N/A", "NONE", "NOT DOCUMENTED", "ND")   # fixed values: "documented absent"
+TRUTH_COLUMNS = ("truth_lvef", "truth_wall_cm", "truth_valve_modsev", "truth_shd", "reviewer_comment")   # fixed values: left blank for the reviewer
 
 
 def stratum(composite) -> Column:
@@ -47,6 +50,29 @@ def stratified_sample(pool: DataFrame, strata: str, order: Sequence[str], n: int
     return placed.filter(F.col("__pos") < F.coalesce(F.try_element_at(limit, F.col(strata)), F.lit(0))).drop("__pos")
 
 
+def pool_sample(notes: DataFrame, most: int, ident: str, salt) -> DataFrame:
+    """All notes, or exactly ``most`` of them: the first in hash order.
+
+    A hash bound ten deviations above the wanted share goes first, so that about ``most``
+    rows are ordered and their texts moved; if it held too few, all would be.
+    """
+    n = notes.count()
+    if n <= most:
+        return notes
+    few = notes.filter(unit_interval(ident, salt) < (most + 10.0 * math.sqrt(most) + 10.0) / n)
+    if few.count() < most:
+        few = notes
+    return hash_position(few, [], ident, salt, "__pos").filter(F.col("__pos") < most).drop("__pos")
+
+
+def review_sheet(pool: DataFrame, strata: str, order: Sequence[str], n: int, ident: str, salt,
+                 blank: Sequence[str] = TRUTH_COLUMNS) -> DataFrame:
+    """The stratified sample in a shuffled order (``position`` from 0) that does not show the strata, with blank answer columns."""
+    drawn = stratified_sample(pool, strata, order, n, ident, salt)
+    placed = hash_position(drawn, [], ident, f"{salt}/order", "position")
+    return placed.withColumns({c: F.lit("") for c in blank})
+
+
 def parse_answer_cell(x) -> Column:
     """Blank is null (not reviewed), an NA word is -1 (documented absent), else the number."""
     s = F.trim(as_col(x))

@@ -218,6 +218,15 @@ def linked_outcomes(units: DataFrame, *, ident: str, by: str, time: str, notes:
                             "route": F.lit("a_measured" if measured is not None else "b_notes")})
 
 
+def code_route(units: DataFrame, *, study: str = "nearest_id") -> tuple[DataFrame, DataFrame]:
+    """Report of route c, which is auxiliary since codes may follow from the decision: its circularity by selection and by
+    having a linked study (a row each), and record counts by (t, source)."""
+    split = {"selected": (F.col("t") == 1).cast("int"), "linked": F.col(study).isNotNull().cast("int")}
+    rows = [oc.circularity(units.withColumn("__by", by), "y_code", "__by").select(F.lit(n).alias("split"), "*") for n, by in split.items()]
+    sources = units.groupBy("t", "code_source").agg(F.count(F.lit(1)).alias("n"), F.count("y_code").alias("n_assessable"))
+    return reduce(DataFrame.unionByName, rows), sources
+
+
 def outcome_recovery(units: DataFrame) -> DataFrame:
     """One row: how many selected records got a primary outcome and why the others did not."""
     chosen, known, noted = F.col("t") == 1, F.col("y_obs").isNotNull(), F.coalesce(F.col("note_n"), F.lit(0)) > 0
