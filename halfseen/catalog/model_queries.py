@@ -26,6 +26,7 @@ from halfseen.operators import objectives as ob
 from halfseen.operators import ranking as rk
 from halfseen.operators import temporal as tm
 from halfseen.operators import validate as vd
+from halfseen.operators.lineage import cut
 
 W = "WITH "
 
@@ -372,8 +373,8 @@ ORDER_X = ["bal", "prio", "seg"]
 
 
 def order_features(spark, d):
-    """Orders with three standardised numeric features."""
-    o = order_units(spark, d)
+    """Orders with three standardised numeric features; fits read them many times, so the join is handed over once."""
+    o = cut(order_units(spark, d))
     x = o.withColumns({"prio": F.substring("priority", 1, 1).cast("double"), "seg": F.length("segment").cast("double"), "bal": F.col("bal").cast("double")})
     return ft.standardise(x, ORDER_X)
 

@@ -101,7 +101,7 @@ def fit_calibrated(df: DataFrame, features: Sequence[str], label: str, ident: st
     if not calibrate or min(counts.values()) < least:
         fitted = base_learner(model, features, label, seed=seed, rounds=rounds).fit(df)
         return lambda d, name: probability(fitted, d, name)
-    folds = stratified_folds(df.drop("fold"), [label], ident, 3, f"calibrate/{seed}")
+    folds = cut(stratified_folds(df.drop("fold"), [label], ident, 3, f"calibrate/{seed}"))       # read by every fit and map
     pairs: list[tuple[PipelineModel, Model]] = []
     for j in range(3):
         fitted = base_learner(model, features, label, seed=seed, rounds=rounds).fit(folds.filter(F.col("fold") != j))

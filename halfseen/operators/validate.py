@@ -14,6 +14,7 @@ from halfseen.functions.hashing import SPACE, hash32, unit_interval
 from halfseen.functions.scalar import as_col
 from halfseen.operators import ranking as rk
 from halfseen.operators.joins import match
+from halfseen.operators.lineage import cut
 
 
 class ForbiddenFeature(AssertionError):
@@ -89,7 +90,9 @@ def hash_position(units: DataFrame, strata: Sequence[str], ident: str, salt, nam
 
 
 def stratified_folds(units: DataFrame, strata: Sequence[str], ident: str, k: int, salt) -> DataFrame:
-    out = hash_position(units, strata, ident, salt, "__pos")
+    """Folds of equal size in every stratum. The rows are read twice, so they are handed over, not computed, for it:
+    folds of folds would double the work with every level."""
+    out = hash_position(cut(units), strata, ident, salt, "__pos")
     return out.withColumn("fold", (F.col("__pos") % k).cast("int")).drop("__pos")
 
 

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from halfseen.catalog import model_queries as mq
 from halfseen.functions import notes as patterns
+from halfseen.operators import learners as ln
 
 
 def plan(df) -> str:
@@ -15,3 +17,28 @@ def test_primary_pick_reads_the_text_once(spark):
     df = spark.createDataFrame(rows, "text string").select(patterns.pick_primary(patterns.ef_numeric("text"))["value"].alias("v"))
     assert plan(df).count("regexp_extract_all(") == 1
     assert [r["v"] for r in df.collect()] == [35.0, 35.0, 40.0, 30.0, None, None]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def counted(df, column):
+    """The rows with a counter of how often they are computed."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def look(v):
+        seen.add(1)
+        return v
+    kind = df.schema[column].dataType
+    return df.withColumn(column, F.udf(look, kind).asNondeterministic()(F.col(column))), seen
+
+
+def test_features_of_orders_are_joined_once(spark):
+    assert "Join" not in plan(mq.order_features(spark, SF))
+
+
+def test_calibration_computes_its_rows_twice_at_most(spark):
+    df = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") * 5 % 11 > 4).cast("double").alias("y"))
+    rows, seen = counted(df, "x")
+    ln.fit_calibrated(rows, ["x"], "y", "id")
+    assert seen.value <= 800              # the class counts, and the folds that are handed over
