@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROW_GROUP = 16 << 20      # bytes; what few tasks wrote many can read
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in spark.checkpoint.dir.
 
@@ -31,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if "void" not in df.schema.simpleString():
         path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:

@@ -131,13 +131,10 @@ def _cells(within: DataFrame, marks: DataFrame, group: list[str], span: list[str
     """Rows and frequency on every split point and between neighbours."""
     mine = marks.select(*group, "__lo", "__marks")
     rows = match(within, F.broadcast(mine), [*group, "__lo"])
-    chunk = "cast(ceil(sqrt(size(__marks))) as int)"
-
-    def upto(op: str) -> str:          # two-level search: the last point of every chunk, then one chunk
-        heads = (f"size(filter(sequence(1, size(__marks)), i -> i % {chunk} = 0 and element_at(__marks, i) {op} value))")
-        return f"({heads} * {chunk} + size(filter(slice(__marks, {heads} * {chunk} + 1, {chunk}), m -> m {op} value)))"
-
-    cell = F.coalesce(F.expr(f"{upto('<')} + {upto('<=')}"), F.lit(0))
+    rows = rows.withColumn("__at", F.lit(0))                # points below the value, by halving steps of generated code
+    for step in (1 << k for k in reversed(range(GRID.bit_length() - 1))):
+        rows = rows.withColumn("__at", F.expr(f"__at + IF(get(__marks, __at + {step - 1}) < value, {step}, 0)"))
+    cell = F.expr("2 * __at + IF(get(__marks, __at) = value, 1, 0)")
     cells = rows.withColumn("__cell", cell).groupBy(*span, "__cell").agg(
         F.count(F.lit(1)).alias("__rows"), F.sum("__f").alias("__n"))
     cells = match(cells, F.broadcast(mine), [*group, "__lo"])

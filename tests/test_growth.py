@@ -1,10 +1,14 @@
 """Work that must not be repeated as tables grow: plans and counts, not times."""
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from halfseen.catalog import model_queries as mq
 from halfseen.functions import notes as patterns
 from halfseen.operators import learners as ln
+from halfseen.operators import quantile as qt
 
 
 def plan(df) -> str:
@@ -42,3 +46,16 @@ def test_calibration_computes_its_rows_twice_at_most(spark):
     rows, seen = counted(df, "x")
     ln.fit_calibrated(rows, ["x"], "y", "id")
     assert seen.value <= 800              # the class counts, and the folds that are handed over
+
+
+def test_split_points_are_searched_in_generated_code(spark):
+    rng = np.random.default_rng(3)
+    marks = np.unique(np.round(rng.normal(size=255), 3))
+    values = [*np.round(rng.normal(size=500), 3).tolist(), *marks[:40].tolist(), float(marks[-1]) + 1, float(marks[0]) - 1]
+    ends = ["0L AS __base", "CAST(NULL AS double) AS __lo", "CAST(NULL AS double) AS __hi", "0L AS n"]
+    within = spark.createDataFrame([("a", v, 1) for v in values], "name string, value double, __f long").selectExpr("*", *ends)
+    table = spark.createDataFrame([("a", marks.tolist())], "name string, __marks array<double>").withColumn("__lo", F.lit(None).cast("double"))
+    got = qt._cells(within, table, ["name"], ["name", "n", "__lo", "__hi", "__base"])
+    assert "lambda" not in plan(got)
+    want = Counter(int(np.searchsorted(marks, v, "left") + np.searchsorted(marks, v, "right")) for v in values)
+    assert {r["__cell"]: r["__rows"] for r in got.collect()} == want
