@@ -257,7 +257,7 @@ def classifiable(exams: DataFrame, outcome: str, followup: str, window: int) ->
 def derive_units(exams: DataFrame, *, centre: str, decision: str, outcome: str,
                  covariates: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Units with codes, labels, ``x_*`` (imputed, standardised), ``m_*`` and the standardisation record."""
-    raw = exams.withColumns({f"x_{n}": c.cast("double") for n, c in covariates.items()})
+    raw = cut(exams).withColumns({f"x_{n}": c.cast("double") for n, c in covariates.items()})
     names = [f"x_{n}" for n in covariates]
     medians = ft.fit_medians(raw, names)
     gaps = raw.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names]).collect()[0].asDict()

@@ -5,10 +5,12 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from halfseen.catalog import base
 from halfseen.catalog import model_queries as mq
 from halfseen.functions import notes as patterns
 from halfseen.operators import learners as ln
 from halfseen.operators import quantile as qt
+from halfseen.plans import cohorts as co
 
 
 def plan(df) -> str:
@@ -59,3 +61,9 @@ def test_split_points_are_searched_in_generated_code(spark):
     assert "lambda" not in plan(got)
     want = Counter(int(np.searchsorted(marks, v, "left") + np.searchsorted(marks, v, "right")) for v in values)
     assert {r["__cell"]: r["__rows"] for r in got.collect()} == want
+
+
+def test_derived_units_compute_their_rows_once(spark):
+    rows, seen = counted(base.order_units(spark, SF).drop("z"), "bal")
+    co.derive_units(rows, centre="segment", decision="t", outcome="y", covariates={"b": F.col("bal"), "p": F.col("price")})[1].collect()
+    assert seen.value == rows.count()
