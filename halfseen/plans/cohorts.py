@@ -119,7 +119,8 @@ def card_cohort(df: DataFrame, *, decision: Column, share: str, numeric: Sequenc
 
 def loan_features(df: DataFrame, *, numeric: Sequence[str], money: Sequence[str], term: str, employment: str,
                   scale: Mapping[str, float], verification: str, rate: str, grade: str) -> DataFrame:
-    """Features ``x_*`` and the underwriter's signal ``s`` kept out of them."""
+    """Features ``x_*`` and the underwriter's signal ``s`` kept out of them. Levels, medians and moments each read the rows, which are handed over."""
+    df = cut(df)
     years, unknown = ft.ordinal(employment, scale)
     have = set(df.columns)
     out = ft.one_hot(df, verification)
