@@ -11,12 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halfseen.functions import notes as nt
+from halfseen.operators.cell_join import match_cells
 from halfseen.operators.lineage import cut, spread
 from halfseen.operators.outcomes import or_known
 
 
+REPEATS = 2               # notes per distinct text from which equal texts are read once
+
+
 def extract(notes: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the record columns: EF, wall, lesions, components, composite, confidence, fields."""
+    """Adds the record columns: EF, wall, lesions, components, composite, confidence, fields.
+
+    Where texts repeat (templates, copied notes; counted first) each distinct text is read
+    once and its record handed over and joined to its notes.
+    """
+    n, different = notes.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(text))).first()
+    if n < REPEATS * max(different, 1):
+        return _read(notes, text)
+    records = cut(_read(notes.select(text).distinct(), text))
+    return match_cells(notes.drop(*[c for c in records.columns if c != text]), records, [text], "left", handed=True)
+
+
+def _read(notes: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     out = spread(notes).withColumns({"ef_all": nt.ef_numeric(t), "wall": nt.wall_mentions(t),
                              "lvh": nt.hypertrophy(t), "lesions": nt.valve_lesions(t),

@@ -9,6 +9,7 @@ from halfseen.catalog import base
 from halfseen.catalog import model_queries as mq
 from halfseen.functions import notes as patterns
 from halfseen.operators import learners as ln
+from halfseen.operators import notes as no
 from halfseen.operators import quantile as qt
 from halfseen.plans import cohorts as co
 
@@ -67,3 +68,22 @@ def test_derived_units_compute_their_rows_once(spark):
     rows, seen = counted(base.order_units(spark, SF).drop("z"), "bal")
     co.derive_units(rows, centre="segment", decision="t", outcome="y", covariates={"b": F.col("bal"), "p": F.col("price")})[1].collect()
     assert seen.value == rows.count()
+
+
+def test_loan_features_compute_their_rows_once(spark):
+    rows, seen = counted(base.order_units(spark, SF).withColumns({"rate": F.lit(3.0), "grade": F.lit("C4")}), "bal")
+    co.loan_features(rows, numeric=["bal", "price"], money=["bal"], term="grade", employment="priority", scale={"1-URGENT": 0.0, "2-HIGH": 1.0},
+                     verification="segment", rate="rate", grade="grade").agg(F.avg("x_bal")).collect()
+    assert seen.value == rows.count()
+
+
+def test_equal_notes_are_read_once(spark):
+    texts = ["Echo: EF 30%. IVSd 1.5 cm.", "Severe aortic stenosis on echo; EF preserved.", None, ""]
+    many = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "id int, text string")
+    once = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    read = no.extract(many)
+    assert "regexp_extract_all(" not in plan(read) and "regexp_extract_all(" in plan(no.extract(once))
+    assert read.columns == no.extract(once).columns
+    told = {r["id"]: r.asDict(True) for r in no.extract(once).collect()}
+    for r in read.collect():
+        assert r.asDict(True) == told[r["id"] % 4] | {"id": r["id"]}
