@@ -11,6 +11,7 @@ from halfseen.functions import scalar as s
 from halfseen.operators import nuisance as nu
 from halfseen.operators import temporal as tm
 from halfseen.operators.joins import match
+from halfseen.operators.lineage import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,7 +149,7 @@ def document_nuisance(spark: SparkSession, d: str) -> DataFrame:
 
 def order_units(spark: SparkSession, d: str) -> DataFrame:
     """One row per order; decision = not pending, outcome = high price."""
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    o, c = spread(table(spark, d, "orders")), table(spark, d, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey)
     t = (F.col("o_orderstatus") != "P").cast("int")
     y = (F.col("o_totalprice") > 250000).cast("double")

@@ -192,6 +192,7 @@ def leniency(units: DataFrame, features: Sequence[str], *, z: str, t: str, y: st
     holds.
     """
     spark = units.sparkSession
+    units = cut(units.select(*dict.fromkeys([*features, z, t, y, ident])))        # read by the centres, the folds and the grid
     centres = sorted(r[z] for r in usable_centres(units, z, t, y, folds=folds, least=least).filter("used = 1").select(z).collect())
     many, models = len(centres), 2 * folds
     index = spark.createDataFrame([(c, i) for i, c in enumerate(centres)], f"__c {dict(units.dtypes)[z]}, __zi int")

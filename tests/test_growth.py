@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from halfseen.catalog import base
 from halfseen.catalog import model_queries as mq
 from halfseen.functions import notes as patterns
+from halfseen.operators import gamma as gm
 from halfseen.operators import learners as ln
 from halfseen.operators import notes as no
 from halfseen.operators import quantile as qt
+from halfseen.operators import validate as vd
 from halfseen.plans import cohorts as co
 
 
@@ -87,3 +89,16 @@ def test_equal_notes_are_read_once(spark):
     told = {r["id"]: r.asDict(True) for r in no.extract(once).collect()}
     for r in read.collect():
         assert r.asDict(True) == told[r["id"] % 4] | {"id": r["id"]}
+
+
+def test_rules_are_judged_once(spark):
+    rows, seen = counted(spark.range(50).withColumn("v", F.col("id") % 5), "v")
+    got = vd.violations(rows, {"zero": F.col("v") == 0, "four": F.col("v") == 4, "never": F.col("v") == 9}, "id", 2).collect()
+    assert {(r["rule"], r["n"], *r["first_ids"]) for r in got} == {("zero", 10, 0, 5), ("four", 10, 4, 9)}
+    assert seen.value == 50
+
+
+def test_leniency_computes_its_units_once(spark):
+    units, seen = counted(base.order_units(spark, SF).withColumn("s0", (F.col("segment") == "BUILDING").cast("double")), "s0")
+    gm.leniency(units, ["s0"], z="z", t="t", y="y_obs", ident="okey", seeds=1, folds=2, boot=False)
+    assert seen.value == units.count()
