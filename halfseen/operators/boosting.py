@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -21,7 +22,17 @@ ROUNDS, RATE, LEAVES, LEAST, L2 = 200, 0.07, 31, 30, 1.0
 PACKED = 500_000              # packed rows up to which a model is grown in one task; beyond, every tree level is one aggregate
 HELD = 1 << 22               # sums of a kind that a task holds at a time when levels are aggregated
 PENDING = 8                   # rounds between two hand-overs of the margins when levels are aggregated
+KNOWN = 1 << 16               # bins whose scores a worker keeps
 KEYS = ["target", "fold", "inner"]
+_SEEN: dict[str, dict[bytes, np.ndarray]] = {}
+
+
+def seen(token: str) -> dict[bytes, np.ndarray]:
+    """The scores this worker has already worked out for a set of models; those of the set before are dropped."""
+    if token not in _SEEN:
+        _SEEN.clear()
+        _SEEN[token] = {}
+    return _SEEN[token]
 
 
 @dataclass
@@ -298,14 +309,27 @@ class Boosted:
         cells, back = np.unique(bins, axis=0, return_inverse=True)
         return np.column_stack([self.score(m, cells) for m in range(len(self.models))])[back.ravel()]
 
+    def recalled(self, bins: np.ndarray, known: dict[bytes, np.ndarray], finish: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """What `finish` makes of the scores; bins in `known` are looked up, new ones scored and added."""
+        cells, back = np.unique(bins.astype(np.uint8), axis=0, return_inverse=True)
+        names = [c.tobytes() for c in cells]
+        found = [known.get(n) for n in names]
+        new = [i for i, v in enumerate(found) if v is None]
+        if new:
+            made = self.scores(cells[new].astype(np.int64))
+            if len(known) + len(new) > KNOWN:
+                known.clear()
+            for i, v in zip(new, made if finish is None else finish(made)):
+                found[i] = known[names[i]] = v
+        return np.stack(found)[back.ravel()] if len(found) else np.empty((0, len(self.models)))
+
     def column(self, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> Column:
         """An array column: the scores of all models in order, or what `finish` makes of them (row by row)."""
-        own = self
+        own, token = self, uuid.uuid4().hex
 
         @F.pandas_udf("array<double>")
         def score(*columns: pd.Series) -> pd.Series:
-            out = own.scores(own.binned([c.to_numpy(float) for c in columns]))
-            return pd.Series(list(out if finish is None else finish(out)))
+            return pd.Series(list(own.recalled(own.binned([c.to_numpy(float) for c in columns]), seen(token), finish)))
         return score(*[F.col(f).cast("double") for f in self.features])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from halfseen.catalog import base
 from halfseen.catalog import model_queries as mq
 from halfseen.functions import notes as patterns
+from halfseen.operators import boosting as bo
 from halfseen.operators import gamma as gm
 from halfseen.operators import learners as ln
 from halfseen.operators import notes as no
@@ -102,3 +103,26 @@ def test_leniency_computes_its_units_once(spark):
     units, seen = counted(base.order_units(spark, SF).withColumn("s0", (F.col("segment") == "BUILDING").cast("double")), "s0")
     gm.leniency(units, ["s0"], z="z", t="t", y="y_obs", ident="okey", seeds=1, folds=2, boot=False)
     assert seen.value == units.count()
+
+
+def test_folds_of_folds_compute_their_rows_once(spark):
+    rows = spark.range(60).withColumn("s", F.col("id") % 3)
+    both = vd.stratified_folds(vd.stratified_folds(rows, ["s"], "id", 3, "a").withColumnRenamed("fold", "f"), ["s", "f"], "id", 2, "b")
+    assert "Range (" not in plan(both)
+    assert sorted(r["count"] for r in both.groupBy("s", "f", "fold").count().collect()) == [3] * 12 + [4] * 6
+
+
+def test_bins_seen_before_are_not_scored_again():
+    class Told(bo.Boosted):
+        asked = 0
+
+        def scores(self, bins):
+            self.asked += len(bins)
+            return bins.sum(axis=1, keepdims=True).astype(float)
+
+    own, known = Told(["a", "b"], [], [], bo.Settings()), {}
+    bins = np.array([[1, 2], [3, 4], [1, 2], [255, 0]])
+    for _ in range(3):
+        assert own.recalled(bins, known).ravel().tolist() == [3.0, 7.0, 3.0, 255.0]
+    assert own.asked == 3
+    assert own.recalled(np.array([[9, 9], [1, 2]]), known, lambda v: v * 2).ravel().tolist() == [36.0, 3.0]
