@@ -495,7 +495,7 @@ def _(spark, d):
 def linked(spark, d):
     studies = events(spark, d, "purchase").select("subject", F.col("at").alias("sat"), F.col("event_id").alias("sid"))
     u, v, a = decision_makers(spark, d)
-    return co.linked_cohort(events(spark, d, "view"), studies, by="subject", ident="event_id", time="at", study_time="sat", study_id="sid",
+    return co.linked_cohort(events(spark, d, "view").select("event_id", "subject", "at"), studies, by="subject", ident="event_id", time="at", study_time="sat", study_id="sid",
                             window=DAY, gap=DAY, units=u, services=v, stays=a, pad=-2 * DAY)
 
 

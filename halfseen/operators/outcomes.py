@@ -124,20 +124,21 @@ def label_from_codes(records: DataFrame, *, ident: str, by: str, time: str, dire
     """
     if direct is None and (stays is None or diagnoses is None):
         raise ValueError("needs a per-record table, or stays together with diagnoses")
-    out = records
+    # the stay first: its join measures the records, which must not run the other joins for that
+    by_stay = stays is not None and diagnoses is not None
+    out = first_containing(records, stays, by=by, time=time, start="start", end="stop", ident="stay_id") if by_stay else records
     if direct is not None:
         hit = matching_codes(parse_codes("codes"), prefixes)
         one = keep_first(direct, [ident], ["codes"]).select(ident, F.array_join(hit, ";").alias("__hit"))
         out = out.join(one, ident, "left")
     else:
         out = out.withColumn("__hit", F.lit(None).cast("string"))
-    if stays is not None and diagnoses is not None:
-        out = first_containing(out, stays, by=by, time=time, start="start", end="stop", ident="stay_id")
-        code = normalise_code("code")
+    if by_stay:
         new = F.col("version") == 10
-        per_stay = diagnoses.groupBy("stay_id").agg(
-            F.array_join(F.sort_array(F.collect_set(F.when(new & has_prefix(code, prefixes), code))), ";").alias("__dx"),
-            F.max(new.cast("int")).alias("__new"))
+        coded = diagnoses.withColumn("__code", normalise_code("code")).select(       # once a row, not once a prefix
+            "stay_id", new.cast("int").alias("__new"), F.when(new & has_prefix("__code", prefixes), F.col("__code")).alias("__code"))
+        per_stay = coded.groupBy("stay_id").agg(
+            F.array_join(F.sort_array(F.collect_set("__code")), ";").alias("__dx"), F.max("__new").alias("__new"))
         out = out.join(per_stay.withColumnRenamed("stay_id", "span_id"), "span_id", "left")
     else:
         out = out.withColumns({"span_id": F.lit(None).cast("bigint"), "__dx": F.lit(None).cast("string"),

@@ -30,6 +30,8 @@ class Lookup:
 
     Of several rows at one instant the one with the largest ``tie`` counts (the
     smallest with ``smallest``).  A match farther than ``tolerance`` is dropped.
+    Only rows with ``where`` are looked up; sizes are measured without it, from key
+    and time alone, since no group grows by a condition.
     """
 
     df: DataFrame
@@ -39,6 +41,7 @@ class Lookup:
     tie: str | None = None
     smallest: bool = False
     tolerance: int | None = None
+    where: Column | None = None
 
 
 def asof_join(left: DataFrame, lookups: Sequence[Lookup], by: str, time: str,
@@ -64,6 +67,7 @@ def asof_join(left: DataFrame, lookups: Sequence[Lookup], by: str, time: str,
         value = F.struct(F.col(look.time).alias("at"), *[F.col(c) for c in look.cols])
         tie = value if look.tie is None else F.col(look.tie)
         keyed = look.df.filter(F.col(by).isNotNull() & F.col(look.time).isNotNull())
+        keyed = keyed if look.where is None else keyed.filter(look.where)
         if small:            # the scan's own sort puts the winner of an instant last
             side = keyed.select(F.col(by).alias("__by"), F.col(look.time).alias("__t"), value.alias(f"__{look.name}"),
                                 tie.alias(f"__tie_{look.name}"))
@@ -244,18 +248,19 @@ def first_containing(left: DataFrame, spans: DataFrame, *, by: str, time: str, s
     """The span with start <= time <= end that starts first, of equal starts the smallest id (``span_id``), without a range join.
 
     A span that ends no later than one before it in that order can never win.  Among the
-    others order and ends rise together, so the first end >= time decides.
+    others order and ends rise together, so the first end >= time decides.  They are handed
+    over, since the join measures them first.
     """
     one = spans.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
     one = one.groupBy(by, start, end).agg(F.min(ident).alias(ident))
-    run = OrderedScan(one.withColumn("__e", F.col(end)), [by], [start, ident])
+    run = OrderedScan(one.withColumn("__e", F.col(end)), [by], [start, ident], measure=spans.select(by, start))
     run.add(__reach=("max", F.col("__e")))
     # the running maximum includes the row itself: it is new iff it was not reached before
     ranked = run.result().groupBy(by, "__reach").agg(
         F.min(F.struct(F.col(start), F.col(ident))).alias("__f"))
     front = ranked.select(by, F.col("__reach").alias(end), F.col(f"__f.{start}").alias(start),
                           F.col(f"__f.{ident}").alias(ident))
-    out = asof_join(left, [Lookup(front, end, [start, ident], "span")], by, time, ("forward",))
+    out = asof_join(left, [Lookup(cut(front), end, [start, ident], "span")], by, time, ("forward",))
     hit = F.col(f"span.{start}") <= F.col(time)
     return out.withColumn("span_id", F.when(hit, F.col(f"span.{ident}"))).drop("span")
 
@@ -318,13 +323,13 @@ def attach_decision_maker(records: DataFrame, units: DataFrame, *, by: str, time
     endtime)``, ``stays(by, location, admittime, dischtime)``.  Each source is looked
     up as of the record; only its latest-started row is tested for being active.
     """
-    looks = [Lookup(units.filter(F.trim("unit") != ""), "intime", ["unit", "outtime"], "__u", tie="unit")]
+    looks = [Lookup(units, "intime", ["unit", "outtime"], "__u", tie="unit", where=F.trim("unit") != "")]
     if services is not None:
-        looks.append(Lookup(services.filter(F.col("service").isNotNull()), "transfertime",
-                            ["service", "endtime"], "__s", tie="service"))
+        looks.append(Lookup(services, "transfertime", ["service", "endtime"], "__s", tie="service",
+                            where=F.col("service").isNotNull()))
     if stays is not None:
-        looks.append(Lookup(stays.filter(F.col("location").isNotNull()), "admittime",
-                            ["location", "dischtime"], "__a", tie="location"))
+        looks.append(Lookup(stays, "admittime", ["location", "dischtime"], "__a", tie="location",
+                            where=F.col("location").isNotNull()))
     out = asof_join(records, looks, by, time)
     t = F.col(time)
     open_or = lambda end, ok: end.isNull() | ok

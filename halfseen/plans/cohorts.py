@@ -184,17 +184,21 @@ def linked_outcomes(units: DataFrame, *, ident: str, by: str, time: str, notes:
     ``stays(by, stay_id, start, stop)``, ``notes(note, note_stay, text)``.  Notes of stays
     that touch no record are never extracted, the others once; a record's label comes from
     counts of positive and negative notes, so no record-note pairs are built.  A record
-    whose study lies inside a stay uses the notes of such stays only.
+    whose study lies inside a stay uses the notes of such stays only.  Units, the spans of
+    the notes, the touched notes and the labels are each measured or read by several steps
+    and are handed over before, so that none is computed twice.
 
     ``measured(study_id, composite)`` is joined on the linked study: the first row of a study
     in ``measured_order`` counts, and only selected records get a value.  Route c reads a
     per-record table ``codes``, then ``diagnoses`` of the containing stay.
     """
-    wide = units.withColumns({"__lo": F.col(time) - window, "__hi": F.col(time) + window})
-    spans = notes.join(stays.withColumnRenamed("stay_id", note_stay), note_stay).filter(F.col("start") <= F.col("stop"))
+    wide = cut(units).withColumns({"__lo": F.col(time) - window, "__hi": F.col(time) + window})
+    known = stays.filter(F.col("start") <= F.col("stop")).select(by, F.col("stay_id").alias(note_stay), "start", "stop")
+    spans = cut(notes.select(note, note_stay).join(known, note_stay).drop(note_stay))
     asked = tm.windowed_counts(spans, wide.select(by, "__lo", "__hi"), by=by, ident=note, start="__lo", end="__hi",
                                windows={"record": ("start", "stop")}, counts={"touched": F.lit(1)})
-    read = nt.extract(asked.filter("touched_record > 0")).select(by, note, "start", "stop", "shd_composite")
+    touched = cut(notes.select(note, "text").join(asked.filter("touched_record > 0").drop("touched_record"), note))
+    read = nt.extract(touched).select(by, note, "start", "stop", "shd_composite")
     labels = tm.windowed_counts(
         wide, cut(read), by=by, ident=ident, start="start", end="stop",
         windows={"window": ("__lo", "__hi"), "contains": (study_time, study_time)},
@@ -207,7 +211,7 @@ def linked_outcomes(units: DataFrame, *, ident: str, by: str, time: str, notes:
         "note_link": F.when(inside, "contains").when(F.col("n_window") > 0, "window").otherwise("none")})
     out = out.drop("__lo", "__hi", *[f"{c}_{w}" for c in ("n", "pos", "neg") for w in ("window", "contains")])
     if codes is not None or diagnoses is not None:
-        out = oc.label_from_codes(out, ident=ident, by=by, time=time, direct=codes,
+        out = oc.label_from_codes(cut(out), ident=ident, by=by, time=time, direct=codes,
                                   stays=stays if diagnoses is not None else None, diagnoses=diagnoses)
     if measured is not None:
         one = tm.keep_first(measured.filter("study_id IS NOT NULL"), ["study_id"], list(measured_order) or ["composite"])

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from halfseen.catalog import base
@@ -12,7 +13,9 @@ from halfseen.operators import boosting as bo
 from halfseen.operators import gamma as gm
 from halfseen.operators import learners as ln
 from halfseen.operators import notes as no
+from halfseen.operators import outcomes as oc
 from halfseen.operators import quantile as qt
+from halfseen.operators import temporal as tm
 from halfseen.operators import validate as vd
 from halfseen.plans import cohorts as co
 
@@ -126,3 +129,46 @@ def test_bins_seen_before_are_not_scored_again():
         assert own.recalled(bins, known).ravel().tolist() == [3.0, 7.0, 3.0, 255.0]
     assert own.asked == 3
     assert own.recalled(np.array([[9, 9], [1, 2]]), known, lambda v: v * 2).ravel().tolist() == [36.0, 3.0]
+
+
+def test_linked_outcomes_compute_units_and_notes_once(spark):
+    n, many = 40, 400
+    units = spark.range(n).select("id", (F.col("id") % 4).alias("by"), (F.col("id") * 10).alias("at"), (F.col("id") % 2).cast("int").alias("t"),
+                                  F.lit(None).cast("bigint").alias("study_time"), F.lit(None).cast("bigint").alias("nearest_id"))
+    units, asked = counted(units, "at")
+    stays = spark.range(many).select((F.col("id") % 4).alias("by"), F.col("id").alias("stay_id"), F.col("id").alias("start"), (F.col("id") + 5).alias("stop"))
+    notes = stays.select((F.col("stay_id") * 10).alias("note"), "stay_id", F.concat(F.lit("Echo: EF "), (20 + F.col("stay_id") % 60).cast("string"), F.lit("%.")).alias("text"))
+    notes, rendered = counted(notes, "text")
+    dx = stays.select("stay_id", F.lit("I35.0").alias("code"), F.lit(10).alias("version"))
+    x = co.linked_outcomes(units, ident="id", by="by", time="at", notes=notes, note="note", note_stay="stay_id", stays=stays, window=7, diagnoses=dx)
+    got = {r["id"]: r for r in x.collect()}
+    assert (asked.value, rendered.value) == (n, many)
+    for i in range(n):
+        near = [s for s in range(many) if s % 4 == i % 4 and s <= i * 10 + 7 and s + 5 >= i * 10 - 7]
+        inside = [s for s in near if s <= i * 10 <= s + 5]
+        assert (got[i]["note_n"], got[i]["code_source"]) == (len(near), "stay" if inside else "none")
+        assert got[i]["y_note"] == (max(float(20 + s % 60 <= 45) for s in near) if near else None)
+
+
+@pytest.mark.parametrize("limit", ["3", "2000000"])
+def test_lookups_are_measured_without_their_condition(spark, limit):
+    left = spark.createDataFrame([(1, 1, 50), (2, 1, 5), (3, 2, 50), (4, 2, 31)], "id int, k int, at bigint")
+    rows = [(k, 10 * i, " " if i % 2 else f"U{i}") for k in (1, 2) for i in range(5)]
+    units = spark.createDataFrame(rows, "k int, intime bigint, unit string").withColumn("outtime", F.lit(None).cast("bigint"))
+    units, seen = counted(units, "unit")
+    spark.conf.set("spark.halfseen.blockRows", limit)
+    try:
+        got = {r["id"]: (r["z"], r["z_source"]) for r in tm.attach_decision_maker(left, units, by="k", time="at").collect()}
+    finally:
+        spark.conf.unset("spark.halfseen.blockRows")
+    assert got == {1: ("U4", "careunit"), 2: ("U0", "careunit"), 3: ("U4", "careunit"), 4: ("U2", "careunit")}
+    assert seen.value == len(rows)
+
+
+def test_codes_are_normalised_once(spark):
+    records = spark.createDataFrame([(1, 1, 5)], "id int, k int, at bigint")
+    stays = spark.createDataFrame([(1, 7, 0, 9)], "k int, stay_id bigint, start bigint, stop bigint")
+    dx = spark.createDataFrame([(7, " i35.0", 10), (7, "i50", 9), (7, "Z1", 10)], "stay_id bigint, code string, version int")
+    x = oc.label_from_codes(records, ident="id", by="k", time="at", stays=stays, diagnoses=dx)
+    assert plan(x).count("regexp_replace(") == 1
+    assert x.select("y_code", "code_source", "code_matched").first() == (1.0, "stay", "I350")
