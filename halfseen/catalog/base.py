@@ -11,7 +11,7 @@ from halfseen.functions import scalar as s
 from halfseen.operators import nuisance as nu
 from halfseen.operators import temporal as tm
 from halfseen.operators.joins import match
-from halfseen.operators.lineage import spread
+from halfseen.operators.lineage import cut, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,10 +168,20 @@ V3 = """ov AS (SELECT o_orderkey AS okey, o_custkey AS ckey, CAST(o_orderstatus
 
 # --- V4: events -----------------------------------------------------------------
 
-def events(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
-    e = table(spark, d, "events")
+def event_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Ids, subjects, times and ``k`` of all events, parsed once and handed over by type: :func:`events` takes it for ``d``.
+
+    For queries that read many types, each in several steps.
+    """
+    return cut(events(spark, d).select("event_id", "subject", "at", "event_type", "k"), by="event_type")
+
+
+def events(spark: SparkSession, d: str | DataFrame, kind: str | None = None) -> DataFrame:
+    e = d if isinstance(d, DataFrame) else table(spark, d, "events")
     if kind is not None:
         e = e.filter(F.col("event_type") == kind)
+    if isinstance(d, DataFrame):
+        return e
     return e.select("event_id", F.col("user_id").alias("subject"), tm.micros("ts").alias("at"), "event_type", "value",
                     F.get_json_object("props", "$.k").cast("bigint").alias("k"), "ts")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from halfseen.catalog.base import (
-    DAY, EV, HOUR, SPANS, document_units, events, h32, order_units, out, query, r, signup_spans, table,
+    DAY, EV, HOUR, SPANS, document_units, event_kinds, events, h32, order_units, out, query, r, signup_spans, table,
 )
 from halfseen.catalog.table_queries import LINKED, decision_makers, linked, nearest_views
 from halfseen.functions import notes as nt
@@ -325,6 +325,7 @@ C7_SQL = LINKED + ", vw AS (SELECT *, CASE WHEN t = 1 THEN tat + gap END AS st F
 
 @query("c7_linked_outcomes", C7_SQL + " SELECT vw.event_id, CASE WHEN t = 1 THEN y_note END AS y_obs, coalesce(note_n, 0) AS note_n, 'b_notes' AS route FROM vw LEFT JOIN yn USING (event_id)")
 def _(spark, d):
+    d = event_kinds(spark, d)
     units, _ = linked(spark, d)
     spans, notes = note_pieces(spark, d)
     x = co.linked_outcomes(units, ident="event_id", by="subject", time="at", notes=notes, note="note", note_stay="stay_id", stays=spans, window=DAY)
@@ -340,6 +341,7 @@ def study_measurements(spark, d):
 
 
 def measured_units(spark, d):
+    d = event_kinds(spark, d)
     units, _ = linked(spark, d)
     spans, notes = note_pieces(spark, d)
     return co.linked_outcomes(units, ident="event_id", by="subject", time="at", notes=notes, note="note", note_stay="stay_id", stays=spans, window=DAY,
@@ -355,6 +357,7 @@ def _(spark, d):
   SELECT count(*) FILTER (WHERE t = 1) AS n_selected, count(y_obs) AS n_labelled, {r('count(y_obs) / greatest(count(*) FILTER (WHERE t = 1), 1)', 'recovery_rate')}, {r('avg(y_obs)', 'prevalence')},
   count(*) FILTER (WHERE k > 0) AS n_with_notes, count(*) FILTER (WHERE t = 1 AND k > 0 AND y_note IS NULL) AS n_undocumented, count(*) FILTER (WHERE t = 1 AND k = 0) AS n_without_note FROM j""")
 def _(spark, d):
+    d = event_kinds(spark, d)
     units, _ = linked(spark, d)
     spans, notes = note_pieces(spark, d)
     x = co.linked_outcomes(units, ident="event_id", by="subject", time="at", notes=notes, note="note", note_stay="stay_id", stays=spans, window=DAY)
@@ -368,6 +371,7 @@ C7_CODE = C7_SQL + """, cp AS (SELECT vw.event_id, vw.t, ev.k, sp.stay_id, sp.k
 
 
 def coded_units(spark, d):
+    d = event_kinds(spark, d)
     units, _ = linked(spark, d)
     spans, notes = note_pieces(spark, d)
     _, direct, _, dx = code_inputs(spark, d)

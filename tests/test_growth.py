@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from halfseen.catalog import base
 from halfseen.catalog import model_queries as mq
+from halfseen.catalog import text_queries as tq
 from halfseen.functions import notes as patterns
 from halfseen.operators import boosting as bo
 from halfseen.operators import gamma as gm
@@ -172,3 +173,13 @@ def test_codes_are_normalised_once(spark):
     x = oc.label_from_codes(records, ident="id", by="k", time="at", stays=stays, diagnoses=dx)
     assert plan(x).count("regexp_replace(") == 1
     assert x.select("y_code", "code_source", "code_matched").first() == (1.0, "stay", "I350")
+
+
+def test_linked_outcomes_parse_their_events_once(spark):
+    assert "get_json_object" not in plan(tq.coded_units(spark, SF))
+    whole, handed = base.events(spark, SF), base.event_kinds(spark, SF)
+    for kind in ("view", "purchase", "signup", "click", "error"):
+        names = ["event_id", "subject", "at", "event_type", "k"]
+        want = whole.filter(F.col("event_type") == kind).select(*names)
+        got = base.events(spark, handed, kind)
+        assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect()) and got.count() > 0
