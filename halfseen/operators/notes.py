@@ -23,12 +23,13 @@ def extract(notes: DataFrame, text: str = "text") -> DataFrame:
     """Adds the record columns: EF, wall, lesions, components, composite, confidence, fields.
 
     Where texts repeat (templates, copied notes; counted first) each distinct text is read
-    once and its record handed over and joined to its notes.
+    once and its record handed over and joined to its notes.  The distinct texts are handed
+    over before: planning how to spread them would run what they come from.
     """
     n, different = notes.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(text))).first()
     if n < REPEATS * max(different, 1):
         return _read(notes, text)
-    records = cut(_read(notes.select(text).distinct(), text))
+    records = cut(_read(cut(notes.select(text).distinct()), text))
     return match_cells(notes.drop(*[c for c in records.columns if c != text]), records, [text], "left", handed=True)
 
 

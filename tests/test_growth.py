@@ -151,6 +151,12 @@ def test_linked_outcomes_compute_units_and_notes_once(spark):
         assert got[i]["y_note"] == (max(float(20 + s % 60 <= 45) for s in near) if near else None)
 
 
+def test_planning_to_spread_texts_runs_nothing(spark):
+    many, seen = counted(spark.range(60).select("id", F.concat(F.lit("EF "), (30 + F.col("id") % 3).cast("string"), F.lit("%.")).alias("text")), "text")
+    assert no.extract(many).select("id", "lvef").distinct().count() == 60
+    assert seen.value <= 180              # counted, made distinct, joined to the records
+
+
 @pytest.mark.parametrize("limit", ["3", "2000000"])
 def test_lookups_are_measured_without_their_condition(spark, limit):
     left = spark.createDataFrame([(1, 1, 50), (2, 1, 5), (3, 2, 50), (4, 2, 31)], "id int, k int, at bigint")
